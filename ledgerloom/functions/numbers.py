@@ -34,7 +34,7 @@ def _c(c) -> Column:
 
 def safe_double(c) -> Column:
     """Number or null; NaN and text that is no number become null."""
-    d = _c(c).cast("string").try_cast("double") if not isinstance(c, Column) else _c(c).try_cast("double")
+    d = _c(c).try_cast("double")
     return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
 
 
@@ -95,8 +95,12 @@ def to_cents(c) -> Column:
 
 
 def round_ratio_half_up(num: Column, den: int) -> Column:
-    """round(num / den) half away from zero for non-negative integers."""
-    return F.floor((num * 2 + F.lit(den)) / F.lit(2 * den)).cast("bigint")
+    """round(num / den) half away from zero for non-negative integers.
+
+    Exact: the quotient is taken in decimal, never in double.
+    """
+    q = (num.cast("decimal(38,0)") * 2 + F.lit(den)) / F.lit(2 * den).cast("decimal(38,0)")
+    return F.floor(q).cast("bigint")
 
 
 def invoice_split_cents(total_cents: Column, with_vat: bool = True):
