@@ -35,5 +35,5 @@ def query(key: str, oracle: str | None = None):
 def load_all() -> dict[str, Query]:
     # importing the modules fills the registry
     from ledgerloom.plans import (billing_queries, client_queries, ledger_queries,  # noqa: F401
-                                  request_queries, stream_queries)
+                                  request_queries, source_queries, stream_queries)
     return REGISTRY

@@ -203,6 +203,36 @@ SELECT event_id,
 FROM {events}
 """
 
+# --- request / withdrawal forms filled in by the administrator -----------
+ADAPTERS["request_forms"] = """
+SELECT CAST(o_custkey AS VARCHAR(20)) AS casillero,
+       l_orderkey * 8 + l_linenumber AS form_id,
+       CASE WHEN l_linenumber = 1 THEN '' ELSE concat('Pago ', CAST(l_partkey AS VARCHAR(20))) END AS descripcion,
+       CASE WHEN l_linenumber = 2 THEN CAST(0 AS DECIMAL(18,2)) ELSE CAST(l_extendedprice AS DECIMAL(18,2)) END AS monto,
+       CASE WHEN l_linenumber = 3 THEN ' ' ELSE CAST(l_suppkey AS VARCHAR(20)) END AS numero_cuenta,
+       CASE WHEN l_linenumber % 2 = 0 THEN 'Nomina' ELSE 'Proveedor' END AS tipo,
+       CASE WHEN l_returnflag = 'R' THEN CAST(CASE WHEN l_linenumber = 4 THEN o_custkey ELSE o_custkey + 3 END AS VARCHAR(20)) END
+            AS mayorista_retira,
+       CASE WHEN l_returnflag = 'R' THEN CAST(l_orderkey % 3 AS DOUBLE) END AS comision_pct
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
+"""
+
+# --- manual decisions on requests (some twice, some for unknown ids) -----
+ADAPTERS["decisions"] = """
+SELECT CASE WHEN o_orderkey % 40 = 0 THEN 'x' ELSE
+            CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_custkey + 1 END AS VARCHAR(20)) END AS casillero,
+       concat('Consignacion', CAST(o_orderkey AS VARCHAR(20))) AS id,
+       CASE WHEN o_totalprice > 200000 THEN 'aprobada' ELSE 'rechazada' END AS estado,
+       CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) AS fecha_decision,
+       1 AS seq
+FROM {orders} WHERE o_orderkey % 4 = 0
+UNION ALL
+SELECT CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_custkey + 1 END AS VARCHAR(20)) AS casillero,
+       concat('Consignacion', CAST(o_orderkey AS VARCHAR(20))) AS id,
+       'aprobada' AS estado, '2024-02-01' AS fecha_decision, 2 AS seq
+FROM {orders} WHERE o_orderkey % 12 = 0
+"""
+
 _PLACEHOLDER = re.compile(r"\{(" + "|".join(DRIVER_TABLES) + r")\}")
 
 
