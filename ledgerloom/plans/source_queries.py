@@ -1 +1,93 @@
-"""Queries (filled in below)."""
+"""Source and sink queries: typed loads, conforming, file sets, exports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerloom import schemas
+from ledgerloom.operators import reports
+from ledgerloom.plans.ledger_queries import INCOME_BODY, INCOME_SELECT
+from ledgerloom.plans.oracle import with_views
+from ledgerloom.plans.registry import query
+from ledgerloom.sources import adapters as A
+from ledgerloom.sources import readers, sinks
+
+
+def _money(x: str) -> str:
+    return f"(CASE WHEN isfinite(try_cast({x} AS DOUBLE)) THEN CAST(try_cast({x} AS DOUBLE) AS DECIMAL(18,2)) END)"
+
+
+@query("ledger_load", with_views(["ledger_raw", "accounts"], f"""
+SELECT l.casillero, l.tipo, try_cast(l.fecha AS TIMESTAMP) AS fecha,
+       CASE WHEN l.libro = 'cop' THEN coalesce(try_cast(l.fecha_carga AS TIMESTAMP), try_cast(l.fecha AS TIMESTAMP))
+            ELSE try_cast(l.fecha_carga AS TIMESTAMP) END AS fecha_carga,
+       {_money('l.monto')} AS monto, l.motivo, l.orden, l.producto,
+       CASE WHEN a.usd_rate AND isfinite(try_cast(l.trm AS DOUBLE)) THEN try_cast(l.trm AS DOUBLE) + 100 END AS trm,
+       l.libro
+FROM ledger_raw l LEFT JOIN accounts a ON l.casillero = a.code"""))
+def q_ledger_load(spark, sf):
+    return readers.load_ledger(A.load(spark, sf, "ledger_raw"), A.load(spark, sf, "accounts"))
+
+
+# Spreadsheet headers of the raw ledger (accents, case, double spaces, NBSP).
+MESSY_HEADERS = {"casillero": "Casillero", "tipo": "TIPO", "fecha": "Fécha", "fecha_carga": "Fecha de  Carga",
+                 "monto": "Monto ", "motivo": "Motivo", "orden": "Orden", "producto": "Nombre del producto",
+                 "libro": "Libro Contable"}
+HEADER_TARGETS = {"fecha de carga": "fecha_carga", "nombre del producto": "producto"}
+
+
+@query("schema_conform", with_views(["ledger_raw"], """
+SELECT casillero, tipo, try_cast(fecha AS TIMESTAMP) AS fecha, try_cast(fecha_carga AS TIMESTAMP) AS fecha_carga,
+       try_cast(monto AS DECIMAL(18,2)) AS monto, motivo, orden, producto, CAST(NULL AS DOUBLE) AS trm,
+       libro AS libro_contable
+FROM ledger_raw"""))
+def q_schema_conform(spark, sf):
+    raw = A.load(spark, sf, "ledger_raw").drop("trm")
+    messy = raw.select(*[F.col(c).alias(MESSY_HEADERS[c]) for c in raw.columns])
+    return readers.conform(readers.fold_headers(messy, HEADER_TARGETS), schemas.LEDGER, keep_extra=True)
+
+
+@query("movements_union", with_views(["movements"], """
+SELECT casillero, id_ingreso, id_cliente, factura, monto, referencia, fecha_sistema, source_file
+FROM movements WHERE source_file = 'ingresos_a.parquet'
+UNION ALL BY NAME
+SELECT casillero, id_ingreso, id_cliente, factura, monto AS valor, referencia AS descripcion, fecha_sistema, source_file
+FROM movements WHERE source_file = 'ingresos_b.parquet'"""))
+def q_movements_union(spark, sf):
+    mv = A.load(spark, sf, "movements")
+    a = mv.filter(F.col("source_file") == "ingresos_a.parquet")
+    b = (mv.filter(F.col("source_file") == "ingresos_b.parquet")
+         .withColumnRenamed("monto", "valor").withColumnRenamed("referencia", "descripcion"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+def movement_file_set(spark, sf):
+    """Movements written as one folder per source file, named per account:
+    'ingresos_<acct>.parquet' and 'Ingresos_<acct>_Davivienda.parquet', plus
+    a 'ingresos_<acct>x.parquet' set that the name pattern must skip.
+    """
+    root = sinks.scratch_path(spark, "files", sinks.tag(sf), "movements")
+    if not sinks.versions(spark, root):
+        mv = A.load(spark, sf, "movements").drop("source_file")
+        name = (F.when(F.col("casillero") == "2", F.concat(F.lit("ingresos_"), "casillero", F.lit("x.parquet")))
+                .when(F.substring("id_ingreso", 9, 2) >= "15",
+                      F.concat(F.lit("Ingresos_"), "casillero", F.lit("_Davivienda.parquet")))
+                .otherwise(F.concat(F.lit("ingresos_"), "casillero", F.lit(".parquet"))))
+        sinks.replace_table(mv.withColumn("source_file", name), root, partition_by=("source_file",))
+    return f"{root}/_v{sinks.versions(spark, root)[-1]}"
+
+
+@query("movements_load")
+def q_movements_load(spark, sf):
+    return readers.load_movement_files(spark, movement_file_set(spark, sf))
+
+
+@query("report_export", with_views(["ledger"], INCOME_BODY + f"""
+{INCOME_SELECT}, 'Ingreso' AS tipo FROM inc
+UNION ALL
+SELECT casillero, fecha, CAST(monto AS DECIMAL(38,2)), NULL, orden, producto, 'Egreso' FROM ledger
+WHERE fecha_carga IS NOT NULL AND trim(tipo) = 'Egreso'""".replace(
+    "SELECT casillero, fecha,", "SELECT casillero, CAST(fecha AS DATE) AS fecha,")))
+def q_report_export(spark, sf):
+    path = sinks.scratch_path(spark, "exports", sinks.tag(sf), "consolidated")
+    return sinks.export_report(reports.consolidated(A.load(spark, sf, "ledger")), path)

@@ -233,6 +233,31 @@ SELECT CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_custkey + 1 END A
 FROM {orders} WHERE o_orderkey % 12 = 0
 """
 
+# --- new-client forms (supplier master data; some ids already exist) ----
+ADAPTERS["client_forms"] = """
+SELECT s_suppkey AS form_id,
+       CASE WHEN s_suppkey % 4 = 0 THEN concat(CAST(s_suppkey AS VARCHAR(20)), '.0')
+            WHEN s_suppkey % 4 = 1 THEN concat('9', CAST(s_suppkey AS VARCHAR(20)), '-1')
+            ELSE concat('8', CAST(s_suppkey AS VARCHAR(20))) END AS identificacion,
+       CASE WHEN s_suppkey % 10 = 3 THEN '' ELSE s_name END AS nombres,
+       n_name AS apellidos,
+       'Calle 1' AS direccion,
+       CAST(s_nationkey + 1 AS VARCHAR(20)) AS codigo_departamento,
+       CAST((s_nationkey + 1) * 1000 AS VARCHAR(20)) AS codigo_ciudad,
+       CASE WHEN s_suppkey % 6 = 5 THEN '12-34' ELSE concat('+57 310 ', CAST(s_suppkey AS VARCHAR(20))) END AS telefono,
+       CASE WHEN s_suppkey % 7 = 2 THEN 'sin correo' ELSE concat('s', CAST(s_suppkey AS VARCHAR(20)), '@mail.co') END AS correo
+FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+"""
+
+# --- client ids typed into the movement worklist ------------------------
+ADAPTERS["assignment_edits"] = """
+SELECT casillero, source_file, id_ingreso,
+       CASE WHEN id_cliente IS NULL OR trim(id_cliente) = '' THEN substr(id_ingreso, 12, 3)
+            WHEN id_cliente = '999999999' THEN ''
+            ELSE id_cliente END AS nuevo_id_cliente
+FROM (""" + ADAPTERS["movements"] + """) m
+"""
+
 _PLACEHOLDER = re.compile(r"\{(" + "|".join(DRIVER_TABLES) + r")\}")
 
 
