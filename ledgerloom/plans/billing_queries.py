@@ -1 +1,216 @@
-"""Queries (filled in below)."""
+"""Billing queries: one batch run, read through its output tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import billing as B
+from ledgerloom.plans.oracle import clean_id, clean_text, digits, with_views, zfill
+from ledgerloom.plans.registry import query
+from ledgerloom.sources import adapters as A
+
+# Configuration of the run (invented provider ids; dates are parameters).
+CONFIG = B.BillingConfig(doc_id=1, seller_id=2, payment_id=3, vat_tax_id=4, third_party_id="000000001",
+                         as_of="2024-01-31")
+KEY = "casillero, source_file, id_ingreso"
+
+
+def _run(spark, sf):
+    mv = A.load(spark, sf, "movements")
+    reserved = (mv.select(F.trim("factura").try_cast("bigint").alias("number"))
+                .filter(F.col("number").isNotNull()))
+    return B.billing_run(mv, A.load(spark, sf, "clients"), A.load(spark, sf, "known_customers"),
+                         A.load(spark, sf, "notes"), A.load(spark, sf, "invoice_register"), CONFIG,
+                         reserved=reserved)
+
+
+def _money(x: str) -> str:
+    return f"CAST(CAST({x} AS DECIMAL(38,0)) * 0.01 AS DECIMAL(38,2))"
+
+
+NOMBRES0 = clean_text("c.nombres")
+APELLIDOS0 = clean_text("c.apellidos")
+TOKENS = f"list_filter(string_split_regex(trim({NOMBRES0}), '\\s+'), lambda x: x <> '')"
+
+BILLING_BODY = f"""
+, pend AS (SELECT m.* REPLACE ({clean_id('m.id_cliente')} AS id_cliente) FROM movements m
+           WHERE {clean_id('m.id_cliente')} <> '' AND (m.factura IS NULL OR trim(m.factura) = '')),
+  cidx AS (SELECT * EXCLUDE (rn) FROM (
+             SELECT c.*, {clean_id('c.identificacion')} AS cid,
+                    row_number() OVER (PARTITION BY {clean_id('c.identificacion')} ORDER BY c.ordinal DESC) AS rn
+             FROM clients c) WHERE rn = 1 AND cid <> ''),
+  matched AS (SELECT p.*, c.identificacion AS cli_identificacion, c.nombres AS cli_nombres,
+                     c.apellidos AS cli_apellidos, c.correo AS cli_correo
+              FROM pend p JOIN cidx c ON p.id_cliente = c.cid),
+  rej_match AS (SELECT {KEY}, 'match' AS stage, 'client_not_found' AS reason FROM pend p
+                WHERE NOT EXISTS (SELECT 1 FROM cidx c WHERE c.cid = p.id_cliente)),
+  cf AS (SELECT c.cid AS id_cliente, {clean_id('c.identificacion')} AS ident,
+                {NOMBRES0} AS n0, {APELLIDOS0} AS a0, {TOKENS} AS toks,
+                {digits(clean_text('c.telefono'))} AS phone, {clean_text('c.correo')} AS email,
+                {zfill(digits(clean_text('c.codigo_departamento')), 2)} AS state_code,
+                {zfill(digits(clean_text('c.codigo_ciudad')), 5)} AS city_code,
+                CASE WHEN {clean_text('c.direccion')} = '' THEN 'No especificado' ELSE {clean_text('c.direccion')} END
+                  AS address
+         FROM cidx c
+         WHERE c.cid IN (SELECT id_cliente FROM matched)
+           AND c.cid NOT IN (SELECT {clean_id('identificacion')} FROM known_customers)),
+  cf2 AS (SELECT *,
+                 CASE WHEN a0 = '' AND len(toks) >= 2 THEN array_to_string(toks[1:len(toks) - 1], ' ')
+                      WHEN a0 = '' AND len(toks) = 1 THEN toks[1] ELSE n0 END AS first_name,
+                 CASE WHEN a0 = '' AND len(toks) >= 2 THEN toks[len(toks)]
+                      WHEN a0 = '' AND len(toks) = 1 THEN toks[1] ELSE a0 END AS last_name
+          FROM cf),
+  cust AS (SELECT id_cliente,
+                  CASE WHEN ident = '' THEN 'empty_id' WHEN first_name = '' THEN 'empty_names'
+                       WHEN last_name = '' THEN 'empty_surnames' WHEN phone = '' THEN 'empty_phone'
+                       WHEN email = '' THEN 'empty_email'
+                       WHEN state_code IN ('00', '0') OR city_code IN ('00000', '0') THEN 'invalid_code' END AS reason,
+                  json_object('type', 'Customer', 'person_type', 'Person', 'id_type', '13', 'identification', ident,
+                              'name', json_array(first_name, last_name),
+                              'address', json_object('address', address,
+                                                     'city', json_object('country_code', 'CO', 'state_code', state_code,
+                                                                         'city_code', city_code)),
+                              'phones', json_array(json_object('number', phone)),
+                              'contacts', json_array(json_object('first_name', first_name, 'last_name', last_name,
+                                                                 'email', email))) AS js
+           FROM cf2),
+  customers AS (SELECT id_cliente, reason, CASE WHEN reason IS NULL THEN CAST(js AS VARCHAR) END AS payload FROM cust),
+  m1 AS (SELECT m.*, c.reason AS creason FROM matched m LEFT JOIN customers c
+           ON m.id_cliente = c.id_cliente AND c.reason IS NOT NULL),
+  rej_cust AS (SELECT {KEY}, 'customer' AS stage, creason AS reason FROM m1 WHERE creason IS NOT NULL),
+  m2 AS (SELECT m1.* EXCLUDE (creason), n.text AS note FROM m1 LEFT JOIN notes n ON m1.casillero = n.code
+         WHERE creason IS NULL),
+  rej_note AS (SELECT {KEY}, 'invoice' AS stage, 'no_note' AS reason FROM m2 WHERE note IS NULL),
+  sp AS (SELECT *, CAST(round(coalesce(CASE WHEN isfinite(CAST(monto AS DOUBLE)) THEN CAST(monto AS DOUBLE) END, 0) * 100)
+                        AS BIGINT) AS cents
+         FROM m2 WHERE note IS NOT NULL),
+  sp2 AS (SELECT *, CASE WHEN cents > 0 THEN (cents * 2000 + 1015) // 2030 ELSE 0 END AS g,
+                    CASE WHEN cents > 0 THEN (cents * 3000 + 120785) // 241570 ELSE 0 END AS s,
+                    CASE WHEN cents > 0 THEN (cents * 570 + 120785) // 241570 ELSE 0 END AS v
+          FROM sp),
+  rej_zero AS (SELECT {KEY}, 'invoice' AS stage, 'zero_total' AS reason FROM sp2 WHERE cents <= 0),
+  valid AS (SELECT *, row_number() OVER (ORDER BY casillero, source_file, id_ingreso) AS k FROM sp2 WHERE cents > 0),
+  st AS (SELECT coalesce(max(try_cast(trim(CASE WHEN consecutive IS NULL OR trim(consecutive) = '' THEN number
+                                                 ELSE consecutive END) AS BIGINT)), 0) + 1 AS start
+         FROM invoice_register),
+  reserved AS (SELECT DISTINCT try_cast(trim(factura) AS BIGINT) AS number FROM movements
+               WHERE try_cast(trim(factura) AS BIGINT) IS NOT NULL),
+  free AS (SELECT number, row_number() OVER (ORDER BY number) AS k
+           FROM (SELECT t.range AS number FROM range(1, 250000) t) r
+           WHERE number >= (SELECT start FROM st) AND number NOT IN (SELECT number FROM reserved)),
+  inv AS (SELECT v1.*, f.number FROM valid v1 JOIN free f ON v1.k = f.k),
+  rej_limit AS (SELECT {KEY}, 'number' AS stage, 'limit_reached' AS reason FROM valid
+                WHERE k > (SELECT count(*) FROM free)),
+  invoices AS (SELECT casillero, source_file, id_ingreso, id_cliente, number,
+                      CAST(CAST(monto AS DOUBLE) AS DECIMAL(38,2)) AS total_charged,
+                      {_money('g')} AS gn1, {_money('s')} AS sr02, {_money('v')} AS iva, {_money('g + s + v')} AS invoice_total,
+                      note,
+                      CAST(json_object('document', json_object('id', 1), 'date', '2024-01-31', 'number', number,
+                        'customer', json_object('identification', id_cliente),
+                        'stamp', json_object('send', false), 'mail', json_object('send', false), 'seller', 2,
+                        'items', json_array(
+                           json_object('code', 'GN1', 'quantity', 1, 'price', CAST({_money('g')} AS DOUBLE),
+                                       'taxes', json_array(), 'customer', json_object('identification', '000000001')),
+                           json_object('code', 'SR02', 'quantity', 1, 'price', CAST({_money('s')} AS DOUBLE),
+                                       'taxes', json_array(json_object('id', 4)))),
+                        'payments', json_array(json_object('id', 3, 'value', CAST({_money('g + s + v')} AS DOUBLE),
+                                                           'due_date', '2024-01-31')),
+                        'observations', note, 'additional_fields', json_object()) AS VARCHAR) AS payload
+               FROM inv),
+  rejects AS (SELECT * FROM rej_match UNION ALL SELECT * FROM rej_cust UNION ALL SELECT * FROM rej_note
+              UNION ALL SELECT * FROM rej_zero UNION ALL SELECT * FROM rej_limit)
+"""
+VIEWS = ["movements", "clients", "known_customers", "notes", "invoice_register"]
+
+
+def billing_sql(select: str, extra_views=()) -> str:
+    return with_views(VIEWS + list(extra_views), BILLING_BODY + select)
+
+
+@query("billing_pending", with_views(["movements"], BILLING_BODY.split("  cidx AS")[0].rstrip().rstrip(",") +
+                                     "\nSELECT * FROM pend"))
+def q_billing_pending(spark, sf):
+    return B.pending(A.load(spark, sf, "movements"))
+
+
+@query("client_match", billing_sql(f"SELECT {KEY}, id_cliente, cli_identificacion, cli_nombres, cli_apellidos, "
+                                   "cli_correo FROM matched"))
+def q_client_match(spark, sf):
+    m, _ = B.match_clients(B.pending(A.load(spark, sf, "movements")), A.load(spark, sf, "clients"))
+    return m.select(*B.MOVEMENT_KEY, "id_cliente", "cli_identificacion", "cli_nombres", "cli_apellidos",
+                    "cli_correo")
+
+
+@query("customer_payload", billing_sql("SELECT * FROM customers"))
+def q_customer_payload(spark, sf):
+    return _run(spark, sf).new_customers
+
+
+@query("invoice_split", with_views(["movements"], f"""
+, sp AS (SELECT {KEY}, monto, CAST(round(coalesce(CASE WHEN isfinite(CAST(monto AS DOUBLE)) THEN CAST(monto AS DOUBLE) END, 0)
+                                         * 100) AS BIGINT) AS cents FROM movements),
+  sp2 AS (SELECT *, CASE WHEN cents > 0 THEN (cents * 2000 + 1015) // 2030 ELSE 0 END AS g,
+                    CASE WHEN cents > 0 THEN (cents * 3000 + 120785) // 241570 ELSE 0 END AS s,
+                    CASE WHEN cents > 0 THEN (cents * 570 + 120785) // 241570 ELSE 0 END AS v FROM sp)
+SELECT {KEY}, CAST(coalesce(CAST(monto AS DOUBLE), 0) AS DECIMAL(38,2)) AS total_charged,
+       {_money('g')} AS gn1, {_money('s')} AS sr02, {_money('v')} AS iva, {_money('g + s + v')} AS invoice_total,
+       cents <= 0 AS zero_total
+FROM sp2"""))
+def q_invoice_split(spark, sf):
+    return B.with_split(A.load(spark, sf, "movements")).select(
+        *B.MOVEMENT_KEY, "total_charged", "gn1", "sr02", "iva", "invoice_total", "zero_total")
+
+
+@query("invoice_numbers", billing_sql(f"SELECT {KEY}, number FROM invoices"))
+def q_invoice_numbers(spark, sf):
+    return _run(spark, sf).invoices.select(*B.MOVEMENT_KEY, "number")
+
+
+@query("invoice_payload", billing_sql(f"SELECT {KEY}, number, payload FROM invoices"))
+def q_invoice_payload(spark, sf):
+    return _run(spark, sf).invoices.select(*B.MOVEMENT_KEY, "number", "payload")
+
+
+@query("billing_run", billing_sql("SELECT * FROM invoices"))
+def q_billing_run(spark, sf):
+    return _run(spark, sf).invoices
+
+
+@query("billing_rejects", billing_sql("SELECT * FROM rejects"))
+def q_billing_rejects(spark, sf):
+    return _run(spark, sf).rejects
+
+
+@query("billing_summary", billing_sql("""
+, tagged AS (SELECT casillero, 'read' AS k FROM movements UNION ALL SELECT casillero, 'pending' FROM pend
+             UNION ALL SELECT casillero, 'issued' FROM invoices UNION ALL SELECT casillero, 'failed' FROM rejects)
+SELECT casillero, count(*) FILTER (WHERE k = 'read') AS n_read, count(*) FILTER (WHERE k = 'pending') AS n_pending,
+       count(*) FILTER (WHERE k = 'issued') AS n_issued, count(*) FILTER (WHERE k = 'failed') AS n_failed
+FROM tagged GROUP BY casillero"""))
+def q_billing_summary(spark, sf):
+    return _run(spark, sf).summary
+
+
+@query("invoice_writeback", billing_sql("""
+, nums AS (SELECT trim(id_ingreso) AS k, max(CAST(number AS VARCHAR)) AS num FROM invoices GROUP BY trim(id_ingreso))
+SELECT m.* REPLACE (coalesce(n.num, m.factura) AS factura) FROM movements m LEFT JOIN nums n ON trim(m.id_ingreso) = n.k"""))
+def q_invoice_writeback(spark, sf):
+    return B.writeback(A.load(spark, sf, "movements"), _run(spark, sf).invoices)
+
+
+@query("reply_triage", with_views(["reply_log"], """
+SELECT id_ingreso, attempt, reply,
+       CASE WHEN lower(trim(coalesce(reply, ''))) = 'ok' THEN 'ok'
+            WHEN contains(coalesce(reply, ''), 'invalid_total_payments') THEN 'total_mismatch'
+            WHEN contains(coalesce(reply, ''), 'already_exists') OR contains(coalesce(reply, ''), 'number already exists')
+                 THEN 'duplicate_number'
+            WHEN contains(coalesce(reply, ''), 'requests_limit') OR contains(coalesce(reply, ''), 'Rate limit')
+                 THEN 'rate_limit'
+            WHEN contains(coalesce(reply, ''), 'product_service') THEN 'service_down'
+            ELSE 'error' END AS category,
+       CASE WHEN contains(coalesce(reply, ''), 'invalid_total_payments') AND lower(trim(coalesce(reply, ''))) <> 'ok'
+            THEN try_cast(nullif(regexp_extract(reply, 'calculated is\\s*([0-9]+(?:\\.[0-9]+)?)', 1), '')
+                          AS DECIMAL(38,2)) END AS expected_total
+FROM reply_log"""))
+def q_reply_triage(spark, sf):
+    return B.reply_triage(A.load(spark, sf, "reply_log"))
