@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.numbers import MONEY_SUM, safe_money, sign_label
 from ledgerloom.functions.text import NULL_WORDS, utrim
 
-ZERO = F.lit(0).cast(MONEY_SUM)
+
+def _zero():
+    return F.lit(0).cast(MONEY_SUM)
 
 
 def folded(c) -> F.Column:
@@ -79,9 +81,9 @@ def live_balance(ledger: DataFrame, requests: DataFrame) -> DataFrame:
                  F.sum(F.when(F.col("side") == "out", F.col("amount"))).alias("pending_out"),
                  F.count_if(F.col("amount").isNull()).alias("bad_amounts")))
     j = tot.join(pend, "casillero", "full_outer")
-    base = F.coalesce(F.col("base_total"), ZERO)
-    pin = F.coalesce(F.col("pending_in"), ZERO).cast(MONEY_SUM)
-    pout = F.coalesce(F.col("pending_out"), ZERO).cast(MONEY_SUM)
+    base = F.coalesce(F.col("base_total"), _zero())
+    pin = F.coalesce(F.col("pending_in"), _zero()).cast(MONEY_SUM)
+    pout = F.coalesce(F.col("pending_out"), _zero()).cast(MONEY_SUM)
     live = (base + pin - pout).cast(MONEY_SUM)
     return j.select(
         "casillero",

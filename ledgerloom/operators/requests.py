@@ -27,7 +27,8 @@ WITHDRAWAL_TYPE = "Retiro"
 EMPTY_RECEIPTS = "[]"
 # ---------------------------------------------------------------------------
 
-ZERO = F.lit(0).cast(MONEY_SUM)
+def _zero():
+    return F.lit(0).cast(MONEY_SUM)
 
 
 def folded_status(c="estado"):
@@ -54,7 +55,7 @@ def with_receipts(requests: DataFrame) -> DataFrame:
 
 def paid_amount(receipts_col="receipts"):
     """Sum of receipt amounts (unreadable amount counts 0), no explode."""
-    return F.aggregate(F.col(receipts_col), ZERO,
+    return F.aggregate(F.col(receipts_col), _zero(),
                        lambda acc, x: (acc + F.coalesce(safe_money(x["monto"]), F.lit(0).cast(MONEY)))
                        .cast(MONEY_SUM))
 
@@ -122,10 +123,10 @@ def withdrawals(requests: DataFrame, accounts: DataFrame | None = None) -> DataF
                  "id", "id_retiro", "descripcion", safe_money("monto").cast(MONEY_SUM).alias("monto"),
                  "comision_pct", safe_money("egreso_retiro").cast(MONEY_SUM).alias("egreso_retiro"), "estado"))
     st = folded_status()
-    eg = F.coalesce(F.col("egreso_retiro"), ZERO)
+    eg = F.coalesce(F.col("egreso_retiro"), _zero())
     sums = (w.groupBy("retira")
-            .agg(F.sum(F.when(st == STATUS_APPROVED, eg).otherwise(ZERO)).cast(MONEY_SUM).alias("egreso_confirmado"),
-                 F.sum(F.when(st.isin(CHARGE_PENDING_STATUSES), eg).otherwise(ZERO)).cast(MONEY_SUM)
+            .agg(F.sum(F.when(st == STATUS_APPROVED, eg).otherwise(_zero())).cast(MONEY_SUM).alias("egreso_confirmado"),
+                 F.sum(F.when(st.isin(CHARGE_PENDING_STATUSES), eg).otherwise(_zero())).cast(MONEY_SUM)
                  .alias("egreso_pendiente")))
     out = w.join(sums, "retira")
     if accounts is not None:

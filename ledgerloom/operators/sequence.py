@@ -23,9 +23,10 @@ def _cols(cs) -> list[Column]:
 
 def ranked_within(df: DataFrame, group_cols: list[str], order_cols: list, value_col: str | None = None,
                   rank_col: str = "seq", running_col: str = "running",
-                  num_partitions: int | None = None) -> DataFrame:
-    """Add ``rank_col`` (1, 2, ... within each group, in order) and, when
-    ``value_col`` is given, ``running_col`` (inclusive running sum).
+                  num_partitions: int | None = None, value_cols: list[str] | None = None) -> DataFrame:
+    """Add ``rank_col`` (1, 2, ... within each group, in order) and running
+    sums: ``running_col`` for ``value_col`` and ``running_<c>`` for each of
+    ``value_cols`` (inclusive of the current row).
 
     ``order_cols`` must order rows totally within a group (add a unique id
     as last key); then the result is deterministic, also on task retries.
@@ -37,6 +38,11 @@ def ranked_within(df: DataFrame, group_cols: list[str], order_cols: list, value_
     gkey = g if g else ["_g"]
     base = df if g else df.withColumn("_g", F.lit(0))
     order = _cols(order_cols)
+    sums = {}
+    if value_col:
+        sums[value_col] = running_col
+    for c in value_cols or []:
+        sums[c] = f"running_{c}"
 
     # The partition id must be the same in every branch that reads it, and
     # stay the same if a task is retried: materialise it once with a
@@ -48,31 +54,30 @@ def ranked_within(df: DataFrame, group_cols: list[str], order_cols: list, value_
 
     # numbering inside one (partition, group) slice: bounded by partition size
     w_local = Window.partitionBy("_pid", *gkey).orderBy(*order)
+    w_run = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumn("_lrank", F.row_number().over(w_local))
-    if value_col:
-        local = local.withColumn("_lsum", F.sum(value_col).over(
-            w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    for i, c in enumerate(sums):
+        local = local.withColumn(f"_lsum{i}", F.sum(c).over(w_run))
 
-    # slice sizes and their prefix over partitions of the same group
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    if value_col:
-        aggs.append(F.sum(value_col).alias("_s"))
+    # slice sizes and their prefix over partitions of the same group; this
+    # window sees at most one row per partition for a group
+    aggs = [F.count(F.lit(1)).alias("_n")] + [F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums)]
     sizes = ranged.groupBy("_pid", *gkey).agg(*aggs)
     w_off = Window.partitionBy(*gkey).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.withColumn("_noff", F.coalesce(F.sum("_n").over(w_off), F.lit(0)))
     keep = ["_pid", *gkey, "_noff"]
-    if value_col:
-        offs = offs.withColumn("_soff", F.sum("_s").over(w_off))
-        keep.append("_soff")
+    for i, _ in enumerate(sums):
+        offs = offs.withColumn(f"_soff{i}", F.sum(f"_s{i}").over(w_off))
+        keep.append(f"_soff{i}")
     offs = offs.select(*keep)
 
     out = local.join(offs, ["_pid", *gkey])
     out = out.withColumn(rank_col, (F.col("_noff") + F.col("_lrank")).cast("bigint"))
     drop = ["_pid", "_lrank", "_noff"]
-    if value_col:
-        zero = F.lit(0).cast(df.schema[value_col].dataType)
-        out = out.withColumn(running_col, F.coalesce(F.col("_soff"), zero) + F.coalesce(F.col("_lsum"), zero))
-        drop += ["_lsum", "_soff"]
+    for i, (c, name) in enumerate(sums.items()):
+        zero = F.lit(0).cast(df.schema[c].dataType)
+        out = out.withColumn(name, F.coalesce(F.col(f"_soff{i}"), zero) + F.coalesce(F.col(f"_lsum{i}"), zero))
+        drop += [f"_lsum{i}", f"_soff{i}"]
     if not g:
         drop.append("_g")
     return out.drop(*drop)
