@@ -22,6 +22,8 @@ INVOICE_AMOUNT_COLUMNS = ["monto_cop_compact", "monto_cop", "monto_cop_upper", "
 RATE_SPREAD = 100
 # Years pandas can represent; outside them a parsed date is "not a date".
 MIN_YEAR, MAX_YEAR = 1677, 2262
+# Necessary shape of an 8-digit day-first date (day 01-31, month 01-12).
+DAY_FIRST_SHAPE = r"^(0[1-9]|[12][0-9]|3[01])(0[1-9]|1[0-2])[0-9]{4}$"
 # ---------------------------------------------------------------------------
 
 MONEY = "decimal(18,2)"
@@ -69,7 +71,10 @@ def day_first_text(c) -> Column:
 
     s = utrim(c)
     s8 = zfill(digits_only(s), 8)
-    ts = F.try_to_timestamp(s8, F.lit("ddMMyyyy"))
+    # only text shaped like ddMMyyyy reaches the parser (most invalid input
+    # never pays for a failed parse)
+    shaped = s8.rlike(DAY_FIRST_SHAPE)
+    ts = F.when(shaped, F.try_to_timestamp(s8, F.lit("ddMMyyyy")))
     ok = ts.isNotNull() & in_pandas_range(ts)
     return F.when(ok, F.date_format(ts, "dd-MM-yyyy")).otherwise(s)
 

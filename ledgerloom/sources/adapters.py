@@ -298,7 +298,37 @@ def register_tables(spark: SparkSession, sf_dir: str, tables) -> dict[str, str]:
     return names
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+# Domain tables already written to storage: (folder, adapter) -> path.
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Run one adapter in Spark over the parquet tables of ``sf_dir``."""
     sql = ADAPTERS[name]
     return spark.sql(bind(sql, register_tables(spark, sf_dir, tables_of(sql))))
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A domain table: the stored copy when ``store`` wrote one, else the
+    adapter derived on the fly from the driver tables."""
+    path = _STORED.get((sf_dir.rstrip("/"), name))
+    if path:
+        return spark.read.parquet(path)
+    return derive(spark, sf_dir, name)
+
+
+def store(spark: SparkSession, sf_dir: str, names=None, files: int | None = None) -> dict[str, str]:
+    """Write adapters as parquet tables (``files`` files each, so scans run
+    in parallel) under the shared checkpoint folder, and read them from
+    there afterwards.  This is the production shape: operators read stored
+    domain tables; the adapters only synthesise them from the driver data.
+    """
+    from ledgerloom.sources.sinks import scratch_path, tag
+    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = {}
+    for name in names or list(ADAPTERS):
+        path = scratch_path(spark, "tables", tag(sf_dir.rstrip("/")), name)
+        derive(spark, sf_dir, name).repartition(n).write.mode("overwrite").parquet(path)
+        _STORED[(sf_dir.rstrip("/"), name)] = path
+        out[name] = path
+    return out

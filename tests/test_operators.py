@@ -144,6 +144,7 @@ def test_client_lookup_raw_or_normalised(spark):
 def test_customer_name_split(spark):
     df = spark.createDataFrame([("1", "Ana Maria Paz", None), ("2", "Luis", " nan "), ("3", "A B", "C")],
                                "identificacion string, nombres string, apellidos string")
+    df = billing.with_customer_fields(df)
     f = billing.customer_fields()
     got = {r.i: (r.n, r.a) for r in df.select(f["identification"].alias("i"), f["first_name"].alias("n"),
                                                 f["last_name"].alias("a")).collect()}
