@@ -112,7 +112,8 @@ def client_validation(forms: DataFrame, clients: DataFrame) -> DataFrame:
         m = F.col(c).isNull() | (utrim(F.col(c).cast("string")) == "")
         missing = m if missing is None else (missing | m)
     raw_keys = clients.select(utrim("identificacion").alias("_k")).distinct()
-    norm_keys = clients.select(utrim("id_norm").alias("_k")).distinct()
+    norm = utrim("id_norm") if "id_norm" in clients.columns else norm_id("identificacion")
+    norm_keys = clients.select(norm.alias("_k")).distinct()
     f = (forms.withColumn("_raw", utrim("identificacion")).withColumn("_norm", norm_id("identificacion")))
     f = (f.join(raw_keys.withColumn("_hit_raw", F.lit(True)), f["_raw"] == raw_keys["_k"], "left").drop("_k")
          .join(norm_keys.withColumn("_hit_norm", F.lit(True)), F.col("_norm") == norm_keys["_k"], "left").drop("_k"))
@@ -190,3 +191,13 @@ def assignment_apply(movements: DataFrame, edits: DataFrame, clients: DataFrame)
     return (j.withColumn("applied", F.col("_apply").isNotNull())
             .withColumn("id_cliente", F.when(F.col("applied"), F.col("_apply")).otherwise(F.col("id_cliente")))
             .drop("_apply"))
+
+
+def append_clients(clients: DataFrame, forms: DataFrame) -> DataFrame:
+    """Valid new-client forms appended to the client table (trimmed values),
+    then cleaned like the rest; invalid forms are returned by
+    ``client_validation`` with their reason."""
+    ok = client_validation(forms, clients).filter(F.col("reason").isNull())
+    new = ok.select(*[utrim(F.col(c).cast("string")).alias(c) for c in REQUIRED])
+    base = clients.select(*[F.col(c) for c in REQUIRED if c in clients.columns])
+    return clients_clean(base.unionByName(new, allowMissingColumns=True))

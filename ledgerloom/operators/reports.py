@@ -99,7 +99,7 @@ def display(df: DataFrame, date_cols=("fecha",), money_cols=("monto",)) -> DataF
     return out
 
 
-def balance_series(ledger: DataFrame, start=None, days: int = SERIES_DAYS) -> DataFrame:
+def balance_series(ledger: DataFrame, start=None, days: int = SERIES_DAYS, ordered: bool = True) -> DataFrame:
     """Total rows of each account's ``days`` most recent distinct load days.
 
     Distinct days per account are few (one per calendar day), so the ranking
@@ -113,8 +113,11 @@ def balance_series(ledger: DataFrame, start=None, days: int = SERIES_DAYS) -> Da
                   Window.partitionBy("casillero").orderBy(F.col("dia").desc())))
               .filter(F.col("rk") <= days).drop("rk"))
     out = tot.join(ranked, ["casillero", "dia"], "left_semi")
-    return out.select("casillero", "fecha_carga", F.col("monto").cast(MONEY_SUM).alias("monto"),
-                      sign_label("monto").alias("sign"))
+    out = out.select("casillero", "fecha_carga", F.col("monto").cast(MONEY_SUM).alias("monto"),
+                     sign_label("monto").alias("sign"))
+    # ascending for the series (at most `days` days per account)
+    return out.sortWithinPartitions("casillero", "fecha_carga") if not ordered else \
+        out.orderBy("casillero", "fecha_carga", "monto")
 
 
 def trailing_week(ledger: DataFrame, tipo: str, start=None) -> DataFrame:

@@ -18,6 +18,10 @@ def test_no_cartesian_or_python_udf(spark, key):
     assert "CartesianProduct" not in txt
     assert "BatchEvalPython" not in txt and "ArrowEvalPython" not in txt
     assert "BroadcastNestedLoopJoin" not in txt
+    # every window has a partition key (no single-partition window)
+    for line in txt.splitlines():
+        if line.strip().lstrip("+-: ").startswith("Window ["):
+            assert "], [], [" not in line, line
 
 
 def test_scan_prunes_columns_and_pushes_filters(spark):
