@@ -51,10 +51,11 @@ def safe_money(c) -> Column:
 
 
 def safe_timestamp(c, fmt: str | None = None) -> Column:
+    """Wall-clock timestamp (no zone) or null when the text is no date."""
     s = _c(c)
     if fmt is None:
-        return s.cast("string").try_cast("timestamp")
-    return F.try_to_timestamp(s.cast("string"), F.lit(fmt))
+        return s.cast("string").try_cast("timestamp_ntz")
+    return F.try_to_timestamp(s.cast("string"), F.lit(fmt)).cast("timestamp_ntz")
 
 
 def in_pandas_range(ts: Column) -> Column:

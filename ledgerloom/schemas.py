@@ -2,7 +2,9 @@
 
 from pyspark.sql import types as T
 
-S, D, TS, B, DBL = T.StringType(), T.DecimalType(18, 2), T.TimestampType(), T.BooleanType(), T.DoubleType()
+# Wall-clock timestamps without zone (as in the source sheets and the SQL
+# oracle's TIMESTAMP); all day arithmetic runs in the session zone (UTC).
+S, D, TS, B, DBL = T.StringType(), T.DecimalType(18, 2), T.TimestampNTZType(), T.BooleanType(), T.DoubleType()
 
 
 def _st(*fields):
