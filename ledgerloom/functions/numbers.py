@@ -63,21 +63,29 @@ def in_pandas_range(ts: Column) -> Column:
     return (y >= MIN_YEAR) & (y <= MAX_YEAR)
 
 
-def day_first_text(c) -> Column:
-    """System date text: digits padded to 8 and read day-first.
-
-    Success gives 'dd-MM-yyyy'; anything else keeps the trimmed original.
-    """
+def day_first_parse(c) -> Column:
+    """Timestamp of system-date text read day-first (digits padded to 8),
+    null when it is no date or outside the years pandas can hold."""
     from ledgerloom.functions.text import digits_only, utrim, zfill
 
-    s = utrim(c)
-    s8 = zfill(digits_only(s), 8)
+    s8 = zfill(digits_only(utrim(c)), 8)
     # only text shaped like ddMMyyyy reaches the parser (most invalid input
     # never pays for a failed parse)
-    shaped = s8.rlike(DAY_FIRST_SHAPE)
-    ts = F.when(shaped, F.try_to_timestamp(s8, F.lit("ddMMyyyy")))
-    ok = ts.isNotNull() & in_pandas_range(ts)
-    return F.when(ok, F.date_format(ts, "dd-MM-yyyy")).otherwise(s)
+    ts = F.when(s8.rlike(DAY_FIRST_SHAPE), F.try_to_timestamp(s8, F.lit("ddMMyyyy")))
+    return F.when(in_pandas_range(ts), ts)
+
+
+def day_first_format(parsed: Column, original) -> Column:
+    """'dd-MM-yyyy' of a parsed system date, else the trimmed original."""
+    from ledgerloom.functions.text import utrim
+    return F.when(parsed.isNotNull(), F.date_format(parsed, "dd-MM-yyyy")).otherwise(utrim(original))
+
+
+def day_first_text(c) -> Column:
+    """System date text: 'dd-MM-yyyy' where it reads day-first, else the
+    trimmed original.  (Column form; ``readers.normalise_sysdate`` computes
+    the parse once as a column instead of three times.)"""
+    return day_first_format(day_first_parse(c), c)
 
 
 def withdrawal_charge(amount, pct) -> Column:
