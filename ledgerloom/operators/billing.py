@@ -282,6 +282,9 @@ def billing_run(movements: DataFrame, clients: DataFrame, known_customers: DataF
         rej_zero = m.filter(F.col("zero_total")).select(*MOVEMENT_KEY, F.lit("invoice").alias("stage"),
                                                         F.lit("zero_total").alias("reason"))
         m = m.filter(~F.col("zero_total"))
+    # the range sampling of the numbering reads its input once more: keep
+    # the (already reduced) valid rows instead of recomputing them
+    m = materialise(m, materialize)
     numbered, rej_limit = assign_numbers(m, register, reserved, cfg.number_limit)
     invoices = numbered.select(*MOVEMENT_KEY, "id_cliente", "number", "total_charged", "gn1", "sr02", "iva",
                                "invoice_total", "note", invoice_payload_json(cfg).alias("payload"))

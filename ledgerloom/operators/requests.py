@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom import schemas
 from ledgerloom.functions.numbers import MONEY, MONEY_SUM, remaining, safe_money, withdrawal_charge
 from ledgerloom.functions.text import NULL_WORDS, safe_file_name, trailing_number, utrim
-from ledgerloom.operators.sequence import ranked_within
+from ledgerloom.operators.sequence import materialise, ranked_within
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for the same results.
@@ -182,7 +182,7 @@ def new_request_rows(requests: DataFrame, forms: DataFrame, today) -> DataFrame:
     get 'retiroN' per withdrawing account over all accounts); ranks come from
     the skew-safe sequence operator, not a per-account window.
     """
-    ok = validate_forms(forms).filter(F.col("reason").isNull()).drop("reason")
+    ok = materialise(validate_forms(forms).filter(F.col("reason").isNull()).drop("reason"))
     nxt = next_ids(requests).select(
         "casillero",
         (F.regexp_extract("next_request_id", r"(\d+)$", 1).cast("bigint")).alias("_req0"),
