@@ -87,8 +87,14 @@ def request_balance(requests: DataFrame, statuses=REVIEW_STATUSES) -> DataFrame:
 def append_receipt(requests: DataFrame, new_receipts: DataFrame) -> DataFrame:
     """Add receipts (casillero, id, ruta, banco, monto, fecha, cuenta, referencia)
     to their requests' lists and re-encode the JSON text; the paid amount is
-    recomputed.  New receipts are grouped per request first, so a request
-    with many new receipts is one aggregate, not a loop.
+    recomputed.
+
+    This writes the legacy format where one request cell holds its whole
+    receipt list, so the new receipts of a request meet in one row (a
+    partially aggregated ``collect_list``; the cell is as long as that one
+    request's receipt list, which is the format itself).  The scalable form
+    is the exploded receipt table (``receipts_explode``, settlement), which
+    never gathers a request.
     """
     fields = [f.name for f in schemas.RECEIPT.fields]
     add = (new_receipts
