@@ -15,15 +15,19 @@ def machine_run(events_pdf):
     out = {}
     for ev in events_pdf.sort_values(["arrival", "event_id"]).to_dict("records"):
         m = ms[ev["casillero"]]
-        v = m.step(ev)
-        r = m.reqs[ev["id"]]
+        v, r = m.step(ev)
         out[int(ev["event_id"])] = (v, r["status"], f"{r['paid']:.2f}")
     return out
 
 
-def test_stream_equals_machine_with_decisions(spark):
+import pytest  # noqa: E402
+
+
+@pytest.mark.parametrize("engine", ["map_state", "value_state"])
+def test_stream_equals_machine_with_decisions(spark, engine):
     ev = settlement_events(A.load(spark, SF_SMALL, "receipts"), with_decisions=True)
-    got = {r.event_id: (r.verdict, r.status, r.paid) for r in run_settlement_stream(spark, ev, chunks=3).collect()}
+    got = {r.event_id: (r.verdict, r.status, r.paid)
+           for r in run_settlement_stream(spark, ev, chunks=3, engine=engine).collect()}
     exp = machine_run(ev.toPandas())
     assert got == exp
     assert any(v[0] == "decision" for v in got.values())
