@@ -32,16 +32,39 @@ def for_export(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=("casillero",),
-                mode: str = "overwrite") -> None:
-    """Write a table partitioned by account.
+ACCOUNT_BUCKETS = 64
+BUCKET_COL = "casillero_bucket"
 
-    With ``partitionOverwriteMode=dynamic`` (session default) an overwrite
-    replaces only the accounts present in ``df``.  The data is clustered by
-    the partition columns first so each task writes few files.
+
+def account_bucket(col: str = "casillero", buckets: int = ACCOUNT_BUCKETS):
+    """Folder of an account: a bounded hash bucket, never one folder per
+    account (accounts grow with the data; folders must not)."""
+    return F.pmod(F.xxhash64(F.col(col)), F.lit(buckets)).cast("int")
+
+
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None,
+                mode: str = "overwrite", buckets: int | None = ACCOUNT_BUCKETS) -> None:
+    """Write a table clustered by account.
+
+    Default layout: ``casillero_bucket=<k>/`` folders (``buckets`` of them)
+    with rows range-partitioned and sorted by (bucket, account), so each
+    task writes few files, a hot account spans several tasks, and readers
+    prune by folder and by row-group statistics on ``casillero``.  With
+    ``partitionOverwriteMode=dynamic`` (session default) an overwrite
+    replaces only the buckets present in ``df``.  ``partition_by`` names
+    explicit partition columns instead; ``buckets=None`` and no
+    ``partition_by`` writes a flat table.
     """
     parts = [p for p in (partition_by or []) if p in df.columns]
-    out = df.repartition(*[F.col(p) for p in parts]) if parts else df
+    out = df
+    if not parts and buckets and "casillero" in df.columns:
+        out = out.withColumn(BUCKET_COL, account_bucket("casillero", buckets))
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        out = (out.repartitionByRange(n, F.col(BUCKET_COL), F.col("casillero"))
+               .sortWithinPartitions(BUCKET_COL, "casillero"))
+        parts = [BUCKET_COL]
+    elif parts:
+        out = out.repartition(*[F.col(p) for p in parts])
     w = out.write.mode(mode).format(fmt)
     if fmt == "csv":
         w = w.option("header", "true")
@@ -50,11 +73,28 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=("c
     w.save(path)
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
-    r = spark.read.schema(schema).format(fmt)
+def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
+               accounts=None) -> DataFrame:
+    """Read a table written by ``write_table`` with its schema (the bucket
+    column is dropped).  ``accounts``: only those accounts, pruned to their
+    bucket folders before any file is opened."""
+    full = T.StructType(list(schema.fields) + [T.StructField(BUCKET_COL, T.IntegerType())])
+    r = spark.read.schema(full).format(fmt)
     if fmt == "csv":
         r = r.option("header", "true")
-    return r.load(path)
+    df = r.load(path)
+    if accounts is not None:
+        accts = list(accounts)
+        df = df.filter(F.col(BUCKET_COL).isin(sorted({bucket_of(a) for a in accts}))
+                       & F.col("casillero").isin(accts))
+    return df.drop(BUCKET_COL)
+
+
+def bucket_of(acct: str, buckets: int = ACCOUNT_BUCKETS) -> int:
+    """Bucket of a literal account, computed like ``xxhash64`` (seed 42) so a
+    filter on the partition column prunes folders; no Spark job."""
+    import xxhash
+    return xxhash.xxh64_intdigest(str(acct).encode("utf-8"), seed=42) % buckets
 
 
 def export_report(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
@@ -84,7 +124,7 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(out)
 
 
-def replace_table(df: DataFrame, root: str, fmt: str = "parquet", partition_by=("casillero",)) -> str:
+def replace_table(df: DataFrame, root: str, fmt: str = "parquet", partition_by=None) -> str:
     """Whole-table rewrite without MERGE: write a new version folder, then
     readers switch to it (highest complete version).  A failed write leaves
     the previous version current; nothing is overwritten in place.
@@ -92,7 +132,8 @@ def replace_table(df: DataFrame, root: str, fmt: str = "parquet", partition_by=(
     spark = df.sparkSession
     v = (versions(spark, root) or [0])[-1] + 1
     path = f"{root.rstrip('/')}/_v{v}"
-    write_table(df, path, fmt=fmt, partition_by=partition_by, mode="errorifexists")
+    write_table(df, path, fmt=fmt, partition_by=partition_by, mode="errorifexists",
+                buckets=None if partition_by else ACCOUNT_BUCKETS)
     return path
 
 
@@ -105,7 +146,7 @@ def read_current(spark: SparkSession, root: str, schema: T.StructType, fmt: str
 
 def append_log(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Append rows (e.g. rejects) to a log table."""
-    write_table(df, path, fmt=fmt, partition_by=(), mode="append")
+    write_table(df, path, fmt=fmt, partition_by=(), mode="append", buckets=None)
 
 
 __all__ = ["scratch_path", "tag", "for_export", "write_table", "read_table", "export_report",

@@ -67,3 +67,20 @@ def test_append_clients(spark):
     valid = clients.client_validation(forms, clients.clients_clean(base)).filter(F.col("reason").isNull()).count()
     out = clients.append_clients(base, forms)
     assert out.count() == base.count() + valid
+
+
+def test_bucketed_layout_and_pruned_read(spark):
+    rep = reports.consolidated(A.load(spark, SF_SMALL, "ledger"))
+    path = f"{_root(spark)}/bucketed"
+    sinks.write_table(sinks.for_export(rep), path)
+    schema = sinks.for_export(rep).schema
+    accts = [r.casillero for r in rep.select("casillero").distinct().limit(3).collect()]
+    got = sinks.read_table(spark, path, schema, accounts=accts)
+    assert got.count() == rep.filter(F.col("casillero").isin(accts)).count()
+    # the literal bucket equals Spark's xxhash64-based bucket
+    exp = {r.c: r.b for r in spark.createDataFrame([(a,) for a in accts], "c string")
+           .select("c", sinks.account_bucket("c").alias("b")).collect()}
+    assert exp == {a: sinks.bucket_of(a) for a in accts}
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(casillero_bucket" in plan
