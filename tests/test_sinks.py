@@ -81,6 +81,6 @@ def test_bucketed_layout_and_pruned_read(spark):
     exp = {r.c: r.b for r in spark.createDataFrame([(a,) for a in accts], "c string")
            .select("c", sinks.account_bucket("c").alias("b")).collect()}
     assert exp == {a: sinks.bucket_of(a) for a in accts}
-    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(casillero_bucket" in plan
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+    scan = plan[plan.index("Scan parquet"):]
+    assert "PartitionFilters: [isnotnull(casillero_bucket" in scan
