@@ -83,4 +83,4 @@ def test_bucketed_layout_and_pruned_read(spark):
     assert exp == {a: sinks.bucket_of(a) for a in accts}
     plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
     scan = plan[plan.index("Scan parquet"):]
-    assert "PartitionFilters: [isnotnull(casillero_bucket" in scan
+    assert "PartitionFilters: [casillero_bucket" in scan and "PushedFilters: [In(casillero" in scan
