@@ -9,6 +9,7 @@ reject (id, stage, reason).  Output tables are the hand-over to a sender.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -250,50 +251,81 @@ def invoice_payload_json(cfg: BillingConfig):
     return F.to_json(payload, {"ignoreNullFields": "true"})
 
 
-@dataclass
 class BillingRun:
-    invoices: DataFrame
-    new_customers: DataFrame
-    rejects: DataFrame
-    summary: DataFrame
+    """One billing batch.  The four outputs (``invoices``, ``new_customers``,
+    ``rejects``, ``summary``) are built on first use, so a caller that needs
+    one table does not plan the others; shared stages (matched rows, valid
+    rows) are computed once for all of them."""
+
+    def __init__(self, movements: DataFrame, clients: DataFrame, known_customers: DataFrame, notes: DataFrame,
+                 register: DataFrame, cfg: BillingConfig, reserved: DataFrame | None = None,
+                 materialize: str = "persist"):
+        self.movements, self.clients, self.known, self.notes = movements, clients, known_customers, notes
+        self.register, self.cfg, self.reserved, self.how = register, cfg, reserved, materialize
+
+    @cached_property
+    def pending(self) -> DataFrame:
+        return pending(self.movements)
+
+    @cached_property
+    def _matched(self) -> tuple[DataFrame, DataFrame]:
+        matched, rej = match_clients(self.pending, self.clients)
+        # the matched rows feed every output: compute them once
+        return materialise(matched, self.how), rej
+
+    @cached_property
+    def new_customers(self) -> DataFrame:
+        return new_customers(self._matched[0], self.known)
+
+    @cached_property
+    def _stages(self) -> dict:
+        matched, rej_match = self._matched
+        bad = (self.new_customers.filter(F.col("reason").isNotNull())
+               .select("id_cliente", F.col("reason").alias("_creason")))
+        m = matched.join(bad, "id_cliente", "left")
+        rej_cust = m.filter(F.col("_creason").isNotNull()).select(
+            *MOVEMENT_KEY, F.lit("customer").alias("stage"), F.col("_creason").alias("reason"))
+        m = m.filter(F.col("_creason").isNull()).drop("_creason")
+        nt = self.notes.select(F.col("code").alias("casillero"), F.col("text").alias("note"))
+        m = m.join(nt, "casillero", "left")
+        rej_note = m.filter(F.col("note").isNull()).select(*MOVEMENT_KEY, F.lit("invoice").alias("stage"),
+                                                           F.lit("no_note").alias("reason"))
+        m = with_split(m.filter(F.col("note").isNotNull()), vat=self.cfg.vat_tax_id is not None)
+        rej_zero = None
+        if not self.cfg.allow_zero:
+            rej_zero = m.filter(F.col("zero_total")).select(*MOVEMENT_KEY, F.lit("invoice").alias("stage"),
+                                                            F.lit("zero_total").alias("reason"))
+            m = m.filter(~F.col("zero_total"))
+        # the range sampling of the numbering reads its input once more: keep
+        # the (already reduced) valid rows instead of recomputing them
+        m = materialise(m, self.how)
+        numbered, rej_limit = assign_numbers(m, self.register, self.reserved, self.cfg.number_limit)
+        return {"numbered": numbered, "rejects": [rej_match, rej_cust, rej_note, rej_zero, rej_limit]}
+
+    @cached_property
+    def invoices(self) -> DataFrame:
+        return self._stages["numbered"].select(
+            *MOVEMENT_KEY, "id_cliente", "number", "total_charged", "gn1", "sr02", "iva", "invoice_total", "note",
+            invoice_payload_json(self.cfg).alias("payload"))
+
+    @cached_property
+    def rejects(self) -> DataFrame:
+        parts = [r for r in self._stages["rejects"] if r is not None]
+        out = parts[0]
+        for r in parts[1:]:
+            out = out.unionByName(r)
+        return out
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return billing_summary(self.movements, self.pending, self.invoices, self.rejects)
 
 
 def billing_run(movements: DataFrame, clients: DataFrame, known_customers: DataFrame, notes: DataFrame,
                 register: DataFrame, cfg: BillingConfig, reserved: DataFrame | None = None,
                 materialize: str = "persist") -> BillingRun:
-    pend = pending(movements)
-    matched, rej_match = match_clients(pend, clients)
-    # the matched rows feed four outputs: compute them once
-    matched = materialise(matched, materialize)
-    cust = new_customers(matched, known_customers)
-    bad_cust = cust.filter(F.col("reason").isNotNull()).select("id_cliente", F.col("reason").alias("_creason"))
-    m = matched.join(bad_cust, "id_cliente", "left")
-    rej_cust = m.filter(F.col("_creason").isNotNull()).select(*MOVEMENT_KEY, F.lit("customer").alias("stage"),
-                                                              F.col("_creason").alias("reason"))
-    m = m.filter(F.col("_creason").isNull()).drop("_creason")
-    nt = notes.select(F.col("code").alias("casillero"), F.col("text").alias("note"))
-    m = m.join(nt, "casillero", "left")
-    rej_note = m.filter(F.col("note").isNull()).select(*MOVEMENT_KEY, F.lit("invoice").alias("stage"),
-                                                       F.lit("no_note").alias("reason"))
-    m = with_split(m.filter(F.col("note").isNotNull()), vat=cfg.vat_tax_id is not None)
-    if cfg.allow_zero:
-        rej_zero = None
-    else:
-        rej_zero = m.filter(F.col("zero_total")).select(*MOVEMENT_KEY, F.lit("invoice").alias("stage"),
-                                                        F.lit("zero_total").alias("reason"))
-        m = m.filter(~F.col("zero_total"))
-    # the range sampling of the numbering reads its input once more: keep
-    # the (already reduced) valid rows instead of recomputing them
-    m = materialise(m, materialize)
-    numbered, rej_limit = assign_numbers(m, register, reserved, cfg.number_limit)
-    invoices = numbered.select(*MOVEMENT_KEY, "id_cliente", "number", "total_charged", "gn1", "sr02", "iva",
-                               "invoice_total", "note", invoice_payload_json(cfg).alias("payload"))
-    rejects = rej_match.unionByName(rej_cust).unionByName(rej_note)
-    if rej_zero is not None:
-        rejects = rejects.unionByName(rej_zero)
-    rejects = rejects.unionByName(rej_limit)
-    summary = billing_summary(movements, pend, invoices, rejects)
-    return BillingRun(invoices, cust, rejects, summary)
+    """pending -> match -> customers -> note -> zero -> numbers -> payloads."""
+    return BillingRun(movements, clients, known_customers, notes, register, cfg, reserved, materialize)
 
 
 def billing_summary(movements: DataFrame, pend: DataFrame, invoices: DataFrame, rejects: DataFrame) -> DataFrame:
