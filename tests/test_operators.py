@@ -221,3 +221,47 @@ def test_settlement_cases(spark):
     assert [got[i][0] for i in range(1, 10)] == ["applied", "duplicate", "wrong_account", "unsuccessful", "applied",
                                                  "closed", "unreadable", "closed", "applied"]
     assert got[1][1] == "aprobada" and got[7][1] == "en revision" and got[9][1] == "parcial"
+
+
+def test_billing_run_golden(spark):
+    mv = spark.createDataFrame([
+        ("1", "f", "M1", "123.0", None, D("101.50")),    # id cleaned -> client 123, invoiced
+        ("1", "f", "M2", "nan", None, D("10.00")),       # 'nan' is no id: not pending (Q22)
+        ("1", "f", "M3", "555", "", D("10.00")),         # unknown client
+        ("1", "f", "M4", "777", None, D("10.00")),       # new client without phone
+        ("2", "g", "M5", "123", None, D("10.00")),       # account 2 has no note
+        ("1", "f", "M6", "123", " ", D("0.00")),         # zero total
+        ("1", "f", "M7", "124", None, D("-5.00")),       # negative -> zero total
+        ("1", "f", "M8", "124", "99", D("50.00")),       # already invoiced: not pending
+        ("1", "g", "M9", "124", None, D("20.00")),       # invoiced
+        ("1", "g", "MA", "124", None, D("20.00")),       # limit reached
+    ], "casillero string, source_file string, id_ingreso string, id_cliente string, factura string, "
+       "monto decimal(18,2)")
+    cl = spark.createDataFrame([
+        ("123", "Ana", "Paz", "c1", "5", "5001", "300 1", "a@b.co", 1),
+        ("124", "Luis Mora", None, None, "11", "11001", "300 2", "l@b.co", 2),
+        ("777", "Eva", "Gil", "c3", "5", "5001", "", "e@b.co", 3),
+    ], "identificacion string, nombres string, apellidos string, direccion string, codigo_departamento string, "
+       "codigo_ciudad string, telefono string, correo string, ordinal long")
+    known = spark.createDataFrame([("124",)], "identificacion string")
+    notes = spark.createDataFrame([("1", "nota uno")], "code string, text string")
+    reg = spark.createDataFrame([("10", None)], "consecutive string, number string")
+    reserved = spark.createDataFrame([(12,)], "number long")
+    cfg = billing.BillingConfig(doc_id=1, seller_id=2, payment_id=3, vat_tax_id=4, third_party_id="0",
+                                as_of="2024-01-31", number_limit=13)
+    run = billing.billing_run(mv, cl, known, notes, reg, cfg, reserved=reserved)
+    inv = {r.id_ingreso: (r.number, r.gn1, r.sr02, r.iva, r.invoice_total) for r in run.invoices.collect()}
+    assert inv == {"M1": (11, D("100.00"), D("1.26"), D("0.24"), D("101.50")),
+                   "M9": (13, D("19.70"), D("0.25"), D("0.05"), D("20.00"))}
+    rej = {r.id_ingreso: (r.stage, r.reason) for r in run.rejects.collect()}
+    assert rej == {"M3": ("match", "client_not_found"), "M4": ("customer", "empty_phone"),
+                   "M5": ("invoice", "no_note"), "M6": ("invoice", "zero_total"),
+                   "M7": ("invoice", "zero_total"), "MA": ("number", "limit_reached")}
+    cust = {r.id_cliente: r.reason for r in run.new_customers.collect()}
+    assert cust == {"123": None, "777": "empty_phone"}
+    import json
+    p = json.loads([r.payload for r in run.invoices.collect() if r.id_ingreso == "M1"][0])
+    assert p["number"] == 11 and p["items"][1]["taxes"] == [{"id": 4}] and "customer" not in p["items"][1]
+    assert p["payments"][0]["value"] == 101.5 and p["observations"] == "nota uno"
+    summ = {r.casillero: (r.n_read, r.n_pending, r.n_issued, r.n_failed) for r in run.summary.collect()}
+    assert summ == {"1": (9, 7, 2, 5), "2": (1, 1, 0, 1)}
