@@ -40,18 +40,29 @@ def receipt_keys(receipts: DataFrame) -> DataFrame:
     })
 
 
+def _eligible():
+    return F.col("_ok_read") & F.col("_ok_tx") & F.col("_ok_cta")
+
+
+def with_duplicate_flag(keyed: DataFrame) -> DataFrame:
+    """Add ``duplicate`` to receipts carrying ``receipt_keys`` columns.
+
+    The first eligible presentation of each key per account is a map-side
+    ``min`` aggregate (no window over a possibly hot key), joined back on the
+    key.  Empty reference, unreadable amount or a failed gate: never a
+    duplicate.
+    """
+    counted = _eligible() & (F.col("k_ref") != "") & F.col("k_mto").isNotNull()
+    first = keyed.filter(counted).groupBy(*DEDUPE_KEY).agg(F.min(F.struct(*ORDER)).alias("_first"))
+    j = keyed.join(first, DEDUPE_KEY, "left")
+    return j.withColumn("duplicate", counted & (F.struct(*ORDER) != F.col("_first"))).drop("_first")
+
+
 def receipt_dedupe(receipts: DataFrame) -> DataFrame:
     """Eligible receipts (readable, successful, right account) with a
-    duplicate flag.  The first presentation of a key per account is found
-    with a map-side ``min`` aggregate (no window over a possibly hot key) and
-    joined back.  Empty reference or unreadable amount: never a duplicate.
-    """
-    k = receipt_keys(receipts).filter(F.col("_ok_read") & F.col("_ok_tx") & F.col("_ok_cta"))
-    keyed = k.filter((F.col("k_ref") != "") & F.col("k_mto").isNotNull())
-    first = keyed.groupBy(*DEDUPE_KEY).agg(F.min(F.struct(*ORDER)).alias("_first"))
-    j = k.join(first, DEDUPE_KEY, "left")
-    dup = F.col("_first").isNotNull() & (F.struct(*ORDER) != F.col("_first"))
-    return j.withColumn("duplicate", dup).drop("_first", "_ok_read", "_ok_tx", "_ok_cta")
+    duplicate flag (see ``with_duplicate_flag``)."""
+    return (with_duplicate_flag(receipt_keys(receipts)).filter(_eligible())
+            .drop("_ok_read", "_ok_tx", "_ok_cta"))
 
 
 def receipt_settlement(receipts: DataFrame) -> DataFrame:
@@ -62,9 +73,7 @@ def receipt_settlement(receipts: DataFrame) -> DataFrame:
     Request columns (same on every receipt of a request): ``status``,
     ``paid``, ``first_date`` (first receipt that changed the request).
     """
-    k = receipt_keys(receipts)
-    dd = receipt_dedupe(receipts).select("event_id", "duplicate")
-    k = k.join(dd, "event_id", "left")
+    k = with_duplicate_flag(receipt_keys(receipts))
     verdict0 = (F.when(~F.col("_ok_read"), F.lit("unreadable"))
                 .when(~F.col("_ok_tx"), F.lit("unsuccessful"))
                 .when(~F.col("_ok_cta"), F.lit("wrong_account"))
