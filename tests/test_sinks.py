@@ -84,3 +84,20 @@ def test_bucketed_layout_and_pruned_read(spark):
     plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
     scan = plan[plan.index("Scan parquet"):]
     assert "PartitionFilters: [casillero_bucket" in scan and "PushedFilters: [In(casillero" in scan
+
+
+def test_read_files_permissive(spark):
+    from pyspark.sql import types as T
+    mv = A.load(spark, SF_SMALL, "movements").select("id_ingreso", F.col("monto").cast("string").alias("monto"))
+    n = mv.count()
+    # every 10th line gets an amount that is no number
+    lines = mv.withColumn("_i", F.monotonically_increasing_id()).select(
+        F.concat_ws(",", "id_ingreso",
+                    F.when(F.col("_i") % 10 == 0, F.lit("abc")).otherwise(F.col("monto"))).alias("value"))
+    path = f"{_root(spark)}/csv"
+    lines.write.text(path)
+    schema = T.StructType([T.StructField("id_ingreso", T.StringType()), T.StructField("monto", T.DecimalType(18, 2))])
+    rows, rejects = readers.read_files(spark, path, schema, "csv", header=False)
+    bad = rejects.count()
+    assert bad > 0 and rows.count() + bad == n
+    assert rows.filter(F.col("monto").isNull()).count() == 0
