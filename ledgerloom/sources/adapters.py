@@ -172,7 +172,7 @@ WHERE n_nationkey <> 3
 ADAPTERS["known_customers"] = """
 SELECT CAST(c_custkey AS VARCHAR(20)) AS identificacion
 FROM {customer}
-WHERE c_custkey % 3 = 0
+WHERE c_acctbal > 4000
 """
 
 # --- provider replies per invoice attempt --------------------------------
@@ -217,20 +217,21 @@ SELECT CAST(o_custkey AS VARCHAR(20)) AS casillero,
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
 """
 
-# --- manual decisions on requests (some twice, some for unknown ids) -----
+# --- manual decisions on urgent / high requests (urgent settled ones twice,
+#     some for an unknown account) ------------------------------------------
 ADAPTERS["decisions"] = """
-SELECT CASE WHEN o_orderkey % 40 = 0 THEN 'x' ELSE
+SELECT CASE WHEN o_orderpriority = '2-HIGH' AND o_orderstatus = 'P' THEN 'x' ELSE
             CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_custkey + 1 END AS VARCHAR(20)) END AS casillero,
        concat('Consignacion', CAST(o_orderkey AS VARCHAR(20))) AS id,
        CASE WHEN o_totalprice > 200000 THEN 'aprobada' ELSE 'rechazada' END AS estado,
        CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) AS fecha_decision,
        1 AS seq
-FROM {orders} WHERE o_orderkey % 4 = 0
+FROM {orders} WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')
 UNION ALL
 SELECT CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_custkey + 1 END AS VARCHAR(20)) AS casillero,
        concat('Consignacion', CAST(o_orderkey AS VARCHAR(20))) AS id,
        'aprobada' AS estado, '2024-02-01' AS fecha_decision, 2 AS seq
-FROM {orders} WHERE o_orderkey % 12 = 0
+FROM {orders} WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'
 """
 
 # --- new-client forms (supplier master data; some ids already exist) ----
