@@ -262,6 +262,13 @@ class BillingRun:
                  materialize: str = "persist"):
         self.movements, self.clients, self.known, self.notes = movements, clients, known_customers, notes
         self.register, self.cfg, self.reserved, self.how = register, cfg, reserved, materialize
+        self._cached: list[DataFrame] = []
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        out = materialise(df, self.how)
+        if self.how == "persist":
+            self._cached.append(out)
+        return out
 
     @cached_property
     def pending(self) -> DataFrame:
@@ -271,7 +278,7 @@ class BillingRun:
     def _matched(self) -> tuple[DataFrame, DataFrame]:
         matched, rej = match_clients(self.pending, self.clients)
         # the matched rows feed every output: compute them once
-        return materialise(matched, self.how), rej
+        return self._keep(matched), rej
 
     @cached_property
     def new_customers(self) -> DataFrame:
@@ -298,7 +305,7 @@ class BillingRun:
             m = m.filter(~F.col("zero_total"))
         # the range sampling of the numbering reads its input once more: keep
         # the (already reduced) valid rows instead of recomputing them
-        m = materialise(m, self.how)
+        m = self._keep(m)
         numbered, rej_limit = assign_numbers(m, self.register, self.reserved, self.cfg.number_limit)
         return {"numbered": numbered, "rejects": [rej_match, rej_cust, rej_note, rej_zero, rej_limit]}
 
@@ -320,6 +327,12 @@ class BillingRun:
     def summary(self) -> DataFrame:
         return billing_summary(self.movements, self.pending, self.invoices, self.rejects)
 
+    def release(self) -> None:
+        """Drop the cached shared stages once the outputs are written."""
+        for f in self._cached:
+            f.unpersist()
+        self._cached.clear()
+
 
 def billing_run(movements: DataFrame, clients: DataFrame, known_customers: DataFrame, notes: DataFrame,
                 register: DataFrame, cfg: BillingConfig, reserved: DataFrame | None = None,

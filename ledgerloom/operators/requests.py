@@ -189,10 +189,12 @@ def new_request_rows(requests: DataFrame, forms: DataFrame, today) -> DataFrame:
     the skew-safe sequence operator, not a per-account window.
     """
     ok = materialise(validate_forms(forms).filter(F.col("reason").isNull()).drop("reason"))
-    nxt = next_ids(requests).select(
+    # one row per account, read by two joins (collecting and withdrawing
+    # account): computed once
+    nxt = materialise(next_ids(requests).select(
         "casillero",
         (F.regexp_extract("next_request_id", r"(\d+)$", 1).cast("bigint")).alias("_req0"),
-        (F.regexp_extract("next_withdrawal_id", r"(\d+)$", 1).cast("bigint")).alias("_wd0"))
+        (F.regexp_extract("next_withdrawal_id", r"(\d+)$", 1).cast("bigint")).alias("_wd0")))
     ok = ranked_within(ok, ["casillero"], FORM_ORDER, rank_col="_rq")
     wd = is_withdrawal()
     okw = ranked_within(ok.filter(wd).withColumn("_a", utrim("mayorista_retira")), ["_a"], FORM_ORDER,

@@ -265,3 +265,13 @@ def test_billing_run_golden(spark):
     assert p["payments"][0]["value"] == 101.5 and p["observations"] == "nota uno"
     summ = {r.casillero: (r.n_read, r.n_pending, r.n_issued, r.n_failed) for r in run.summary.collect()}
     assert summ == {"1": (9, 7, 2, 5), "2": (1, 1, 0, 1)}
+
+
+def test_billing_release_drops_cache(spark):
+    from ledgerloom.plans.billing_queries import _run
+    from tests.conftest import SF_SMALL
+    run = _run(spark, SF_SMALL)
+    n = run.invoices.count()
+    assert n > 0 and len(run._cached) == 2 and all(f.is_cached for f in run._cached)
+    run.release()
+    assert run._cached == []
