@@ -79,14 +79,21 @@ def client_index(clients: DataFrame, order_col: str = "ordinal") -> DataFrame:
     return c.groupBy("_cid").agg(best.alias("_c")).select(F.col("_cid").alias("client_id"), "_c.*")
 
 
-def match_clients(pend: DataFrame, clients: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(matched rows with client columns prefixed 'cli_', rejects)."""
+def match_clients(pend: DataFrame, clients: DataFrame, keep=None) -> tuple[DataFrame, DataFrame]:
+    """(matched rows with client columns prefixed 'cli_', rejects).
+
+    One left join against the de-duplicated client index; matched rows and
+    'client_not_found' rejects are two filters of it (``keep`` may
+    materialise the joined frame so both read it once).
+    """
     idx = client_index(clients)
     idx = idx.select("client_id", *[F.col(c).alias(f"cli_{c}") for c in idx.columns if c != "client_id"])
-    matched = pend.join(idx, pend["id_cliente"] == idx["client_id"], "inner").drop("client_id")
-    unmatched = pend.join(idx, pend["id_cliente"] == idx["client_id"], "left_anti")
-    rejects = unmatched.select(*MOVEMENT_KEY, F.lit("match").alias("stage"),
-                               F.lit("client_not_found").alias("reason"))
+    j = pend.join(idx, pend["id_cliente"] == idx["client_id"], "left")
+    if keep is not None:
+        j = keep(j)
+    matched = j.filter(F.col("client_id").isNotNull()).drop("client_id")
+    rejects = j.filter(F.col("client_id").isNull()).select(*MOVEMENT_KEY, F.lit("match").alias("stage"),
+                                                           F.lit("client_not_found").alias("reason"))
     return matched, rejects
 
 
@@ -276,9 +283,8 @@ class BillingRun:
 
     @cached_property
     def _matched(self) -> tuple[DataFrame, DataFrame]:
-        matched, rej = match_clients(self.pending, self.clients)
-        # the matched rows feed every output: compute them once
-        return self._keep(matched), rej
+        # the joined pending rows feed every output: compute them once
+        return match_clients(self.pending, self.clients, keep=self._keep)
 
     @cached_property
     def new_customers(self) -> DataFrame:
