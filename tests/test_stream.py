@@ -63,3 +63,26 @@ def test_stream_equals_batch_without_named_case(spark):
         final[(r.casillero, r.id)] = r.status
     bstat = {(r.casillero, r.id): r.status for r in settlement.receipt_settlement(rc).collect()}
     assert final == bstat
+
+
+def test_handler_unpickles_without_the_package(tmp_path):
+    """Stream workers may not have the package on their path: the handler's
+    code travels with it (pickled by value)."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    import ledgerloom.streaming.settlement as S
+    cloudpickle.register_pickle_by_value(S)
+    blob = tmp_path / "proc.pkl"
+    blob.write_bytes(cloudpickle.dumps((S.SettlementProcessor(), S._handler(None))))
+    code = ("import sys; sys.path = [p for p in sys.path if 'repo' not in p]\n"
+            "from pyspark import cloudpickle\n"
+            f"proc, fn = cloudpickle.loads(open({str(blob)!r}, 'rb').read())\n"
+            "import importlib.util; assert importlib.util.find_spec('ledgerloom') is None\n"
+            "print(type(proc).__name__, callable(fn))")
+    out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True,
+                         env={"PATH": "/usr/bin:/bin"}, timeout=120)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert "SettlementProcessor True" in out.stdout
