@@ -36,7 +36,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER), end_id=2)
-    return token_files.with_crc(token_files.read_tokens(spark, path))
+    return token_files.read_crc(spark, path)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ledgerloom.llm.common import pick, ship
+from ledgerloom.llm.common import at_most, pick, ship
 from ledgerloom.llm.tokens import pieces
 
 ship(__name__)
@@ -32,6 +32,7 @@ ship(__name__)
 ROW_GROUP_BYTES = 64 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
+BROADCAST_FILES = 100_000
 
 SCHEMA = "doc_id bigint, n_tokens bigint, file_start bigint, ids array<int>"
 
@@ -43,15 +44,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int,
 
     def encode(batches):
         p, before = pieces(tokenizer), 0
-        kind = np.dtype("<u2" if p.width == 2 else "<u4")
+        kind, end = np.dtype("<u2" if p.width == 2 else "<u4"), np.array([end_id])
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             for at in range(0, b.num_rows, 256):
                 parts, sizes = [], []
-                for text in texts.slice(at, 256).to_pylist():
-                    own = np.frombuffer(p.encode(text or ""), kind)
-                    parts += [own, np.array([end_id])]
-                    sizes.append(len(own) + 1)
+                for raw in p.encode(texts.slice(at, 256).to_pylist()):
+                    parts += [np.frombuffer(raw, kind), end]
+                    sizes.append(len(raw) // p.width + 1)
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
                 values = np.concatenate(parts).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -71,28 +71,42 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int,
      .parquet(path))
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids of every document; unused columns are not read."""
+def _files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with their file's number, and (file, before): the ids of all files before each one.
+
+    ``before`` has a row a file and is broadcast up to BROADCAST_FILES of
+    them, so the ids are not shuffled for it.
+    """
     rows = spark.read.schema(SCHEMA).parquet(path).select(
         "*", F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("bigint").alias("file"))
     totals = rows.groupBy("file").agg(F.max(F.col("file_start") + F.col("n_tokens")).alias("total"))
-    first = totals.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
-    return rows.join(first, "file").select("doc_id", (F.col("before") + F.col("file_start")).alias("start"), "n_tokens", "ids")
+    before = totals.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
+    few = at_most(before, BROADCAST_FILES)
+    if few is not None:
+        before = F.broadcast(spark.createDataFrame(few, before.schema))
+    return rows, before
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids of every document; unused columns are not read."""
+    rows, before = _files(spark, path)
+    return rows.join(before, "file").select("doc_id", (F.col("before") + F.col("file_start")).alias("start"), "n_tokens", "ids")
 
 
-def with_crc(tokens: DataFrame) -> DataFrame:
-    """Replace ids by the unsigned crc32 of them as little-endian unsigned 32-bit integers."""
+def read_crc(spark: SparkSession, path: str) -> DataFrame:
+    """The same with, for ids, the unsigned crc32 of them as little-endian unsigned 32-bit integers."""
     def crc(batches):
         for b in batches:
-            ids = b.column(3)
+            ids = b.column(4)
             at = ids.offsets.to_numpy()
-            values = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-            raw = memoryview(values).cast("B")
+            raw = memoryview(ids.values.to_numpy(zero_copy_only=False).astype("<u4")).cast("B")
             sums = [zlib.crc32(raw[4 * i:4 * j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sums, pa.int64())], ["doc_id", "file_start", "n_tokens", "file", "ids_crc32"])
 
-    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(
-        crc, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    rows, before = _files(spark, path)
+    summed = rows.select("doc_id", "file_start", "n_tokens", "file", "ids").mapInArrow(
+        crc, "doc_id bigint, file_start bigint, n_tokens bigint, file bigint, ids_crc32 bigint")
+    return summed.join(before, "file").select("doc_id", (F.col("before") + F.col("file_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 assert sys.byteorder == "little"  # ids go through native buffers
