@@ -82,8 +82,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, gro
             ids, texts = b.column(0).to_pylist(), b.column(1)
             for at in range(0, b.num_rows, 256):
                 rows = []
-                for i, text in zip(ids[at:at + 256], texts.slice(at, 256).to_pylist()):
-                    raw = p.encode(text or "") + end
+                for i, raw in zip(ids[at:at + 256], p.encode(texts.slice(at, 256).to_pylist())):
+                    raw += end
                     for k in range(0, len(raw), step):
                         part = raw[k:k + step]
                         g = xxhash.xxh64_intdigest(part + b"%d %d" % (-1 if i is None else i, k), SEED) % groups
@@ -95,24 +95,25 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, gro
 
     def fill(batch: pa.Table) -> pa.Table:
         width = pieces(tokenizer).width
-        t = batch.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids", "ascending")])
-        sizes, ids = t["length"].to_pylist(), t["ids"].to_pylist()
-        docs_, starts, whole = t["doc_id"].to_pylist(), t["start"].to_pylist(), t["doc_tokens"].to_pylist()
-        bins: dict[int, list[int]] = {}
-        for i, k in enumerate(first_fit_decreasing(sizes, length)):
-            bins.setdefault(k, []).append(i)
-        base = t["grp"][0].as_py() * GROUP_BINS
-        out = {"sequence_id": [], "used": [], "padded_length": [], "ids": [], "pieces": []}
-        for k, members in sorted(bins.items()):
-            offset, own = 0, []
-            for i in members:
-                own.append({"doc_id": docs_[i], "start": starts[i], "length": sizes[i], "doc_tokens": whole[i], "offset": offset})
-                offset += sizes[i]
-            raw = np.frombuffer(b"".join([ids[i] for i in members]), "<u2" if width == 2 else "<u4").astype("<u4").tobytes()
-            for name, v in zip(out, (base + k, offset, offset if offset & (offset - 1) == 0 else length, raw, own)):
-                out[name].append(v)
-        piece = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("doc_tokens", pa.int64()), ("offset", pa.int32())])
-        return pa.table({k: pa.array(v, ty) for (k, v), ty in zip(out.items(), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(piece)))})
+        t = batch.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids", "ascending")]).combine_chunks()
+        sizes = t["length"].to_numpy()
+        bins = np.array(first_fit_decreasing(sizes.tolist(), length))
+        order = np.argsort(bins, kind="stable")
+        bins, sizes, t = bins[order], sizes[order], t.take(pa.array(order))
+        first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        used = np.add.reduceat(sizes, first)
+        offset = total[:-1] - np.repeat(total[first], np.diff([*first, len(sizes)]))
+        ids, cuts = t["ids"].to_pylist(), [*first.tolist(), len(sizes)]
+        raw = [np.frombuffer(b"".join(ids[i:j]), "<u2" if width == 2 else "<u4").astype("<u4").tobytes() for i, j in zip(cuts, cuts[1:])]
+        own = pa.StructArray.from_arrays(
+            [t["doc_id"].combine_chunks(), t["start"].combine_chunks(), pa.array(sizes.astype(np.int32)), t["doc_tokens"].combine_chunks(),
+             pa.array(offset.astype(np.int32))], ["doc_id", "start", "length", "doc_tokens", "offset"])
+        return pa.table({
+            "sequence_id": pa.array(t["grp"][0].as_py() * GROUP_BINS + bins[first].astype(np.int64)),
+            "used": pa.array(used.astype(np.int32)),
+            "padded_length": pa.array(np.where(used & (used - 1) == 0, used, length).astype(np.int32)),
+            "ids": pa.array(raw, pa.binary()), "pieces": pa.ListArray.from_arrays(pa.array(np.array(cuts, np.int32)), own)})
 
     return docs.mapInArrow(cut, PIECES).groupBy("grp").applyInArrow(fill, SEQUENCES)
 
@@ -121,14 +122,18 @@ def piece_digests(sequences: DataFrame) -> DataFrame:
     """One row per piece, with the crc32 of its ids as they lie in the sequence."""
     def crc(batches):
         for b in batches:
-            rows = []
-            for seq, raw, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                for p in own:
-                    at = 4 * p["offset"]
-                    rows.append((p["doc_id"], p["start"], p["length"], zlib.crc32(raw[at:at + 4 * p["length"]]), p["doc_tokens"], seq, p["offset"]))
-            cols = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
-                                             ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            own = b.column(2)
+            cuts = own.offsets.to_numpy()
+            flat = own.values.slice(cuts[0], cuts[-1] - cuts[0])
+            col = {f.name: flat.field(i) for i, f in enumerate(flat.type)}
+            offset, size = col["offset"].to_numpy(), col["length"].to_numpy()
+            seq = np.repeat(np.arange(b.num_rows), np.diff(cuts))
+            raw = b.column(1).to_pylist()
+            sums = [zlib.crc32(raw[k][4 * i:4 * (i + n)]) for k, i, n in zip(seq.tolist(), offset.tolist(), size.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [col["doc_id"], col["start"], pa.array(size.astype(np.int64)), pa.array(sums, pa.int64()), col["doc_tokens"],
+                 b.column(0).take(pa.array(seq)), pa.array(offset.astype(np.int64))],
+                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return sequences.select("sequence_id", "ids", "pieces").mapInArrow(
         crc, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")

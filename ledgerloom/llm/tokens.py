@@ -26,7 +26,7 @@ PRE_TOKEN = (rf"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LET
              rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 NOT_PLAIN = r"[^\t\n\r\x20-\x7e\xa1-ſ]"
 
-#: Pre-tokens kept in a worker's cache, in each of two generations, and the longest one kept.
+#: Pre-tokens in each of a worker's two caches (a full one starts anew), and the longest one remembered.
 CACHE_TOKENS, CACHE_CHARS = 300_000, 64
 
 
@@ -34,7 +34,7 @@ class Pieces:
     """A tokenizer file: its pre-tokens, piece counts and ids."""
 
     def __init__(self, path: str):
-        self.path, self.new, self.old = path, {}, {}
+        self.path, self.known, self.young = path, {}, {}
         self.plain = None
         if path.endswith(".model"):
             import sentencepiece
@@ -85,26 +85,37 @@ class Pieces:
     def counts(self, pre_tokens: list[str]) -> list[int]:
         return list(map(len, self.ids(pre_tokens)))
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text, little-endian, ``width`` bytes each."""
-        toks, new, old = self.pre_tokens(text), self.new, self.old
-        missing, rest = [], {}
-        for t in set(toks):
-            if t not in new:
-                if t in old:
-                    new[t] = old[t]
-                else:
-                    missing.append(t)
-        if missing:
-            code = "H" if self.width == 2 else "I"
-            for t, ids in zip(missing, self.ids(missing)):
-                (new if len(t) <= CACHE_CHARS else rest)[t] = array(code, ids).tobytes()
-        if rest:
-            out = b"".join([new[t] if t in new else rest[t] for t in toks])
-        else:
-            out = b"".join([new[t] for t in toks])
-        if len(new) > CACHE_TOKENS:
-            self.old, self.new = new, {}
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts (null: empty), little-endian, ``width`` bytes each.
+
+        Pre-tokens met once are remembered for a while, those met again for
+        good, so that the many that never return don't displace the others.
+        """
+        known, young = self.known, self.young
+        code = "H" if self.width == 2 else "I"
+        out = []
+        for at in range(0, len(texts), 32):
+            toks = [self.pre_tokens(t) if t else [] for t in texts[at:at + 32]]
+            parts = [list(map(known.get, own)) for own in toks]
+            gaps = [[i for i, part in enumerate(own) if part is None] if None in own else [] for own in parts]
+            missing = {own[i] for own, places in zip(toks, gaps) for i in places}
+            if missing:
+                found = {t: young[t] for t in missing if t in young}
+                if len(known) > CACHE_TOKENS:
+                    known.clear()
+                known.update(found)
+                new = list(missing.difference(found))
+                if new:
+                    got = dict(zip(new, [array(code, ids).tobytes() for ids in self.ids(new)]))
+                    if len(young) > CACHE_TOKENS:
+                        young.clear()
+                    young.update(got if max(map(len, new)) <= CACHE_CHARS else
+                                 {t: part for t, part in got.items() if len(t) <= CACHE_CHARS})
+                    found |= got
+                for own, places, chunk in zip(toks, gaps, parts):
+                    for i in places:
+                        chunk[i] = found[own[i]]
+            out += map(b"".join, parts)
         return out
 
 
