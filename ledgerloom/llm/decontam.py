@@ -8,7 +8,7 @@ n-gram's hash beyond. Every document with a seed yields, per place, a
 
 A passage is a candidate if it holds a rare seed (found in at most
 ``RARE_SHARE`` of all documents, counted over the whole corpus) or at least
-``MANY`` different seeds of the item, so a passage that leaked everywhere,
+``MANY`` different seeds of the item (all, if it has fewer), so a passage that leaked everywhere,
 whose seeds are no longer rare, stays a candidate. Smith-Waterman then aligns
 item and passage by words (match +2, mismatch -1, gap -1); a passage whose
 score reaches ``SHARE`` of the item's own (2 per word) is a copy, whether
@@ -47,7 +47,9 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 
 WORDS = re.compile(r"[^\W_]+")
 
-PASSAGES = "doc_id bigint, item_id bigint, seeds array<bigint>, first int, words array<string>"
+PASSAGES = "doc_id bigint, item_id bigint, seeds array<bigint>, enough boolean, first int, words array<string>"
+PASSAGE_TYPES = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.int32(), pa.list_(pa.string()))
+PASSAGE_NAMES = ["doc_id", "item_id", "seeds", "enough", "first", "words"]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -98,33 +100,37 @@ def alignment(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 
 def seed_table(benchmark: DataFrame, n: int) -> DataFrame:
-    """item_id, n_words, place, hash: one row per seed place of an item."""
+    """item_id, n_words, kinds (different seeds of the item), place, hash: one row per seed place of an item."""
     def run(batches):
         for b in batches:
-            rows = [(i, len(w), at, h) for i, w in zip(b.column(0).to_pylist(), map(words_of, b.column(1).to_pylist()))
-                    for h, at in item_seeds(w, n)]
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["item_id", "n_words", "place", "hash"])
+            rows = []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = words_of(text)
+                own = item_seeds(words, n)
+                rows += [(i, len(words), len({h for h, _ in own}), at, h) for h, at in own]
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["item_id", "n_words", "kinds", "place", "hash"])
 
-    return benchmark.mapInArrow(run, "item_id bigint, n_words bigint, place bigint, hash bigint")
+    return benchmark.mapInArrow(run, "item_id bigint, n_words bigint, kinds bigint, place bigint, hash bigint")
 
 
-def gather(words: list[str], hits: list[tuple[int, int, int, int, int]]):
-    """Passages of one document from its hits (item, n_words, item place, document place, hash).
+def gather(words: list[str], hits: list[tuple[int, int, int, int, int, int]]):
+    """Passages of one document from its hits (item, n_words, item place, document place, hash, kinds).
 
     Hits of an item whose document places lie within one item length of each
     other make one passage, so a passage is at most as long as its run of
     hits plus two margins.
     """
     hits.sort(key=lambda h: (h[0], h[3]))
-    run: list[tuple[int, int, int, int, int]] = []
+    run: list = []
     for h in [*hits, None]:
         if run and (h is None or h[0] != run[0][0] or h[3] - run[-1][3] > run[0][1]):
             size = run[0][1]
             before = max(x[2] for x in run)
             lo = max(0, run[0][3] - before - int(MARGIN * size))
             hi = min(len(words), run[-1][3] + size + int(MARGIN * size))
-            yield run[0][0], sorted({x[4] for x in run}), lo, words[lo:hi]
+            seeds = sorted({x[4] for x in run})
+            yield run[0][0], seeds, len(seeds) >= min(MANY, run[0][5]), lo, words[lo:hi]
             run = []
         if h is not None:
             run.append(h)
@@ -136,37 +142,34 @@ def passages_broadcast(docs: DataFrame, seeds: list, n: int) -> DataFrame:
 
     def run(batches):
         table = vocabulary.value
-        lengths = sorted({k for k, _ in table})
         for b in batches:
             rows = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = words_of(text)
                 hits = []
-                for k in lengths:
-                    own = table[k, 0]
+                for k, own in table.items():
                     for at, gram in enumerate(zip(*(words[j:] for j in range(k)))):
                         if gram in own:
-                            hits += [(item, size, place, at, h) for item, size, place, h in own[gram]]
+                            hits += [(item, size, place, at, h, kinds) for item, size, place, h, kinds in own[gram]]
                 if hits:
                     rows += [(i, *p) for p in gather(words, hits)]
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.string())))],
-                ["doc_id", "item_id", "seeds", "first", "words"])
+            cols = list(zip(*rows)) or [()] * len(PASSAGE_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, PASSAGE_TYPES)], PASSAGE_NAMES)
 
     return docs.mapInArrow(run, PASSAGES)
 
 
 def _index(items: list) -> dict:
-    """{(words of a gram, 0): {gram: [(item_id, n_words, place, hash)]}}"""
+    """{words in a gram: {gram: [(item_id, n_words, place, hash, kinds)]}}"""
     out: dict = {}
     for item_id, words, n in items:
         if not words:
             continue
         k = min(n, len(words))
-        own = out.setdefault((k, 0), {})
-        for h, at in item_seeds(words, n):
-            own.setdefault(tuple(words[at:at + k]), []).append((item_id, len(words), at, h))
+        own, seeds = out.setdefault(k, {}), item_seeds(words, n)
+        kinds = len({h for h, _ in seeds})
+        for h, at in seeds:
+            own.setdefault(tuple(words[at:at + k]), []).append((item_id, len(words), at, h, kinds))
     return out
 
 
@@ -189,11 +192,9 @@ def passages_shuffled(docs: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
         for b in batches:
             rows = []
             for i, text, hits in zip(*(c.to_pylist() for c in b.columns)):
-                rows += [(i, *p) for p in gather(words_of(text), [(h["item_id"], h["n_words"], h["place"], h["at"], h["hash"]) for h in hits])]
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.string())))],
-                ["doc_id", "item_id", "seeds", "first", "words"])
+                rows += [(i, *p) for p in gather(words_of(text), [(h["item_id"], h["n_words"], h["place"], h["at"], h["hash"], h["kinds"]) for h in hits])]
+            cols = list(zip(*rows)) or [()] * len(PASSAGE_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, PASSAGE_TYPES)], PASSAGE_NAMES)
 
     def hashed(batches):
         for b in batches:
@@ -201,7 +202,7 @@ def passages_shuffled(docs: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(th, pa.int64())], ["doc_id", "text", "text_hash"])
 
     hits = (docs.mapInArrow(grams, "doc_id bigint, text_hash bigint, at bigint, hash bigint").join(seeds, "hash")
-            .groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("item_id", "n_words", "place", "at", "hash")).alias("hits"))
+            .groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("item_id", "n_words", "place", "at", "hash", "kinds")).alias("hits"))
             .withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "h"))
     keyed = docs.mapInArrow(hashed, "doc_id bigint, text string, text_hash bigint")
     found = keyed.join(hits, keyed.doc_id.eqNullSafe(F.col("d")) & (keyed.text_hash == F.col("h"))).select("doc_id", "text", "hits")
@@ -226,10 +227,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, sha
     in_docs = (found.select("doc_id", F.explode("seeds").alias("hash")).groupBy("hash")
                .agg(F.count_distinct("doc_id").alias("df")))
     common = in_docs.where(F.col("df") > rare_share * total).select("hash")
-    few = found.where(F.size("seeds") < MANY)
+    if n_seeds <= broadcast_seeds:
+        common = F.broadcast(common)  # some of the seeds: bounded like them
+    few = found.where("NOT enough")
     # a passage with fewer seeds needs a rare one
     rare = few.withColumn("seed", F.explode("seeds")).join(common, F.col("seed") == F.col("hash"), "left_anti").drop("seed")
-    candidates = found.where(F.size("seeds") >= MANY).union(rare)
+    candidates = found.where("enough").union(rare)
     items = benchmark.where("text is not null").select(F.col("item_id").alias("id"), F.col("text").alias("item_text"))
     pairs = candidates.join(items, F.col("item_id") == F.col("id")).select("doc_id", "item_id", "first", "words", "item_text")
 

@@ -13,8 +13,9 @@ A page is cut into blocks at block-level tags. Pass one decides blocks:
   stop words; short blocks are undecided.
 
 Pass two: an undecided block takes the label of the nearest decided block of
-its region (of two equally near ones, the good one). The ends of an article
-count as good, the ends of a page without one as bad neighbours.
+its region. Of two equally near ones a heading takes the one after it, other
+blocks the bad one. The ends of an article count as good, the ends of a page
+without one as bad neighbours; within an article only its good blocks count.
 
 Scripts, styles, templates and the head are dropped while reading. Character
 references are decoded, white space in a block becomes one space, blocks are
@@ -51,6 +52,7 @@ figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html l
 option p pre section summary table tbody td tfoot th thead tr ul""".split())
 #: Their content is not text of the page.
 RAW_TAGS = frozenset("script style template noscript iframe object svg math canvas head textarea title noframes noembed xmp".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BAD_TAGS = frozenset("nav footer aside form menu dialog button select".split())
 #: Regions that are kept on the stack until they end.
@@ -69,40 +71,48 @@ NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
 
 class Block:
-    __slots__ = ("text", "linked", "bad", "article", "listed")
+    __slots__ = ("text", "linked", "bad", "article", "listed", "heading")
 
-    def __init__(self, bad: bool, article: int, listed: bool):
-        self.text, self.linked, self.bad, self.article, self.listed = [], 0, bad, article, listed
+    def __init__(self, bad: bool, article: int, listed: bool, heading: bool):
+        self.text, self.linked, self.bad, self.article, self.listed, self.heading = [], 0, bad, article, listed, heading
 
 
-def marked_bad(tag: str, attributes: str, article: bool) -> bool:
-    """Whether a region of this tag is no article text. A header belongs to the article if it is in it."""
+#: Regions that may hold articles of their own (comments, teasers), which are no text of the page either.
+DEEP_TAGS = frozenset("aside footer form dialog".split())
+DEEP_WORDS = frozenset("aside sidebar footer comment comments disqus respond replies reply related recommended widget".split())
+
+
+def marked_bad(tag: str, attributes: str, article: bool) -> int:
+    """Whether a region of this tag is no article text: 1, or 2 if articles in it aren't either.
+
+    A header belongs to the article if it is in it.
+    """
     if tag in BAD_TAGS or tag == "header" and not article:
-        return True
+        return 1 + (tag in DEEP_TAGS)
     for name, a, b, c in ATTRIBUTE.findall(attributes) if attributes else ():
         value = a or b or c
         if name.lower() == "role":
             if value.lower() in BAD_ROLES:
-                return True
-        elif any(p.lower() in BAD_WORDS for p in NAME_PARTS.findall(value)):
-            return True
+                return 1 + (value.lower() == "complementary")
+        elif named := BAD_WORDS.intersection(p.lower() for p in NAME_PARTS.findall(value)):
+            return 1 + bool(named & DEEP_WORDS)
         elif not article and "header" in value.lower().replace("_", "-").split("-"):
-            return True
-    return False
+            return 1
+    return 0
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order. ``article`` numbers the article a block lies in, 0: none."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, bad, article
-    bad, article, articles, links, skip = False, 0, 0, 0, None
-    block = Block(False, 0, False)
+    stack: list[tuple[str, int, int]] = []  # tag, and what held before it: bad (0 to 2) and article
+    bad, article, articles, links, skip = 0, 0, 0, 0, None
+    block = Block(False, 0, False, False)
 
-    def cut():
+    def cut(heading=False):
         nonlocal block
         if block.text:
             out.append(block)
-        block = Block(bad, article, any(t in ("li", "ul", "ol") for t, _, _ in stack[-3:]))
+        block = Block(bad > 0, article, any(t in ("li", "ul", "ol") for t, _, _ in stack[-3:]), heading)
 
     for m in TOKEN.finditer(page):
         tag = m.group(2)
@@ -146,17 +156,15 @@ def blocks_of(page: str) -> list[Block]:
                 stack.append((tag, bad, article))
                 opens = tag in ("article", "main") or 'role="main"' in attributes
                 worse = marked_bad(tag, attributes, bool(article))
-                if opens and not worse and not article and (not bad or not any(
-                        t in ("aside", "form", "footer", "dialog") for t, _, _ in stack[:-1])):
+                if opens and not worse and not article and bad < 2:
                     articles += 1
-                    article, bad = articles, False  # an unclosed menu before an article ends here
-                elif worse:
-                    bad = True
+                    article, bad = articles, 0  # an unclosed menu before an article ends here
+                bad = max(bad, worse)
         if tag in BLOCK_TAGS:
-            cut()
+            cut(not closing and tag in HEADINGS)
         elif tag == "span":
             # an inline region of its own (an advert within a line) is cut off, another one is not
-            if block.bad != bad:
+            if block.bad != (bad > 0):
                 cut()
     cut()
     return out
@@ -197,13 +205,13 @@ def main_text(page: str | None) -> str:
     out = []
     for k, (text, label) in enumerate(zip(texts, labels)):
         if label == 0:
-            label = inherited(k, labels, regions, has_article)
+            label = inherited(k, labels, regions, has_article, found[k][0].heading)
         if label > 0:
             out.append(text)
     return "\n\n".join(out)
 
 
-def inherited(k: int, labels: list[int], regions: list[int], has_article: bool) -> int:
+def inherited(k: int, labels: list[int], regions: list[int], has_article: bool, heading: bool) -> int:
     """Label of the nearest decided block; the region's end is one (good for an article, else bad)."""
     end = 1 if has_article else -1
     for step in range(1, len(labels) + 1):
@@ -216,7 +224,7 @@ def inherited(k: int, labels: list[int], regions: list[int], has_article: bool)
                 if not (has_article and labels[j] < 0):
                     near.append(labels[j])
         if near:
-            return max(near)
+            return near[-1] if heading else min(near)
     return end
 
 

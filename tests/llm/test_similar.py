@@ -1,0 +1,258 @@
+"""Operators 2, 4 and 6: quality vote, SimHash, decontamination; and the pipeline."""
+
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from ledgerloom.llm import decontam, quality_knn, queries, simhash
+from ledgerloom.llm.common import table
+from tests.conftest import SF_MID, SF_SMALL
+from tests.llm.conftest import ODD
+from tests.llm.test_tokens import check_packing
+
+
+# --------------------------------------------------------------------- SimHash
+
+def plain_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    grams = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    votes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in votes) * 2 > len(votes)) if votes else 0
+
+
+def plain_components(rows, most=3):
+    """{row number: smallest id reachable} by comparing all pairs."""
+    fps = sorted({fp for _, fp in rows})
+    up = {f: f for f in fps}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    arr = np.array(fps, np.uint64)
+    for i, f in enumerate(fps):
+        for j in np.flatnonzero(np.bitwise_count(arr ^ np.uint64(f)) <= most):
+            up[root(fps[j])] = root(f)
+    least = {}
+    for i, fp in rows:
+        if i is not None:
+            least[root(fp)] = min(least.get(root(fp), i), i)
+    return [least.get(root(fp)) for _, fp in rows]
+
+
+def test_golay_code_is_perfect():
+    words = np.arange(1 << 23)
+    nearest = simhash.decode(words)
+    assert np.bincount(nearest).tolist() == [1 << 11] * (1 << 12)
+    assert (simhash.error_table() >= 0).all()
+
+
+def test_keys_meet_for_every_error_of_three_bits():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    places = np.array([rng.permutation(64)[:3] for _ in base], np.uint64)
+    other = base ^ (np.uint64(1) << places).sum(1).astype(np.uint64)
+    ka, asks, ra = simhash.keys(base)
+    kb, _, rb = simhash.keys(other)
+    _, asks_b, _ = simhash.keys(other)
+    for r in range(len(base)):
+        asked, answered = set(ka[(ra == r) & asks]), set(kb[(rb == r) & ~asks_b])
+        assert asked & answered
+
+
+def test_simhash_query_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in table(spark, SF_MID, "documents").collect()]
+    rows = [(i, plain_fingerprint(t)) for i, t in docs]
+    want = Counter((i, f"{fp:016x}", c) for (i, fp), c in zip(rows, plain_components(rows)))
+    got = queries.op4(spark, SF_MID).collect()
+    assert Counter(map(tuple, got)) == want
+    assert any(r.doc_id != r.component_id for r in got)
+
+
+@pytest.mark.parametrize("block", [4, 2048])
+def test_links_of_dense_groups(spark, block):
+    """Chains and clouds of near fingerprints, with hot keys cut into blocks."""
+    rng = np.random.default_rng(2)
+    fps = set()
+    for _ in range(6):
+        c = int(rng.integers(0, 1 << 62))
+        for _ in range(60):
+            c ^= 1 << int(rng.integers(0, 64))
+            fps.add(c)
+            fps.add(c ^ 1 << int(rng.integers(0, 64)) ^ 1 << int(rng.integers(0, 64)))
+    fps |= {int(x) for x in rng.integers(0, 1 << 62, 300)}
+    rows = [(i, fp) for i, fp in enumerate(sorted(fps))]
+    df = spark.createDataFrame([(fp - (1 << 64) if fp >> 63 else fp,) for _, fp in rows], "fp long")
+    edges = simhash.links(df, block=block)
+    assert edges.count() < 8 * 8 * len(rows)
+    label = {r.node: r.root for r in simhash.components(edges).collect()}
+    signed = [fp - (1 << 64) if fp >> 63 else fp for _, fp in rows]
+    mine = [label.get(f, f) for f in signed]
+    want = plain_components(rows)
+    assert len(set(mine)) == len(set(want)) == len(set(zip(mine, want)))
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = simhash.components(edges.union(spark.createDataFrame([(900, 901), (901, 900), (7, 7)], "a long, b long"))).collect()
+    assert {(r.node, r.root) for r in got} == {(i, 0) for i in range(201)} | {(900, 900), (901, 900)}
+
+
+def test_simhash_of_odd_rows(odd, nothing):
+    rows = [(i, plain_fingerprint(t)) for i, t in ODD]
+    want = Counter((i, fp - (1 << 64) if fp >> 63 else fp, c) for (i, fp), c in zip(rows, plain_components(rows)))
+    assert Counter(map(tuple, simhash.near_duplicates(odd).collect())) == want
+    assert simhash.near_duplicates(nothing).count() == 0
+
+
+# ------------------------------------------------------------- quality classifier
+
+def test_quality_on_held_out_documents(spark):
+    labels = table(spark, SF_MID, "labels")
+    rows = queries.op2(spark, SF_MID).collect()
+    assert len(rows) == table(spark, SF_MID, "documents").count()
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    held = [(r.predicted, truth[r.doc_id]) for r in rows if r.held_out and r.doc_id in truth]
+    good = sum(p == q for p, q in held)
+    assert len(held) > 50 and good >= 0.95 * len(held)
+    assert all(p for p, q in held if q)
+
+
+def test_quality_of_odd_rows(spark, odd, nothing):
+    docs, labels = table(spark, SF_SMALL, "documents"), table(spark, SF_SMALL, "labels")
+    got = quality_knn.score(odd, docs, labels, "key", "row").collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in ODD) and all(0 <= r.score <= 1 and r.key == "x" for r in got)
+    assert quality_knn.score(nothing, docs, labels).count() == 0
+    assert {r.score for r in quality_knn.score(odd, docs, labels.where("false")).collect()} == {0.5}
+    assert {r.score for r in quality_knn.score(odd, docs, labels.where("quality = 1")).collect()} == {1.0}
+
+
+def test_exact_votes():
+    """The blocked vote equals one document at a time over all cosines."""
+    class Row:
+        def __init__(self, text, y):
+            (at, value), self.y = quality_knn.features(text), y
+            self.at, self.value = at.tolist(), value.tolist()
+    rng = np.random.default_rng(0)
+    texts = [" ".join(rng.choice(["the", "Cat", "SAT!!", "%%%", "on", "mat."], 12)) for _ in range(80)]
+    model = quality_knn.fit([Row(t, float(k % 2)) for k, t in enumerate(texts)], rank=8)
+    found = [quality_knn.features(t) for t in texts[:20]]
+    block = quality_knn.vote(model, found, neighbours=5)
+    for f, s in zip(found, block):
+        cos = quality_knn.latent([f], model["idf"], model["basis"]) @ model["vectors"].T
+        top = np.sort(cos[0])[::-1][:5]
+        assert cos.shape[1] == 80 and abs(quality_knn.vote(model, [f], 5)[0] - s) < 1e-5 and top[0] > 0.99
+
+
+# ------------------------------------------------------------- decontamination
+
+def plain_alignment(item, passage):
+    best = 0
+    prev = [0] * (len(passage) + 1)
+    for w in item:
+        row = [0]
+        for j, v in enumerate(passage, 1):
+            row.append(max(0, prev[j - 1] + (2 if v == w else -1), prev[j] - 1, row[-1] - 1))
+        best = max(best, *row)
+        prev = row
+    return best
+
+
+def test_alignment_against_the_textbook():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        a, b = rng.integers(0, 5, rng.integers(1, 12)), rng.integers(0, 5, rng.integers(1, 25))
+        score, lo, hi = decontam.alignment(a, b)
+        assert score == plain_alignment(a.tolist(), b.tolist())
+        if score:
+            assert plain_alignment(a.tolist(), b[lo:hi].tolist()) == score
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_planted_copies(spark, limit):
+    """Exact and edited copies are found, by broadcast and by shuffle, and clean documents are left alone."""
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{k}" for k in range(300)]
+    prose = lambda n: rng.choice(vocabulary, n).tolist()
+    items = [(k, prose(int(rng.integers(12, 60)))) for k in range(12)]
+    docs, want = [], set()
+    for d in range(120):
+        words = prose(200)
+        if d % 4 == 0:
+            k, text = items[d // 4 % 12]
+            text = [w for w in text if rng.random() > 0.05] if d % 8 == 0 else list(text)
+            for j in range(0, len(text), 9):
+                if d % 8 == 0:
+                    text[j] = "edited"
+            words[50:50] = text
+            want.add((d, k))
+        docs.append((d, "  ".join(words).title() + "."))
+    df = spark.createDataFrame([*docs, (None, None), (500, ""), docs[0]], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items] + [(99, None), (98, "")], "item_id long, text string")
+    got = decontam.contaminated(df, bench, broadcast_seeds=limit).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+    assert all(r.score >= 0.5 and 40 <= r.first_word <= 52 for r in got)
+
+
+def test_decontam_query_finds_what_ngrams_find(spark):
+    """Every document that holds at least half of an item's 3-grams is found; none with less than a fifth."""
+    bench = {r.item_id: decontam.words_of(r.text) for r in table(spark, SF_MID, "benchmark").collect()}
+    grams = {k: {tuple(w[i:i + 3]) for i in range(len(w) - 2)} for k, w in bench.items()}
+    share = {}
+    for r in table(spark, SF_MID, "documents").collect():
+        w = decontam.words_of(r.text)
+        own = set(zip(w, w[1:], w[2:]))
+        for k, g in grams.items():
+            share[r.doc_id, k] = len(own & g) / len(g)
+    got = {(r.doc_id, r.item_id) for r in queries.op6(spark, SF_MID).collect()}
+    assert {k for k, s in share.items() if s >= 0.5} <= got
+    assert all(share[k] >= 0.2 for k in got) and got
+
+
+def test_decontam_of_empty_tables(spark, odd, nothing):
+    bench = table(spark, SF_SMALL, "benchmark")
+    assert decontam.contaminated(nothing, bench).count() == 0
+    assert decontam.contaminated(odd, bench.where("false")).count() == 0
+    three = spark.createDataFrame([(1, "one two three"), (2, "tail")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(odd, three).collect()} == {(4, 1), (None, 1), (5, 2)}
+
+
+# -------------------------------------------------------------------- pipeline
+
+def test_pipeline_stage_by_stage(spark):
+    docs = table(spark, SF_SMALL, "documents")
+    cols = docs.columns
+    want = {r.doc_id for r in queries.op8(spark, SF_SMALL).where("kept").collect()}
+    for (name, stage), check in zip(corpus_pipeline.STAGES, (None, None, 3, 4, 5)):
+        out = stage(spark, docs, SF_SMALL).cache()
+        ids = {r.doc_id for r in out.collect()}
+        before = {r.doc_id: r.text for r in docs.collect()}
+        if name == "quality_rules":
+            assert ids == want
+        elif name == "near_duplicates":
+            rows = [(i, plain_fingerprint(t)) for i, t in before.items()]
+            assert ids == set(plain_components(rows)) and out.count() == len(ids)
+        elif name == "decontamination":
+            bad = {r.doc_id for r in decontam.contaminated(docs, table(spark, SF_SMALL, "benchmark")).collect()}
+            assert ids == set(before) - bad
+        elif name == "packing":
+            check_packing(out.collect(), list(before.items()))
+        if name != "packing":
+            assert out.columns == cols
+            docs = out
+    assert corpus_pipeline.run(spark, SF_SMALL).count() == out.count()
+
+
+def test_pipeline_stages_of_odd_rows(spark, odd, nothing):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF_SMALL)
+        assert out.count() >= 0
+        if name != "packing":
+            assert out.columns == odd.columns
+        assert stage(spark, nothing, SF_SMALL).count() == 0
