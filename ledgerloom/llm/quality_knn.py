@@ -38,12 +38,12 @@ ship(__name__)
 PER_CLASS = 1500
 RANK = 48
 NEIGHBOURS = 25
-BLOCK = 1024
+BLOCK = 512
 WORD_DIMS, SHAPE_DIMS = 2048, 1024
 DIMS = WORD_DIMS + SHAPE_DIMS
 WORD_WEIGHT, SHAPE_WEIGHT = 0.3, 1.0
 #: Words whose feature numbers a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 60_000
 SHAPE_CHARS = 12
 
 

@@ -67,7 +67,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     """doc_id and fp (the 64 bits as a signed long)."""
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()], dtype=np.uint64)
+            fp = np.zeros(b.num_rows, np.uint64)
+            for at in range(0, b.num_rows, 256):
+                fp[at:at + 256] = [fingerprint(t, shingle, seed) for t in b.column(1).slice(at, 256).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")

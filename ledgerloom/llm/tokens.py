@@ -26,8 +26,8 @@ PRE_TOKEN = (rf"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LET
              rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 NOT_PLAIN = r"[^\t\n\r\x20-\x7e\xa1-ſ]"
 
-#: Pre-tokens in each of a worker's two caches (a full one starts anew), and the longest one remembered.
-CACHE_TOKENS, CACHE_CHARS = 300_000, 64
+#: Pre-tokens a worker remembers for good and for a while (a full cache starts anew), and the longest one remembered.
+KNOWN_TOKENS, YOUNG_TOKENS, CACHE_CHARS = 250_000, 100_000, 64
 
 
 class Pieces:
@@ -101,13 +101,13 @@ class Pieces:
             missing = {own[i] for own, places in zip(toks, gaps) for i in places}
             if missing:
                 found = {t: young[t] for t in missing if t in young}
-                if len(known) > CACHE_TOKENS:
+                if len(known) > KNOWN_TOKENS:
                     known.clear()
                 known.update(found)
                 new = list(missing.difference(found))
                 if new:
                     got = dict(zip(new, [array(code, ids).tobytes() for ids in self.ids(new)]))
-                    if len(young) > CACHE_TOKENS:
+                    if len(young) > YOUNG_TOKENS:
                         young.clear()
                     young.update(got if max(map(len, new)) <= CACHE_CHARS else
                                  {t: part for t, part in got.items() if len(t) <= CACHE_CHARS})
