@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.llm import decontam, packing, quality_knn, quality_rules, simhash
-from ledgerloom.llm.common import scratch, table
+from ledgerloom.llm.common import scratch, small_batches, table
 from ledgerloom.llm.queries import MIN_SCORE, TOKENIZER, learned_labels
 
 
@@ -42,6 +42,7 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near-duplicates."""
+    small_batches(spark)
     kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.union(docs.where("doc_id is null")).select(docs.columns)
@@ -55,6 +56,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences."""
+    small_batches(spark)
     return packing.piece_digests(packing.pack(docs, public_tokenizers.path(TOKENIZER), end_id=1))
 
 

@@ -6,6 +6,7 @@ import sys
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,21 @@ def worker_state(name: str) -> dict:
     return box.__dict__.setdefault(name, {})
 
 
+def slices(batches, rows: int):
+    """Arrow batches cut to at most ``rows`` rows; memory that Arrow freed goes back to the system after each batch."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch, unless the session has its own setting: texts can be very long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Select columns by exact name and position.
 
@@ -61,4 +77,5 @@ def at_most(df: DataFrame, limit: int) -> list | None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

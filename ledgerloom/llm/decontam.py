@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.common import pick, ship, written
+from ledgerloom.llm.common import pick, ship, slices, written
 
 ship(__name__)
 
@@ -142,7 +142,7 @@ def passages_broadcast(docs: DataFrame, seeds: list, n: int) -> DataFrame:
 
     def run(batches):
         table = vocabulary.value
-        for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+        for b in slices(batches, 256):
             rows = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = words_of(text)

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.common import pick, ship
+from ledgerloom.llm.common import pick, ship, slices
 from ledgerloom.llm.tokens import pieces
 
 ship(__name__)
@@ -78,20 +78,17 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, gro
         p = pieces(tokenizer)
         end = end_id.to_bytes(p.width, "little")
         step = length * p.width
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1)
-            for at in range(0, b.num_rows, 256):
-                rows = []
-                for i, raw in zip(ids[at:at + 256], p.encode(texts.slice(at, 256).to_pylist())):
-                    raw += end
-                    for k in range(0, len(raw), step):
-                        part = raw[k:k + step]
-                        g = xxhash.xxh64_intdigest(part + b"%d %d" % (-1 if i is None else i, k), SEED) % groups
-                        rows.append((g, i, k // p.width, len(part) // p.width, len(raw) // p.width, part))
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))],
-                    ["grp", "doc_id", "start", "length", "doc_tokens", "ids"])
+        for b in slices(batches, 256):
+            rows = []
+            for i, raw in zip(b.column(0).to_pylist(), p.encode(b.column(1).to_pylist())):
+                raw += end
+                for k in range(0, len(raw), step):
+                    part = raw[k:k + step]
+                    g = xxhash.xxh64_intdigest(part + b"%d %d" % (-1 if i is None else i, k), SEED) % groups
+                    rows.append((g, i, k // p.width, len(part) // p.width, len(raw) // p.width, part))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))],
+                ["grp", "doc_id", "start", "length", "doc_tokens", "ids"])
 
     def fill(batch: pa.Table) -> pa.Table:
         width = pieces(tokenizer).width

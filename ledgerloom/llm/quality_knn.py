@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ledgerloom.llm.common import pick, ship, worker_state
+from ledgerloom.llm.common import pick, ship, slices, worker_state
 
 ship(__name__)
 
@@ -181,10 +181,8 @@ def score(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, *carry: str
     model = docs.sparkSession.sparkContext.broadcast(fit(rows))
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, BLOCK):
-                own = b.slice(at, BLOCK)
-                s = vote(model.value, [features(t) for t in own.column(0).to_pylist()], neighbours)
-                yield pa.RecordBatch.from_arrays([*own.columns[1:], pa.array(s.astype(np.float64))], [*b.schema.names[1:], "score"])
+        for b in slices(batches, BLOCK):
+            s = vote(model.value, [features(t) for t in b.column(0).to_pylist()], neighbours)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s.astype(np.float64))], [*b.schema.names[1:], "score"])
 
     return docs.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))

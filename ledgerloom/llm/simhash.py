@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.common import pick, scratch, ship, worker_state, written
+from ledgerloom.llm.common import pick, ship, slices, worker_state, written
 
 ship(__name__)
 
@@ -66,10 +66,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long)."""
     def run(batches):
-        for b in batches:
-            fp = np.zeros(b.num_rows, np.uint64)
-            for at in range(0, b.num_rows, 256):
-                fp[at:at + 256] = [fingerprint(t, shingle, seed) for t in b.column(1).slice(at, 256).to_pylist()]
+        for b in slices(batches, 256):
+            fp = np.array([fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ledgerloom.llm.common import at_most, pick, ship
+from ledgerloom.llm.common import at_most, pick, ship, slices
 from ledgerloom.llm.tokens import pieces
 
 ship(__name__)
@@ -45,20 +45,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int,
     def encode(batches):
         p, before = pieces(tokenizer), 0
         kind, end = np.dtype("<u2" if p.width == 2 else "<u4"), np.array([end_id])
-        for b in batches:
-            ids, texts = b.column(0), b.column(1)
-            for at in range(0, b.num_rows, 256):
-                parts, sizes = [], []
-                for raw in p.encode(texts.slice(at, 256).to_pylist()):
-                    parts += [np.frombuffer(raw, kind), end]
-                    sizes.append(len(raw) // p.width + 1)
-                offsets = np.concatenate([[0], np.cumsum(sizes)])
-                values = np.concatenate(parts).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, 256), pa.array(np.array(sizes, np.int64)), pa.array(before + offsets[:-1].astype(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))],
-                    ["doc_id", "n_tokens", "file_start", "ids"])
-                before += int(offsets[-1])
+        for b in slices(batches, 256):
+            parts, sizes = [], []
+            for raw in p.encode(b.column(1).to_pylist()):
+                parts += [np.frombuffer(raw, kind), end]
+                sizes.append(len(raw) // p.width + 1)
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            values = np.concatenate(parts).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(np.array(sizes, np.int64)), pa.array(before + offsets[:-1].astype(np.int64)),
+                 pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))],
+                ["doc_id", "n_tokens", "file_start", "ids"])
+            before += int(offsets[-1])
 
     (docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
      .mapInArrow(encode, SCHEMA).write

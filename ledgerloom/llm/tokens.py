@@ -26,8 +26,10 @@ PRE_TOKEN = (rf"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LET
              rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 NOT_PLAIN = r"[^\t\n\r\x20-\x7e\xa1-ſ]"
 
-#: Pre-tokens a worker remembers for good and for a while (a full cache starts anew), and the longest one remembered.
-KNOWN_TOKENS, YOUNG_TOKENS, CACHE_CHARS = 250_000, 100_000, 64
+#: Pre-tokens a worker remembers for good and for a while, and the longest one remembered.
+KNOWN_TOKENS, YOUNG_TOKENS, CACHE_CHARS = 400_000, 400_000, 64
+#: After so many pre-tokens, the cache is renewed if more than this share was unknown.
+STALE_AFTER, STALE_SHARE = 5_000_000, 0.3
 
 
 class Pieces:
@@ -35,6 +37,7 @@ class Pieces:
 
     def __init__(self, path: str):
         self.path, self.known, self.young = path, {}, {}
+        self.seen = self.unknown = 0
         self.plain = None
         if path.endswith(".model"):
             import sentencepiece
@@ -90,6 +93,7 @@ class Pieces:
 
         Pre-tokens met once are remembered for a while, those met again for
         good, so that the many that never return don't displace the others.
+        A full cache that no longer fits the texts starts anew.
         """
         known, young = self.known, self.young
         code = "H" if self.width == 2 else "I"
@@ -101,9 +105,14 @@ class Pieces:
             missing = {own[i] for own, places in zip(toks, gaps) for i in places}
             if missing:
                 found = {t: young[t] for t in missing if t in young}
-                if len(known) > KNOWN_TOKENS:
-                    known.clear()
-                known.update(found)
+                self.seen += sum(map(len, toks))
+                self.unknown += sum(map(len, gaps))
+                if self.seen > STALE_AFTER:
+                    if self.unknown > STALE_SHARE * self.seen:
+                        known.clear()
+                    self.seen = self.unknown = 0
+                if len(known) < KNOWN_TOKENS:
+                    known.update(found)
                 new = list(missing.difference(found))
                 if new:
                     got = dict(zip(new, [array(code, ids).tobytes() for ids in self.ids(new)]))
