@@ -13,12 +13,22 @@ FENCE_PATTERN = r"(?i)^```(?:json)?\s*|\s*```$"
 OBJECT_PATTERN = r"(?s)\{.*\}"
 
 
+def is_json(t: Column) -> Column:
+    """Whether a text is one JSON object or array and nothing else.
+
+    Spark's JSON functions stop at the end of the first value, so the text is
+    tried as the only element of an array and as the only value of an object.
+    """
+    element = F.json_array_length(F.concat(F.lit("["), t, F.lit("]"))) == 1
+    value = F.size(F.json_object_keys(F.concat(F.lit('{"k":'), t, F.lit("}")))) == 1
+    return F.coalesce(element & value, F.lit(False)) & t.rlike(r"(?s)^\s*[{\[]")
+
+
 def lenient_json(c) -> Column:
     """JSON object text of a reply: fences stripped; if that is no valid
-    JSON, the outermost ``{...}``; else null.
+    JSON, the outermost ``{...}`` if that is valid; else null.
     """
     col = F.col(c) if isinstance(c, str) else c
     t = utrim(F.regexp_replace(utrim(col), FENCE_PATTERN, ""))
-    valid = F.json_object_keys(t).isNotNull() | F.json_array_length(t).isNotNull()
     inner = F.regexp_extract(t, OBJECT_PATTERN, 0)
-    return F.when(valid, t).when(inner != "", inner)
+    return F.when(is_json(t), t).when(is_json(inner), inner)

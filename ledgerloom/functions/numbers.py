@@ -46,8 +46,11 @@ def finite_double(c) -> Column:
 
 
 def safe_money(c) -> Column:
-    """Money rounded to cents, null when not a finite number."""
-    return finite_double(c).cast(MONEY)
+    """Money rounded to cents, null when not a finite number or too large.
+
+    Numbers go through a wide decimal, so decimals keep their digits.
+    """
+    return F.coalesce(_c(c).try_cast("decimal(38,12)"), finite_double(c).try_cast("decimal(38,12)")).try_cast(MONEY)
 
 
 def safe_timestamp(c, fmt: str | None = None) -> Column:

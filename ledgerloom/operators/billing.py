@@ -220,13 +220,15 @@ def assign_numbers(valid: DataFrame, register: DataFrame, reserved: DataFrame |
     """
     spark = valid.sparkSession
     # register max as a scalar subquery: evaluated once, no join
-    start = register_max(register).select((F.coalesce("last_number", F.lit(0)) + 1).alias("s")).scalar()
+    # an empty or unreadable register gives no start: every row is rejected, nothing is numbered from 1
+    start = register_max(register).select((F.coalesce("last_number", F.lit(limit)) + 1).alias("s")).scalar()
+    known = register_max(register).select(F.col("last_number").isNotNull().alias("k")).scalar()
     free = rank_ascending_range(spark, start, limit, reserved)
     ranked = ranked_within(valid, [], list(order_cols), rank_col="k")
     out = ranked.join(free, "k", "left")
     numbered = out.filter(F.col("number").isNotNull()).drop("k")
     over = out.filter(F.col("number").isNull()).select(*MOVEMENT_KEY, F.lit("number").alias("stage"),
-                                                         F.lit("limit_reached").alias("reason"))
+                                                         F.when(known, "limit_reached").otherwise("register_empty").alias("reason"))
     return numbered, over
 
 
@@ -358,12 +360,12 @@ def billing_summary(movements: DataFrame, pend: DataFrame, invoices: DataFrame,
 
 
 def writeback(movements: DataFrame, invoices: DataFrame) -> DataFrame:
-    """Invoice numbers written to every movement row with that id (all
-    source files, quirk Q13); other rows keep their value."""
-    nums = (invoices.select(utrim("id_ingreso").alias("_k"), F.col("number").cast("string").alias("_num"))
-            .groupBy("_k").agg(F.max("_num").alias("_num")))
-    j = movements.join(nums, utrim(movements["id_ingreso"]) == nums["_k"], "left")
-    return j.withColumn("factura", F.coalesce(F.col("_num"), F.col("factura"))).drop("_k", "_num")
+    """Invoice numbers written to every movement row of the account with that
+    id (all source files, quirk Q13), the highest one; other rows keep their value."""
+    nums = (invoices.select(F.col("casillero").alias("_a"), utrim("id_ingreso").alias("_k"), F.col("number").cast("bigint").alias("_num"))
+            .groupBy("_a", "_k").agg(F.max("_num").alias("_num")))
+    j = movements.join(nums, (movements["casillero"] == nums["_a"]) & (utrim(movements["id_ingreso"]) == nums["_k"]), "left")
+    return j.withColumn("factura", F.coalesce(F.col("_num").cast("string"), F.col("factura"))).drop("_a", "_k", "_num")
 
 
 def reply_triage(replies: DataFrame) -> DataFrame:

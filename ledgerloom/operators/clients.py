@@ -164,8 +164,21 @@ def changed_assignments(movements: DataFrame, edits: DataFrame) -> DataFrame:
     cur = movements.select("casillero", "source_file", "id_ingreso",
                            clean_id("id_cliente").alias("_old"))
     e = edits.withColumn("_new", utrim(F.coalesce(F.col("nuevo_id_cliente").cast("string"), F.lit(""))))
-    j = e.join(cur, ["casillero", "source_file", "id_ingreso"])
-    return j.filter(~(F.col("_old").eqNullSafe(F.col("_new")))).drop("_old")
+    # one edit and one current value a key; null ids are keys like others
+    keys = ["casillero", "source_file", "id_ingreso"]
+    e = e.groupBy(*keys).agg(F.max("_new").alias("_new"))
+    cur = cur.select(*[F.col(k).alias(f"_m_{k}") for k in keys], "_old").distinct()
+    j = e.join(cur, _same(e, cur, keys))
+    changed = j.filter(~(F.col("_old").eqNullSafe(F.col("_new"))))
+    return changed.select(*keys, "_new").distinct()
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]):
+    """Null-safe equality of keys with ``_m_<key>``."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(right[f"_m_{k}"])
+    return on
 
 
 def assignment_check(movements: DataFrame, edits: DataFrame, clients: DataFrame) -> DataFrame:
@@ -186,8 +199,10 @@ def assignment_apply(movements: DataFrame, edits: DataFrame, clients: DataFrame)
     ch = changed_assignments(movements, edits)
     bad_files = assignment_check(movements, edits, clients).select("casillero", "source_file").distinct()
     ok = ch.join(bad_files, ["casillero", "source_file"], "left_anti").select(
-        "casillero", "source_file", "id_ingreso", F.col("_new").alias("_apply"))
-    j = movements.join(ok, ["casillero", "source_file", "id_ingreso"], "left")
+        F.col("casillero").alias("_m_casillero"), F.col("source_file").alias("_m_source_file"),
+        F.col("id_ingreso").alias("_m_id_ingreso"), F.col("_new").alias("_apply"))
+    keys = ["casillero", "source_file", "id_ingreso"]
+    j = movements.join(ok, _same(movements, ok, keys), "left").drop(*[f"_m_{k}" for k in keys])
     return (j.withColumn("applied", F.col("_apply").isNotNull())
             .withColumn("id_cliente", F.when(F.col("applied"), F.col("_apply")).otherwise(F.col("id_cliente")))
             .drop("_apply"))
@@ -199,5 +214,6 @@ def append_clients(clients: DataFrame, forms: DataFrame) -> DataFrame:
     ``client_validation`` with their reason."""
     ok = client_validation(forms, clients).filter(F.col("reason").isNull())
     new = ok.select(*[utrim(F.col(c).cast("string")).alias(c) for c in REQUIRED])
-    base = clients.select(*[F.col(c) for c in REQUIRED if c in clients.columns])
-    return clients_clean(base.unionByName(new, allowMissingColumns=True))
+    # two forms of one id in a batch: the first by its texts stands
+    new = new.dropDuplicates(["identificacion"])
+    return clients_clean(clients.unionByName(new, allowMissingColumns=True))

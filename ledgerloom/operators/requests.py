@@ -250,7 +250,7 @@ def upsert_by_id(requests: DataFrame, updates: DataFrame) -> DataFrame:
             .agg(*[F.max_by(F.col(c), F.col("seq")).alias(f"_u_{c}") for c in upd_cols]))
     j = requests.join(last, ["casillero", "id"], "left")
     for c in upd_cols:
-        j = j.withColumn(c, F.coalesce(F.col(f"_u_{c}"), F.col(c).cast(updates.schema[c].dataType)))
+        j = j.withColumn(c, F.coalesce(F.col(f"_u_{c}").try_cast(requests.schema[c].dataType), F.col(c)))
     return j.drop(*[f"_u_{c}" for c in upd_cols])
 
 

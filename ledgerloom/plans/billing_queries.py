@@ -192,8 +192,8 @@ def q_billing_summary(spark, sf):
 
 
 @query("invoice_writeback", billing_sql("""
-, nums AS (SELECT trim(id_ingreso) AS k, max(CAST(number AS VARCHAR)) AS num FROM invoices GROUP BY trim(id_ingreso))
-SELECT m.* REPLACE (coalesce(n.num, m.factura) AS factura) FROM movements m LEFT JOIN nums n ON trim(m.id_ingreso) = n.k"""))
+, nums AS (SELECT casillero AS a, trim(id_ingreso) AS k, CAST(max(CAST(number AS BIGINT)) AS VARCHAR) AS num FROM invoices GROUP BY ALL)
+SELECT m.* REPLACE (coalesce(n.num, m.factura) AS factura) FROM movements m LEFT JOIN nums n ON m.casillero = n.a AND trim(m.id_ingreso) = n.k"""))
 def q_invoice_writeback(spark, sf):
     return B.writeback(A.load(spark, sf, "movements"), _run(spark, sf).invoices)
 

@@ -180,7 +180,7 @@ def q_requests_upsert(spark, sf):
 
 @query("json_lenient", with_views(["model_replies"], """
 , t AS (SELECT event_id, trim(regexp_replace(trim(reply), '(?i)^```(?:json)?\\s*|\\s*```$', '', 'g')) AS t FROM model_replies),
-  j AS (SELECT event_id, CASE WHEN json_valid(t) THEN t ELSE nullif(regexp_extract(t, '(?s)\\{.*\\}', 0), '') END AS js FROM t)
+  j AS (SELECT event_id, CASE WHEN json_valid(t) THEN t WHEN json_valid(regexp_extract(t, '(?s)\\{.*\\}', 0)) THEN regexp_extract(t, '(?s)\\{.*\\}', 0) END AS js FROM t)
 SELECT event_id, js IS NOT NULL AS readable, try_cast(json_extract_string(js, '$.k') AS BIGINT) AS k FROM j"""))
 def q_json_lenient(spark, sf):
     from ledgerloom.functions.jsontext import lenient_json

@@ -79,7 +79,7 @@ def movement_file_set(spark, sf):
 
 @query("movements_load")
 def q_movements_load(spark, sf):
-    return readers.load_movement_files(spark, movement_file_set(spark, sf))
+    return readers.load_movement_files(spark, movement_file_set(spark, sf), accounts=A.load(spark, sf, "accounts"))
 
 
 @query("report_export", with_views(["ledger"], INCOME_BODY + f"""

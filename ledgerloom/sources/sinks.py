@@ -43,29 +43,31 @@ def account_bucket(col: str = "casillero", buckets: int = ACCOUNT_BUCKETS):
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None,
-                mode: str = "overwrite", buckets: int | None = ACCOUNT_BUCKETS) -> None:
+                mode: str = "overwrite", buckets: int | None = ACCOUNT_BUCKETS, whole: bool = False) -> None:
     """Write a table clustered by account.
 
     Default layout: ``casillero_bucket=<k>/`` folders (``buckets`` of them)
-    with rows range-partitioned and sorted by (bucket, account), so each
-    task writes few files, a hot account spans several tasks, and readers
-    prune by folder and by row-group statistics on ``casillero``.  With
-    ``partitionOverwriteMode=dynamic`` (session default) an overwrite
-    replaces only the buckets present in ``df``.  ``partition_by`` names
-    explicit partition columns instead; ``buckets=None`` and no
-    ``partition_by`` writes a flat table.
+    with rows range-partitioned by (bucket, account, row hash) and sorted by
+    (bucket, account), so each task writes few files, a hot account spans
+    several tasks, and readers prune by folder and by row-group statistics on
+    ``casillero``.  With ``partitionOverwriteMode=dynamic`` (session default)
+    an overwrite replaces only the buckets present in ``df``; ``whole=True``
+    replaces the table.  ``partition_by`` names explicit partition columns
+    instead; ``buckets=None`` and no ``partition_by`` writes a flat table.
     """
+    tail = F.xxhash64(*[f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
     parts = [p for p in (partition_by or []) if p in df.columns]
     out = df
     if not parts and buckets and "casillero" in df.columns:
         out = out.withColumn(BUCKET_COL, account_bucket("casillero", buckets))
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        out = (out.repartitionByRange(n, F.col(BUCKET_COL), F.col("casillero"))
+        out = (out.repartitionByRange(F.col(BUCKET_COL), F.col("casillero"), tail)
                .sortWithinPartitions(BUCKET_COL, "casillero"))
         parts = [BUCKET_COL]
     elif parts:
-        out = out.repartition(*[F.col(p) for p in parts])
+        out = out.repartitionByRange(*[F.col(p) for p in parts], tail)
     w = out.write.mode(mode).format(fmt)
+    if whole:
+        w = w.option("partitionOverwriteMode", "static")
     if fmt == "csv":
         w = w.option("header", "true")
     if parts:
@@ -74,10 +76,10 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
-               accounts=None) -> DataFrame:
+               accounts=None, buckets: int = ACCOUNT_BUCKETS) -> DataFrame:
     """Read a table written by ``write_table`` with its schema (the bucket
     column is dropped).  ``accounts``: only those accounts, pruned to their
-    bucket folders before any file is opened."""
+    bucket folders before any file is opened; ``buckets`` as written."""
     full = T.StructType(list(schema.fields) + [T.StructField(BUCKET_COL, T.IntegerType())])
     r = spark.read.schema(full).format(fmt)
     if fmt == "csv":
@@ -85,22 +87,21 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     df = r.load(path)
     if accounts is not None:
         accts = list(accounts)
-        df = df.filter(F.col(BUCKET_COL).isin(sorted({bucket_of(a) for a in accts}))
+        df = df.filter(F.col(BUCKET_COL).isin([bucket_of(a, buckets) for a in accts])
                        & F.col("casillero").isin(accts))
     return df.drop(BUCKET_COL)
 
 
-def bucket_of(acct: str, buckets: int = ACCOUNT_BUCKETS) -> int:
-    """Bucket of a literal account, computed like ``xxhash64`` (seed 42) so a
-    filter on the partition column prunes folders; no Spark job."""
-    import xxhash
-    return xxhash.xxh64_intdigest(str(acct).encode("utf-8"), seed=42) % buckets
+def bucket_of(acct: str, buckets: int = ACCOUNT_BUCKETS):
+    """Bucket of a literal account: a constant that Spark folds, so a filter
+    on the partition column prunes folders; no job."""
+    return F.pmod(F.xxhash64(F.lit(str(acct))), F.lit(buckets)).cast("int")
 
 
 def export_report(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
     """Write the export form of a report; return it read back from the sink."""
     ex = for_export(df)
-    write_table(ex, path, fmt=fmt)
+    write_table(ex, path, fmt=fmt, whole=True)
     return read_table(df.sparkSession, path, ex.schema, fmt=fmt)
 
 
