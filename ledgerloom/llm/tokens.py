@@ -61,13 +61,14 @@ class Pieces:
             self.plain = re.compile(PRE_TOKEN)
             self.odd = re.compile(NOT_PLAIN)
             contents = sorted((t["content"] for t in added), key=len, reverse=True)
-            self.special = re.compile("(" + "|".join(map(re.escape, contents)) + ")") if contents else None
+            self.contents = [c for c in contents if c]
+            self.special = re.compile("(" + "|".join(map(re.escape, self.contents)) + ")")
 
     def pre_tokens(self, text: str) -> list[str]:
         """Pre-tokens of a text in order; a special string is one of its own."""
         if self.plain is None:
             return [text] if text else []
-        if self.special is not None and self.special.search(text):
+        if any(c in text for c in self.contents):
             out = []
             for i, part in enumerate(self.special.split(text)):
                 out += [part] if i % 2 else self._split(part)
