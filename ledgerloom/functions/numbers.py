@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,29 +114,29 @@ def to_cents(c) -> Column:
 
 
 def round_ratio_half_up(num: Column, den: int) -> Column:
-    """round(num / den) half away from zero for non-negative integers.
+    """round(num / den) half away from zero for non-negative integers (decimal).
 
-    Exact: the quotient is taken in decimal, never in double.
+    Exact: the remainder is taken off before dividing, so the quotient is whole.
     """
-    q = (num.cast("decimal(38,0)") * 2 + F.lit(den)) / F.lit(2 * den).cast("decimal(38,0)")
-    return F.floor(q).cast("bigint")
+    n = (num.cast("decimal(38,0)") * 2 + F.lit(den)).cast("decimal(38,0)")
+    d = F.lit(2 * den).cast("decimal(38,0)")
+    return ((n - n % d) / d).cast("decimal(38,0)")
 
 
 def invoice_split_cents(total_cents: Column, with_vat: bool = True):
-    """Exact split of T cents into (GN1, SR02, IVA) cents.
+    """Exact split of T cents (up to four decimals) into (GN1, SR02, IVA) cents.
 
-    GN1 = T/1.015 = T*1000/1015, SR02 = GN1*0.015/1.19 = T*1500/120785,
-    IVA = SR02*0.19 = T*285/120785; each from unrounded values, each
-    rounded half up to the cent.  T <= 0 gives zeros.
+    GN1 = T / 1.015, SR02 = GN1 * 0.015 / 1.19, IVA = SR02 * 0.19; each from
+    unrounded values (T too), each rounded half up to the cent. T <= 0 gives
+    zeros.
     """
-    pos = total_cents > 0
-    gn1 = F.when(pos, round_ratio_half_up(total_cents * 1000, 1015)).otherwise(F.lit(0).cast("bigint"))
-    sr02 = F.when(pos, round_ratio_half_up(total_cents * 1500, 120785)).otherwise(F.lit(0).cast("bigint"))
-    if with_vat:
-        iva = F.when(pos, round_ratio_half_up(total_cents * 285, 120785)).otherwise(F.lit(0).cast("bigint"))
-    else:
-        iva = F.lit(0).cast("bigint")
-    return gn1, sr02, iva
+    gn1 = 1 / Fraction(THIRD_PARTY_DIVISOR)
+    sr02 = gn1 * Fraction(COMMISSION_RATE) / Fraction(VAT_DIVISOR)
+    iva = sr02 * Fraction(VAT_RATE) if with_vat else Fraction(0)
+    unit = (total_cents.cast("decimal(34,4)") * 10_000).cast("decimal(38,0)")
+    zero = F.lit(0).cast("decimal(38,0)")
+    return tuple(F.when(total_cents > 0, round_ratio_half_up(unit * part.numerator, part.denominator * 10_000))
+                 .otherwise(zero) for part in (gn1, sr02, iva))
 
 
 def cents_to_money(c: Column) -> Column:

@@ -38,6 +38,10 @@ REPLY_SERVICE_DOWN = ["product_service"]
 REPLY_EXPECTED_TOTAL = r"calculated is\s*([0-9]+(?:\.[0-9]+)?)"
 # ---------------------------------------------------------------------------
 
+# An amount before rounding, and the size from which a number is no amount.
+AMOUNT = "decimal(38,6)"
+MAX_AMOUNT = 1e24
+
 
 @dataclass(frozen=True)
 class BillingConfig:
@@ -106,13 +110,14 @@ def with_customer_fields(df: DataFrame, prefix: str = "") -> DataFrame:
     def c(n):
         return F.col(f"{prefix}{n}")
     needed = ["identificacion", "nombres", "apellidos", "telefono", "correo", "codigo_departamento",
-              "codigo_ciudad", "direccion"]
+              "codigo_ciudad", "direccion", "nombre_completo"]
     missing = {f"{prefix}{n}": F.lit(None).cast("string") for n in needed if f"{prefix}{n}" not in df.columns}
     if missing:
         df = df.withColumns(missing)
     df = df.withColumns({
         "f_identification": clean_id(c("identificacion")),
-        "_n0": clean_text(c("nombres")),
+        # a full name stands in where there are no first names
+        "_n0": F.when(clean_text(c("nombres")) == "", clean_text(c("nombre_completo"))).otherwise(clean_text(c("nombres"))),
         "_a0": clean_text(c("apellidos")),
         "f_phone": clean_phone(c("telefono")),
         "f_email": clean_text(c("correo")),
@@ -178,26 +183,33 @@ def new_customers(matched: DataFrame, known_customers: DataFrame) -> DataFrame:
 
 
 def invoice_total(df: DataFrame):
-    """First usable amount among the present amount columns; a value that is
-    not finite gives 0 (it is 'usable' but unusable, as in the reference)."""
+    """First usable amount among the present amount columns, unrounded (six
+    decimals).  A number that is not finite, or too large to be an amount,
+    gives 0: it is 'usable' but not chargeable, as in the reference."""
     present = [c for c in INVOICE_AMOUNT_COLUMNS if c in df.columns]
-    if not present:
-        return F.lit(0.0)
-    t = F.coalesce(*[safe_double(c) for c in present], F.lit(0.0))
-    return F.when(t.isin(float("inf"), float("-inf")), F.lit(0.0)).otherwise(t)
+    zero = F.lit(0).cast(AMOUNT)
+
+    def amount(c):
+        d = safe_double(c)
+        exact = F.coalesce(F.col(c).try_cast(AMOUNT), d.try_cast(AMOUNT))
+        return F.when(d.isNotNull(), F.when(F.abs(d) < MAX_AMOUNT, exact).otherwise(zero))
+
+    return F.coalesce(*[amount(c) for c in present], zero)
 
 
 def with_split(df: DataFrame, vat: bool = True) -> DataFrame:
-    """Add T and its split (money, exact cents arithmetic)."""
-    t = invoice_total(df)
-    cents = F.round(t * 100).cast("bigint")
-    gn1, sr02, iva = invoice_split_cents(cents, with_vat=vat)
-    return (df.withColumn("total_charged", t.cast(MONEY_SUM))
-            .withColumn("gn1", cents_to_money(gn1))
-            .withColumn("sr02", cents_to_money(sr02))
-            .withColumn("iva", cents_to_money(iva))
-            .withColumn("invoice_total", cents_to_money(gn1 + sr02 + iva))
-            .withColumn("zero_total", cents <= 0))
+    """Add T and its split (exact; from the unrounded T)."""
+    df = df.withColumn("_t", invoice_total(df))
+    gn1, sr02, iva = invoice_split_cents(F.col("_t") * 100, with_vat=vat)
+    df = df.withColumns({"_g": gn1, "_s": sr02, "_v": iva})
+    return df.withColumns({
+        "total_charged": F.col("_t").cast(MONEY_SUM),
+        "gn1": cents_to_money(F.col("_g")),
+        "sr02": cents_to_money(F.col("_s")),
+        "iva": cents_to_money(F.col("_v")),
+        "invoice_total": cents_to_money(F.col("_g") + F.col("_s") + F.col("_v")),
+        "zero_total": F.round(F.col("_t"), 2) <= 0,
+    }).drop("_t", "_g", "_s", "_v")
 
 
 def register_max(register: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ REVIEW_STATUSES = ["parcial", "en revision"]
 OPEN_STATUSES = ["pendiente", "parcial"]
 CHARGE_PENDING_STATUSES = ["pendiente", "parcial", "en revision"]
 WITHDRAWAL_TYPE = "Retiro"
+WITHDRAWAL_TEXT = "Retiro de "
+WITHDRAWAL_DASH = " — "
 EMPTY_RECEIPTS = "[]"
 # ---------------------------------------------------------------------------
 
@@ -181,9 +183,13 @@ def validate_forms(forms: DataFrame) -> DataFrame:
     return forms.withColumn("reason", reason)
 
 
-def new_request_rows(requests: DataFrame, forms: DataFrame, today) -> DataFrame:
+def new_request_rows(requests: DataFrame, forms: DataFrame, today, accounts: DataFrame | None = None) -> DataFrame:
     """Valid forms as new request rows with fresh ids.
 
+    A request has the date of its form (``fecha``; without one, ``today``), a
+    withdrawal has ``today`` and a text that names the withdrawing account
+    by ``accounts`` (code, name, override), else by its code.
+
     Ids continue each account's numbering ('ConsignacionN'; withdrawals also
     get 'retiroN' per withdrawing account over all accounts); ranks come from
     the skew-safe sequence operator, not a per-account window.
@@ -205,12 +211,21 @@ def new_request_rows(requests: DataFrame, forms: DataFrame, today) -> DataFrame:
     ok = (ok.join(base_b, "casillero", "left")
           .join(base_a, utrim(ok["mayorista_retira"]) == F.col("_acct_a"), "left"))
     day = F.lit(today).cast("date").cast("string")
+    if accounts is not None:
+        names = accounts.select(F.col("code").alias("_code"), F.coalesce("override", "name").alias("_name"))
+        ok = ok.join(names, utrim(ok["mayorista_retira"]) == names["_code"], "left")
+    else:
+        ok = ok.withColumn("_name", F.lit(None).cast("string"))
+    own_day = F.coalesce(F.col("fecha").try_cast("date").cast("string"), day) if "fecha" in ok.columns else day
+    text = utrim(F.coalesce("descripcion", F.lit("")))
+    withdrawal_text = F.concat(F.lit(WITHDRAWAL_TEXT), F.coalesce("_name", utrim("mayorista_retira")),
+                               F.when(text != "", F.concat(F.lit(WITHDRAWAL_DASH), text)).otherwise(F.lit("")))
     new = ok.select(
         "casillero",
         F.concat(F.lit(REQUEST_ID_PREFIX), (F.coalesce("_req0", F.lit(1)) + F.col("_rq") - 1).cast("string")).alias("id"),
-        utrim("descripcion").alias("descripcion"),
+        F.when(wd, withdrawal_text).otherwise(utrim("descripcion")).alias("descripcion"),
         F.col("monto").cast(MONEY).alias("monto"),
-        day.alias("fecha"),
+        F.when(wd, day).otherwise(own_day).alias("fecha"),
         utrim("numero_cuenta").alias("numero_cuenta"),
         F.when(wd, F.lit(WITHDRAWAL_TYPE)).otherwise(F.col("tipo")).alias("tipo"),
         F.lit(STATUS_PENDING).alias("estado"),
@@ -230,10 +245,10 @@ def new_request_rows(requests: DataFrame, forms: DataFrame, today) -> DataFrame:
 FORM_ORDER = ["form_id", "descripcion", "monto", "numero_cuenta", "mayorista_retira"]
 
 
-def append_forms(requests: DataFrame, forms: DataFrame, today) -> DataFrame:
+def append_forms(requests: DataFrame, forms: DataFrame, today, accounts: DataFrame | None = None) -> DataFrame:
     """Requests plus the new rows of the valid forms (append)."""
     from ledgerloom.sources.readers import conform
-    new = new_request_rows(requests, forms, today)
+    new = new_request_rows(requests, forms, today, accounts)
     return conform(requests, schemas.REQUESTS).unionByName(conform(new, schemas.REQUESTS))
 
 

@@ -146,18 +146,23 @@ def q_customer_payload(spark, sf):
     return _run(spark, sf).new_customers
 
 
+# An unrounded amount in the column of first choice, absent in some rows.
+UNROUNDED = "CASE WHEN factura IS NULL THEN NULL ELSE CAST(monto * 1.0037 AS DECIMAL(24,6)) END"
+
+
 @query("invoice_split", with_views(["movements"], f"""
-, sp AS (SELECT {KEY}, monto, CAST(round(coalesce(CASE WHEN isfinite(CAST(monto AS DOUBLE)) THEN CAST(monto AS DOUBLE) END, 0)
-                                         * 100) AS BIGINT) AS cents FROM movements),
-  sp2 AS (SELECT *, CASE WHEN cents > 0 THEN (cents * 2000 + 1015) // 2030 ELSE 0 END AS g,
-                    CASE WHEN cents > 0 THEN (cents * 3000 + 120785) // 241570 ELSE 0 END AS s,
-                    CASE WHEN cents > 0 THEN (cents * 570 + 120785) // 241570 ELSE 0 END AS v FROM sp)
-SELECT {KEY}, CAST(coalesce(CAST(monto AS DOUBLE), 0) AS DECIMAL(38,2)) AS total_charged,
+, sp AS (SELECT {KEY}, coalesce({UNROUNDED}, monto, 0) AS t FROM movements),
+  u AS (SELECT *, CAST(t * 1000000 AS HUGEINT) AS u FROM sp),
+  sp2 AS (SELECT *, CASE WHEN u > 0 THEN (u * 2000 + 10150000) // 20300000 ELSE 0 END AS g,
+                    CASE WHEN u > 0 THEN (u * 3000 + 1207850000) // 2415700000 ELSE 0 END AS s,
+                    CASE WHEN u > 0 THEN (u * 570 + 1207850000) // 2415700000 ELSE 0 END AS v FROM u)
+SELECT {KEY}, CAST(t AS DECIMAL(38,2)) AS total_charged,
        {_money('g')} AS gn1, {_money('s')} AS sr02, {_money('v')} AS iva, {_money('g + s + v')} AS invoice_total,
-       cents <= 0 AS zero_total
+       round(t, 2) <= 0 AS zero_total
 FROM sp2"""))
 def q_invoice_split(spark, sf):
-    return B.with_split(A.load(spark, sf, "movements")).select(
+    mv = A.load(spark, sf, "movements").withColumn("monto_cop_compact", F.expr(UNROUNDED))
+    return B.with_split(mv).select(
         *B.MOVEMENT_KEY, "total_charged", "gn1", "sr02", "iva", "invoice_total", "zero_total")
 
 

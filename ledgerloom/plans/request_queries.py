@@ -136,8 +136,11 @@ NEW_ROWS_BODY = NEXT_IDS_BODY + FORMS_BODY + """
          FROM ok),
   new AS (SELECT rk.casillero,
                  concat('Consignacion', CAST(coalesce(b.req0, 1) + rq - 1 AS VARCHAR)) AS id,
-                 trim(descripcion) AS descripcion, CAST(monto AS DECIMAL(18,2)) AS monto,
-                 '2024-01-31' AS fecha, trim(numero_cuenta) AS numero_cuenta,
+                 CASE WHEN NOT wd THEN trim(descripcion)
+                      WHEN trim(descripcion) = '' THEN 'Retiro de ' || coalesce(an.override, an.name, trim(mayorista_retira))
+                      ELSE 'Retiro de ' || coalesce(an.override, an.name, trim(mayorista_retira)) || ' — ' || trim(descripcion)
+                 END AS descripcion, CAST(monto AS DECIMAL(18,2)) AS monto,
+                 CASE WHEN wd OR fecha IS NULL THEN '2024-01-31' ELSE fecha END AS fecha, trim(numero_cuenta) AS numero_cuenta,
                  CASE WHEN wd THEN 'Retiro' ELSE tipo END AS tipo, 'pendiente' AS estado,
                  '2024-01-31' AS fecha_creacion, '' AS fecha_realizado, '' AS fecha_decision,
                  '[]' AS comprobantes, CAST(0 AS DECIMAL(18,2)) AS monto_abonado,
@@ -147,25 +150,26 @@ NEW_ROWS_BODY = NEXT_IDS_BODY + FORMS_BODY + """
                  CASE WHEN wd THEN CAST(CAST(monto AS DECIMAL(18,2)) * (100 + CAST(coalesce(comision_pct, 0) AS DECIMAL(9,4)))
                                         * 0.01 AS DECIMAL(18,2)) END AS egreso_retiro
           FROM rk LEFT JOIN nx b ON rk.casillero = b.casillero
-          LEFT JOIN nx a ON trim(rk.mayorista_retira) = a.casillero)
+          LEFT JOIN nx a ON trim(rk.mayorista_retira) = a.casillero
+          LEFT JOIN accounts an ON trim(rk.mayorista_retira) = an.code)
 """
 
 
-@query("requests_append", with_views(["requests", "request_forms"], NEW_ROWS_BODY + f"""
+@query("requests_append", with_views(["requests", "request_forms", "accounts"], NEW_ROWS_BODY + f"""
 SELECT {REQUEST_COLUMNS} FROM requests
 UNION ALL
 SELECT * FROM new"""))
 def q_requests_append(spark, sf):
-    return R.append_forms(_requests(spark, sf), A.load(spark, sf, "request_forms"), TODAY)
+    return R.append_forms(_requests(spark, sf), A.load(spark, sf, "request_forms"), TODAY, A.load(spark, sf, "accounts"))
 
 
-@query("withdrawals_append", with_views(["requests", "request_forms"], NEW_ROWS_BODY + """
-SELECT casillero, id, mayorista_retira, monto, comision_pct, id_retiro, egreso_retiro FROM new
+@query("withdrawals_append", with_views(["requests", "request_forms", "accounts"], NEW_ROWS_BODY + """
+SELECT casillero, id, descripcion, mayorista_retira, monto, comision_pct, id_retiro, egreso_retiro FROM new
 WHERE mayorista_retira IS NOT NULL"""))
 def q_withdrawals_append(spark, sf):
-    new = R.new_request_rows(_requests(spark, sf), A.load(spark, sf, "request_forms"), TODAY)
+    new = R.new_request_rows(_requests(spark, sf), A.load(spark, sf, "request_forms"), TODAY, A.load(spark, sf, "accounts"))
     return new.filter(F.col("mayorista_retira").isNotNull()).select(
-        "casillero", "id", "mayorista_retira", "monto", "comision_pct", "id_retiro", "egreso_retiro")
+        "casillero", "id", "descripcion", "mayorista_retira", "monto", "comision_pct", "id_retiro", "egreso_retiro")
 
 
 @query("requests_upsert", with_views(["requests", "decisions"], f"""

@@ -211,6 +211,7 @@ SELECT CAST(o_custkey AS VARCHAR(20)) AS casillero,
        CASE WHEN l_linenumber = 2 THEN CAST(0 AS DECIMAL(18,2)) ELSE CAST(l_extendedprice AS DECIMAL(18,2)) END AS monto,
        CASE WHEN l_linenumber = 3 THEN ' ' ELSE CAST(l_suppkey AS VARCHAR(20)) END AS numero_cuenta,
        CASE WHEN l_linenumber % 2 = 0 THEN 'Nomina' ELSE 'Proveedor' END AS tipo,
+       CASE WHEN l_orderkey % 5 <> 0 THEN substr(CAST(l_shipdate AS VARCHAR(30)), 1, 10) END AS fecha,
        CASE WHEN l_returnflag = 'R' THEN CAST(CASE WHEN l_linenumber = 4 THEN o_custkey ELSE o_custkey + 3 END AS VARCHAR(20)) END
             AS mayorista_retira,
        CASE WHEN l_returnflag = 'R' THEN CAST(l_orderkey % 3 AS DOUBLE) END AS comision_pct
