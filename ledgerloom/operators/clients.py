@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.numbers import safe_money
 from ledgerloom.functions.text import (INVALID_CITY_CODES, INVALID_DEPARTMENT_CODES, SYSDATE_NULL_WORDS,
                                        blank_if_in, clean_id, digits_only, norm_id, utrim, zfill)
+from ledgerloom.sources.headers import CLIENT_HEADERS, apply_headers
 from ledgerloom.sources.readers import normalise_sysdate
 
 # ---------------------------------------------------------------------------
@@ -87,6 +88,11 @@ def clients_clean(clients: DataFrame, seller_id: str | None = None) -> DataFrame
     return df.select(*REQUIRED, *rest)
 
 
+def load_clients(raw: DataFrame, seller_id: str | None = None) -> DataFrame:
+    """Client sheet with its own headers, cleaned."""
+    return clients_clean(apply_headers(raw, CLIENT_HEADERS), seller_id)
+
+
 def client_lookup(clients: DataFrame, probes: DataFrame, probe_col: str = "probe") -> DataFrame:
     """Clients whose raw id or normalised id equals the probe (exact).
 
@@ -208,12 +214,15 @@ def assignment_apply(movements: DataFrame, edits: DataFrame, clients: DataFrame)
             .drop("_apply"))
 
 
-def append_clients(clients: DataFrame, forms: DataFrame) -> DataFrame:
-    """Valid new-client forms appended to the client table (trimmed values),
-    then cleaned like the rest; invalid forms are returned by
-    ``client_validation`` with their reason."""
+def append_clients(clients: DataFrame, forms: DataFrame, seller_id: str | None = None) -> DataFrame:
+    """Valid new-client forms appended to the client table, then cleaned like
+    the rest; invalid forms are returned by ``client_validation`` with their
+    reason. Values are trimmed, a phone is stored as its digits. Of two forms
+    of one id in a batch the first (by ``form_id``, else by its texts) stands.
+    """
     ok = client_validation(forms, clients).filter(F.col("reason").isNull())
-    new = ok.select(*[utrim(F.col(c).cast("string")).alias(c) for c in REQUIRED])
-    # two forms of one id in a batch: the first by its texts stands
-    new = new.dropDuplicates(["identificacion"])
-    return clients_clean(clients.unionByName(new, allowMissingColumns=True))
+    new = ok.select(norm_id("identificacion").alias("_k"), F.col("form_id") if "form_id" in forms.columns else F.lit(0).alias("form_id"),
+                    *[(digits_only(c) if c == "telefono" else utrim(F.col(c).cast("string"))).alias(c) for c in REQUIRED])
+    first = F.min_by(F.struct(*REQUIRED), F.struct("form_id", *REQUIRED))
+    new = new.groupBy("_k").agg(first.alias("_f")).select("_f.*")
+    return clients_clean(clients.unionByName(new, allowMissingColumns=True), seller_id)

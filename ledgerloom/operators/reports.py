@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +19,18 @@ WEEK_SPAN_DAYS = 6
 
 
 def of_type(ledger: DataFrame, tipo: str) -> DataFrame:
-    """Rows of one ledger type: trimmed, exact case (quirk Q2)."""
-    return ledger.filter(utrim("tipo") == tipo)
+    """Rows of one ledger type: trimmed, exact case (quirk Q2).
+
+    The plain ``contains`` follows from the trimmed equality; unlike that it
+    reaches the scan, where it drops row groups by their dictionary.
+    """
+    return of_types(ledger, [tipo])
+
+
+def of_types(ledger: DataFrame, types: list[str]) -> DataFrame:
+    """Rows of some ledger types, see ``of_type``."""
+    pushed = reduce(or_, [F.col("tipo").contains(t) for t in types])
+    return ledger.filter(pushed & utrim("tipo").isin(types))
 
 
 def from_load_date(ledger: DataFrame, start=None) -> DataFrame:
@@ -40,18 +53,26 @@ def classify_reason(producto="producto", motivo="motivo") -> F.Column:
             .otherwise(F.lit(REASON_OWN_DEPOSIT)))
 
 
+def _income_columns() -> dict:
+    motivo = classify_reason()
+    orden = F.when(reason_key(motivo).isin(BLANK_ORDER_REASONS), F.lit("")).otherwise(F.col("orden"))
+    return {"motivo": motivo, "orden": orden}
+
+
+def _has_amount():
+    return F.col("monto").isNotNull() & (F.col("monto") != 0)
+
+
 def income_report(ledger: DataFrame, start=None, with_rate: bool = False) -> DataFrame:
     """Income rows with reason class; order text blanked for extra/own deposit.
 
     ``with_rate`` adds ``trm`` and ``monto_cop = monto * trm`` (accounts under
     the USD policy carry a rate; others have null).
     """
-    df = of_type(from_load_date(ledger, start), LEDGER_INCOME)
-    df = df.filter(F.col("monto").isNotNull() & (F.col("monto") != 0))
-    motivo = classify_reason()
-    orden = F.when(reason_key(motivo).isin(BLANK_ORDER_REASONS), F.lit("")).otherwise(F.col("orden"))
+    df = of_type(from_load_date(ledger, start), LEDGER_INCOME).filter(_has_amount())
+    own = _income_columns()
     cols = [F.col("casillero"), F.col("fecha"), F.col("monto").cast(MONEY_SUM).alias("monto"),
-            motivo.alias("motivo"), orden.alias("orden"), F.col("producto")]
+            own["motivo"].alias("motivo"), own["orden"].alias("orden"), F.col("producto")]
     if with_rate:
         cols += [F.col("trm"),
                  (F.col("monto").cast("double") * F.col("trm")).cast(MONEY_SUM).alias("monto_cop")]
@@ -66,10 +87,15 @@ def purchases_report(ledger: DataFrame, start=None) -> DataFrame:
 
 
 def consolidated(ledger: DataFrame, start=None) -> DataFrame:
-    """Income and purchases in one table, labelled; amounts stay numeric (Q7)."""
-    inc = income_report(ledger, start).withColumn("tipo", F.lit(LEDGER_INCOME))
-    pur = purchases_report(ledger, start).withColumn("tipo", F.lit(LEDGER_PURCHASE))
-    return inc.unionByName(pur, allowMissingColumns=True)
+    """Income and purchases in one table, labelled; amounts stay numeric (Q7).
+    One scan: the label decides which columns a row has."""
+    df = of_types(from_load_date(ledger, start), [LEDGER_INCOME, LEDGER_PURCHASE])
+    df = df.withColumn("_type", utrim("tipo"))
+    income = F.col("_type") == LEDGER_INCOME
+    own = _income_columns()
+    return df.filter(~income | _has_amount()).select(
+        "casillero", "fecha", F.col("monto").cast(MONEY_SUM).alias("monto"), F.when(income, own["motivo"]).alias("motivo"),
+        F.when(income, own["orden"]).otherwise(F.col("orden")).alias("orden"), "producto", F.col("_type").alias("tipo"))
 
 
 def cop_extras(cop_ledger: DataFrame) -> DataFrame:
@@ -120,30 +146,33 @@ def balance_series(ledger: DataFrame, start=None, days: int = SERIES_DAYS, order
         out.orderBy("casillero", "fecha_carga", "monto")
 
 
-def trailing_week(ledger: DataFrame, tipo: str, start=None) -> DataFrame:
-    """Rows of ``tipo`` within [max(fecha) - 6 days, max(fecha)] per account.
+def _weekly(ledger: DataFrame, tipo: str, start, by_day: bool, **sums) -> DataFrame:
+    """Sums per timestamp of ``tipo`` within [max(fecha) - 6 days, max(fecha)] per account.
 
-    The end is the data's own last date per account, not today.
+    The end is the data's own last date per account, not today. Rows are
+    summed per timestamp first, map-side; the account's last date is looked up
+    over those sums, so no raw rows are joined on a hot account.
     """
     df = of_type(from_load_date(ledger, start), tipo).filter(F.col("fecha").isNotNull())
-    last = df.groupBy("casillero").agg(F.max("fecha").alias("_max_f"))
-    return (df.join(last, "casillero")
-            .filter(F.col("fecha") >= F.col("_max_f") - F.expr(f"INTERVAL {WEEK_SPAN_DAYS} DAYS"))
-            .drop("_max_f"))
+    per = df.groupBy("casillero", "fecha").agg(F.sum("monto").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    last = per.groupBy("casillero").agg(F.max("fecha").alias("_max_f"))
+    week = (per.join(last, "casillero")
+            .filter(F.col("fecha") >= F.col("_max_f") - F.expr(f"INTERVAL {WEEK_SPAN_DAYS} DAYS")))
+    if by_day:
+        week = week.withColumn("fecha", F.to_date("fecha")).groupBy("casillero", "fecha").agg(
+            F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
+    return week.select("casillero", "fecha", *[c.alias(name) for name, c in sums.items()])
+
+
+def _sum_or_zero():
+    return F.coalesce(F.col("_sum"), F.lit(0)).cast(MONEY_SUM)
 
 
 def weekly_purchases(ledger: DataFrame, start=None, by_day: bool = False) -> DataFrame:
     """Purchases per timestamp (or per day) in the trailing week: count and sum."""
-    df = trailing_week(ledger, LEDGER_PURCHASE, start)
-    key = F.to_date("fecha").alias("fecha") if by_day else F.col("fecha")
-    return (df.groupBy("casillero", key)
-            .agg(F.count(F.lit(1)).alias("n_purchases"),
-                 F.coalesce(F.sum("monto"), F.lit(0)).cast(MONEY_SUM).alias("sum_purchases")))
+    return _weekly(ledger, LEDGER_PURCHASE, start, by_day, n_purchases=F.col("_n"), sum_purchases=_sum_or_zero())
 
 
 def weekly_income(ledger: DataFrame, start=None, by_day: bool = False) -> DataFrame:
     """Income per timestamp (or per day) in the trailing week: sum."""
-    df = trailing_week(ledger, LEDGER_INCOME, start)
-    key = F.to_date("fecha").alias("fecha") if by_day else F.col("fecha")
-    return (df.groupBy("casillero", key)
-            .agg(F.coalesce(F.sum("monto"), F.lit(0)).cast(MONEY_SUM).alias("sum_income")))
+    return _weekly(ledger, LEDGER_INCOME, start, by_day, sum_income=_sum_or_zero())

@@ -9,6 +9,12 @@ Remaining receipts are applied in arrival order while the paid sum before
 them is below the requested amount and no unreadable receipt came earlier
 (an unreadable one sends the request to review, which closes uploads).
 A requested amount of 0 never auto-approves.
+
+With ``requests`` (the stored table) the job starts from what is stored: the
+requested amount and account, the status (receipts of a request that is not
+open are ``closed`` and consume no key), the receipts accepted earlier (their
+keys count as presented, in all requests of the account) and their sum. A
+receipt of a request that is not stored is ``unknown_request``.
 """
 
 from __future__ import annotations
@@ -18,7 +24,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.numbers import MONEY_SUM, safe_money
 from ledgerloom.functions.text import norm_account, norm_key_text
-from ledgerloom.operators.requests import STATUS_APPROVED, STATUS_PARTIAL, STATUS_PENDING, STATUS_REVIEW
+from ledgerloom.operators.requests import (OPEN_STATUSES, STATUS_APPROVED, STATUS_PARTIAL, STATUS_PENDING, STATUS_REVIEW,
+                                           append_receipt, folded_status, paid_amount, with_receipts)
 from ledgerloom.operators.sequence import ranked_within
 
 ORDER = ["arrival", "event_id"]
@@ -26,10 +33,31 @@ REQUEST = ["casillero", "id"]
 DEDUPE_KEY = ["casillero", "k_cta", "k_ref", "k_fch", "k_mto"]
 
 
+def with_request_state(receipts: DataFrame, requests: DataFrame) -> DataFrame:
+    """Receipts with the stored state of their request: what is requested, ``_paid0``, ``_status0``, ``_known``."""
+    state = with_receipts(requests).select(
+        *REQUEST, F.col("monto").alias("monto_solicitado"), F.col("numero_cuenta").alias("cuenta_solicitada"),
+        paid_amount().alias("_paid0"), F.col("estado").alias("_status0"), F.lit(True).alias("_known"))
+    # (casillero, id) is the table's key; a repeated one counts once
+    state = state.groupBy(*REQUEST).agg(F.max_by(F.struct(*state.columns[2:]), F.struct("_paid0", "_status0")).alias("_s")).select(*REQUEST, "_s.*")
+    return receipts.drop("monto_solicitado", "cuenta_solicitada").join(state, REQUEST, "left")
+
+
+def stored_keys(requests: DataFrame) -> DataFrame:
+    """Distinct duplicate keys of the receipts accepted earlier."""
+    r = with_receipts(requests).select("casillero", F.explode("receipts").alias("r"))
+    keys = r.select("casillero", norm_account("r.cuenta").alias("k_cta"), norm_key_text("r.referencia").alias("k_ref"),
+                    norm_key_text("r.fecha").alias("k_fch"), safe_money("r.monto").alias("k_mto"))
+    return keys.filter((F.col("k_ref") != "") & F.col("k_mto").isNotNull()).distinct()
+
+
 def receipt_keys(receipts: DataFrame) -> DataFrame:
     """Normalised duplicate key and gate flags of every receipt."""
     req_cta = norm_account("cuenta_solicitada")
+    is_open = (F.coalesce(F.col("_known"), F.lit(False)) & F.coalesce(folded_status("_status0").isin(OPEN_STATUSES), F.lit(False))
+               if "_known" in receipts.columns else F.lit(True))
     return receipts.withColumns({
+        "_ok_req": is_open,
         "k_cta": norm_account("cuenta"),
         "k_ref": norm_key_text("referencia"),
         "k_fch": norm_key_text("fecha"),
@@ -41,40 +69,51 @@ def receipt_keys(receipts: DataFrame) -> DataFrame:
 
 
 def _eligible():
-    return F.col("_ok_read") & F.col("_ok_tx") & F.col("_ok_cta")
+    return F.col("_ok_req") & F.col("_ok_read") & F.col("_ok_tx") & F.col("_ok_cta")
 
 
-def with_duplicate_flag(keyed: DataFrame) -> DataFrame:
+def with_duplicate_flag(keyed: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """Add ``duplicate`` to receipts carrying ``receipt_keys`` columns.
 
     The first eligible presentation of each key per account is a map-side
     ``min`` aggregate (no window over a possibly hot key), joined back on the
     key.  Empty reference, unreadable amount or a failed gate: never a
-    duplicate.
+    duplicate.  Keys in ``taken`` were presented before.
     """
     counted = _eligible() & (F.col("k_ref") != "") & F.col("k_mto").isNotNull()
     first = keyed.filter(counted).groupBy(*DEDUPE_KEY).agg(F.min(F.struct(*ORDER)).alias("_first"))
+    again = F.struct(*ORDER) != F.col("_first")
+    if taken is not None:
+        first = first.join(taken.withColumn("_taken", F.lit(True)), DEDUPE_KEY, "left")
+        again = again | F.coalesce(F.col("_taken"), F.lit(False))
     j = keyed.join(first, DEDUPE_KEY, "left")
-    return j.withColumn("duplicate", counted & (F.struct(*ORDER) != F.col("_first"))).drop("_first")
+    return j.withColumn("duplicate", counted & again).drop("_first", "_taken")
 
 
 def receipt_dedupe(receipts: DataFrame) -> DataFrame:
     """Eligible receipts (readable, successful, right account) with a
     duplicate flag (see ``with_duplicate_flag``)."""
     return (with_duplicate_flag(receipt_keys(receipts)).filter(_eligible())
-            .drop("_ok_read", "_ok_tx", "_ok_cta"))
+            .drop("_ok_req", "_ok_read", "_ok_tx", "_ok_cta"))
 
 
-def receipt_settlement(receipts: DataFrame) -> DataFrame:
+def receipt_settlement(receipts: DataFrame, requests: DataFrame | None = None) -> DataFrame:
     """Verdict per receipt and the resulting state of its request.
 
     verdict: unreadable | unsuccessful | wrong_account | duplicate | closed |
-    applied.  ``paid_after`` is the request's paid sum after the receipt.
+    applied, with ``requests`` also unknown_request.  ``paid_after`` is the request's paid sum after the receipt.
     Request columns (same on every receipt of a request): ``status``,
     ``paid``, ``first_date`` (first receipt that changed the request).
     """
-    k = with_duplicate_flag(receipt_keys(receipts))
-    verdict0 = (F.when(~F.col("_ok_read"), F.lit("unreadable"))
+    if requests is None:
+        k = receipt_keys(receipts).withColumns({
+            "_paid0": F.lit(0).cast(MONEY_SUM), "_status0": F.lit(STATUS_PENDING), "_known": F.lit(True)})
+        k = with_duplicate_flag(k)
+    else:
+        k = with_duplicate_flag(receipt_keys(with_request_state(receipts, requests)), stored_keys(requests))
+    verdict0 = (F.when(F.col("_known").isNull(), F.lit("unknown_request"))
+                .when(~F.col("_ok_req"), F.lit("closed"))
+                .when(~F.col("_ok_read"), F.lit("unreadable"))
                 .when(~F.col("_ok_tx"), F.lit("unsuccessful"))
                 .when(~F.col("_ok_cta"), F.lit("wrong_account"))
                 .when(F.col("duplicate"), F.lit("duplicate")))
@@ -87,14 +126,15 @@ def receipt_settlement(receipts: DataFrame) -> DataFrame:
          .otherwise(F.lit(0).cast("decimal(18,2)")).cast(MONEY_SUM).alias("amt"),
         F.when(F.col("_v0") == "unreadable", F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("unread"))
     run = ranked_within(seq, REQUEST, ORDER, value_cols=["amt", "unread"], rank_col="_rk")
-    requested = (receipts.select(*REQUEST, safe_money("monto_solicitado").cast(MONEY_SUM).alias("req"))
-                 .groupBy(*REQUEST).agg(F.max("req").alias("req")))
-    run = run.join(requested, REQUEST, "left")
-    before = F.col("running_amt") - F.col("amt")
+    requested = (k.select(*REQUEST, safe_money("monto_solicitado").cast(MONEY_SUM).alias("req"), "_paid0", "_status0")
+                 .groupBy(*REQUEST).agg(F.max("req").alias("req"), F.max("_paid0").alias("_paid0"), F.max("_status0").alias("_status0")))
+    run = run.join(requested.select(*REQUEST, "req", "_paid0"), REQUEST, "left")
+    before = F.col("_paid0") + F.col("running_amt") - F.col("amt")
+    # an open request takes its first receipt whatever was paid before
     open_before = ((F.col("running_unread") - F.col("unread")) == 0) & (
-        (F.coalesce(F.col("req"), F.lit(0)) <= 0) | (before < F.col("req")))
+        (F.col("_rk") == 1) | (F.coalesce(F.col("req"), F.lit(0)) <= 0) | (before < F.col("req")))
     run = run.select(*REQUEST, "event_id", "req", "amt", "unread", open_before.alias("_open"),
-                     F.col("running_amt").alias("_paid_incl"), before.alias("_paid_before"), "arrival")
+                     (F.col("_paid0") + F.col("running_amt")).alias("_paid_incl"), before.alias("_paid_before"), "arrival")
     effects = run.select(
         *REQUEST, "event_id", "_open",
         F.when(F.col("_open") & (F.col("unread") == 0), F.col("_paid_incl"))
@@ -106,11 +146,12 @@ def receipt_settlement(receipts: DataFrame) -> DataFrame:
                 F.count_if(F.col("_open") & (F.col("unread") == 0)).alias("_n_applied"),
                 F.min(F.when(F.col("_open"), F.col("arrival"))).alias("first_date")))
     status = requested.join(agg, REQUEST, "left")
-    paid = F.coalesce(F.col("_paid"), F.lit(0).cast(MONEY_SUM)).cast(MONEY_SUM)
+    paid = (F.col("_paid0") + F.coalesce(F.col("_paid"), F.lit(0).cast(MONEY_SUM))).cast(MONEY_SUM)
+    some = F.coalesce(F.col("_n_applied"), F.lit(0)) > 0
     st = (F.when(F.coalesce(F.col("_rev"), F.lit(0)) == 1, F.lit(STATUS_REVIEW))
-          .when((F.col("req") > 0) & (paid >= F.col("req")), F.lit(STATUS_APPROVED))
-          .when(F.coalesce(F.col("_n_applied"), F.lit(0)) > 0, F.lit(STATUS_PARTIAL))
-          .otherwise(F.lit(STATUS_PENDING)))
+          .when(some & (F.col("req") > 0) & (paid >= F.col("req")), F.lit(STATUS_APPROVED))
+          .when(some, F.lit(STATUS_PARTIAL))
+          .otherwise(F.col("_status0")))
     status = status.select(*REQUEST, st.alias("status"), paid.alias("paid"), "first_date")
     out = k.join(effects.select("event_id", "_open", "paid_after"), "event_id", "left")
     verdict = (F.when(F.col("_v0").isNotNull(), F.col("_v0"))
@@ -118,3 +159,33 @@ def receipt_settlement(receipts: DataFrame) -> DataFrame:
     out = out.select(*REQUEST, "event_id", "arrival", verdict.alias("verdict"),
                      F.col("paid_after").cast(MONEY_SUM).alias("paid_after"))
     return out.join(status, REQUEST, "left")
+
+
+def settle_requests(requests: DataFrame, receipts: DataFrame) -> DataFrame:
+    """The stored requests after a batch of receipts.
+
+    Applied receipts join their request's list; status, paid sum, first
+    receipt day (if blank) and decision day of an approval follow. A request
+    that no receipt changed keeps its row.
+    """
+    verdicts = receipt_settlement(receipts, requests)
+    for c in ("ruta", "banco"):
+        if c not in receipts.columns:
+            receipts = receipts.withColumn(c, F.lit("").cast("string"))
+    applied = verdicts.filter(F.col("verdict") == "applied").select("event_id")
+    new = receipts.join(applied, "event_id", "left_semi")
+    after = (verdicts.filter(F.col("first_date").isNotNull()).groupBy(*REQUEST)
+             .agg(F.max("status").alias("_st"), F.max("paid").alias("_paid"), F.max(F.to_date("first_date")).alias("_day"),
+                  F.max(F.when(F.col("verdict") == "applied", F.to_date("arrival"))).alias("_last")))
+    old_paid = F.col("monto_abonado") if "monto_abonado" in requests.columns else F.lit(None).cast(MONEY_SUM)
+    out = append_receipt(requests.withColumns({"_old": old_paid, "_list": F.col("comprobantes")}), new)
+    out = out.join(after, REQUEST, "left")
+    blank = F.coalesce(F.lower(F.trim("fecha_realizado")), F.lit("")).isin("", "nan")
+    changed = F.col("_st").isNotNull()
+    return out.withColumns({
+        "monto_abonado": F.when(changed, F.col("_paid")).otherwise(F.col("_old")).cast(MONEY_SUM),
+        "fecha_realizado": F.when(changed & blank, F.col("_day").cast("string")).otherwise(F.col("fecha_realizado")),
+        "fecha_decision": F.when(F.col("_st") == STATUS_APPROVED, F.col("_last").cast("string")).otherwise(F.col("fecha_decision")),
+        "comprobantes": F.when(changed, F.col("comprobantes")).otherwise(F.col("_list")),
+        "estado": F.coalesce("_st", "estado"),
+    }).drop("_st", "_paid", "_day", "_last", "_old", "_list")

@@ -67,7 +67,7 @@ def q_client_lookup(spark, sf):
     return C.client_lookup(_clients(spark, sf), probes)
 
 
-@query("client_validation", with_views(["clients", "client_forms"], CLEAN_BODY + """
+VALIDATION_BODY = """
 , f AS (SELECT *,
                (identificacion IS NULL OR trim(identificacion) = '' OR nombres IS NULL OR trim(nombres) = ''
                 OR apellidos IS NULL OR trim(apellidos) = '' OR direccion IS NULL OR trim(direccion) = ''
@@ -79,15 +79,46 @@ def q_client_lookup(spark, sf):
                EXISTS (SELECT 1 FROM clean c WHERE trim(c.identificacion) = trim(client_forms.identificacion))
                OR EXISTS (SELECT 1 FROM clean c WHERE trim(c.id_norm) =
                           regexp_replace(trim(coalesce(client_forms.identificacion, '')), '[ .\\-+]', '', 'g')) AS dup
-        FROM client_forms)
-SELECT * EXCLUDE (missing, email_ok, phone_ok, dup),
-       CASE WHEN missing THEN 'missing_fields' WHEN NOT email_ok THEN 'bad_email'
+        FROM client_forms),
+  judged AS (SELECT * EXCLUDE (missing, email_ok, phone_ok, dup),
+            CASE WHEN missing THEN 'missing_fields' WHEN NOT email_ok THEN 'bad_email'
             WHEN NOT phone_ok THEN 'bad_phone' WHEN dup THEN 'duplicate_id' END AS reason
-FROM f"""))
+             FROM f)
+"""
+
+
+@query("client_validation", with_views(["clients", "client_forms"], CLEAN_BODY + VALIDATION_BODY + "SELECT * FROM judged"))
 def q_client_validation(spark, sf):
     return C.client_validation(A.load(spark, sf, "client_forms"), _clients(spark, sf))
 
 
+# Every form once more in the same batch, later and under another name.
+AGAIN = 1_000_000
+
+
+@query("clients_append", with_views(["clients", "client_forms"], f"""
+, forms2 AS (SELECT * FROM client_forms UNION ALL SELECT * REPLACE (form_id + {AGAIN} AS form_id, 'Otro' AS nombres) FROM client_forms)
+""" + CLEAN_BODY + VALIDATION_BODY.replace("client_forms", "forms2") + """
+, added AS (SELECT trim(identificacion) AS identificacion, trim(nombres) AS nombres, trim(apellidos) AS apellidos,
+                   trim(direccion) AS direccion, lpad(trim(codigo_departamento), 2, '0') AS codigo_departamento,
+                   CASE WHEN length(trim(codigo_ciudad)) < 5 THEN lpad(trim(codigo_ciudad), 5, '0') ELSE trim(codigo_ciudad) END
+                     AS codigo_ciudad,
+                   regexp_replace(telefono, '[^0-9]', '', 'g') AS telefono, trim(correo) AS correo
+            FROM judged WHERE reason IS NULL
+            QUALIFY row_number() OVER (PARTITION BY regexp_replace(trim(identificacion), '[ .\\-+]', '', 'g') ORDER BY form_id) = 1)
+SELECT * FROM clean
+UNION ALL BY NAME
+SELECT *, regexp_replace(identificacion, '[ .\\-+]', '', 'g') AS id_norm, '13' AS tipo_identificacion, 'Es persona' AS tipo,
+       'Col' AS codigo_pais, '0' AS tipo_regimen_iva, 'R-99-PN' AS codigo_responsabilidad_fiscal,
+       '""" + SELLER_ID + """' AS identificacion_vendedor, 'SI' AS clientes, 'Activo' AS estado, nombres AS nombres_contacto,
+       apellidos AS apellidos_contacto, telefono AS telefono_contacto
+FROM added"""))
+def q_clients_append(spark, sf):
+    forms = A.load(spark, sf, "client_forms")
+    twice = forms.union(forms.withColumns({"form_id": F.col("form_id") + AGAIN, "nombres": F.lit("Otro")}))
+    return C.append_clients(A.load(spark, sf, "clients"), twice, SELLER_ID)
+
+
 SYSDATE_SQL = """(CASE WHEN try_strptime(lpad_digits, '%d%m%Y') IS NOT NULL
                    AND year(try_strptime(lpad_digits, '%d%m%Y')) BETWEEN 1677 AND 2262
               THEN strftime(try_strptime(lpad_digits, '%d%m%Y'), '%d-%m-%Y') ELSE trim(fecha_sistema) END)"""

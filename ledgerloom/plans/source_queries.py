@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas
 from ledgerloom.operators import reports
+from ledgerloom.plans.client_queries import NORMALISED
 from ledgerloom.plans.ledger_queries import INCOME_BODY, INCOME_SELECT
 from ledgerloom.plans.oracle import with_views
 from ledgerloom.plans.registry import query
@@ -61,25 +64,42 @@ def q_movements_union(spark, sf):
     return a.unionByName(b, allowMissingColumns=True)
 
 
+# Headers of the two kinds of movement files, as sheets write them.
+PLAIN_HEADERS = {"id_ingreso": "ID_INGRESO", "id_cliente": "Id_cliente", "factura": "Factura", "monto": "MontoCop",
+                 "referencia": "REFERENCIA", "fecha_sistema": "Fecha de Sistema"}
+BANK_HEADERS = {"id_ingreso": "Id_Ingreso", "id_cliente": "Id_cliente", "monto": "Valor", "referencia": "Descripción",
+                "fecha_sistema": "Fecha Sistema"}
+
+
 def movement_file_set(spark, sf):
-    """Movements written as one folder per source file, named per account:
-    'ingresos_<acct>.parquet' and 'Ingresos_<acct>_Davivienda.parquet', plus
-    a 'ingresos_<acct>x.parquet' set that the name pattern must skip.
+    """Movements written as one folder per source file, with the headers and
+    columns of its kind: 'ingresos_<acct>.parquet', 'Ingresos_<acct>_Davivienda.parquet',
+    account 3 as 'ingresos_P-3.parquet', and an 'ingresos_2x.parquet' that the name rule must skip.
     """
-    root = sinks.scratch_path(spark, "files", sinks.tag(sf), "movements")
-    if not sinks.versions(spark, root):
-        mv = A.load(spark, sf, "movements").drop("source_file")
-        name = (F.when(F.col("casillero") == "2", F.concat(F.lit("ingresos_"), "casillero", F.lit("x.parquet")))
-                .when(F.substring("id_ingreso", 9, 2) >= "15",
-                      F.concat(F.lit("Ingresos_"), "casillero", F.lit("_Davivienda.parquet")))
-                .otherwise(F.concat(F.lit("ingresos_"), "casillero", F.lit(".parquet"))))
-        sinks.replace_table(mv.withColumn("source_file", name), root, partition_by=("source_file",))
-    return f"{root}/_v{sinks.versions(spark, root)[-1]}"
-
-
-@query("movements_load")
+    root = f"{sinks.scratch_path(spark, 'files', sinks.tag(sf), 'movements')}-{uuid.uuid4().hex}"
+    mv = A.load(spark, sf, "movements").drop("source_file")
+    bank = F.substring("id_ingreso", 9, 2) >= "15"
+    acct = F.when(F.col("casillero") == "3", "P-3").otherwise(F.col("casillero"))
+    plain = mv.filter(~bank).withColumn("source_file", F.concat(
+        F.lit("ingresos_"), acct, F.when(F.col("casillero") == "2", "x").otherwise(""), F.lit(".parquet")))
+    banks = mv.filter(bank).drop("factura").withColumn("source_file", F.concat(F.lit("Ingresos_"), acct, F.lit("_Davivienda.parquet")))
+    for df, headers in ((plain, PLAIN_HEADERS), (banks, BANK_HEADERS)):
+        df.withColumnsRenamed(headers).write.mode("append").partitionBy("source_file").parquet(root)
+    return root
+
+
+@query("movements_load", with_views(["movements", "accounts"], f"""
+, m AS (SELECT *, substr(id_ingreso, 9, 2) >= '15' AS bank, CASE casillero WHEN '3' THEN 'P-3' ELSE casillero END AS acct,
+               {NORMALISED} AS day_text FROM movements)
+SELECT casillero, id_ingreso, id_cliente, CASE WHEN NOT bank THEN factura END AS factura,
+       CASE WHEN NOT bank THEN monto END AS monto_cop_compact, CASE WHEN bank THEN monto END AS valor,
+       CASE WHEN NOT bank THEN referencia END AS referencia, CASE WHEN bank THEN referencia END AS descripcion,
+       CASE WHEN bank THEN fecha_sistema ELSE day_text END AS fecha_sistema,
+       CASE WHEN bank THEN 'Ingresos_' || acct || '_Davivienda.parquet' ELSE 'ingresos_' || acct || '.parquet' END AS source_file
+FROM m WHERE casillero IN (SELECT code FROM accounts) AND (bank OR casillero <> '2')"""))
 def q_movements_load(spark, sf):
-    return readers.load_movement_files(spark, movement_file_set(spark, sf), accounts=A.load(spark, sf, "accounts"))
+    accounts = A.load(spark, sf, "accounts").select(F.when(F.col("code") == "3", "p-3").otherwise(F.col("code")).alias("code"))
+    return readers.load_movement_files(spark, movement_file_set(spark, sf), accounts=accounts)
 
 
 @query("report_export", with_views(["ledger"], INCOME_BODY + f"""

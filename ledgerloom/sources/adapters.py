@@ -114,6 +114,25 @@ SELECT CAST(user_id % 10 AS VARCHAR(20)) AS casillero,
 FROM {events}
 """
 
+# --- stored requests that the receipts belong to: some closed, some with
+#     receipts accepted earlier, one user in eight without a request ---------
+ADAPTERS["open_requests"] = """
+SELECT CAST(user_id % 10 AS VARCHAR(20)) AS casillero,
+       concat('Consignacion', CAST(user_id AS VARCHAR(20))) AS id,
+       CAST(CASE WHEN user_id % 11 = 0 THEN 0 ELSE 2000 + user_id % 7 * 500 END AS DECIMAL(18,2)) AS monto,
+       CASE WHEN user_id % 9 = 0 THEN '' ELSE '616-184510-29' END AS numero_cuenta,
+       CASE user_id % 6 WHEN 0 THEN 'aprobada' WHEN 1 THEN ' Parcial ' WHEN 2 THEN 'en revision' WHEN 3 THEN 'parcial'
+            ELSE 'pendiente' END AS estado,
+       CASE WHEN user_id % 3 = 1 THEN concat('[{"ruta": "r/1.png", "banco": "B1", "monto": ', CAST(user_id % 900 + 1 AS VARCHAR(20)),
+                 ', "fecha": " 2024-01-01", "cuenta": "616 184510 29", "referencia": "ref', CAST(user_id % 900 AS VARCHAR(20)), '"}]')
+            WHEN user_id % 4 = 0 THEN 'nan' ELSE '[]' END AS comprobantes,
+       CASE WHEN user_id % 2 = 0 THEN '2023-12-01' ELSE '' END AS fecha_realizado,
+       '' AS fecha_decision
+FROM {events}
+WHERE user_id % 8 <> 7
+GROUP BY user_id
+"""
+
 # --- bank movements of accounts 0..3, two source files -------------------
 ADAPTERS["movements"] = """
 SELECT CAST(o_custkey % 4 AS VARCHAR(20)) AS casillero,

@@ -33,3 +33,22 @@ def test_scan_prunes_columns_and_pushes_filters(spark):
     assert "ReadSchema: struct<o_custkey:bigint,o_orderdate:timestamp_ntz>" in txt
     txt = plan_text(reports.cop_extras(A.load(spark, SF_SMALL, "cop_ledger")))
     assert "PushedFilters: [IsNotNull(o_orderstatus), Not(EqualTo(o_orderstatus,F))]" in txt
+
+
+@pytest.mark.parametrize("key", ["income_report", "purchases_report", "consolidated", "fx_income", "report_display", "weekly_purchases", "weekly_income"])
+def test_reports_push_the_ledger_type_to_one_scan(spark, key, tmp_path):
+    from ledgerloom.plans.registry import load_all
+    from ledgerloom.sources import adapters as A
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    folder = (SF_SMALL, "ledger")
+    path = str(tmp_path / "ledger")
+    A.derive(spark, *folder).write.parquet(path)
+    A._STORED[folder] = path
+    try:
+        txt = plan_text(load_all()[key].build(spark, SF_SMALL))
+    finally:
+        del A._STORED[folder]
+    scans = [line for line in txt.splitlines() if "FileScan" in line and "ledger" in line]
+    want = 2 if key.startswith("weekly") else 1  # a week's last date is looked up over the same exchange
+    assert 1 <= len(scans) <= want
+    assert all("StringContains(tipo," in line for line in scans)

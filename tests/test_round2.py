@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.jsontext import lenient_json
 from ledgerloom.functions.numbers import safe_money
-from ledgerloom.operators import billing, clients, requests
+from ledgerloom.operators import billing, clients, requests, settlement
 from ledgerloom.session import checkpoint_dir
-from ledgerloom.sources import readers, sinks
+from ledgerloom.sources import headers, readers, sinks
 
 
 def path_of(spark, name):
@@ -55,7 +55,7 @@ def test_movement_files_of_any_account_and_columns(spark):
     for kw in ({}, {"accounts": accounts}):
         got = {r.casillero: r.asDict() for r in readers.load_movement_files(spark, root, **kw).collect()}
         assert set(got) == {"7", "PRUEBA-1"}
-        assert got["7"]["id_ingreso"] == "a" and got["PRUEBA-1"]["Valor"] == 5.0
+        assert got["7"]["id_ingreso"] == "a" and got["PRUEBA-1"]["valor"] == 5.0
         assert all(r["fecha_sistema"] for r in got.values())
     assert readers.load_movement_files(spark, root, acct="7").count() == 1
     assert readers.load_movement_files(spark, root, acct=".").count() == 0
@@ -112,3 +112,56 @@ def test_an_update_takes_the_type_of_the_table(spark):
     upd = spark.createDataFrame([("1", "a", "2.25", 1)], "casillero string, id string, monto string, seq int")
     out = requests.upsert_by_id(rows, upd)
     assert out.schema["monto"].dataType == rows.schema["monto"].dataType and out.first().monto == Decimal("2.25")
+
+
+def test_headers_become_columns_by_their_exact_text(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0, "d", "p", None, "k")],
+                               "`MontoCop` double, `Monto COP` double, `Valor Total` double, monto double, `Descripción` string, "
+                               "`Descripcion` string, valor string, ` Valor` string")
+    out = headers.apply_headers(df, headers.MOVEMENT_HEADERS)
+    got = out.first().asDict()
+    assert got == {"monto_cop_compact": 1.0, "monto_cop": 2.0, "valor_total": 3.0, "monto": 4.0, "descripcion": "d",
+                   "descripcion_plain": "p", "valor": "k"}
+    assert float(billing.with_split(out).first().total_charged) == 1.0
+    assert clients.movement_filters(out.withColumn("monto_cop_compact", F.lit(-5.0))).count() == 0
+
+
+def test_a_client_sheet_is_loaded_and_a_full_name_is_split(spark):
+    raw = spark.createDataFrame([("7.0", None, None, "Ana Maria Ruiz", "5", "5001")],
+                                "`Identificación (Obligatorio)` string, `Nombres del tercero (Obligatorio)` string, "
+                                "`Apellidos del tercero (Obligatorio)` string, `Nombre completo` string, "
+                                "`Código departamento/estado` string, `Código ciudad` string")
+    row = billing.with_customer_fields(clients.load_clients(raw)).first()
+    assert (row.f_identification, row.f_first_name, row.f_last_name) == ("7", "Ana Maria", "Ruiz")
+    assert (row.codigo_departamento, row.codigo_ciudad) == ("05", "05001")
+
+
+@pytest.mark.parametrize("amount,want", [("123.456", ("121.63", "1.53", "0.29")), ("1e17", None), ("1e30", ("0.00",) * 3), ("-3", ("0.00",) * 3),
+                                         ("inf", ("0.00",) * 3)])
+def test_the_split_starts_from_the_unrounded_total(spark, amount, want):
+    row = billing.with_split(spark.createDataFrame([(amount,)], "monto string")).first()
+    if want:
+        assert tuple(str(x) for x in (row.gn1, row.sr02, row.iva)) == want
+    else:
+        assert row.gn1 == Decimal("98522167487684729.06")
+
+
+def test_settlement_starts_from_the_stored_state(spark):
+    old = '[{"ruta": "r", "banco": "b", "monto": 10, "fecha": "d", "cuenta": "1", "referencia": "OLD"}]'
+    reqs = spark.createDataFrame([("A", "open", Decimal(25), "1", " Parcial ", old, "x", ""), ("A", "shut", Decimal(25), "1", "aprobada", "[]", "", ""),
+                                  ("A", "idle", Decimal(25), "1", "pendiente", "nan", "", "")],
+                                 "casillero string, id string, monto decimal(18,2), numero_cuenta string, estado string, comprobantes string, "
+                                 "fecha_realizado string, fecha_decision string")
+    rows = [(1, "shut", "N1", 5), (2, "open", "o l d", 10), (3, "open", "N1", 5), (4, "open", "N2", 10), (5, "open", "N3", 1), (6, "gone", "N4", 1)]
+    rec = spark.createDataFrame([("A", r, Decimal(99), "9", e, f"2024-01-0{e} 00:00:00", Decimal(m), "1", ref, "d", True, True) for e, r, ref, m in rows],
+                                "casillero string, id string, monto_solicitado decimal(18,2), cuenta_solicitada string, event_id int, arrival string, "
+                                "monto decimal(18,2), cuenta string, referencia string, fecha string, exitosa boolean, readable boolean")
+    rec = rec.withColumn("arrival", F.col("arrival").cast("timestamp_ntz"))
+    out = {r.event_id: r for r in settlement.receipt_settlement(rec, reqs).collect()}
+    assert [out[e].verdict for e in range(1, 7)] == ["closed", "duplicate", "applied", "applied", "closed", "unknown_request"]
+    assert out[4].paid_after == 25 and out[4].status == "aprobada" and out[1].status == "aprobada" and out[6].status is None
+    after = {r.id: r for r in requests.with_receipts(settlement.settle_requests(reqs, rec)).collect()}
+    assert set(after) == {"open", "shut", "idle"}
+    assert [x.referencia for x in after["open"].receipts] == ["OLD", "N1", "N2"]
+    assert (after["open"].estado, after["open"].monto_abonado, after["open"].fecha_decision) == ("aprobada", 25, "2024-01-04")
+    assert after["open"].fecha_realizado == "x" and after["idle"].comprobantes == "nan" and after["idle"].estado == "pendiente"
