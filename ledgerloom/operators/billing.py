@@ -138,7 +138,7 @@ def with_customer_fields(df: DataFrame, prefix: str = "") -> DataFrame:
     return df.drop("_n0", "_a0", "_tok", "_dir")
 
 
-def customer_fields(prefix: str = "") -> dict:
+def customer_fields() -> dict:
     """Column expressions of the customer fields (for one-off selects)."""
     names = ["identification", "first_name", "last_name", "phone", "email", "state_code", "city_code",
              "address"]

@@ -22,6 +22,19 @@ def _cols(cs) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
 
+#: Excluded numbers are broadcast up to ranges of this size.
+BROADCAST_NUMBERS = 1_000_000
+
+# Frames kept by ``materialise``, until ``release``.
+_KEPT: list[DataFrame] = []
+
+
+def release() -> None:
+    """Unpersist every kept frame; call it once the outputs are written."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
 def materialise(df: DataFrame, how: str = "persist") -> DataFrame:
     """Compute a frame once for several consumers.
 
@@ -33,7 +46,8 @@ def materialise(df: DataFrame, how: str = "persist") -> DataFrame:
         checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
     if how == "persist":
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        _KEPT.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return _KEPT[-1]
     return df
 
 
@@ -117,13 +131,16 @@ def rank_ascending_range(spark, lo: Column, hi: int, exclude: DataFrame | None =
     partition, and the excluded numbers are cut to ``[lo, hi]`` (at most
     hi - lo + 1 rows, so broadcasting them is bounded) and removed with a
     broadcast anti join, which keeps the slices in place: no sort, no
-    shuffle of the range.
+    shuffle of the range. Ranges above ``BROADCAST_NUMBERS`` are anti joined
+    without a hint and ranked like any rows.
     """
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     nums = spark.range(1, hi + 1, numPartitions=n).select(F.col("id").alias("number")).filter(F.col("number") >= lo)
     if exclude is not None:
         ex = (exclude.select(F.col("number").cast("bigint").alias("number"))
               .filter((F.col("number") >= lo) & (F.col("number") <= hi)).distinct())
+        if hi > BROADCAST_NUMBERS:
+            return ranked_within(nums.join(ex, "number", "left_anti"), [], ["number"], rank_col="k").select("number", "k")
         nums = nums.join(F.broadcast(ex), "number", "left_anti")
     tagged = (nums.withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))

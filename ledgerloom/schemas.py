@@ -28,14 +28,4 @@ REQUESTS = _st(("casillero", S), ("id", S), ("descripcion", S), ("monto", D), ("
 RECEIPT = _st(("ruta", S), ("banco", S), ("monto", S), ("fecha", S), ("cuenta", S), ("referencia", S))
 RECEIPTS = T.ArrayType(RECEIPT)
 
-MOVEMENTS = _st(("id_ingreso", S), ("id_cliente", S), ("factura", S), ("fecha_sistema", S),
-                ("fecha", S), ("descripcion", S), ("descripcion_motivo", S), ("documento", S),
-                ("transaccion", S), ("oficina_recaudo", S), ("id_origen_destino", S),
-                ("referencia", S), ("referencia_1", S), ("referencia_2", S), ("valor", D),
-                ("valor_total", D), ("monto", D), ("monto_cop", D), ("producto", S),
-                ("source_file", S), ("casillero", S))
-
-CLIENTS = _st(("identificacion", S), ("nombres", S), ("apellidos", S), ("direccion", S),
-              ("codigo_departamento", S), ("codigo_ciudad", S), ("telefono", S), ("correo", S))
-
 REJECTS = _st(("id_ingreso", S), ("stage", S), ("reason", S))

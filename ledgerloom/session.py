@@ -44,17 +44,16 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def apply_defaults(spark: SparkSession) -> None:
     """Apply the runtime-settable defaults to an existing session."""
     for k, v in SESSION_DEFAULTS.items():
-        try:
+        if spark.conf.isModifiable(k):
             spark.conf.set(k, v)
-        except Exception:  # static conf on a running session: leave as is
-            pass
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting must point at shared storage and is only read
-    here.  When it is unset (local tests) a scratch folder is created.
+    here; without it nothing is written. In local mode (tests) a scratch
+    folder is created when it is unset.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -62,6 +61,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="ledgerloom-ckpt-", dir=os.environ.get("LEDGERLOOM_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)

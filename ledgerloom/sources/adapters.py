@@ -204,7 +204,7 @@ SELECT concat(substr(CAST(l_shipdate AS VARCHAR(30)), 1, 10), '-', CAST(l_orderk
             WHEN 1 THEN 'The number already exists'
             WHEN 2 THEN '{"Errors":[{"Code":"already_exists"}]}'
             WHEN 3 THEN 'requests_limit reached'
-            WHEN 4 THEN 'Siigo product_service down'
+            WHEN 4 THEN 'product_service down'
             WHEN 5 THEN 'ok'
             ELSE 'Error desconocido' END AS reply
 FROM {lineitem}

@@ -146,9 +146,11 @@ def read_current(spark: SparkSession, root: str, schema: T.StructType, fmt: str
 
 
 def append_log(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append rows (e.g. rejects) to a log table."""
+    """Append rows (e.g. rejects) to a log table; rows without a ``logged_at`` get the time of writing."""
+    if "logged_at" not in df.columns:
+        df = df.withColumn("logged_at", F.current_timestamp())
     write_table(df, path, fmt=fmt, partition_by=(), mode="append", buckets=None)
 
 
 __all__ = ["scratch_path", "tag", "for_export", "write_table", "read_table", "export_report",
-           "replace_table", "read_current", "append_log", "versions", "os"]
+           "replace_table", "read_current", "append_log", "versions"]

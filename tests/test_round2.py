@@ -165,3 +165,22 @@ def test_settlement_starts_from_the_stored_state(spark):
     assert [x.referencia for x in after["open"].receipts] == ["OLD", "N1", "N2"]
     assert (after["open"].estado, after["open"].monto_abonado, after["open"].fecha_decision) == ("aprobada", 25, "2024-01-04")
     assert after["open"].fecha_realizado == "x" and after["idle"].comprobantes == "nan" and after["idle"].estado == "pendiente"
+
+
+def test_large_number_ranges_rank_alike(spark, monkeypatch):
+    from ledgerloom.operators import sequence
+    taken = spark.createDataFrame([(3,), (5,), (5,)], "number bigint")
+    few = sorted(map(tuple, sequence.rank_ascending_range(spark, F.lit(2), 9, taken).collect()))
+    monkeypatch.setattr(sequence, "BROADCAST_NUMBERS", 5)
+    assert sorted(map(tuple, sequence.rank_ascending_range(spark, F.lit(2), 9, taken).collect())) == few
+    assert few == [(2, 1), (4, 2), (6, 3), (7, 4), (8, 5), (9, 6)]
+
+
+def test_kept_frames_are_released(spark):
+    from ledgerloom.operators import sequence
+    sequence.release()
+    df = sequence.ranked_within(spark.range(10), [], ["id"])
+    assert df.count() == 10 and sequence._KEPT[-1].is_cached
+    kept = sequence._KEPT[-1]
+    sequence.release()
+    assert not kept.is_cached and not sequence._KEPT
