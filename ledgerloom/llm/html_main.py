@@ -17,7 +17,8 @@ its region. Of two equally near ones a heading takes the one after it, other
 blocks the bad one. The ends of an article count as good, the ends of a page
 without one as bad neighbours; within an article only its good blocks count.
 
-Scripts, styles, templates and the head are dropped while reading. Character
+Scripts, styles, templates and the head are dropped while reading, up to their
+own end tag, whatever stands between. Character
 references are decoded, white space in a block becomes one space, blocks are
 joined by an empty line. Null html: empty. A page without blocks: empty text.
 Unclosed or stray tags never fail. Repeated rows get a row each; null ids and
@@ -52,6 +53,8 @@ figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html l
 option p pre section summary table tbody td tfoot th thead tr ul""".split())
 #: Their content is not text of the page.
 RAW_TAGS = frozenset("script style template noscript iframe object svg math canvas head textarea title noframes noembed xmp".split())
+#: What they hold is plain text up to their own end tag; in the other raw tags these may be nested.
+TEXT_TAGS = "script style iframe textarea title noframes noembed xmp".split()
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BAD_TAGS = frozenset("nav footer aside form menu dialog button select".split())
@@ -66,6 +69,11 @@ share sharing social related recommended toolbar pagination pager widget skip ma
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW_TAGS}
+#: In the others: a comment, a tag of plain text, or the end (of the head also a body).
+RAW_NEXT = {t: re.compile(rf"<!--|<({'|'.join(TEXT_TAGS)})(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z))"
+                          + (r"|(?=<body(?:[\s/>]|\Z))" if t == "head" else ""), re.I)
+            for t in RAW_TAGS.difference(TEXT_TAGS)}
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
@@ -101,11 +109,36 @@ def marked_bad(tag: str, attributes: str, article: bool) -> int:
     return 0
 
 
+def raw_end(page: str, tag: str, at: int) -> int:
+    """Where to read on after the content of a raw tag, which begins at ``at``; the page's end if it isn't closed."""
+    if tag not in RAW_NEXT:
+        m = RAW_END[tag].search(page, at)
+        return m.end() if m else len(page)
+    unclosed = set()
+    while m := RAW_NEXT[tag].search(page, at):
+        at = m.end()
+        if m.group(0).startswith("<!--"):
+            at = page.find("-->", m.start() + 2)
+            if at < 0:
+                break
+            at += 3
+        elif m.group(1):
+            inner = m.group(1).lower()
+            if not m.group(2).endswith("/") and inner not in unclosed:
+                if end := RAW_END[inner].search(page, at):
+                    at = end.end()
+                else:
+                    unclosed.add(inner)
+        else:
+            return at
+    return len(page)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order. ``article`` numbers the article a block lies in, 0: none."""
     out: list[Block] = []
     stack: list[tuple[str, int, int]] = []  # tag, and what held before it: bad (0 to 2) and article
-    bad, article, articles, links, skip = 0, 0, 0, 0, None
+    bad, article, articles, links = 0, 0, 0, 0
     block = Block(False, 0, False, False)
 
     def cut(heading=False):
@@ -114,26 +147,20 @@ def blocks_of(page: str) -> list[Block]:
             out.append(block)
         block = Block(bad > 0, article, any(t in ("li", "ul", "ol") for t, _, _ in stack[-3:]), heading)
 
-    for m in TOKEN.finditer(page):
+    tokens = TOKEN.finditer(page)
+    while m := next(tokens, None):
         tag = m.group(2)
         if tag is None:
-            if skip is None and m.group(0)[:2] not in ("<!", "<?"):
+            if m.group(0)[:2] not in ("<!", "<?"):
                 text = html_lib.unescape(m.group(0))
                 block.text.append(text)
                 if links:
                     block.linked += len(text)
             continue
         tag, closing, attributes = tag.lower(), m.group(1), m.group(3)
-        if skip is not None:
-            if closing and tag == skip:
-                skip = None
-            elif not (skip == "head" and tag == "body"):
-                continue
-            else:
-                skip = None
         if tag in RAW_TAGS:
             if not closing and not attributes.endswith("/"):
-                skip = tag
+                tokens = TOKEN.finditer(page, raw_end(page, tag, m.end()))
             continue
         if tag == "a":
             links = 0 if closing else 1

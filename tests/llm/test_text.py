@@ -59,6 +59,21 @@ def test_pages_without_an_article():
     assert html_main.main_text(page) == "\n\n".join(["Headline", long.strip(), "Short end.", long.strip()])
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<article><p>A</p><script>for(var i=0;i<n;i++){a[i]=0}</script><p>B</p></article>", "A\n\nB"),
+    ("<article><p>A</p><SCRIPT>if(i<n)s='don\\'t'</Script ><p>It's B</p></article>", "A\n\nIt's B"),
+    ("<article><p>A</p><textarea>a<b don't</textarea><p>B's</p><style>a<b{}</style><p>C</p></article>", "A\n\nB's\n\nC"),
+    ("<article><p>A</p><template>{{if i<n}}<script>'</template>'</script></template><p>B</p></article>", "A\n\nB"),
+    ("<head><script>if(i<n)s=\"don't\"+'</head><body>'</script></head><body><article>A</article>", "A"),
+    ("<head><title>Unclosed</head><body><article>A</article>", "A"),
+    ("<head><!-- </head> --><title/><meta><body class=x><article>A</article>", "A"),
+    ("<article>A<svg><title>t</title><style>a<b{}</style><path d='M0'/></svg> B<script>i<n", "A B"),
+    ("<article>A<scripts>B</scripts></article>", "AB"),
+])
+def test_raw_content_ends_at_its_own_end_tag(page, text):
+    assert html_main.main_text(page) == text
+
+
 def test_html_of_odd_rows(spark, odd, nothing):
     pages = odd.select(F.col("doc_id").alias("page_id"), F.col("key").alias("url"), F.col("text").alias("html"), F.col("text"), F.col("n").alias("n_chars"))
     assert html_main.extract(pages).count() == len(ODD)
