@@ -12,6 +12,13 @@ A page is cut into blocks at block-level tags. Pass one decides blocks:
   stop-word density is high and their link density low, bad if they have few
   stop words; short blocks are undecided.
 
+A name is a vote only. Forms like has-sidebar or comments-open say nothing. A
+region marked by a part of a name (ad-free), or a form, counts as unmarked if it
+holds more long text with stop words than the page has outside marked regions,
+or the page's only article. One whose whole name says so (sidebar), or that is of
+reader comments, does if nothing of that kind is outside it; it needs the
+article, three such blocks (comments: nearly all text of the page).
+
 Pass two: an undecided block takes the label of the nearest decided block of
 its region. Of two equally near ones a heading takes the one after it, other
 blocks the bad one. The ends of an article count as good, the ends of a page
@@ -78,11 +85,26 @@ ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|
 NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
 
+#: Words beside a bad one that make a state or a layout of it: has-sidebar, comments-open.
+STATE_FIRST = frozenset("has have no not non with without hide hidden".split())
+STATE_LAST = frozenset("open opened closed enabled disabled on off".split())
+
+
 class Block:
-    __slots__ = ("text", "linked", "bad", "article", "listed", "heading")
+    __slots__ = ("text", "linked", "bad", "article", "listed", "heading", "region")
 
-    def __init__(self, bad: bool, article: int, listed: bool, heading: bool):
+    def __init__(self, bad: bool, article: int, listed: bool, heading: bool, region: Region | None = None):
         self.text, self.linked, self.bad, self.article, self.listed, self.heading = [], 0, bad, article, listed, heading
+        self.region = region
+
+
+class Region:
+    """A marked region: where its tag stands, the marked one around it, how it is marked, whether it holds an article."""
+    __slots__ = ("at", "parent", "kind", "holds", "chars", "rich", "blocks", "own_chars", "own_rich")
+
+    def __init__(self, at: int, parent: Region | None, kind: int):
+        self.at, self.parent, self.kind, self.holds = at, parent, kind, False
+        self.chars = self.rich = self.blocks = self.own_chars = self.own_rich = 0
 
 
 #: Regions that may hold articles of their own (comments, teasers), which are no text of the page either.
@@ -90,23 +112,35 @@ DEEP_TAGS = frozenset("aside footer form dialog".split())
 DEEP_WORDS = frozenset("aside sidebar footer comment comments disqus respond replies reply related recommended widget".split())
 
 
-def marked_bad(tag: str, attributes: str, article: bool) -> int:
-    """Whether a region of this tag is no article text: 1, or 2 if articles in it aren't either.
+#: How a region is marked, from the weakest: a part of a name, a form, a whole name, reader comments, any other tag or a role.
+PART, FORM, NAME, READERS, SURE = 1, 2, 3, 4, 5
+READER_WORDS = frozenset("comment comments disqus respond replies reply".split())
+
+
+def marked_bad(tag: str, attributes: str, article: bool) -> tuple[int, int]:
+    """Whether a region of this tag is no article text: 1, or 2 if articles in it aren't either; and how it is marked.
 
     A header belongs to the article if it is in it.
     """
     if tag in BAD_TAGS or tag == "header" and not article:
-        return 1 + (tag in DEEP_TAGS)
+        return 1 + (tag in DEEP_TAGS), FORM if tag == "form" else SURE
+    level = kind = 0
     for name, a, b, c in ATTRIBUTE.findall(attributes) if attributes else ():
         value = a or b or c
         if name.lower() == "role":
             if value.lower() in BAD_ROLES:
-                return 1 + (value.lower() == "complementary")
-        elif named := BAD_WORDS.intersection(p.lower() for p in NAME_PARTS.findall(value)):
-            return 1 + bool(named & DEEP_WORDS)
-        elif not article and "header" in value.lower().replace("_", "-").split("-"):
-            return 1
-    return 0
+                level, kind = max(level, 1 + (value.lower() == "complementary")), max(kind, FORM if value.lower() == "form" else SURE)
+            continue
+        for token in value.split():
+            parts = [p.lower() for p in NAME_PARTS.findall(token)]
+            if len(parts) > 1 and (parts[0] in STATE_FIRST or parts[-1] in STATE_LAST):
+                continue
+            if named := BAD_WORDS.intersection(parts):
+                level = max(level, 1 + bool(named & DEEP_WORDS))
+                kind = max(kind, READERS if named & READER_WORDS else NAME if BAD_WORDS.issuperset(parts) else PART)
+            elif not article and "header" in parts:
+                level, kind = max(level, 1), max(kind, NAME if len(parts) == 1 else PART)
+    return level, kind
 
 
 def raw_end(page: str, tag: str, at: int) -> int:
@@ -134,10 +168,15 @@ def raw_end(page: str, tag: str, at: int) -> int:
     return len(page)
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in order. ``article`` numbers the article a block lies in, 0: none."""
+def blocks_of(page: str, unmarked: frozenset[int] = frozenset()) -> tuple[list[Block], list[Region]]:
+    """The blocks and the marked regions of a page in order. ``article`` numbers the article a block lies in, 0: none.
+
+    Regions whose tags stand at ``unmarked`` aren't marked.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # tag, and what held before it: bad (0 to 2) and article
+    marks: list[Region] = []
+    stack: list[tuple[str, int, int, Region | None]] = []  # tag, and what held before it: bad (0 to 2), article and marked region
+    region = None
     bad, article, articles, links = 0, 0, 0, 0
     block = Block(False, 0, False, False)
 
@@ -145,7 +184,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal block
         if block.text:
             out.append(block)
-        block = Block(bad > 0, article, any(t in ("li", "ul", "ol") for t, _, _ in stack[-3:]), heading)
+        block = Block(bad > 0, article, any(t[0] in ("li", "ul", "ol") for t in stack[-3:]), heading, region)
 
     tokens = TOKEN.finditer(page)
     while m := next(tokens, None):
@@ -174,18 +213,23 @@ def blocks_of(page: str) -> list[Block]:
             if closing:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
-                        _, bad, article = stack[k]
+                        _, bad, article, region = stack[k]
                         del stack[k:]
                         break
                     if stack[k][0] in ("article", "main") and tag not in ("main", "body"):
                         break  # a stray end tag doesn't end the article around it
             else:
-                stack.append((tag, bad, article))
+                stack.append((tag, bad, article, region))
                 opens = tag in ("article", "main") or 'role="main"' in attributes
-                worse = marked_bad(tag, attributes, bool(article))
+                worse, kind = marked_bad(tag, attributes, bool(article)) if m.start() not in unmarked else (0, 0)
                 if opens and not worse and not article and bad < 2:
                     articles += 1
-                    article, bad = articles, 0  # an unclosed menu before an article ends here
+                    article, bad, region = articles, 0, None  # an unclosed menu before an article ends here
+                if worse:
+                    region = Region(m.start(), region, kind)
+                    marks.append(region)
+                if opens and region:
+                    region.holds = True
                 bad = max(bad, worse)
         if tag in BLOCK_TAGS:
             cut(not closing and tag in HEADINGS)
@@ -194,23 +238,72 @@ def blocks_of(page: str) -> list[Block]:
             if block.bad != (bad > 0):
                 cut()
     cut()
-    return out
+    return out, marks
 
 
-def main_text(page: str | None) -> str:
-    texts: list[str] = []
-    labels: list[int] = []  # 1 good, -1 bad, 0 undecided
-    regions: list[int] = []
+def measured(blocks: list[Block]) -> list[tuple[Block, str, float, float]]:
+    """The blocks with text, it, and their shares of link text and stop words."""
     found = []
-    for b in blocks_of(page or ""):
+    for b in blocks:
         raw = "".join(b.text)
         text = " ".join(raw.split())
         if text:
-            found.append((b, text, b.linked / max(1, len(raw))))
-    has_article = any(b.article and not b.bad for b, _, _ in found)
-    for b, text, links in found:
-        words = text.lower().split()
-        stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
+            words = text.lower().split()
+            stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
+            found.append((b, text, b.linked / max(1, len(raw)), stops))
+    return found
+
+
+def outvoted(found: list[tuple[Block, str, float, float]], marks: list[Region]) -> frozenset[int]:
+    """Where the tags of marked regions stand that hold the page's text, against their names."""
+    chars = rich = 0  # outside marked regions
+    for b, text, links, stops in found:
+        full = len(text) if len(text) >= LONG and stops >= STOP_LOW and links <= LINKS_HIGH else 0
+        if b.region:
+            b.region.own_chars += len(text)
+            b.region.own_rich += full
+            b.region.blocks += full > 0
+        else:
+            chars += len(text)
+            rich += full
+    for r in reversed(marks):
+        r.chars += r.own_chars
+        r.rich += r.own_rich
+        if r.parent:
+            r.parent.chars += r.chars
+            r.parent.rich += r.rich
+            r.parent.blocks += r.blocks
+            # an article of a name of its own is only its own
+            r.parent.holds |= r.holds and r.kind < READERS
+    has_article = any(b.article and not b.bad for b, *_ in found)
+    #: What is unmarked for the regions within an outvoted one.
+    out = {}
+    for r in marks:
+        if r.kind == SURE or r.parent and r.parent.at not in out or has_article and not r.holds:
+            continue
+        c, f = out[r.parent.at] if r.parent else (chars, rich)
+        only = r.holds and f == 0 and r.chars > c
+        if r.kind in (PART, FORM):
+            free = r.rich > f or only
+        elif r.kind == NAME:
+            free = only or f == 0 and r.blocks >= 3
+        else:
+            free = not has_article and (only or f == 0 and r.rich > 10 * c)
+        if free:
+            out[r.at] = (c + r.own_chars, f + r.own_rich)
+    return frozenset(out)
+
+
+def main_text(page: str | None) -> str:
+    texts: list[str] = []
+    labels: list[int] = []  # 1 good, -1 bad, 0 undecided
+    regions: list[int] = []
+    blocks, marks = blocks_of(page or "")
+    found = measured(blocks)
+    if marks and (free := outvoted(found, marks)):
+        found = measured(blocks_of(page, free)[0])
+    has_article = any(b.article and not b.bad for b, *_ in found)
+    for b, text, links, stops in found:
         if b.bad:
             label = -1
         elif has_article:

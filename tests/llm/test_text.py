@@ -74,11 +74,38 @@ def test_raw_content_ends_at_its_own_end_tag(page, text):
     assert html_main.main_text(page) == text
 
 
+RICH = ("The cat is in the house and it was on the mat with a hat for the dog that is by the door of the barn. " * 2).strip()
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<div class='layout has-sidebar'><article><p>{RICH}</p></article></div>", RICH),
+    ("<div class='layout has-sidebar'><article>Text</article><aside>Side</aside></div>", "Text"),
+    ("<div class='no-sidebar comments-open'><main class='post with_sidebar'>Text</main></div>", "Text"),
+    ("<form id=aspnetForm><div class=menu><a>Home</a></div><article><p>Text</p></article></form><footer>Us</footer>", "Text"),
+    (f"<form><div><p>{RICH}</p><p>{RICH}</p></div><div class=sidebar><p>{RICH}</p></div></form>", f"{RICH}\n\n{RICH}"),
+    (f"<div class='related-work'><article>{RICH}</article></div><p>{RICH[:60]}</p>", RICH),
+    (f"<div class='ad-free'><p>{RICH}</p></div>", RICH),
+    (f"<div class='social-science'><p>{RICH}</p><p>{RICH}</p></div><div><p>{RICH}</p></div>", f"{RICH}\n\n{RICH}\n\n{RICH}"),
+    (f"<div class='widget'><article>{RICH}</article></div>", RICH),
+    # still no text of the page
+    (f"<div class='ad-slot'><p>{RICH}</p></div><p>{RICH}</p><p>{RICH}</p>", f"{RICH}\n\n{RICH}"),
+    (f"<div class='sidebar'><p>{RICH}</p><p>{RICH}</p></div><p>{RICH}</p>", RICH),
+    (f"<div class='cookie-notice'><p>{RICH}</p></div><p>Short text.</p>", ""),
+    (f"<article>Short.</article><div class='comments-area'><article class=comment>{RICH}</article><article>{RICH}</article></div>", "Short."),
+    (f"<div><p>{RICH}</p></div><div id=comments><article>{RICH}</article><article>{RICH}</article></div>", RICH),
+    ("<p>Short text.</p><div id=comments><article>Nice!</article></div>", ""),
+    (f"<aside><article>{RICH}</article></aside>", ""),
+])
+def test_a_name_is_a_vote_only(page, text):
+    assert html_main.main_text(page) == text
+
+
 def test_html_of_odd_rows(spark, odd, nothing):
     pages = odd.select(F.col("doc_id").alias("page_id"), F.col("key").alias("url"), F.col("text").alias("html"), F.col("text"), F.col("n").alias("n_chars"))
     assert html_main.extract(pages).count() == len(ODD)
     assert html_main.extract(nothing.select(F.col("doc_id").alias("page_id"), F.col("key").alias("url"), F.col("text").alias("html"))).count() == 0
     assert html_main.main_text("<div>" * 20_000 + "x" * 100_000) is not None
+    assert html_main.main_text("<div class='ad-x'>" * 20_000 + RICH) == RICH
 
 
 # ------------------------------------------------------------------------ URLs
