@@ -33,6 +33,34 @@ def test_stream_equals_machine_with_decisions(spark, engine):
     assert any(v[0] == "decision" for v in got.values())
 
 
+def test_every_receipt_stays_a_receipt(spark):
+    rc, dc = A.load(spark, SF_SMALL, "receipts"), A.load(spark, SF_SMALL, "decisions")
+    ev = settlement_events(rc, decisions=dc)
+    assert {r.event_id for r in ev.where("kind = 'receipt'").collect()} == {r.event_id for r in rc.collect()}
+    assert ev.where("kind <> 'receipt'").select("event_id").distinct().count() == dc.count()
+    import __spark_entry__ as E
+    got = {r.event_id: (r.verdict, r.status, r.paid) for r in E.queries()["receipt_settlement_stream"](spark, SF_SMALL).collect()}
+    assert got == machine_run(ev.toPandas())
+    assert all((v[0] == "decision") == (k < 0) for k, v in got.items())
+
+
+@pytest.mark.parametrize("engine", ["map_state", "value_state"])
+def test_decisions_of_a_request(spark, engine):
+    """A decision closes its request; one before any receipt leaves the requested account to the receipt; seq orders a day."""
+    rc = spark.createDataFrame(
+        [("1", "a", k, f"2024-01-0{k} 00:00:00", "100", "11", "60", cta, f"r{k}") for k, cta in ((1, "11"), (3, "11"))]
+        + [("1", "b", k, f"2024-01-0{k} 00:00:00", "100", "11", "60", cta, f"r{k}") for k, cta in ((4, "99"), (5, "11"))],
+        "casillero string, id string, event_id int, arrival string, monto_solicitado string, cuenta_solicitada string, monto string, "
+        "cuenta string, referencia string").selectExpr("*", "'x' AS fecha", "true AS exitosa", "true AS readable")
+    dc = spark.createDataFrame([("1", "a", "aprobada", "2024-01-02", 2), ("1", "a", "rechazada", "2024-01-02", 1), ("1", "b", " Aprobada", None, 1)],
+                               "casillero string, id string, estado string, fecha_decision string, seq int")
+    got = run_settlement_stream(spark, settlement_events(rc, decisions=dc), chunks=2, engine=engine).collect()
+    assert {r.event_id: (r.verdict, r.status, r.paid) for r in got if r.event_id > 0} == {
+        1: ("applied", "parcial", "60.00"), 3: ("closed", "aprobada", "60.00"),
+        4: ("wrong_account", "aprobada", "0.00"), 5: ("closed", "aprobada", "0.00")}
+    assert sorted(r.verdict for r in got if r.event_id < 0) == ["decision"] * 3
+
+
 def _without_named_case(rc):
     """Drop every presentation of keys first presented to a closed request
     (batch consumes such a key, the machine does not); repeat to a fixpoint."""
