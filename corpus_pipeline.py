@@ -3,8 +3,8 @@
 A stage takes (spark, docs, sf_dir), with docs as the stage before left them,
 and returns the documents it keeps with all their columns; the last returns
 the packed pieces. Between stages the rows are written as Parquet and read
-again. Rows without a doc_id can't be named by a later decision: the third
-and the fourth stage let them pass.
+again. The third and the fourth stage decide by doc_id and text, so null and
+repeated ids are decided like any other.
 """
 
 from __future__ import annotations
@@ -25,6 +25,11 @@ def _carried(docs: DataFrame) -> DataFrame:
                         F.struct(*[F.col(f"_{i}") for i in range(len(cols))]).alias("row"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The carried rows with a key of their text; null is not the empty text."""
+    return _carried(docs).withColumn("key", F.coalesce(F.md5("text"), F.lit("null")))
+
+
 def _rows(carried: DataFrame, columns: list[str]) -> DataFrame:
     return carried.select([F.col(f"row._{i}").alias(c) for i, c in enumerate(columns)])
 
@@ -41,17 +46,23 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates."""
+    """One row of each group of near-duplicates: the smallest doc_id, null last, then the smallest key of the text."""
     small_batches(spark)
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id is null")).select(docs.columns)
+    keyed = _keyed(docs)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    kept = (simhash.near_duplicates(keyed, carry="key").groupBy("root").agg(least.alias("least"))
+            .select(F.col("least.doc_id").alias("i"), F.col("least.key").alias("k")))
+    same = keyed.doc_id.eqNullSafe(F.col("i")) & (keyed.key == F.col("k"))
+    return _rows(keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "key"]), docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a copy of a test item."""
-    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    keyed = _keyed(docs)
+    found = (decontam.contaminated(keyed, table(spark, sf_dir, "benchmark"), carry="key")
+             .select(F.col("doc_id").alias("i"), F.col("key").alias("k")).distinct())
+    same = keyed.doc_id.eqNullSafe(F.col("i")) & (keyed.key == F.col("k"))
+    return _rows(keyed.join(found, same, "left_anti"), docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -136,15 +136,22 @@ def gather(words: list[str], hits: list[tuple[int, int, int, int, int, int]]):
             run.append(h)
 
 
+def _passages(docs: DataFrame):
+    """Columns of passages: types, names and schema; what ``docs`` has beside doc_id and text (strings) comes last."""
+    own = docs.columns[2:]
+    return PASSAGE_TYPES + (pa.string(),) * len(own), PASSAGE_NAMES + own, ", ".join([PASSAGES, *(f"`{k}` string" for k in own)])
+
+
 def passages_broadcast(docs: DataFrame, seeds: list, n: int) -> DataFrame:
     """Passages of every document, against broadcast seeds."""
+    types, names, schema = _passages(docs)
     vocabulary = docs.sparkSession.sparkContext.broadcast(_index(seeds))
 
     def run(batches):
         table = vocabulary.value
         for b in slices(batches, 256):
             rows = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, text, *key in zip(*(c.to_pylist() for c in b.columns)):
                 words = words_of(text)
                 hits = []
                 for k, own in table.items():
@@ -152,11 +159,11 @@ def passages_broadcast(docs: DataFrame, seeds: list, n: int) -> DataFrame:
                         if gram in own:
                             hits += [(item, size, place, at, h, kinds) for item, size, place, h, kinds in own[gram]]
                 if hits:
-                    rows += [(i, *p) for p in gather(words, hits)]
-            cols = list(zip(*rows)) or [()] * len(PASSAGE_NAMES)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, PASSAGE_TYPES)], PASSAGE_NAMES)
+                    rows += [(i, *p, *key) for p in gather(words, hits)]
+            cols = list(zip(*rows)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    return docs.mapInArrow(run, PASSAGES)
+    return docs.mapInArrow(run, schema)
 
 
 def _index(items: list) -> dict:
@@ -179,6 +186,9 @@ def passages_shuffled(docs: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
     Documents are cut into overlapping stretches, so no task holds more than
     a stretch; a stretch is addressed by (doc_id, text hash, number).
     """
+    types, names, schema = _passages(docs)
+    own = docs.columns[2:]
+
     def grams(batches):
         for b in batches:
             rows = []
@@ -191,28 +201,32 @@ def passages_shuffled(docs: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
     def cut(batches):
         for b in batches:
             rows = []
-            for i, text, hits in zip(*(c.to_pylist() for c in b.columns)):
-                rows += [(i, *p) for p in gather(words_of(text), [(h["item_id"], h["n_words"], h["place"], h["at"], h["hash"], h["kinds"]) for h in hits])]
-            cols = list(zip(*rows)) or [()] * len(PASSAGE_NAMES)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, PASSAGE_TYPES)], PASSAGE_NAMES)
+            for i, text, hits, *key in zip(*(c.to_pylist() for c in b.columns)):
+                rows += [(i, *p, *key) for p in gather(words_of(text), [(h["item_id"], h["n_words"], h["place"], h["at"], h["hash"], h["kinds"]) for h in hits])]
+            cols = list(zip(*rows)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
     def hashed(batches):
         for b in batches:
             th = [xxhash.xxh64_intdigest(t or "") - (1 << 63) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(th, pa.int64())], ["doc_id", "text", "text_hash"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(th, pa.int64())], ["doc_id", "text", *own, "text_hash"])
 
     hits = (docs.mapInArrow(grams, "doc_id bigint, text_hash bigint, at bigint, hash bigint").join(seeds, "hash")
             .groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("item_id", "n_words", "place", "at", "hash", "kinds")).alias("hits"))
             .withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "h"))
-    keyed = docs.mapInArrow(hashed, "doc_id bigint, text string, text_hash bigint")
-    found = keyed.join(hits, keyed.doc_id.eqNullSafe(F.col("d")) & (keyed.text_hash == F.col("h"))).select("doc_id", "text", "hits")
-    return found.mapInArrow(cut, PASSAGES)
+    keyed = docs.mapInArrow(hashed, ", ".join(["doc_id bigint, text string", *(f"`{k}` string" for k in own), "text_hash bigint"]))
+    found = keyed.join(hits, keyed.doc_id.eqNullSafe(F.col("d")) & (keyed.text_hash == F.col("h"))).select("doc_id", "text", "hits", *own)
+    return found.mapInArrow(cut, schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, share: float = SHARE,
-                 rare_share: float = RARE_SHARE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """doc_id, item_id, score, first_word, last_word of every copy of an item of ``benchmark`` (item_id, text) in ``docs``."""
-    docs, benchmark = pick(docs, "doc_id", "text"), pick(benchmark, "item_id", "text")
+                 rare_share: float = RARE_SHARE, broadcast_seeds: int = BROADCAST_SEEDS, carry: str | None = None) -> DataFrame:
+    """doc_id, item_id, score, first_word, last_word of every copy of an item of ``benchmark`` (item_id, text) in ``docs``.
+
+    With ``carry`` that string column of ``docs`` comes with doc_id and tells rows of one doc_id apart.
+    """
+    key = [carry] if carry else []
+    docs, benchmark = pick(docs, "doc_id", "text", *key), pick(benchmark, "item_id", "text")
     spark = docs.sparkSession
     seeds = seed_table(benchmark, n)
     n_seeds = seeds.count()
@@ -234,21 +248,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, sha
     rare = few.withColumn("seed", F.explode("seeds")).join(common, F.col("seed") == F.col("hash"), "left_anti").drop("seed")
     candidates = found.where("enough").union(rare)
     items = benchmark.where("text is not null").select(F.col("item_id").alias("id"), F.col("text").alias("item_text"))
-    pairs = candidates.join(items, F.col("item_id") == F.col("id")).select("doc_id", "item_id", "first", "words", "item_text")
+    pairs = candidates.join(items, F.col("item_id") == F.col("id")).select("doc_id", "item_id", "first", "words", "item_text", *key)
 
     def align(batches):
         for b in batches:
             rows = []
-            for i, item_id, first, words, text in zip(*(c.to_pylist() for c in b.columns)):
+            for i, item_id, first, words, text, *own in zip(*(c.to_pylist() for c in b.columns)):
                 item = words_of(text)
                 number = {w: k for k, w in enumerate(item)}
                 score, lo, hi = alignment(np.array([number[w] for w in item]), np.array([number.get(w, -1) for w in words]))
                 if score >= share * MATCH * len(item):
-                    rows.append((i, item_id, score / (MATCH * len(item)), first + lo, first + hi))
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()))],
-                                             ["doc_id", "item_id", "score", "first_word", "last_word"])
-
-    hits = pairs.mapInArrow(align, "doc_id bigint, item_id bigint, score double, first_word int, last_word int")
+                    rows.append((i, item_id, score / (MATCH * len(item)), first + lo, first + hi, *own))
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), *[pa.string()] * len(key))
+            cols = list(zip(*rows)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
+                                             ["doc_id", "item_id", "score", "first_word", "last_word", *key])
+
+    hits = pairs.mapInArrow(align, ", ".join(["doc_id bigint, item_id bigint, score double, first_word int, last_word int",
+                                              *(f"`{k}` string" for k in key)]))
     best = F.max_by(F.struct("score", "first_word", "last_word"), F.struct("score", -F.col("first_word"), -F.col("last_word")))
-    return hits.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
+    return hits.groupBy("doc_id", *key, "item_id").agg(best.alias("b")).select("doc_id", *key, "item_id", "b.*")

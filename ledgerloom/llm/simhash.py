@@ -63,14 +63,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(set_bits * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, carry: str | None = None) -> DataFrame:
+    """doc_id, the string column ``carry`` if one is named, and fp (the 64 bits as a signed long)."""
+    key = [carry] if carry else []
+
     def run(batches):
         for b in slices(batches, 256):
             fp = np.array([fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(fp.view(np.int64))], ["doc_id", *key, "fp"])
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return pick(docs, "doc_id", "text", *key).mapInArrow(run, ", ".join(["doc_id bigint", *(f"`{k}` string" for k in key), "fp bigint"]))
 
 
 # ------------------------------------------------------------------ Golay keys
@@ -258,12 +260,16 @@ def components(edges: DataFrame) -> DataFrame:
         edges, before = small, now
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = BITS, seed: int = SEED) -> DataFrame:
-    """doc_id, fp, component_id for every row of ``docs`` (doc_id, text)."""
-    prints = written(fingerprints(docs, shingle, seed), "fingerprints")
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = BITS, seed: int = SEED, carry: str | None = None) -> DataFrame:
+    """doc_id, fp, component_id for every row of ``docs`` (doc_id, text).
+
+    With ``carry`` also that string column of the row, and ``root``, which tells
+    components apart whose ids are null or repeated.
+    """
+    prints = written(fingerprints(docs, shingle, seed, carry), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = written(components(links(nodes, most)), "components")
     labelled = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = labelled.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = labelled.join(least, "root").select("fp", "component_id", "root")
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id", *([carry, "root"] if carry else []))

@@ -256,3 +256,22 @@ def test_pipeline_stages_of_odd_rows(spark, odd, nothing):
         if name != "packing":
             assert out.columns == odd.columns
         assert stage(spark, nothing, SF_SMALL).count() == 0
+
+
+def test_pipeline_decides_null_and_repeated_ids(spark):
+    one, two, three = ("".join(f"{w}{k} " for k in range(60)) for w in ("red", "green", "blue"))
+    item = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").where("text is not null").orderBy(F.length("text").desc()).first().text
+    rows = [(None, one, 1), (None, one, 2), (None, two, 3), (7, two, 4), (8, one + "x", 5), (8, three, 6), (8, two, 7), (None, three, 8), (9, three, 9),
+            (None, None, 10), (None, None, 11)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n int")
+    out = corpus_pipeline.near_duplicates_stage(spark, docs, SF_SMALL)
+    texts = [(r.doc_id, r.text) for r in out.collect()]
+    fps = {t: plain_fingerprint(t) for t in (one, one + "x")}
+    left = [(8, one + "x")] if bin(fps[one] ^ fps[one + "x"]).count("1") <= 3 else [(8, one + "x"), (None, one)]
+    assert Counter(texts) == Counter([(7, two), (8, three), (None, None), *left]) and out.columns == docs.columns
+    bad = spark.createDataFrame([(None, item), (None, one), (8, item), (8, two), (None, None), (None, one)], "doc_id bigint, text string")
+    for n in (decontam.BROADCAST_SEEDS, 0):
+        found = decontam.contaminated(corpus_pipeline._keyed(bad), table(spark, SF_SMALL, "benchmark"), broadcast_seeds=n, carry="key")
+        assert {(r.doc_id, r.key) for r in found.collect()} == {(r.doc_id, r.key) for r in corpus_pipeline._keyed(bad).collect() if r.text == item}
+    out = corpus_pipeline.decontamination_stage(spark, bad, SF_SMALL)
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(None, one), (8, two), (None, None), (None, one)])
