@@ -17,6 +17,7 @@ doc_id: kept as it is. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections import Counter
 
 import pyarrow as pa
@@ -33,7 +34,7 @@ SAMPLE_DOCS = 20_000
 FREQUENT = 1 << 18
 KEY_BYTES = 64
 
-ROWS = "token string, doc_id bigint, text_hash int, n bigint, n_bytes bigint"
+ROWS = "token string, doc_id bigint, text_hash bigint, text_hash2 bigint, n bigint, n_bytes bigint"
 
 
 def _key(token: str) -> str | bytes:
@@ -94,10 +95,11 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for at in range(0, len(ids), 512):
-                token, doc, text_hash, n, n_bytes = [], [], [], [], []
+                token, doc, text_hash, text_hash2, n, n_bytes = [], [], [], [], [], []
                 for i, text in zip(ids[at:at + 512], texts[at:at + 512]):
                     raw = (text or "").encode()
-                    h = xxhash.xxh32_intdigest(raw) - (1 << 31)
+                    # 128 bits tell rows of one doc_id apart
+                    h, h2 = struct.unpack("<qq", xxhash.xxh3_128_digest(raw))
                     total, rare = 0, []
                     for t, f in Counter(p.pre_tokens(text or "")).items():
                         c = table.get(t)
@@ -113,10 +115,11 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
                     k = 1 + len(rare)
                     doc += [i] * k
                     text_hash += [h] * k
+                    text_hash2 += [h2] * k
                     n_bytes += [len(raw), *[None] * len(rare)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token, pa.string()), pa.array(doc, pa.int64()), pa.array(text_hash, pa.int32()),
-                     pa.array(n, pa.int64()), pa.array(n_bytes, pa.int64())], ["token", "doc_id", "text_hash", "n", "n_bytes"])
+                    [pa.array(token, pa.string()), pa.array(doc, pa.int64()), pa.array(text_hash, pa.int64()), pa.array(text_hash2, pa.int64()),
+                     pa.array(n, pa.int64()), pa.array(n_bytes, pa.int64())], ["token", "doc_id", "text_hash", "text_hash2", "n", "n_bytes"])
 
     def weigh(batches):
         """Pieces of each run of equal pre-tokens, times the frequency; rows come sorted by pre-token."""
@@ -132,12 +135,12 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
             each = [got.get(v, 1) for v in values]
             last, pieces_of_last = values[-1], each[-1]
             each = pa.array(each, pa.int64()).take(runs.indices)
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pc.multiply(b.column(3), each), b.column(4)],
-                                             ["doc_id", "text_hash", "n", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pc.multiply(b.column(4), each), b.column(5)],
+                                             ["doc_id", "text_hash", "text_hash2", "n", "n_bytes"])
 
     rows = docs.mapInArrow(split, ROWS).repartition("token").sortWithinPartitions("token")
-    sums = (rows.mapInArrow(weigh, "doc_id bigint, text_hash int, n bigint, n_bytes bigint")
-            .groupBy("doc_id", "text_hash")
+    sums = (rows.mapInArrow(weigh, "doc_id bigint, text_hash bigint, text_hash2 bigint, n bigint, n_bytes bigint")
+            .groupBy("doc_id", "text_hash", "text_hash2")
             .agg(F.sum("n").alias("n"), F.max("n_bytes").alias("n_bytes"), F.count("n_bytes").alias("copies")))
     # rows repeated in id and text were summed together and come out as often as they went in
     return sums.select("doc_id", "n_bytes", F.expr("n div copies").alias("n_tokens"),

@@ -60,6 +60,19 @@ def test_counts_of_odd_rows(odd, nothing):
     assert token_counts.token_counts(nothing, PATH).count() == 0
 
 
+def test_counts_of_texts_with_equal_short_hashes(spark):
+    import xxhash
+    seen = {}
+    for k in range(2_000_000):
+        text = "word " * (1 + k % 7) + str(k)
+        other = seen.setdefault(xxhash.xxh32_intdigest(text.encode()), text)
+        if other != text and len(other) != len(text):
+            break
+    docs = spark.createDataFrame([(None, text), (None, other), (1, text), (1, other), (1, other)], "doc_id bigint, text string")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in token_counts.token_counts(docs, PATH).collect())
+    assert got == sorted((i, len(t), len(library(t))) for i, t in ((0, text), (0, other), (1, text), (1, other), (1, other)))
+
+
 def test_token_files_round_trip(spark, small):
     rows = queries.op3(spark, SF_SMALL).orderBy("doc_id").collect()
     start = 0
