@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import (chat_format, decontam, html_main, packing, quality_knn, quality_rules, simhash, token_counts,
-                            token_files, url_rules)
+from ledgerloom.llm import (chat_format, decontam, html_main, language_crf, lexical_search, packing, quality_knn, quality_rules,
+                            resampling, simhash, token_counts, token_files, url_rules)
 from ledgerloom.llm.common import scratch, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -79,6 +79,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=1))
 
 
+#: The remainder by which rows are held out; a null id is that of the empty text, so it is held out.
+HELD_OUT = "crc32(coalesce(cast(doc_id as string), '')) % 5 = 0"
+
+
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_crf.identify(docs, docs.where(f"NOT {HELD_OUT}"))
+    return found.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=50)
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, min_words=20, seed=7)
+
+
 QUERIES = {
     "op1_token_counts": op1,
     "op2_quality_knn": op2,
@@ -90,6 +108,9 @@ QUERIES = {
     "op8_quality_rules": op8,
     "op9_chat_format": op9,
     "op10_packing": op10,
+    "op11_language_crf": op11,
+    "op12_lexical_search": op12,
+    "op13_resampling": op13,
 }
 
 _STOP_LIST = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
@@ -132,4 +153,60 @@ a AS (
   FROM e GROUP BY conv_id)
 SELECT conv_id, CAST(n AS BIGINT) AS n_turns, sha256(script) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
        sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM a""",
+    "op12_lexical_search": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(words)) AS BIGINT) AS total FROM d WHERE len(words) > 0),
+i AS (
+  SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+p AS (
+  SELECT doc_id, n, term, count(*) AS tf
+  FROM (SELECT doc_id, CAST(len(words) AS BIGINT) AS n, unnest(words) AS term FROM d) JOIN (SELECT DISTINCT term FROM i) USING (term)
+  GROUP BY doc_id, n, term),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * (SELECT docs FROM s) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight
+  FROM p GROUP BY term),
+t AS (
+  SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+  FROM i JOIN p USING (term) JOIN w USING (term), s GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM t WHERE score > 0) WHERE rank <= 50""",
+    "op13_resampling": r"""
+WITH lookup AS (
+  -- crc32 of each byte by the reversed polynomial
+  SELECT list(c ORDER BY b) AS of_byte FROM (
+    SELECT b, list_reduce(list_prepend(CAST(b AS BIGINT), range(8)),
+                          lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS b))),
+texts AS (
+  SELECT 0 AS side, row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), NULL, coalesce(text, '') FROM benchmark),
+d AS (
+  SELECT side, rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+f AS (
+  SELECT side, rid, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS feature FROM d),
+h AS (
+  SELECT feature, hex(encode(feature)) AS raw FROM (SELECT DISTINCT feature FROM f)),
+b AS (
+  SELECT feature, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, len(raw), 2),
+           lambda i: CAST((strpos('0123456789ABCDEF', raw[i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', raw[i + 2]) - 1 AS BIGINT))),
+         lambda c, x: xor(c >> 8, of_byte[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM h, lookup),
+c AS (SELECT side, rid, bucket FROM f JOIN b USING (feature)),
+n AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM c GROUP BY bucket),
+g AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * ((SELECT sum(s) FROM n) + 10000) / ((s + 1.0::DOUBLE) * ((SELECT sum(t) FROM n) + 10000)))) AS BIGINT) AS gain
+  FROM n),
+w AS (SELECT rid, count(*) AS n_features, floor(sum(gain) / CAST(count(*) AS DOUBLE)) AS weight FROM c JOIN g USING (bucket) WHERE side = 0 GROUP BY rid),
+x AS (
+  SELECT rid, doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS noise
+  FROM d LEFT JOIN w USING (rid) WHERE side = 0),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((noise + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM x),
+z AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) END AS place FROM y)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score,
+       CASE WHEN place <= (25 * (SELECT count(*) FROM z WHERE n_words >= 20)) // 100 THEN CAST(place AS BIGINT) END AS rank
+FROM z""",
 }
