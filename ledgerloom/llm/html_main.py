@@ -10,9 +10,16 @@ A page is cut into blocks at block-level tags. Pass one decides blocks:
   stop words, and undecided otherwise;
 * without one: long blocks and blocks of medium length are good if their
   stop-word density is high and their link density low, bad if they have few
-  stop words; short blocks are undecided.
-
-A name is a vote only. Forms like has-sidebar or comments-open say nothing. A
+  stop words; short blocks are undecided;
+* on a page whose text has next to none of the stop words known here (another
+  language or script), length and link density decide alone: long blocks with
+  few links are good, others undecided. Wide signs count ``WIDE`` fold, as
+  scripts like Japanese say more with fewer.
+
+A name is a vote only. Forms like has-sidebar, comments-open or ad-free say
+nothing. Within an article, a part of a name (social-science) takes no region
+out that holds long text with stop words and few links, unless the part sells
+(ad-slot) or means a region of its own (related-articles). Else a
 region marked by a part of a name (ad-free), or a form, counts as unmarked if it
 holds more long text with stop words than the page has outside marked regions,
 or the page's only article. One whose whole name says so (sidebar), or that is of
@@ -36,6 +43,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,6 +55,10 @@ ship(__name__)
 LONG, MEDIUM = 140, 50
 STOP_HIGH, STOP_LOW = 0.30, 0.15
 LINKS_HIGH = 0.5
+#: Below this share of known stop words among a page's words, its language is none of theirs.
+STOP_UNKNOWN = 0.04
+WIDE = 3
+WIDE_SIGNS = re.compile("[\u1100-\u11ff\u2e80-\u9fff\ua960-\ua97f\uac00-\ud7ff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff]")
 
 STOP_WORDS = frozenset("""
 the of and to in a is that it for was on are as with be at by this from or an not have which but were
@@ -74,11 +86,13 @@ nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer c
 alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus respond replies reply
 share sharing social related recommended toolbar pagination pager widget skip masthead topbar""".split())
 
+#: What follows a tag's name: a quote opens a value only right after an equals sign, and only if it is closed.
+INSIDE = r"""((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*)"""
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                   r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
+                   rf"|<(/?)([a-zA-Z][^\s/>]*){INSIDE}(?:>|\Z)|[^<]+|<", re.S)
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW_TAGS}
 #: In the others: a comment, a tag of plain text, or the end (of the head also a body).
-RAW_NEXT = {t: re.compile(rf"<!--|<({'|'.join(TEXT_TAGS)})(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z))"
+RAW_NEXT = {t: re.compile(rf"<!--|<({'|'.join(TEXT_TAGS)})(?=[\s/>]){INSIDE}>|(</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z))"
                           + (r"|(?=<body(?:[\s/>]|\Z))" if t == "head" else ""), re.I)
             for t in RAW_TAGS.difference(TEXT_TAGS)}
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -87,7 +101,7 @@ NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
 #: Words beside a bad one that make a state or a layout of it: has-sidebar, comments-open.
 STATE_FIRST = frozenset("has have no not non with without hide hidden".split())
-STATE_LAST = frozenset("open opened closed enabled disabled on off".split())
+STATE_LAST = frozenset("open opened closed enabled disabled on off free".split())
 
 
 class Block:
@@ -99,11 +113,14 @@ class Block:
 
 
 class Region:
-    """A marked region: where its tag stands, the marked one around it, how it is marked, whether it holds an article."""
-    __slots__ = ("at", "parent", "kind", "holds", "chars", "rich", "blocks", "own_chars", "own_rich")
+    """A marked region: where its tag stands, the marked one around it, how it is marked, whether it holds an article.
+
+    ``inside``: within an article.
+    """
+    __slots__ = ("at", "parent", "kind", "inside", "holds", "chars", "rich", "blocks", "own_chars", "own_rich")
 
-    def __init__(self, at: int, parent: Region | None, kind: int):
-        self.at, self.parent, self.kind, self.holds = at, parent, kind, False
+    def __init__(self, at: int, parent: Region | None, kind: int, inside: bool):
+        self.at, self.parent, self.kind, self.inside, self.holds = at, parent, kind, inside, False
         self.chars = self.rich = self.blocks = self.own_chars = self.own_rich = 0
 
 
@@ -112,8 +129,11 @@ DEEP_TAGS = frozenset("aside footer form dialog".split())
 DEEP_WORDS = frozenset("aside sidebar footer comment comments disqus respond replies reply related recommended widget".split())
 
 
-#: How a region is marked, from the weakest: a part of a name, a form, a whole name, reader comments, any other tag or a role.
-PART, FORM, NAME, READERS, SURE = 1, 2, 3, 4, 5
+#: How a region is marked, from the weakest: a part of a name that has other meanings too (social-science), a part that sells
+#: or means a region of its own, a form, a whole name, reader comments, any other tag or a role.
+WEAK, PART, FORM, NAME, READERS, SURE = 1, 2, 3, 4, 5, 6
+SELLING_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies
+consent gdpr newsletter subscribe subscription signup login popup modal overlay""".split())
 READER_WORDS = frozenset("comment comments disqus respond replies reply".split())
 
 
@@ -137,12 +157,17 @@ def marked_bad(tag: str, attributes: str, article: bool) -> tuple[int, int]:
                 continue
             if named := BAD_WORDS.intersection(parts):
                 level = max(level, 1 + bool(named & DEEP_WORDS))
-                kind = max(kind, READERS if named & READER_WORDS else NAME if BAD_WORDS.issuperset(parts) else PART)
+                kind = max(kind, READERS if named & READER_WORDS else NAME if BAD_WORDS.issuperset(parts)
+                           else PART if named & (DEEP_WORDS | SELLING_WORDS) else WEAK)
             elif not article and "header" in parts:
                 level, kind = max(level, 1), max(kind, NAME if len(parts) == 1 else PART)
     return level, kind
 
 
+def has_role(attributes: str, role: str) -> bool:
+    return any(name.lower() == "role" and role in (a or b or c).lower().split() for name, a, b, c in ATTRIBUTE.findall(attributes))
+
+
 def raw_end(page: str, tag: str, at: int) -> int:
     """Where to read on after the content of a raw tag, which begins at ``at``; the page's end if it isn't closed."""
     if tag not in RAW_NEXT:
@@ -176,6 +201,10 @@ def blocks_of(page: str, unmarked: frozenset[int] = frozenset()) -> tuple[list[B
     out: list[Block] = []
     marks: list[Region] = []
     stack: list[tuple[str, int, int, Region | None]] = []  # tag, and what held before it: bad (0 to 2), article and marked region
+    # open tags since the innermost article or main, it included, one count for each around it: a stray end tag
+    # is known at once, and an end tag doesn't end the article around it
+    open_tags = [Counter()]
+    mains = 0
     region = None
     bad, article, articles, links = 0, 0, 0, 0
     block = Block(False, 0, False, False)
@@ -211,22 +240,26 @@ def blocks_of(page: str, unmarked: frozenset[int] = frozenset()) -> tuple[list[B
             if tag in BLOCK_TAGS:
                 links = 0
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        _, bad, article, region = stack[k]
-                        del stack[k:]
-                        break
-                    if stack[k][0] in ("article", "main") and tag not in ("main", "body"):
-                        break  # a stray end tag doesn't end the article around it
+                ended = None
+                while ended != tag and (mains if tag == "main" else open_tags[-1][tag]):
+                    ended, bad, article, region = stack.pop()
+                    open_tags[-1][ended] -= 1
+                    if ended in ("article", "main"):
+                        open_tags.pop()
+                        mains -= ended == "main"
             else:
                 stack.append((tag, bad, article, region))
-                opens = tag in ("article", "main") or 'role="main"' in attributes
+                if tag in ("article", "main"):
+                    open_tags.append(Counter())
+                    mains += tag == "main"
+                open_tags[-1][tag] += 1
+                opens = tag in ("article", "main") or "main" in attributes.lower() and has_role(attributes, "main")
                 worse, kind = marked_bad(tag, attributes, bool(article)) if m.start() not in unmarked else (0, 0)
                 if opens and not worse and not article and bad < 2:
                     articles += 1
                     article, bad, region = articles, 0, None  # an unclosed menu before an article ends here
                 if worse:
-                    region = Region(m.start(), region, kind)
+                    region = Region(m.start(), region, kind, bool(article))
                     marks.append(region)
                 if opens and region:
                     region.holds = True
@@ -241,24 +274,39 @@ def blocks_of(page: str, unmarked: frozenset[int] = frozenset()) -> tuple[list[B
     return out, marks
 
 
-def measured(blocks: list[Block]) -> list[tuple[Block, str, float, float]]:
-    """The blocks with text, it, and their shares of link text and stop words."""
-    found = []
+def size_of(text: str) -> int:
+    """Length of a text, wide signs counted ``WIDE`` fold."""
+    return len(text) if text.isascii() else len(text) + (WIDE - 1) * len(WIDE_SIGNS.findall(text))
+
+
+def measured(blocks: list[Block]) -> tuple[list[tuple[Block, str, float, float]], bool]:
+    """The blocks with text, it, and their shares of link text and stop words; and whether the page's language is known.
+
+    If it isn't, stop words say nothing: all blocks have the share of ordinary text.
+    """
+    found, all_words, all_stops = [], 0, 0
     for b in blocks:
         raw = "".join(b.text)
         text = " ".join(raw.split())
         if text:
             words = text.lower().split()
-            stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
-            found.append((b, text, b.linked / max(1, len(raw)), stops))
-    return found
+            stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words)
+            links = b.linked / max(1, len(raw))
+            found.append((b, text, links, stops / len(words)))
+            if not b.bad and links <= LINKS_HIGH:
+                # signs of scripts without spaces count as words would
+                all_words += max(len(words), size_of(text) // 12)
+                all_stops += stops
+    if all_stops >= STOP_UNKNOWN * all_words:
+        return found, True
+    return [(b, text, links, STOP_LOW) for b, text, links, _ in found], False
 
 
 def outvoted(found: list[tuple[Block, str, float, float]], marks: list[Region]) -> frozenset[int]:
     """Where the tags of marked regions stand that hold the page's text, against their names."""
     chars = rich = 0  # outside marked regions
     for b, text, links, stops in found:
-        full = len(text) if len(text) >= LONG and stops >= STOP_LOW and links <= LINKS_HIGH else 0
+        full = len(text) if size_of(text) >= LONG and stops >= STOP_LOW and links <= LINKS_HIGH else 0
         if b.region:
             b.region.own_chars += len(text)
             b.region.own_rich += full
@@ -279,11 +327,14 @@ def outvoted(found: list[tuple[Block, str, float, float]], marks: list[Region])
     #: What is unmarked for the regions within an outvoted one.
     out = {}
     for r in marks:
-        if r.kind == SURE or r.parent and r.parent.at not in out or has_article and not r.holds:
+        weak = r.kind == WEAK and r.inside
+        if r.kind == SURE or r.parent and r.parent.at not in out or has_article and not r.holds and not weak:
             continue
         c, f = out[r.parent.at] if r.parent else (chars, rich)
         only = r.holds and f == 0 and r.chars > c
-        if r.kind in (PART, FORM):
+        if weak:
+            free = r.rich > 0
+        elif r.kind in (WEAK, PART, FORM):
             free = r.rich > f or only
         elif r.kind == NAME:
             free = only or f == 0 and r.blocks >= 3
@@ -299,9 +350,9 @@ def main_text(page: str | None) -> str:
     labels: list[int] = []  # 1 good, -1 bad, 0 undecided
     regions: list[int] = []
     blocks, marks = blocks_of(page or "")
-    found = measured(blocks)
+    found, known = measured(blocks)
     if marks and (free := outvoted(found, marks)):
-        found = measured(blocks_of(page, free)[0])
+        found, known = measured(blocks_of(page, free)[0])
     has_article = any(b.article and not b.bad for b, *_ in found)
     for b, text, links, stops in found:
         if b.bad:
@@ -312,9 +363,11 @@ def main_text(page: str | None) -> str:
             elif links > LINKS_HIGH and b.listed:
                 label = -1
             else:
-                label = 1 if len(text) >= LONG or stops >= STOP_HIGH else 0
+                label = 1 if size_of(text) >= LONG or stops >= STOP_HIGH else 0
         elif links > LINKS_HIGH:
             label = -1
+        elif not known:
+            label = 1 if size_of(text) >= LONG else 0
         elif len(text) >= MEDIUM:
             label = 1 if stops >= STOP_HIGH or len(text) >= LONG and stops >= STOP_LOW else -1 if stops < STOP_LOW / 3 and len(text) < LONG else 0
         else:
@@ -322,30 +375,38 @@ def main_text(page: str | None) -> str:
         texts.append(text)
         labels.append(label)
         regions.append(b.article)
-    out = []
-    for k, (text, label) in enumerate(zip(texts, labels)):
-        if label == 0:
-            label = inherited(k, labels, regions, has_article, found[k][0].heading)
-        if label > 0:
-            out.append(text)
-    return "\n\n".join(out)
+    headings = [b.heading for b, *_ in found]
+    return "\n\n".join(text for text, label in zip(texts, inherited(labels, regions, has_article, headings)) if label > 0)
+
 
+def inherited(labels: list[int], regions: list[int], has_article: bool, headings: list[bool]) -> list[int]:
+    """The labels, undecided ones by the nearest decided block; the region's end is one (good for an article, else bad).
 
-def inherited(k: int, labels: list[int], regions: list[int], has_article: bool, heading: bool) -> int:
-    """Label of the nearest decided block; the region's end is one (good for an article, else bad)."""
+    Of two equally near ones a heading takes the one after it, another block the bad one.
+    """
     end = 1 if has_article else -1
-    for step in range(1, len(labels) + 1):
-        near = []
-        for j in (k - step, k + step):
-            if not 0 <= j < len(labels) or regions[j] != regions[k]:
-                near.append(end)
-            elif labels[j]:
-                # within an article a cut-out menu or advert says nothing about the text beside it
-                if not (has_article and labels[j] < 0):
-                    near.append(labels[j])
-        if near:
-            return near[-1] if heading else min(near)
-    return end
+    n = len(labels)
+
+    def nearest(order):
+        """(steps, label) of the nearest decided block, or end, met before each one in this order."""
+        out, steps, label, region = [(0, 0)] * n, 0, end, None
+        for k in order:
+            if regions[k] != region:
+                steps, label, region = 0, end, regions[k]
+            steps += 1
+            out[k] = (steps, label)
+            # within an article a cut-out menu or advert says nothing about the text beside it
+            if labels[k] and not (has_article and labels[k] < 0):
+                steps, label = 0, labels[k]
+        return out
+
+    before, after = nearest(range(n)), nearest(range(n - 1, -1, -1))
+    out = []
+    for label, heading, (near, a), (far, b) in zip(labels, headings, before, after):
+        if label == 0:
+            label = a if near < far else b if far < near or heading else min(a, b)
+        out.append(label)
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:
