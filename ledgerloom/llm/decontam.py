@@ -1,22 +1,25 @@
 """Benchmark decontamination (operator 6).
 
-Seeds: the word n-grams (``SEED_WORDS``) of the test items. They join the
-training documents in blocks: the seeds are broadcast when the benchmark has
-at most ``BROADCAST_SEEDS`` of them, and are joined by a shuffle on the
-n-gram's hash beyond. Every document with a seed yields, per place, a
-*passage*: the words around the seeds of one item that lie on near diagonals.
+Seeds: the word n-grams (``SEED_WORDS``) of the test items. They are broadcast
+and met by every n-gram of every training document, in blocks of items with
+about ``BROADCAST_SEEDS`` seeds, so a benchmark of any size is covered; each
+block is one pass over the documents. Every document with a seed yields, per
+place, a *passage*: the words around the seeds of one item that lie on near
+diagonals. A task holds one document and hands passages on in small batches.
 
 A passage is a candidate if it holds a rare seed (found in at most
-``RARE_SHARE`` of all documents, counted over the whole corpus) or at least
-``MANY`` different seeds of the item (all, if it has fewer), so a passage that leaked everywhere,
-whose seeds are no longer rare, stays a candidate. Smith-Waterman then aligns
-item and passage by words (match +2, mismatch -1, gap -1); a passage whose
-score reaches ``SHARE`` of the item's own (2 per word) is a copy, whether
-exact, edited or paraphrased in part.
+``RARE_SHARE`` of all documents, or in one, counted over the whole corpus) or
+at least ``MANY`` different seeds of the item (all, if it has fewer), so a
+passage that leaked everywhere, whose seeds are no longer rare, stays a
+candidate. Smith-Waterman then aligns item and passage by words (match +2,
+mismatch -1, gap -1); a passage whose score reaches ``SHARE`` of the item's own
+(2 per word) is a copy, whether exact, edited or paraphrased in part.
 
 Output: one row per document and item: doc_id, item_id, score (0 to 1), and
 the words [first_word, last_word) of the best passage. Several rows that
-share a doc_id give one row, the best (ties: the earliest passage).
+share a doc_id give one row, the best (ties: the earliest passage). Items are
+taken by row: each of several rows with one item_id, or none, gives results of
+its own, with that item_id.
 
 Null or empty text or item: no rows. Items with fewer words than a seed use
 their whole text as a seed. Null doc_id is kept as null. An empty table on
@@ -47,9 +50,11 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 
 WORDS = re.compile(r"[^\W_]+")
 
-PASSAGES = "doc_id bigint, item_id bigint, seeds array<bigint>, enough boolean, first int, words array<string>"
-PASSAGE_TYPES = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.int32(), pa.list_(pa.string()))
-PASSAGE_NAMES = ["doc_id", "item_id", "seeds", "enough", "first", "words"]
+PASSAGES = "doc_id bigint, row bigint, item bigint, seeds array<bigint>, enough boolean, first int, words array<string>"
+PASSAGE_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.int32(), pa.list_(pa.string()))
+PASSAGE_NAMES = ["doc_id", "row", "item", "seeds", "enough", "first", "words"]
+#: Passages handed on at once.
+PASSAGE_ROWS = 2_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -99,126 +104,91 @@ def alignment(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def seed_table(benchmark: DataFrame, n: int) -> DataFrame:
-    """item_id, n_words, kinds (different seeds of the item), place, hash: one row per seed place of an item."""
+def seed_counts(items: DataFrame, n: int) -> DataFrame:
+    """(item, seeds) of every item row with a word."""
     def run(batches):
         for b in batches:
-            rows = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = words_of(text)
-                own = item_seeds(words, n)
-                rows += [(i, len(words), len({h for h, _ in own}), at, h) for h, at in own]
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["item_id", "n_words", "kinds", "place", "hash"])
+            kept = [(i, max(1, len(words) - n + 1)) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (words := words_of(text))]
+            cols = list(zip(*kept)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["item", "seeds"])
 
-    return benchmark.mapInArrow(run, "item_id bigint, n_words bigint, kinds bigint, place bigint, hash bigint")
+    return items.select("item", "text").mapInArrow(run, "item bigint, seeds bigint")
 
 
-def gather(words: list[str], hits: list[tuple[int, int, int, int, int, int]]):
-    """Passages of one document from its hits (item, n_words, item place, document place, hash, kinds).
+def gather(n_words: int, hits):
+    """Passages of one document from its hits (item, n_words, item place, document place, hash, kinds) by rising document place.
 
     Hits of an item whose document places lie within one item length of each
     other make one passage, so a passage is at most as long as its run of
-    hits plus two margins.
+    hits plus two margins. Held meanwhile: one open run for each item.
     """
-    hits.sort(key=lambda h: (h[0], h[3]))
-    run: list = []
-    for h in [*hits, None]:
-        if run and (h is None or h[0] != run[0][0] or h[3] - run[-1][3] > run[0][1]):
-            size = run[0][1]
-            before = max(x[2] for x in run)
-            lo = max(0, run[0][3] - before - int(MARGIN * size))
-            hi = min(len(words), run[-1][3] + size + int(MARGIN * size))
-            seeds = sorted({x[4] for x in run})
-            yield run[0][0], seeds, len(seeds) >= min(MANY, run[0][5]), lo, words[lo:hi]
-            run = []
-        if h is not None:
-            run.append(h)
-
-
-def _passages(docs: DataFrame):
-    """Columns of passages: types, names and schema; what ``docs`` has beside doc_id and text (strings) comes last."""
-    own = docs.columns[2:]
-    return PASSAGE_TYPES + (pa.string(),) * len(own), PASSAGE_NAMES + own, ", ".join([PASSAGES, *(f"`{k}` string" for k in own)])
-
-
-def passages_broadcast(docs: DataFrame, seeds: list, n: int) -> DataFrame:
-    """Passages of every document, against broadcast seeds."""
-    types, names, schema = _passages(docs)
-    vocabulary = docs.sparkSession.sparkContext.broadcast(_index(seeds))
+    runs: dict = {}
+
+    def passage(item, run):
+        size, first, last, before, seeds, kinds = run
+        lo = max(0, first - before - int(MARGIN * size))
+        hi = min(n_words, last + size + int(MARGIN * size))
+        return item, sorted(seeds), len(seeds) >= min(MANY, kinds), lo, hi
+
+    for item, size, place, at, h, kinds in hits:
+        run = runs.get(item)
+        if run is not None and at - run[2] > size:
+            yield passage(item, run)
+            run = None
+        if run is None:
+            runs[item] = [size, at, at, place, {h}, kinds]
+        else:
+            run[2] = at
+            run[3] = max(run[3], place)
+            run[4].add(h)
+    for item, run in runs.items():
+        yield passage(item, run)
+
+
+def passages(docs: DataFrame, items: list, n: int) -> DataFrame:
+    """Passages of every document (doc_id, row, text, and strings to carry) against the seeds of some items (item, words)."""
+    own = docs.columns[3:]
+    types, names = PASSAGE_TYPES + (pa.string(),) * len(own), PASSAGE_NAMES + own
+    vocabulary = docs.sparkSession.sparkContext.broadcast(_index(items, n))
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(names), types)], names)
 
     def run(batches):
         table = vocabulary.value
         for b in slices(batches, 256):
             rows = []
-            for i, text, *key in zip(*(c.to_pylist() for c in b.columns)):
+            for i, row, text, *key in zip(*(c.to_pylist() for c in b.columns)):
                 words = words_of(text)
-                hits = []
-                for k, own in table.items():
-                    for at, gram in enumerate(zip(*(words[j:] for j in range(k)))):
-                        if gram in own:
-                            hits += [(item, size, place, at, h, kinds) for item, size, place, h, kinds in own[gram]]
-                if hits:
-                    rows += [(i, *p, *key) for p in gather(words, hits)]
-            cols = list(zip(*rows)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
-
-    return docs.mapInArrow(run, schema)
-
-
-def _index(items: list) -> dict:
-    """{words in a gram: {gram: [(item_id, n_words, place, hash, kinds)]}}"""
+                for k, seeds in table.items():
+                    found = [(at, gram) for at, gram in enumerate(zip(*(words[j:] for j in range(k)))) if gram in seeds]
+                    if not found:
+                        continue
+                    hits = ((item, size, place, at, h, kinds) for at, gram in found for item, size, place, h, kinds in seeds[gram])
+                    for item, own_seeds, enough, lo, hi in gather(len(words), hits):
+                        rows.append((i, row, item, own_seeds, enough, lo, words[lo:hi], *key))
+                        if len(rows) >= PASSAGE_ROWS:
+                            yield batch(rows)
+                            rows = []
+            yield batch(rows)
+
+    return docs.mapInArrow(run, ", ".join([PASSAGES, *(f"`{k}` string" for k in own)]))
+
+
+def _index(items: list, n: int) -> dict:
+    """{words in a gram: {gram: [(item, n_words, place, hash, kinds)]}}"""
     out: dict = {}
-    for item_id, words, n in items:
+    for item, words in items:
         if not words:
             continue
         k = min(n, len(words))
         own, seeds = out.setdefault(k, {}), item_seeds(words, n)
         kinds = len({h for h, _ in seeds})
         for h, at in seeds:
-            own.setdefault(tuple(words[at:at + k]), []).append((item_id, len(words), at, h, kinds))
+            own.setdefault(tuple(words[at:at + k]), []).append((item, len(words), at, h, kinds))
     return out
 
 
-def passages_shuffled(docs: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
-    """The same passages for a benchmark too large to broadcast: n-grams meet seeds by a shuffle.
-
-    Documents are cut into overlapping stretches, so no task holds more than
-    a stretch; a stretch is addressed by (doc_id, text hash, number).
-    """
-    types, names, schema = _passages(docs)
-    own = docs.columns[2:]
-
-    def grams(batches):
-        for b in batches:
-            rows = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words, th = words_of(text), xxhash.xxh64_intdigest(text or "") - (1 << 63)
-                rows += [(i, th, at, gram_hash(words[at:at + k])) for k in range(1, n + 1) for at in range(len(words) - k + 1)]
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "text_hash", "at", "hash"])
-
-    def cut(batches):
-        for b in batches:
-            rows = []
-            for i, text, hits, *key in zip(*(c.to_pylist() for c in b.columns)):
-                rows += [(i, *p, *key) for p in gather(words_of(text), [(h["item_id"], h["n_words"], h["place"], h["at"], h["hash"], h["kinds"]) for h in hits])]
-            cols = list(zip(*rows)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
-
-    def hashed(batches):
-        for b in batches:
-            th = [xxhash.xxh64_intdigest(t or "") - (1 << 63) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(th, pa.int64())], ["doc_id", "text", *own, "text_hash"])
-
-    hits = (docs.mapInArrow(grams, "doc_id bigint, text_hash bigint, at bigint, hash bigint").join(seeds, "hash")
-            .groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("item_id", "n_words", "place", "at", "hash", "kinds")).alias("hits"))
-            .withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "h"))
-    keyed = docs.mapInArrow(hashed, ", ".join(["doc_id bigint, text string", *(f"`{k}` string" for k in own), "text_hash bigint"]))
-    found = keyed.join(hits, keyed.doc_id.eqNullSafe(F.col("d")) & (keyed.text_hash == F.col("h"))).select("doc_id", "text", "hits", *own)
-    return found.mapInArrow(cut, schema)
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, share: float = SHARE,
                  rare_share: float = RARE_SHARE, broadcast_seeds: int = BROADCAST_SEEDS, carry: str | None = None) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word of every copy of an item of ``benchmark`` (item_id, text) in ``docs``.
@@ -226,45 +196,49 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, sha
     With ``carry`` that string column of ``docs`` comes with doc_id and tells rows of one doc_id apart.
     """
     key = [carry] if carry else []
-    docs, benchmark = pick(docs, "doc_id", "text", *key), pick(benchmark, "item_id", "text")
-    spark = docs.sparkSession
-    seeds = seed_table(benchmark, n)
-    n_seeds = seeds.count()
-    if n_seeds <= broadcast_seeds:
-        # the words of all items number at most n_seeds + n per item
-        items = [(r.item_id, words_of(r.text), n) for r in benchmark.collect()]
-        found = passages_broadcast(docs, items, n)
-    else:
-        found = passages_shuffled(docs, seeds, n)
-    found = written(found, "passages")
-    total = docs.count()
-    in_docs = (found.select("doc_id", F.explode("seeds").alias("hash")).groupBy("hash")
-               .agg(F.count_distinct("doc_id").alias("df")))
-    common = in_docs.where(F.col("df") > rare_share * total).select("hash")
-    if n_seeds <= broadcast_seeds:
-        common = F.broadcast(common)  # some of the seeds: bounded like them
+    docs = pick(docs, "doc_id", "text", *key).select("doc_id", F.monotonically_increasing_id().alias("row"), "text", *key)
+    items = written(pick(benchmark, "item_id", "text").where("text is not null")
+                    .withColumn("item", F.monotonically_increasing_id()), "items")
+    seeds = written(seed_counts(items, n), "item-seeds")
+    n_seeds, n_items = seeds.agg(F.coalesce(F.sum("seeds"), F.lit(0)), F.count("*")).first()
+    blocks = min(n_items, -(-n_seeds // max(1, broadcast_seeds)))
+    items = items.join(seeds.select("item"), "item", "left_semi")
+    found = None
+    for k in range(blocks):
+        # about broadcast_seeds seeds: items fall into the blocks by a hash of their row
+        block = [(r["item"], words_of(r["text"])) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()]
+        own = written(passages(docs, block, n), "passages")
+        found = own if found is None else found.union(own)
+    if found is None:
+        found = written(passages(docs.where("false"), [], n), "passages")
+    least = max(1, rare_share * docs.count())
+    in_docs = found.select("row", F.explode("seeds").alias("hash")).groupBy("hash").agg(F.count_distinct("row").alias("df"))
+    common = in_docs.where(F.col("df") > least).select("hash")
+    if blocks <= 1:
+        # some of the block's seeds and items: bounded like them
+        common, items = F.broadcast(common), F.broadcast(items)
     few = found.where("NOT enough")
     # a passage with fewer seeds needs a rare one
     rare = few.withColumn("seed", F.explode("seeds")).join(common, F.col("seed") == F.col("hash"), "left_anti").drop("seed")
     candidates = found.where("enough").union(rare)
-    items = benchmark.where("text is not null").select(F.col("item_id").alias("id"), F.col("text").alias("item_text"))
-    pairs = candidates.join(items, F.col("item_id") == F.col("id")).select("doc_id", "item_id", "first", "words", "item_text", *key)
+    texts = items.select(F.col("item").alias("i"), "item_id", F.col("text").alias("item_text"))
+    pairs = candidates.join(texts, F.col("item") == F.col("i")).select("doc_id", "item", "item_id", "first", "words", "item_text", *key)
 
     def align(batches):
         for b in batches:
             rows = []
-            for i, item_id, first, words, text, *own in zip(*(c.to_pylist() for c in b.columns)):
+            for i, item_row, item_id, first, words, text, *own in zip(*(c.to_pylist() for c in b.columns)):
                 item = words_of(text)
                 number = {w: k for k, w in enumerate(item)}
                 score, lo, hi = alignment(np.array([number[w] for w in item]), np.array([number.get(w, -1) for w in words]))
                 if score >= share * MATCH * len(item):
-                    rows.append((i, item_id, score / (MATCH * len(item)), first + lo, first + hi, *own))
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), *[pa.string()] * len(key))
+                    rows.append((i, item_row, item_id, score / (MATCH * len(item)), first + lo, first + hi, *own))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), *[pa.string()] * len(key))
             cols = list(zip(*rows)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
-                                             ["doc_id", "item_id", "score", "first_word", "last_word", *key])
+                                             ["doc_id", "item", "item_id", "score", "first_word", "last_word", *key])
 
-    hits = pairs.mapInArrow(align, ", ".join(["doc_id bigint, item_id bigint, score double, first_word int, last_word int",
+    hits = pairs.mapInArrow(align, ", ".join(["doc_id bigint, item bigint, item_id bigint, score double, first_word int, last_word int",
                                               *(f"`{k}` string" for k in key)]))
     best = F.max_by(F.struct("score", "first_word", "last_word"), F.struct("score", -F.col("first_word"), -F.col("last_word")))
-    return hits.groupBy("doc_id", *key, "item_id").agg(best.alias("b")).select("doc_id", *key, "item_id", "b.*")
+    return hits.groupBy("doc_id", *key, "item", "item_id").agg(best.alias("b")).select("doc_id", *key, "item_id", "b.*")
