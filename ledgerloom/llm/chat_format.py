@@ -13,10 +13,12 @@ one more backslash after the first sign of each control string (``<|``,
 escaped text and taking one backslash away restores it.
 
 Output, one row a conversation: conv_id, formatted, n_turns, mask (code-point
-spans [start, stop) of the assistant's bodies, for the loss), attachments
+spans [start, stop) of the assistant's bodies, for the loss, and the same
+spans in UTF-8 bytes, by which a reader reaches them at once), attachments
 (turn number, kind, ref, n_tokens, in order) and attachment_tokens.
 ``read_back`` splits ``formatted`` at the markers into roles and texts, and
-takes the text under the mask.
+takes the text under the mask by its bytes: the time grows with the length of
+a conversation, not with its square.
 
 Turns are ordered by turn, then role and text (ties and repeated rows keep
 their place, each is a turn). Null text, role or parts: empty. A null conv_id
@@ -79,12 +81,17 @@ def format_chats(turns: DataFrame, learn_role: str = "assistant") -> DataFrame:
                         F.transform(F.filter(parts, lambda p: F.coalesce(p["type"], F.lit("text")).isin(*PLACEHOLDERS)),
                                     lambda p: F.struct(p["type"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("n_tokens"))).alias("files"))
     head = F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(BODY))
-    laid = flat.withColumn("head", head).withColumn("chars", (F.length("head") + F.length("body") + len(END)).cast("bigint"))
+    laid = flat.withColumn("head", head).withColumns({
+        "chars": (F.length("head") + F.length("body") + len(END)).cast("bigint"),
+        "bytes": (F.octet_length("head") + F.octet_length("body") + len(END)).cast("bigint")})
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "body")
-    before = F.coalesce(F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+    so_far = order.rowsBetween(Window.unboundedPreceding, -1)
+    before, before_bytes = (F.coalesce(F.sum(c).over(so_far), F.lit(0).cast("bigint")) for c in ("chars", "bytes"))
     placed = laid.select("conv_id", F.row_number().over(order).alias("at"), F.col("head"), "body", "files",
                          F.when(F.col("role") == learn_role, F.struct(
-                             (before + F.length("head")).alias("start"), (before + F.length("head") + F.length("body")).alias("stop"))).alias("span"))
+                             (before + F.length("head")).alias("start"), (before + F.length("head") + F.length("body")).alias("stop"),
+                             (before_bytes + F.octet_length("head")).alias("start_byte"),
+                             (before_bytes + F.octet_length("head") + F.octet_length("body")).alias("stop_byte"))).alias("span"))
     whole = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "head", "body", "files", "span"))).alias("t"))
     attachments = F.flatten(F.transform("t", lambda t: F.transform(
         t["files"], lambda f: F.struct(t["at"].alias("turn"), f["kind"].alias("kind"), f["ref"].alias("ref"), f["n_tokens"].alias("n_tokens")))))
@@ -104,7 +111,10 @@ def read_back(chats: DataFrame) -> DataFrame:
         return F.struct(unescaped(role).alias("role"), unescaped(text).alias("text"))
 
     pieces = F.filter(F.split("formatted", r"<\|turn\|>"), lambda p: F.length(p) > 0)
-    learned = F.array_join(F.transform("mask", lambda s: unescaped(
-        F.substr("formatted", (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int")))), "")
+    # a character's place in a text is found by counting from the start, a byte's at once; the one-element array
+    # makes the bytes once for all spans
+    raw = F.array(F.col("formatted").cast("binary"))
+    learned = F.transform(raw, lambda r: F.array_join(F.transform("mask", lambda s: unescaped(
+        F.substr(r, (s["start_byte"] + 1).cast("int"), (s["stop_byte"] - s["start_byte"]).cast("int")).cast("string"))), ""))[0]
     return chats.select("conv_id", F.transform(pieces, turn).alias("turns"), learned.alias("learned"),
                         F.length("formatted").cast("bigint").alias("formatted_chars"))
