@@ -15,7 +15,9 @@ host is matched once for each text.
 
 A given list (host/path, action) goes before: a rule fits its host and all
 subdomains if the path starts with its path; the longest wins. The list is
-configuration, at most ``MAX_LISTED`` entries, and becomes one expression.
+configuration, at most ``MAX_LISTED`` entries. It is one constant, a hash table
+of the rules by host; the suffixes of a url's host are looked up in it, so the
+cost of a url does not grow with the list.
 
 Null urls and such without ``://`` have empty host and path, no tokens, and
 are allowed unless a rule says else. No labels or no rules: all allowed.
@@ -24,6 +26,9 @@ Repeated rows get a row each. An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
+import zlib
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -103,12 +108,18 @@ def listed_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Col
     """The longest listed rule that fits (ties: the first by text), as struct(rule, action), or null."""
     if len(rules) > MAX_LISTED:
         raise ValueError(f"at most {MAX_LISTED} listed rules")
-    best = F.lit(None).cast("struct<rule: string, action: string>")
-    for rule, action in sorted(rules, key=lambda r: (len(r[0]), [-ord(c) for c in r[0]])):
+    slots: list[list] = [[] for _ in range(max(1, len(rules)))]
+    for rule, action in rules:
         h, slash, p = rule.partition("/")
-        fits = ((host == h) | host.endswith("." + h)) & path.startswith(slash + p)
-        best = F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(action).alias("action"))).otherwise(best)
-    return best
+        slots[zlib.crc32(h.encode()) % len(slots)].append({"h": h, "p": slash + p, "rule": rule, "action": action})
+    # folded to one literal when the query is planned
+    listed = F.from_json(F.lit(json.dumps(slots)), "array<array<struct<h: string, p: string, rule: string, action: string>>>")
+    labels = F.split(host, r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    near = F.flatten(F.transform(F.array_distinct(suffixes), lambda s: F.filter(
+        F.element_at(listed, (F.crc32(s.cast("binary")) % len(slots) + 1).cast("int")), lambda r: (r["h"] == s) & path.startswith(r["p"]))))
+    best = F.array_min(F.transform(near, lambda r: F.struct((-F.length(r["rule"])).alias("size"), r["rule"].alias("rule"), r["action"].alias("action"))))
+    return F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["action"].alias("action")))
 
 
 def judge(pages: DataFrame, mined: DataFrame, listed: list[tuple[str, str]]) -> DataFrame:
