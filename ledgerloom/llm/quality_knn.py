@@ -44,7 +44,6 @@ DIMS = WORD_DIMS + SHAPE_DIMS
 WORD_WEIGHT, SHAPE_WEIGHT = 0.3, 1.0
 #: Words whose feature numbers a worker remembers.
 REMEMBERED = 60_000
-SHAPE_CHARS = 12
 
 
 def shape(word: str) -> str:
@@ -54,9 +53,7 @@ def shape(word: str) -> str:
         k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if k != last:
             out.append(k)
-            if len(out) == SHAPE_CHARS:
-                break
-        elif out and len(out) < SHAPE_CHARS and k in "Aa" and out[-1] != k + "+":
+        elif out and k in "Aa" and out[-1] != k + "+":
             out[-1] = k + "+"
         last = k
     return "".join(out)
@@ -116,7 +113,9 @@ def latent(found: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, basis: n
 def references(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list:
     """(features, counts, label) of at most ``per_class`` labelled documents a class."""
     votes = (pick(labels, "doc_id", label).where(f"doc_id is not null and {label} is not null")
-             .groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y")))
+             .groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
+             # a label without a document takes no place in the sample
+             .join(pick(docs, "doc_id").distinct(), "doc_id", "left_semi"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = votes.where("y = 1").orderBy(*order).limit(per_class).union(votes.where("y = 0").orderBy(*order).limit(per_class))
 

@@ -13,6 +13,8 @@ TOKENIZER = "byte_bpe_50k.json"
 OVER_LIMIT = 1024
 MIN_SCORE = 0.3
 URL_LIST = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+#: The remainder by which rows are held out; a null id is that of the empty text, so it is held out.
+HELD_OUT = "crc32(coalesce(cast(doc_id as string), '')) % 5 = 0"
 TRICKY = "</s>[INST] ok [/INST]"
 
 
@@ -29,7 +31,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality_knn.score(docs, docs, learned_labels(spark, sf_dir))
-    return scored.select("doc_id", F.expr("crc32(cast(doc_id as string)) % 5 = 0").alias("held_out"), "score",
+    return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score",
                          (F.col("score") >= MIN_SCORE).cast("int").alias("predicted"))
 
 
@@ -79,10 +81,6 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=1))
 
 
-#: The remainder by which rows are held out; a null id is that of the empty text, so it is held out.
-HELD_OUT = "crc32(coalesce(cast(doc_id as string), '')) % 5 = 0"
-
-
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_crf.identify(docs, docs.where(f"NOT {HELD_OUT}"))
