@@ -1,12 +1,13 @@
 """Packing into sequences (operator 10).
 
 Documents (their ids and an end id) are cut into pieces of at most
-``length`` ids. Pieces are dealt to groups at random (by a hash of document
-and place, so a long document spreads over many groups), and every group is
-packed on its own by first-fit decreasing: a tournament tree over the free
-space of the bins finds the first bin that has room. A group holds about
-``group_docs`` documents whatever the input's size, so a task's memory does
-not grow with the data. Open space remains in the last bins of a group only;
+``length`` ids. Pieces are dealt to groups at random (by a hash of the row's
+place in the input and the piece's in the document, so long documents and
+repeated rows spread over all groups), and every group is packed on its own by
+first-fit decreasing: a tournament tree over the free space of the bins finds
+the first bin that has room. Groups are as many as the texts' bytes ask for,
+``group_bytes`` each, and a text has at most as many ids as bytes, so a task's
+memory grows neither with the data nor with the length of documents. Open space remains in the last bins of a group only;
 it is padding.
 
 Output: one row per sequence: sequence_id (group and bin), ids (binary,
@@ -15,7 +16,7 @@ little-endian unsigned 32 bit, without padding) and its pieces in order
 after padding: ``length``, or the used one where it is a power of two.
 
 Null text: the end id only. Rows repeated in id and text are packed each on
-their own but share a group. An empty table gives no rows.
+their own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from ledgerloom.llm.tokens import pieces
 ship(__name__)
 
 LENGTH = 2048
-GROUP_DOCS = 1024
+GROUP_BYTES = 3 << 20
 SEED = 20_240
 #: Bins of one group at most; sequence ids are group * GROUP_BINS + bin.
 GROUP_BINS = 1 << 28
@@ -69,10 +70,13 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Sequences of at most ``length`` ids over ``docs`` (doc_id, text)."""
     docs = pick(docs, "doc_id", "text")
-    groups = max(1, -(-docs.count() // group_docs))
+    # an end id counts like a byte, so empty documents fill groups too
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
+    groups = max(1, -(-size // group_bytes))
+    docs = docs.withColumn("place", F.monotonically_increasing_id())
 
     def cut(batches):
         p = pieces(tokenizer)
@@ -80,11 +84,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, gro
         step = length * p.width
         for b in slices(batches, 256):
             rows = []
-            for i, raw in zip(b.column(0).to_pylist(), p.encode(b.column(1).to_pylist())):
+            for i, raw, row in zip(b.column(0).to_pylist(), p.encode(b.column(1).to_pylist()), b.column(2).to_pylist()):
                 raw += end
                 for k in range(0, len(raw), step):
                     part = raw[k:k + step]
-                    g = xxhash.xxh64_intdigest(part + b"%d %d" % (-1 if i is None else i, k), SEED) % groups
+                    g = xxhash.xxh64_intdigest(b"%d %d" % (row, k), SEED) % groups
                     rows.append((g, i, k // p.width, len(part) // p.width, len(raw) // p.width, part))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))],

@@ -17,9 +17,11 @@ with (segment i, near j) for the six ordered pairs and with (near 0, near 1),
 60 keys. Every pair within 3 bits meets in some key; the distance is then
 checked. Distances other than 3 need another split, so they are refused.
 
-Copies share a fingerprint and are one node. A key's askers and answerers
-are cut into blocks of ``BLOCK``, and each pair of blocks is compared in a
-task of its own, so no key, however hot, meets in one task. A task returns a
+Copies share a fingerprint and are one node. Keys are counted first, with
+partial sums; a key's askers and answerers are then cut into blocks of
+``BLOCK`` and each pair of blocks is compared on its own. The counts join the
+rows by a shuffle that Spark splits where a key is hot, so no key meets in
+one task. A task returns a
 spanning forest of the links it found, never all pairs. Components are found
 by alternating large-star and small-star rounds over the forests, each round
 written to the shared folder.
@@ -44,6 +46,8 @@ ship(__name__)
 SHINGLE, BITS, SEED = 3, 3, 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 BLOCK = 2048
+#: Nodes a task's spanning forest remembers.
+FOREST = 2_000_000
 #: Generator polynomial of the Golay code (fixed value): x^11+x^10+x^6+x^5+x^4+x^2+1.
 GENERATOR = 0xC75
 
@@ -208,6 +212,8 @@ def links(fps: DataFrame, most: int = BITS, block: int = BLOCK) -> DataFrame:
                 if held is not None and held[0] != cell:
                     out += close(held)
                     held = None
+                if held is None and len(forest.up) > FOREST:
+                    forest = Forest()  # what it forgets may be linked once more
                 held = held or (cell, [], [])
                 held[1].append(fp[lo:hi][~mine])
                 held[2].append(fp[lo:hi][mine])
@@ -216,7 +222,8 @@ def links(fps: DataFrame, most: int = BITS, block: int = BLOCK) -> DataFrame:
         if held is not None and (out := close(held)):
             yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.uint64).view(np.int64)) for c in zip(*out)], ["a", "b"])
 
-    rows = fps.select("fp").mapInArrow(spread, "key bigint, asks boolean, fp bigint").repartition("key")
+    # a key may be hot: keys are counted with partial sums, and the join on them is one that AQE may split
+    rows = fps.select("fp").mapInArrow(spread, "key bigint, asks boolean, fp bigint")
     sizes = (rows.groupBy("key").agg(F.count(F.when(F.col("asks"), 1)).alias("n_ask"), F.count(F.when(~F.col("asks"), 1)).alias("n_ans"),
                                      F.min("fp").alias("lo"), F.max("fp").alias("hi"))
              .where("n_ask > 0 and n_ans > 0 and lo < hi").drop("lo", "hi"))

@@ -47,7 +47,8 @@ def frequent_counts(docs: DataFrame, path: str) -> dict[str | bytes, int]:
     """Piece counts of the pre-tokens seen twice or more in the sample, the most frequent first."""
     total = docs.count()
     every = max(1, total // SAMPLE_DOCS)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
+    # by place, so rows that share an id or a text are not taken or left together
+    sample = docs.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(every)) == 0).select("text")
 
     def count(batches):
         p = pieces(path)
@@ -91,7 +92,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(frequent_counts(docs, path))
 
     def split(batches):
-        p, table = pieces(path), known.value
+        p, table, place = pieces(path), known.value, 0
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for at in range(0, len(ids), 512):
@@ -109,8 +110,10 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
                             rare.append((t, f))
                         else:
                             total += c * f
-                    # the document's own row ("d") has no pre-token to count, its key only spreads it
-                    token += [f"d{i}", *("t" + t for t, _ in rare)]
+                    # the document's own row ("d") has no pre-token to count, its key only spreads it:
+                    # the number of the row in its task, so equal rows don't meet
+                    place += 1
+                    token += [f"d{h ^ place}", *("t" + t for t, _ in rare)]
                     n += [total, *(f for _, f in rare)]
                     k = 1 + len(rare)
                     doc += [i] * k

@@ -1,7 +1,7 @@
 """Token ids as Parquet list columns (operator 3).
 
-``write_tokens`` range-partitions the documents by doc_id (ties: by text
-hash), encodes each partition in order and writes one file per partition, so
+``write_tokens`` range-partitions the documents by doc_id (ties: by their
+place in the input, so rows of one id, or none, spread over many files), encodes each partition in order and writes one file per partition, so
 file order is document order. Columns: doc_id, n_tokens, file_start (ids of
 the file before the document) and ids (list<int>, the end id included). Token
 ids are dictionary-encoded, the ascending metadata columns delta-encoded
@@ -40,7 +40,7 @@ SCHEMA = "doc_id bigint, n_tokens bigint, file_start bigint, ids array<int>"
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int,
                  row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES, page_rows: int = PAGE_ROWS) -> None:
     """Write ``docs`` (doc_id, text) as token files in ascending doc_id order."""
-    docs = pick(docs, "doc_id", "text")
+    docs = pick(docs, "doc_id", "text").withColumn("place", F.monotonically_increasing_id())
 
     def encode(batches):
         p, before = pieces(tokenizer), 0
@@ -58,7 +58,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int,
                 ["doc_id", "n_tokens", "file_start", "ids"])
             before += int(offsets[-1])
 
-    (docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    (docs.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "text")
      .mapInArrow(encode, SCHEMA).write
      .option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0")
      .option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes)

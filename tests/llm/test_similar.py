@@ -144,10 +144,17 @@ def test_exact_votes():
     model = quality_knn.fit([Row(t, float(k % 2)) for k, t in enumerate(texts)], rank=8)
     found = [quality_knn.features(t) for t in texts[:20]]
     block = quality_knn.vote(model, found, neighbours=5)
+    checked = 0
     for f, s in zip(found, block):
-        cos = quality_knn.latent([f], model["idf"], model["basis"]) @ model["vectors"].T
-        top = np.sort(cos[0])[::-1][:5]
-        assert cos.shape[1] == 80 and abs(quality_knn.vote(model, [f], 5)[0] - s) < 1e-5 and top[0] > 0.99
+        cos = (quality_knn.latent([f], model["idf"], model["basis"]) @ model["vectors"].T)[0].tolist()
+        near = sorted(range(80), key=lambda k: -cos[k])
+        if cos[near[4]] - cos[near[5]] < 1e-6:
+            continue  # a tie for the last place: which one votes is not defined
+        weights = [max(cos[k], 0.0) ** 8 + 1e-9 for k in near[:5]]
+        by_hand = sum(w * float(k % 2) for w, k in zip(weights, near[:5])) / sum(weights)
+        assert abs(by_hand - s) < 1e-4 and cos[near[0]] > 0.99
+        checked += 1
+    assert checked > 5
 
 
 # ------------------------------------------------------------- decontamination
@@ -176,7 +183,7 @@ def test_alignment_against_the_textbook():
 
 @pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_planted_copies(spark, limit):
-    """Exact and edited copies are found, by broadcast and by shuffle, and clean documents are left alone."""
+    """Exact and edited copies are found, in one block of items and in many, and clean documents are left alone."""
     rng = np.random.default_rng(9)
     vocabulary = [f"w{k}" for k in range(300)]
     prose = lambda n: rng.choice(vocabulary, n).tolist()

@@ -146,7 +146,7 @@ def test_packing_brute_force(spark, small):
 
 
 def test_packing_of_odd_rows(odd, nothing):
-    check_packing(packing.piece_digests(packing.pack(odd, PATH, 1, group_docs=4)).collect(), ODD)
+    check_packing(packing.piece_digests(packing.pack(odd, PATH, 1, group_bytes=40)).collect(), ODD)
     assert packing.pack(nothing, PATH, 1).count() == 0
 
 
