@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerloom.llm.common import pick, ship, written
+from ledgerloom.llm.common import pick, ship, slices, written
 from ledgerloom.llm.plain_words import plain_words
 
 ship(__name__)
@@ -46,6 +46,8 @@ SEED = 7
 #: Keys whose median one block of a partition gives, and the number left that the driver finishes.
 BLOCK_KEYS = 1 << 20
 FINISH = 4096
+#: Rows handled at once.
+SLICE = 128
 #: Remaining keys are written anew once they are so many times fewer than those last written.
 REWRITE = 8
 
@@ -66,35 +68,42 @@ def hashed_runs(words: list[bytes], longest: int = LONGEST) -> list[int]:
     return out
 
 
+def width(buckets: int) -> type:
+    """The smallest number type that holds a bucket."""
+    return np.uint16 if buckets <= 1 << 16 else np.uint32
+
+
 def found_features(docs: DataFrame, buckets: int, longest: int) -> DataFrame:
-    """Rows of ``docs`` with the number of words and the buckets of all features, 32 bits each."""
+    """Rows of ``docs`` with the number of words and the buckets of all features, 16 or 32 bits each."""
     rows = pick(docs, "doc_id", "text").select("doc_id", F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("text"))
 
     def run(batches):
-        for b in batches:
+        kind = width(buckets)
+        for b in slices(batches, SLICE):
             n, out = [], []
             for raw in b.column(2).to_pylist():
                 words = plain_words(raw)
                 n.append(len(words))
-                out.append((np.array(hashed_runs(words, longest), np.uint32) % buckets).tobytes())
+                out.append((np.array(hashed_runs(words, longest), np.uint32) % buckets).astype(kind).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(out, pa.binary())],
                                              ["doc_id", "row", "n_words", "features"])
 
     return rows.mapInArrow(run, FOUND)
 
 
-def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """All features of a batch, and where each row's begin and end."""
-    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1] // 4
-    return np.frombuffer(column.buffers()[2] or b"", np.uint32)[at[0]:at[-1]], at - at[0]
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    own = np.frombuffer(column.buffers()[2], np.uint8)[at[0]:at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    return own.view(kind), (at - at[0]) // np.dtype(kind).itemsize
 
 
 def bucket_counts(found: DataFrame, buckets: int) -> np.ndarray:
     """Features in each bucket: counted by partition, summed by bucket."""
     def count(batches):
         total = np.zeros(buckets, np.int64)
-        for b in batches:
-            total += np.bincount(flat(b.column(0))[0], minlength=buckets)
+        for b in slices(batches, SLICE):
+            total += np.bincount(flat(b.column(0), width(buckets))[0], minlength=buckets)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["bucket", "n"])
 
@@ -120,8 +129,9 @@ def scored(found: DataFrame, gain: np.ndarray, seed: int) -> DataFrame:
     held = found.sparkSession.sparkContext.broadcast(gain)
 
     def run(batches):
-        for b in batches:
-            features, at = flat(b.column(3))
+        kind = width(len(held.value))
+        for b in slices(batches, SLICE):
+            features, at = flat(b.column(3), kind)
             total = np.concatenate([[0], np.cumsum(held.value[features])])
             n = np.diff(at).astype(np.int64)
             weight = (total[at[1:]] - total[at[:-1]]) // np.maximum(n, 1)
