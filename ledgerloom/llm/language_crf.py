@@ -47,6 +47,7 @@ GRAMS, DIMS, LEXICON = 4, 1 << 16, 20_000
 ROUNDS, RATE, PENALTY, MIXED = 40, 0.15, 1e-4, 0.3
 STEPS = 1 << 15
 UNKNOWN = "und"
+SALTS = 64
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -260,10 +261,13 @@ def sample(docs: DataFrame, texts: int = TEXTS) -> list[tuple[str, list[str]]]:
     keyed = pick(docs, "text", "lang").where("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
     kinds = keyed.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).select("lang")
     different = keyed.select("lang", "h").distinct().join(F.broadcast(kinds), "lang")
-    first = different.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= texts)
+    # in two steps, so the texts of a frequent label don't meet in one task
+    some = different.withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    some = some.withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h"))).where(F.col("place") <= texts)
+    first = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= texts)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 256):
             label, h, place, chain = [], [], [], []
             for y, key, text in zip(*(c.to_pylist() for c in b.columns)):
                 words = words_of(text)
