@@ -32,11 +32,28 @@ KNOWN_TOKENS, YOUNG_TOKENS, CACHE_CHARS = 400_000, 400_000, 64
 STALE_AFTER, STALE_SHARE = 5_000_000, 0.3
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes each byte as one letter: printable ones as themselves, the others from U+0100 on, in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(others)}
+
+
+LETTERS = byte_letters()
+BLANK = LETTERS[0x20]
+
+
+def as_letters(token: str) -> str:
+    if token.isascii() and token.isprintable():
+        return token.replace(" ", BLANK)
+    return token.encode().decode("latin-1").translate(LETTERS)
+
+
 class Pieces:
     """A tokenizer file: its pre-tokens, piece counts and ids."""
 
     def __init__(self, path: str):
-        self.path, self.known, self.young = path, {}, {}
+        self.path, self.known, self.young, self.merge = path, {}, {}, None
         self.seen = self.unknown = 0
         self.plain = None
         if path.endswith(".model"):
@@ -63,6 +80,11 @@ class Pieces:
             contents = sorted((t["content"] for t in added), key=len, reverse=True)
             self.contents = [c for c in contents if c]
             self.special = re.compile("(" + "|".join(map(re.escape, self.contents)) + ")")
+            model = spec.get("model") or {}
+            if model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges"):
+                # the library's own model, without the library's way there: it takes the bytes as letters
+                self.merge = self.model.model.tokenize
+                self.special_ids = {c: [self.model.token_to_id(c)] for c in self.contents}
 
     def pre_tokens(self, text: str) -> list[str]:
         """Pre-tokens of a text in order; a special string is one of its own."""
@@ -84,7 +106,10 @@ class Pieces:
         """Ids of each pre-token, from the library."""
         if self.path.endswith(".model"):
             return self.model.encode(pre_tokens, num_threads=1)
-        return [e.ids for e in self.model.encode_batch_fast(pre_tokens, add_special_tokens=False)]
+        if self.merge is None:
+            return [e.ids for e in self.model.encode_batch_fast(pre_tokens, add_special_tokens=False)]
+        special, merge = self.special_ids, self.merge
+        return [special[t] if t in special else [p.id for p in merge(as_letters(t))] for t in pre_tokens]
 
     def counts(self, pre_tokens: list[str]) -> list[int]:
         return list(map(len, self.ids(pre_tokens)))
