@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ledgerloom import schemas
 from ledgerloom.operators import requests as R
 from ledgerloom.plans.oracle import with_views
 from ledgerloom.plans.registry import query
 from ledgerloom.sources import adapters as A
-from ledgerloom.sources import readers
+from ledgerloom.sources import readers, sinks
+from ledgerloom.sources.versioned import VersionedTable
 
 TODAY = "2024-01-31"  # "today" of the form entries is a parameter, not now()
 
@@ -182,6 +186,20 @@ def q_requests_upsert(spark, sf):
     return R.upsert_by_id(_requests(spark, sf), A.load(spark, sf, "decisions"))
 
 
+@query("requests_merge", with_views(["requests", "decisions"], f"""
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY casillero, id ORDER BY seq DESC) AS n FROM decisions),
+  r AS (SELECT {REQUEST_COLUMNS} FROM requests)
+SELECT r.* REPLACE (coalesce(d.estado, r.estado) AS estado, coalesce(d.fecha_decision, r.fecha_decision) AS fecha_decision)
+FROM r LEFT JOIN ranked d ON r.casillero = d.casillero AND r.id = d.id AND d.n = 1"""))
+def q_requests_merge(spark, sf):
+    """The stored table after its decisions, merged bucket by bucket."""
+    root = f"{sinks.scratch_path(spark, 'merge', sinks.tag(sf))}-{uuid.uuid4().hex}"
+    stored = VersionedTable(spark, root, schemas.REQUESTS)
+    stored.create(_requests(spark, sf))
+    stored.merge(A.load(spark, sf, "decisions"), R.upsert_by_id)
+    return stored.read()
+
+
 @query("json_lenient", with_views(["model_replies"], """
 , t AS (SELECT event_id, trim(regexp_replace(trim(reply), '(?i)^```(?:json)?\\s*|\\s*```$', '', 'g')) AS t FROM model_replies),
   j AS (SELECT event_id, CASE WHEN json_valid(t) THEN t WHEN json_valid(regexp_extract(t, '(?s)\\{.*\\}', 0)) THEN regexp_extract(t, '(?s)\\{.*\\}', 0) END AS js FROM t)
