@@ -4,6 +4,8 @@ pending movements -> client match (last row wins) -> new-customer payloads
 -> note per account -> zero totals -> sequential numbers from the register
 -> split -> invoice payloads; every row that stops on the way becomes one
 reject (id, stage, reason).  Output tables are the hand-over to a sender.
+``retry_rounds`` carries the sender's replies back: refused numbers, wrong
+totals and outages are tried again, round by round.
 """
 
 from __future__ import annotations
@@ -11,13 +13,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numbers import (INVOICE_AMOUNT_COLUMNS, MONEY_SUM, cents_to_money,
                                           invoice_split_cents, safe_double)
 from ledgerloom.functions.text import clean_code, clean_id, clean_phone, clean_text, utrim, zfill
-from ledgerloom.operators.sequence import materialise, rank_ascending_range, ranked_within
+from ledgerloom.operators.sequence import BROADCAST_NUMBERS, materialise, rank_ascending_range, ranked_within
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for the same results.
@@ -36,6 +38,7 @@ REPLY_DUPLICATE = ["already_exists", "number already exists"]
 REPLY_RATE_LIMIT = ["requests_limit", "Rate limit"]
 REPLY_SERVICE_DOWN = ["product_service"]
 REPLY_EXPECTED_TOTAL = r"calculated is\s*([0-9]+(?:\.[0-9]+)?)"
+MAX_ATTEMPTS = 20
 # ---------------------------------------------------------------------------
 
 # An amount before rounding, and the size from which a number is no amount.
@@ -67,8 +70,14 @@ def pending(movements: DataFrame) -> DataFrame:
 
 
 def preview(df: DataFrame, n: int = 50) -> DataFrame:
-    """First rows of a listing (a feature of the screen, not a data cap)."""
-    return df.orderBy(*MOVEMENT_KEY).limit(n)
+    """The first ``n`` rows of every account's listing (a feature of the screen, not a data cap).
+
+    Each task keeps its own first ``n`` of an account before the shuffle
+    (Spark's group limit below a rank filter), so an account's rows never
+    meet; the global listing is not sorted.
+    """
+    w = Window.partitionBy("casillero").orderBy("source_file", "id_ingreso")
+    return df.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
 
 def client_index(clients: DataFrame, order_col: str = "ordinal") -> DataFrame:
@@ -155,6 +164,27 @@ def customer_reason(f: dict):
             .when(f["state_code"].isin("00", "0") | f["city_code"].isin("00000", "0"), F.lit("invalid_code")))
 
 
+#: The reasons by number, so that the client index aggregates numbers only (0: complete).
+CUSTOMER_REASONS = ["empty_id", "empty_names", "empty_surnames", "empty_phone", "empty_email", "invalid_code"]
+
+
+def customer_states(clients: DataFrame, known_customers: DataFrame, order_col: str = "ordinal") -> DataFrame:
+    """(client_id, creason): one row per cleaned client id, the last row's; why its customer cannot be created, null if
+    it can or the provider knows it.
+
+    Only two numbers a client are aggregated, whatever the width of the table.
+    """
+    c = clients.withColumn("_cid", clean_id("identificacion")).filter(F.col("_cid") != "")
+    reason = customer_reason(customer_fields())
+    code = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in CUSTOMER_REASONS]), reason), F.lit(0)).cast("int")
+    c = with_customer_fields(c).select("_cid", F.col(order_col).alias("_o"), code.alias("_code"))
+    last = c.groupBy("_cid").agg(F.max_by("_code", "_o").alias("_code"))
+    known = known_customers.select(clean_id("identificacion").alias("_cid")).distinct().withColumn("_known", F.lit(True))
+    text = F.element_at(F.array(*[F.lit(r) for r in CUSTOMER_REASONS]), F.col("_code"))
+    return last.join(known, "_cid", "left").select(
+        F.col("_cid").alias("client_id"), F.when(F.col("_known").isNull() & (F.col("_code") > 0), text).alias("creason"))
+
+
 def customer_payload_json(f: dict):
     payload = F.struct(
         F.lit(CUSTOMER_TYPE).alias("type"), F.lit(PERSON_TYPE).alias("person_type"),
@@ -215,9 +245,41 @@ def with_split(df: DataFrame, vat: bool = True) -> DataFrame:
 def register_max(register: DataFrame) -> DataFrame:
     """Highest invoice number in the register (consecutive, else number);
     values that are not integers are skipped.  One row."""
+    return typed_register(register).agg(F.max("last_number").alias("last_number"))
+
+
+def typed_register(register: DataFrame) -> DataFrame:
+    """The register with its numbers as numbers (``last_number``), as it is best stored; unreadable ones are null."""
     c = F.col("consecutive")
     v = F.when(c.isNull() | (utrim(c) == ""), F.col("number")).otherwise(c)
-    return register.agg(F.max(utrim(v).try_cast("bigint")).alias("last_number"))
+    return register.withColumn("last_number", utrim(v).try_cast("bigint"))
+
+
+def register_numbers(register: DataFrame) -> DataFrame:
+    """The readable numbers alone, the form in which the register's maximum is kept: every file then has statistics."""
+    return typed_register(register).filter(F.col("last_number").isNotNull()).select("last_number")
+
+
+def stored_register_max(spark: SparkSession, path: str) -> DataFrame:
+    """Highest of the ``register_numbers`` stored as Parquet, from the files' statistics; one row, as ``register_max``.
+
+    Spark's second Parquet reader answers the maximum from the footers; no
+    row is read. The settings are the session's again when this returns.
+    """
+    wanted = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        best = spark.read.parquet(path).agg(F.max("last_number").alias("last_number"))
+        row = best.first()
+        plan = best._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    if "PushedAggregation: [MAX(last_number)]" not in plan:
+        raise RuntimeError("the maximum was not answered from statistics")
+    return spark.createDataFrame([(row["last_number"],)], "last_number bigint")
 
 
 def assign_numbers(valid: DataFrame, register: DataFrame, reserved: DataFrame | None,
@@ -295,53 +357,50 @@ class BillingRun:
     def pending(self) -> DataFrame:
         return pending(self.movements)
 
-    @cached_property
-    def _matched(self) -> tuple[DataFrame, DataFrame]:
-        # the joined pending rows feed every output: compute them once
-        return match_clients(self.pending, self.clients, keep=self._keep)
-
     @cached_property
     def new_customers(self) -> DataFrame:
-        return new_customers(self._matched[0], self.known)
+        return new_customers(match_clients(self.pending, self.clients)[0], self.known)
 
     @cached_property
-    def _stages(self) -> dict:
-        matched, rej_match = self._matched
-        bad = (self.new_customers.filter(F.col("reason").isNotNull())
-               .select("id_cliente", F.col("reason").alias("_creason")))
-        m = matched.join(bad, "id_cliente", "left")
-        rej_cust = m.filter(F.col("_creason").isNotNull()).select(
-            *MOVEMENT_KEY, F.lit("customer").alias("stage"), F.col("_creason").alias("reason"))
-        m = m.filter(F.col("_creason").isNull()).drop("_creason")
+    def _judged(self) -> DataFrame:
+        """Pending rows with the stage and reason at which they stop (null: valid) and their split: one pass, kept."""
+        states = customer_states(self.clients, self.known)
+        m = self.pending.join(states, F.col("id_cliente") == F.col("client_id"), "left")
         nt = self.notes.select(F.col("code").alias("casillero"), F.col("text").alias("note"))
-        m = m.join(nt, "casillero", "left")
-        rej_note = m.filter(F.col("note").isNull()).select(*MOVEMENT_KEY, F.lit("invoice").alias("stage"),
-                                                           F.lit("no_note").alias("reason"))
-        m = with_split(m.filter(F.col("note").isNotNull()), vat=self.cfg.vat_tax_id is not None)
-        rej_zero = None
-        if not self.cfg.allow_zero:
-            rej_zero = m.filter(F.col("zero_total")).select(*MOVEMENT_KEY, F.lit("invoice").alias("stage"),
-                                                            F.lit("zero_total").alias("reason"))
-            m = m.filter(~F.col("zero_total"))
-        # the range sampling of the numbering reads its input once more: keep
-        # the (already reduced) valid rows instead of recomputing them
-        m = self._keep(m)
-        numbered, rej_limit = assign_numbers(m, self.register, self.reserved, self.cfg.number_limit)
-        return {"numbered": numbered, "rejects": [rej_match, rej_cust, rej_note, rej_zero, rej_limit]}
+        m = with_split(m.join(nt, "casillero", "left"), vat=self.cfg.vat_tax_id is not None)
+        zero = F.lit(False) if self.cfg.allow_zero else F.col("zero_total")
+        stage = (F.when(F.col("client_id").isNull(), F.struct(F.lit("match").alias("stage"), F.lit("client_not_found").alias("reason")))
+                 .when(F.col("creason").isNotNull(), F.struct(F.lit("customer").alias("stage"), F.col("creason").alias("reason")))
+                 .when(F.col("note").isNull(), F.struct(F.lit("invoice").alias("stage"), F.lit("no_note").alias("reason")))
+                 .when(zero, F.struct(F.lit("invoice").alias("stage"), F.lit("zero_total").alias("reason"))))
+        return self._keep(m.withColumn("_stop", stage).select(
+            *MOVEMENT_KEY, "id_cliente", "note", "total_charged", "gn1", "sr02", "iva", "invoice_total",
+            F.col("_stop.stage").alias("stage"), F.col("_stop.reason").alias("reason")))
+
+    @cached_property
+    def valid(self) -> DataFrame:
+        """Rows that may be invoiced, not numbered yet."""
+        return self._judged.filter(F.col("stage").isNull()).drop("stage", "reason")
+
+    @cached_property
+    def _numbered(self) -> tuple[DataFrame, DataFrame]:
+        return assign_numbers(self.valid, self.register, self.reserved, self.cfg.number_limit)
 
     @cached_property
     def invoices(self) -> DataFrame:
-        return self._stages["numbered"].select(
+        return self._numbered[0].select(
             *MOVEMENT_KEY, "id_cliente", "number", "total_charged", "gn1", "sr02", "iva", "invoice_total", "note",
             invoice_payload_json(self.cfg).alias("payload"))
 
     @cached_property
     def rejects(self) -> DataFrame:
-        parts = [r for r in self._stages["rejects"] if r is not None]
-        out = parts[0]
-        for r in parts[1:]:
-            out = out.unionByName(r)
-        return out
+        stopped = self._judged.filter(F.col("stage").isNotNull()).select(*MOVEMENT_KEY, "stage", "reason")
+        return stopped.unionByName(self._numbered[1])
+
+    def settle(self, ask, rounds: int = MAX_ATTEMPTS) -> DataFrame:
+        """The valid rows after up to ``rounds`` of asking the provider (see ``retry_rounds``)."""
+        rows = self.valid.select(*MOVEMENT_KEY, F.col("invoice_total").alias("value"))
+        return retry_rounds(rows, self.register, self.reserved, self.cfg.number_limit, ask, rounds)
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -398,3 +457,109 @@ def reply_triage(replies: DataFrame) -> DataFrame:
     expected = F.regexp_extract(r, REPLY_EXPECTED_TOTAL, 1)
     expected = F.when(cat == "total_mismatch", F.when(expected != "", expected.try_cast("decimal(38,2)")))
     return replies.withColumn("category", cat).withColumn("expected_total", expected)
+
+
+def _next_step():
+    """What a reply does to its row: issued, renumber, again, no_reply or error; the mismatch of a corrected payment is an error."""
+    c = F.col("category")
+    return (F.when(F.col("reply").isNull(), F.lit("no_reply"))
+            .when(c == "ok", F.lit("issued"))
+            .when(c == "duplicate_number", F.lit("renumber"))
+            .when(c.isin("rate_limit", "service_down"), F.lit("again"))
+            .when((c == "total_mismatch") & ~F.col("corrected") & F.col("expected_total").isNotNull(), F.lit("correct"))
+            .otherwise(F.lit("error")))
+
+
+def retry_rounds(valid: DataFrame, register: DataFrame, reserved: DataFrame | None, limit: int, ask,
+                 rounds: int = MAX_ATTEMPTS, order_cols=MOVEMENT_KEY) -> DataFrame:
+    """Number ``valid`` (key columns and ``value``, the payment) and ask the provider until nothing is left to do.
+
+    ``ask`` takes the proposals of a round (key columns, ``number``,
+    ``value``, ``attempt`` from 1) and returns them with ``reply`` (null: none
+    yet). By its reply a row is issued; gives its number up and takes the next
+    free one; pays the provider's total next time; is asked again as it is; or
+    is rejected, and its number goes to a row that needs one (the lowest
+    first), so rejects leave no gap. Numbers are never handed out twice and
+    never pass ``limit``. The rounds end when no row is left, when a round
+    brings no reply at all, or after ``rounds``.
+
+    Returns the key columns, ``number`` (issued rows), ``value`` (as last
+    asked), ``attempts``, ``outcome`` (issued, rejected, pending) and
+    ``reason`` (the reply's category, limit_reached, register_empty,
+    too_many_attempts, no_reply).
+
+    State between rounds is a table of the shared folder: each round reads
+    only the rows still open, and what an earlier one settled is not computed
+    again. The driver holds counts. Ranks come from the skew-safe sequence
+    operator; free numbers are at most ``limit``.
+    """
+    spark = valid.sparkSession
+    key = list(order_cols)
+
+    def keep(df):
+        return materialise(df, "checkpoint")
+
+    def ranked(df, order, name):
+        return ranked_within(df, [], order, rank_col=name, materialize="checkpoint")
+
+    last = register_max(register).first()["last_number"]
+    start = limit + 1 if last is None else last + 1
+    free = keep(rank_ascending_range(spark, F.lit(start), limit, reserved))
+    numbers = F.broadcast(free) if limit <= BROADCAST_NUMBERS else free
+    open_rows = keep(ranked(valid.select(*key, "value"), order_cols, "k").select(
+        *key, "k", "value", F.lit(0).alias("attempts"), F.lit(False).alias("corrected")))
+    top = open_rows.count()
+    settled, spare, left = [], None, top
+    n_spare = 0
+    for _ in range(rounds):
+        if not left:
+            break
+        placed = open_rows.join(numbers, "k", "left")
+        none = F.when(F.lit(last is None), "register_empty").otherwise("limit_reached")
+        settled.append(placed.filter(F.col("number").isNull()).select(
+            *key, "number", "value", "attempts", F.lit("rejected").alias("outcome"), none.alias("reason")))
+        asked = ask(placed.filter(F.col("number").isNotNull()).select(
+            *key, "number", "value", (F.col("attempts") + 1).alias("attempt"), "k", "corrected"))
+        state = keep(reply_triage(asked).withColumn("step", _next_step()).select(
+            *key, "k", "number", F.when(F.col("step") == "correct", F.col("expected_total").cast(MONEY_SUM))
+            .otherwise(F.col("value")).alias("value"),
+            F.when(F.col("step") == "no_reply", F.col("attempt") - 1).otherwise(F.col("attempt")).alias("attempts"),
+            (F.col("step") == "correct").alias("corrected"), "step", "category"))
+        n = {r["step"]: r["count"] for r in state.groupBy("step").count().collect()}
+        settled.append(state.filter(F.col("step").isin("issued", "error")).select(
+            *key, F.when(F.col("step") == "issued", F.col("number")).alias("number"), "value", "attempts",
+            F.when(F.col("step") == "issued", "issued").otherwise("rejected").alias("outcome"), F.col("category").alias("reason")))
+        if n.get("error"):
+            given_up = state.filter(F.col("step") == "error").select("k")
+            spare = given_up if spare is None else spare.select("k").unionByName(given_up)
+            n_spare += n["error"]
+        open_rows = state.filter(F.col("step").isin("again", "correct", "no_reply")).select(*key, "k", "value", "attempts", "corrected")
+        if n.get("renumber"):
+            m = n["renumber"]
+            refused = ranked(state.filter(F.col("step") == "renumber").select(*key, "k", "value", "attempts", "corrected"), ["k"], "j").drop("k")
+            if n_spare:
+                in_order = ranked(spare.select("k"), ["k"], "j")
+                refused = refused.join(in_order, "j", "left")
+                spare = in_order.filter(F.col("j") > m).select("k")
+            else:
+                refused = refused.withColumn("k", F.lit(None).cast("bigint"))
+            refused = refused.withColumn("k", F.coalesce("k", F.col("j") - n_spare + top)).select(*open_rows.columns)
+            top += max(0, m - n_spare)
+            n_spare = max(0, n_spare - m)
+            open_rows = open_rows.unionByName(refused)
+        left = sum(n.get(s, 0) for s in ("again", "correct", "no_reply", "renumber"))
+        if set(n) <= {"no_reply"}:
+            break
+        if left:
+            open_rows = keep(open_rows)
+    if left:
+        waiting = F.col("attempts") < rounds
+        settled.append(open_rows.select(
+            *key, F.lit(None).cast("bigint").alias("number"), "value", "attempts",
+            F.when(waiting, "pending").otherwise("rejected").alias("outcome"),
+            F.when(waiting, "no_reply").otherwise("too_many_attempts").alias("reason")))
+    out = settled[0] if settled else open_rows.select(
+        *key, F.lit(None).cast("bigint").alias("number"), "value", "attempts", F.lit("").alias("outcome"), F.lit("").alias("reason"))
+    for s in settled[1:]:
+        out = out.unionByName(s)
+    return out

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import billing as B
+from ledgerloom.operators.sequence import materialise
 from ledgerloom.plans.oracle import clean_id, clean_text, digits, with_views, zfill
 from ledgerloom.plans.registry import query
 from ledgerloom.sources import adapters as A
+from ledgerloom.sources import sinks
+from ledgerloom.sources.versioned import VersionedTable
 
 # Configuration of the run (invented provider ids; dates are parameters).
 CONFIG = B.BillingConfig(doc_id=1, seller_id=2, payment_id=3, vat_tax_id=4, third_party_id="000000001",
@@ -133,6 +138,16 @@ def q_billing_pending(spark, sf):
     return B.pending(A.load(spark, sf, "movements"))
 
 
+PREVIEW_ROWS = 50
+
+
+@query("billing_preview", with_views(["movements"], BILLING_BODY.split("  cidx AS")[0].rstrip().rstrip(",") + f"""
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY casillero ORDER BY source_file, id_ingreso) AS INTEGER) AS place FROM pend)
+WHERE place <= {PREVIEW_ROWS}"""))
+def q_billing_preview(spark, sf):
+    return B.preview(B.pending(A.load(spark, sf, "movements")), PREVIEW_ROWS)
+
+
 @query("client_match", billing_sql(f"SELECT {KEY}, id_cliente, cli_identificacion, cli_nombres, cli_apellidos, "
                                    "cli_correo FROM matched"))
 def q_client_match(spark, sf):
@@ -171,6 +186,16 @@ def q_invoice_numbers(spark, sf):
     return _run(spark, sf).invoices.select(*B.MOVEMENT_KEY, "number")
 
 
+@query("register_max", with_views(["invoice_register"], """
+SELECT max(coalesce(try_cast(nullif(trim(consecutive), '') AS BIGINT), CASE WHEN coalesce(trim(consecutive), '') = '' THEN try_cast(trim(number) AS BIGINT) END))
+       AS last_number FROM invoice_register"""))
+def q_register_max(spark, sf):
+    """The maximum of the stored register, from its files' statistics."""
+    path = f"{sinks.scratch_path(spark, 'register', sinks.tag(sf))}-{uuid.uuid4().hex}"
+    B.register_numbers(A.load(spark, sf, "invoice_register")).write.parquet(path)
+    return B.stored_register_max(spark, path)
+
+
 @query("invoice_payload", billing_sql(f"SELECT {KEY}, number, payload FROM invoices"))
 def q_invoice_payload(spark, sf):
     return _run(spark, sf).invoices.select(*B.MOVEMENT_KEY, "number", "payload")
@@ -186,6 +211,18 @@ def q_billing_rejects(spark, sf):
     return _run(spark, sf).rejects
 
 
+@query("reject_log_append", billing_sql("SELECT * FROM rejects"))
+def q_reject_log_append(spark, sf):
+    """The log after two batches, each run twice, as a restarted job does."""
+    rejects = _run(spark, sf).rejects
+    root = f"{sinks.scratch_path(spark, 'reject-log', sinks.tag(sf))}-{uuid.uuid4().hex}"
+    log = VersionedTable(spark, root, rejects.schema)
+    for batch, stage in ((1, F.col("stage") == "match"), (2, F.col("stage") != "match")):
+        for _ in range(2):
+            log.append_once(rejects.filter(stage), "billing", batch)
+    return log.read()
+
+
 @query("billing_summary", billing_sql("""
 , tagged AS (SELECT casillero, 'read' AS k FROM movements UNION ALL SELECT casillero, 'pending' FROM pend
              UNION ALL SELECT casillero, 'issued' FROM invoices UNION ALL SELECT casillero, 'failed' FROM rejects)
@@ -203,6 +240,65 @@ def q_invoice_writeback(spark, sf):
     return B.writeback(A.load(spark, sf, "movements"), _run(spark, sf).invoices)
 
 
+# One round a step of the recursion; the working table holds the rows still open, the numbers that rejects gave up
+# ('spare', 'error') and what the round settled. ``top`` is the last place in the list of free numbers handed out.
+RETRY = f"""
+, tries(casillero, source_file, id_ingreso, k, value, attempts, corrected, step, category, number, top, round) AS (
+  SELECT {KEY}, k, {_money('g + s + v')}, 0, false, 'again', '', CAST(NULL AS BIGINT), count(*) OVER (), 0 FROM valid
+  UNION ALL
+  (WITH avail AS (SELECT k, row_number() OVER (ORDER BY k) AS j FROM tries WHERE step IN ('spare', 'error')),
+        refused AS (SELECT *, row_number() OVER (ORDER BY k) AS j FROM tries WHERE step = 'renumber'),
+        n AS (SELECT (SELECT count(*) FROM refused) AS r, (SELECT count(*) FROM avail) AS a),
+        placed AS (
+          SELECT {KEY}, coalesce(a.k, top + r.j - n.a) AS k, value, attempts, corrected, top + greatest(0, n.r - n.a) AS top, round
+          FROM refused r LEFT JOIN avail a ON r.j = a.j, n
+          UNION ALL SELECT {KEY}, k, value, attempts, corrected, top + greatest(0, n.r - n.a), round FROM tries, n WHERE step IN ('again', 'correct')),
+        asked AS (
+          SELECT p.* EXCLUDE (k), p.k, f.number,
+                 CASE WHEN t.number IS NOT NULL THEN 'The number already exists' ELSE coalesce(e.reply, o.reply, 'ok') END AS reply
+          FROM placed p LEFT JOIN free f ON p.k = f.k LEFT JOIN provider_numbers t ON f.number = t.number
+               LEFT JOIN provider_replies e ON p.id_ingreso = e.id_ingreso AND e.attempt = 0
+               LEFT JOIN provider_replies o ON p.id_ingreso = o.id_ingreso AND o.attempt = p.attempts + 1),
+        told AS (
+          SELECT *, CASE WHEN number IS NULL THEN 'over' WHEN reply = 'ok' THEN 'issued' WHEN contains(reply, 'invalid_total_payments') THEN
+                         CASE WHEN NOT corrected AND regexp_matches(reply, 'calculated is\\s*[0-9]') THEN 'correct' ELSE 'error' END
+                         WHEN contains(reply, 'already') THEN 'renumber'
+                         WHEN contains(lower(reply), 'rate limit') OR contains(reply, 'requests_limit') OR contains(reply, 'product_service') THEN 'again'
+                         ELSE 'error' END AS step,
+                    CASE WHEN number IS NULL THEN 'limit_reached' WHEN reply = 'ok' THEN 'ok'
+                         WHEN contains(reply, 'invalid_total_payments') THEN 'total_mismatch' ELSE 'error' END AS category
+          FROM asked)
+   SELECT {KEY}, k, CASE WHEN step = 'correct' THEN CAST(regexp_extract(reply, 'calculated is\\s*([0-9]+(?:\\.[0-9]+)?)', 1) AS DECIMAL(38,2))
+                         ELSE value END, attempts + CASE WHEN step = 'over' THEN 0 ELSE 1 END, step = 'correct', step, category, number, top, round + 1
+   FROM told WHERE round < 20
+   UNION ALL
+   SELECT NULL, NULL, NULL, avail.k, NULL, 0, false, 'spare', '', NULL, 0, 0 FROM avail, n WHERE j > r AND EXISTS (SELECT 1 FROM placed WHERE round < 20)))
+"""
+
+
+@query("billing_retry", billing_sql(RETRY + f"""
+SELECT {KEY}, CASE WHEN step = 'issued' THEN number END AS number, CAST(value AS DECIMAL(38,2)) AS value, attempts,
+       CASE WHEN step = 'issued' THEN 'issued' ELSE 'rejected' END AS outcome,
+       CASE WHEN step IN ('issued', 'error', 'over') THEN category ELSE 'too_many_attempts' END AS reason
+FROM tries WHERE step IN ('issued', 'error', 'over') OR round = 20 AND step IN ('again', 'correct', 'renumber')""",
+                                    ["provider_replies", "provider_numbers"]).replace("WITH ", "WITH RECURSIVE ", 1))
+def q_billing_retry(spark, sf):
+    # read in every round, derived once
+    taken = materialise(A.load(spark, sf, "provider_numbers"), "checkpoint").withColumn("_taken", F.lit(True))
+    replies = materialise(A.load(spark, sf, "provider_replies"), "checkpoint")
+    every = replies.filter("attempt = 0").select("id_ingreso", F.col("reply").alias("_every"))
+    own = replies.filter("attempt > 0").withColumnRenamed("reply", "_own")
+
+    def ask(proposals):
+        """The provider's replies of a round, as its reply table has them; a number it knows is refused whatever the row."""
+        j = (proposals.join(taken, "number", "left").join(every, "id_ingreso", "left")
+             .join(own, ["id_ingreso", "attempt"], "left"))
+        return j.withColumn("reply", F.when(F.col("_taken"), "The number already exists")
+                            .otherwise(F.coalesce("_every", "_own", F.lit("ok")))).drop("_taken", "_every", "_own")
+
+    return _run(spark, sf).settle(ask)
+
+
 @query("reply_triage", with_views(["reply_log"], """
 SELECT id_ingreso, attempt, reply,
        CASE WHEN lower(trim(coalesce(reply, ''))) = 'ok' THEN 'ok'

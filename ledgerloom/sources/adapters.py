@@ -115,7 +115,7 @@ FROM {events}
 """
 
 # --- stored requests that the receipts belong to: some closed, some with
-#     receipts accepted earlier, one user in eight without a request ---------
+#     receipts accepted earlier, users who first signed up without a request -
 ADAPTERS["open_requests"] = """
 SELECT CAST(user_id % 10 AS VARCHAR(20)) AS casillero,
        concat('Consignacion', CAST(user_id AS VARCHAR(20))) AS id,
@@ -129,8 +129,8 @@ SELECT CAST(user_id % 10 AS VARCHAR(20)) AS casillero,
        CASE WHEN user_id % 2 = 0 THEN '2023-12-01' ELSE '' END AS fecha_realizado,
        '' AS fecha_decision
 FROM {events}
-WHERE user_id % 8 <> 7
 GROUP BY user_id
+HAVING min_by(event_type, event_id) <> 'signup'
 """
 
 # --- bank movements of accounts 0..3, two source files -------------------
@@ -162,10 +162,11 @@ SELECT CASE WHEN c_custkey % 9 = 0 THEN concat(CAST(c_custkey AS VARCHAR(20)), '
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
 """
 
-# --- provider's invoice register ---------------------------------------
+# --- provider's invoice register: numbers below 150,000 at any size, so
+#     there is room up to the legal limit -----------------------------------
 ADAPTERS["invoice_register"] = """
-SELECT CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey AS VARCHAR(20)) END AS consecutive,
-       CASE WHEN o_orderkey % 50 = 0 THEN 'FV-x' ELSE CAST(o_orderkey AS VARCHAR(20)) END AS number
+SELECT CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 150000 AS VARCHAR(20)) END AS consecutive,
+       CASE WHEN o_orderkey % 50 = 0 THEN 'FV-x' ELSE CAST(o_orderkey % 150000 AS VARCHAR(20)) END AS number
 FROM {orders}
 """
 
@@ -210,6 +211,38 @@ SELECT concat(substr(CAST(l_shipdate AS VARCHAR(30)), 1, 10), '-', CAST(l_orderk
 FROM {lineitem}
 """
 
+# --- replies to the attempts at an invoice (attempt 0: to every one; no
+#     row: accepted) ----------------------------------------------------------
+ADAPTERS["provider_replies"] = """
+SELECT id_ingreso, 1 AS attempt,
+       CASE CAST(split_part(id_ingreso, '-', 4) AS BIGINT) % 7
+            WHEN 0 THEN concat('{"Errors":[{"Code":"invalid_total_payments","Message":"The total invoice calculated is ',
+                               CAST(monto + 0.01 AS VARCHAR(30)), '"}]}')
+            WHEN 1 THEN 'The number already exists'
+            WHEN 2 THEN 'requests_limit reached'
+            WHEN 3 THEN CASE WHEN split_part(id_ingreso, '-', 5) = '1' THEN 'Error desconocido' ELSE 'product_service down' END
+            ELSE 'ok' END AS reply
+FROM (""" + ADAPTERS["movements"] + """) m
+UNION ALL
+SELECT id_ingreso, 2 AS attempt,
+       CASE CAST(split_part(id_ingreso, '-', 4) AS BIGINT) % 7
+            WHEN 0 THEN CASE WHEN split_part(id_ingreso, '-', 5) = '2' THEN 'invalid_total_payments' ELSE 'ok' END
+            WHEN 1 THEN '{"Errors":[{"Code":"already_exists"}]}'
+            ELSE 'invalid_total_payments: calculated is 12.50' END AS reply
+FROM (""" + ADAPTERS["movements"] + """) m
+WHERE split_part(id_ingreso, '-', 5) IN ('1', '2')
+UNION ALL
+SELECT id_ingreso, 0 AS attempt, 'Rate limit' AS reply
+FROM (""" + ADAPTERS["movements"] + """) m
+WHERE monto < 1000
+"""
+
+# --- numbers the provider has that neither register nor movements know ----
+ADAPTERS["provider_numbers"] = """
+SELECT DISTINCT (SELECT max(o_orderkey % 150000) FROM {orders}) + o_custkey % 997 * 7 AS number
+FROM {orders}
+"""
+
 # --- free-text replies holding JSON (fenced, embedded, missing) ----------
 ADAPTERS["model_replies"] = """
 SELECT event_id,
