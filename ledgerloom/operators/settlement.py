@@ -5,10 +5,17 @@ account matches (an empty requested account passes), not a duplicate.  A
 duplicate is a receipt whose normalised (account, reference, date, amount)
 key was already presented eligibly in the same account: *the first
 presentation consumes the key*, even if its request was already closed.
-Remaining receipts are applied in arrival order while the paid sum before
-them is below the requested amount and no unreadable receipt came earlier
-(an unreadable one sends the request to review, which closes uploads).
-A requested amount of 0 never auto-approves.
+Remaining receipts are applied in arrival order until one brings the paid sum
+to the requested amount, or an unreadable one comes (it sends the request to
+review). Either closes the request for good: a negative receipt after the
+close does not open it again. A requested amount of 0 never auto-approves.
+
+The close is found by a parallel scan: running sums over range-partitioned
+slices, stitched per slice, give every receipt's paid sum as if none were
+refused; the first one at which it reaches the request, a map-side minimum of
+ranks over all slices, is the close, unless an unreadable one comes before.
+Sums up to the close are the real ones, as all receipts before it were
+applied; later ones are refused by their rank alone.
 
 With ``requests`` (the stored table) the job starts from what is stored: the
 requested amount and account, the status (receipts of a request that is not
@@ -33,14 +40,18 @@ REQUEST = ["casillero", "id"]
 DEDUPE_KEY = ["casillero", "k_cta", "k_ref", "k_fch", "k_mto"]
 
 
-def with_request_state(receipts: DataFrame, requests: DataFrame) -> DataFrame:
-    """Receipts with the stored state of their request: what is requested, ``_paid0``, ``_status0``, ``_known``."""
+def stored_state(requests: DataFrame) -> DataFrame:
+    """One row per stored request: what is requested, ``_paid0``, ``_status0``, ``_known``."""
     state = with_receipts(requests).select(
         *REQUEST, F.col("monto").alias("monto_solicitado"), F.col("numero_cuenta").alias("cuenta_solicitada"),
         paid_amount().alias("_paid0"), F.col("estado").alias("_status0"), F.lit(True).alias("_known"))
     # (casillero, id) is the table's key; a repeated one counts once
-    state = state.groupBy(*REQUEST).agg(F.max_by(F.struct(*state.columns[2:]), F.struct("_paid0", "_status0")).alias("_s")).select(*REQUEST, "_s.*")
-    return receipts.drop("monto_solicitado", "cuenta_solicitada").join(state, REQUEST, "left")
+    return state.groupBy(*REQUEST).agg(F.max_by(F.struct(*state.columns[2:]), F.struct("_paid0", "_status0")).alias("_s")).select(*REQUEST, "_s.*")
+
+
+def with_request_state(receipts: DataFrame, requests: DataFrame) -> DataFrame:
+    """Receipts with the stored state of their request."""
+    return receipts.drop("monto_solicitado", "cuenta_solicitada").join(stored_state(requests), REQUEST, "left")
 
 
 def stored_keys(requests: DataFrame) -> DataFrame:
@@ -72,28 +83,33 @@ def _eligible():
     return F.col("_ok_req") & F.col("_ok_read") & F.col("_ok_tx") & F.col("_ok_cta")
 
 
-def with_duplicate_flag(keyed: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+def with_duplicate_flag(keyed: DataFrame, taken: DataFrame | None = None, key: list[str] = DEDUPE_KEY) -> DataFrame:
     """Add ``duplicate`` to receipts carrying ``receipt_keys`` columns.
 
     The first eligible presentation of each key per account is a map-side
     ``min`` aggregate (no window over a possibly hot key), joined back on the
     key.  Empty reference, unreadable amount or a failed gate: never a
-    duplicate.  Keys in ``taken`` were presented before.
+    duplicate.  Keys in ``taken`` were presented before.  ``key`` without the
+    account looks at the receipts of all accounts.
     """
     counted = _eligible() & (F.col("k_ref") != "") & F.col("k_mto").isNotNull()
-    first = keyed.filter(counted).groupBy(*DEDUPE_KEY).agg(F.min(F.struct(*ORDER)).alias("_first"))
+    first = keyed.filter(counted).groupBy(*key).agg(F.min(F.struct(*ORDER)).alias("_first"))
     again = F.struct(*ORDER) != F.col("_first")
     if taken is not None:
-        first = first.join(taken.withColumn("_taken", F.lit(True)), DEDUPE_KEY, "left")
+        first = first.join(taken.select(*key).distinct().withColumn("_taken", F.lit(True)), key, "left")
         again = again | F.coalesce(F.col("_taken"), F.lit(False))
-    j = keyed.join(first, DEDUPE_KEY, "left")
+    j = keyed.join(first, key, "left")
     return j.withColumn("duplicate", counted & again).drop("_first", "_taken")
 
 
-def receipt_dedupe(receipts: DataFrame) -> DataFrame:
+def receipt_dedupe(receipts: DataFrame, scope: str = "account") -> DataFrame:
     """Eligible receipts (readable, successful, right account) with a
-    duplicate flag (see ``with_duplicate_flag``)."""
-    return (with_duplicate_flag(receipt_keys(receipts)).filter(_eligible())
+    duplicate flag (see ``with_duplicate_flag``); ``scope="all"``: a receipt
+    presented in any account counts."""
+    if scope not in ("account", "all"):
+        raise ValueError("scope is 'account' or 'all'")
+    key = DEDUPE_KEY if scope == "account" else DEDUPE_KEY[1:]
+    return (with_duplicate_flag(receipt_keys(receipts), key=key).filter(_eligible())
             .drop("_ok_req", "_ok_read", "_ok_tx", "_ok_cta"))
 
 
@@ -125,21 +141,18 @@ def receipt_settlement(receipts: DataFrame, requests: DataFrame | None = None) -
         F.when(F.col("_v0").isNull(), F.coalesce(F.col("k_mto"), F.lit(0).cast("decimal(18,2)")))
          .otherwise(F.lit(0).cast("decimal(18,2)")).cast(MONEY_SUM).alias("amt"),
         F.when(F.col("_v0") == "unreadable", F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("unread"))
-    run = ranked_within(seq, REQUEST, ORDER, value_cols=["amt", "unread"], rank_col="_rk")
+    run = ranked_within(seq, REQUEST, ORDER, value_cols=["amt"], rank_col="_rk")
     requested = (k.select(*REQUEST, safe_money("monto_solicitado").cast(MONEY_SUM).alias("req"), "_paid0", "_status0")
                  .groupBy(*REQUEST).agg(F.max("req").alias("req"), F.max("_paid0").alias("_paid0"), F.max("_status0").alias("_status0")))
     run = run.join(requested.select(*REQUEST, "req", "_paid0"), REQUEST, "left")
-    before = F.col("_paid0") + F.col("running_amt") - F.col("amt")
-    # an open request takes its first receipt whatever was paid before
-    open_before = ((F.col("running_unread") - F.col("unread")) == 0) & (
-        (F.col("_rk") == 1) | (F.coalesce(F.col("req"), F.lit(0)) <= 0) | (before < F.col("req")))
-    run = run.select(*REQUEST, "event_id", "req", "amt", "unread", open_before.alias("_open"),
-                     (F.col("_paid0") + F.col("running_amt")).alias("_paid_incl"), before.alias("_paid_before"), "arrival")
-    effects = run.select(
-        *REQUEST, "event_id", "_open",
-        F.when(F.col("_open") & (F.col("unread") == 0), F.col("_paid_incl"))
-         .otherwise(F.col("_paid_before")).alias("paid_after"),
-        "req", "amt", "unread", "arrival")
+    run = run.withColumn("_incl", F.col("_paid0") + F.col("running_amt"))
+    # the first receipt that closes its request; what was paid before an open request's first receipt does not
+    closes = (F.col("unread") == 1) | (F.col("req") > 0) & (F.col("_incl") >= F.col("req"))
+    close = run.filter(closes).groupBy(*REQUEST).agg(F.min(F.struct("_rk", "_incl")).alias("_c"))
+    run = run.join(close.select(*REQUEST, F.col("_c._rk").alias("_close"), F.col("_c._incl").alias("_closed_at")), REQUEST, "left")
+    still = F.coalesce(F.col("_rk") <= F.col("_close"), F.lit(True))
+    effects = run.select(*REQUEST, "event_id", still.alias("_open"), F.when(still, F.col("_incl")).otherwise(F.col("_closed_at")).alias("paid_after"),
+                         "amt", "unread", "arrival")
     agg = (effects.groupBy(*REQUEST)
            .agg(F.max(F.when(F.col("_open") & (F.col("unread") == 1), 1).otherwise(0)).alias("_rev"),
                 F.sum(F.when(F.col("_open") & (F.col("unread") == 0), F.col("amt"))).alias("_paid"),
