@@ -30,6 +30,15 @@ def last_update(ledger: DataFrame) -> DataFrame:
                  F.min("fecha_carga").alias("first_load")))
 
 
+def partial_totals(ledger: DataFrame) -> DataFrame:
+    """(casillero, last_load, best): maxima, so partials of several loads combine by their maximum."""
+    is_total = ((folded("tipo") == "total") & F.col("fecha_carga").isNotNull()
+                & F.col("monto").isNotNull())
+    best = F.max(F.when(is_total, F.struct(F.col("fecha_carga").alias("d"),
+                                           (-F.col("monto")).alias("neg"))))
+    return ledger.groupBy("casillero").agg(F.max("fecha_carga").alias("last_load"), best.alias("best"))
+
+
 def official_totals(ledger: DataFrame) -> DataFrame:
     """Official total per account in one aggregation pass.
 
@@ -39,12 +48,12 @@ def official_totals(ledger: DataFrame) -> DataFrame:
     picks both at once, so there is no self-join and the aggregate is
     combined map-side (skew-safe).
     """
-    is_total = ((folded("tipo") == "total") & F.col("fecha_carga").isNotNull()
-                & F.col("monto").isNotNull())
-    best = F.max(F.when(is_total, F.struct(F.col("fecha_carga").alias("d"),
-                                           (-F.col("monto")).alias("neg"))))
-    agg = ledger.groupBy("casillero").agg(F.max("fecha_carga").alias("last_load"), best.alias("best"))
-    return agg.select(
+    return totals_of(partial_totals(ledger))
+
+
+def totals_of(partials: DataFrame) -> DataFrame:
+    """Official totals from one partial an account."""
+    return partials.select(
         "casillero", "last_load",
         F.col("best.d").alias("last_total_date"),
         (-F.col("best.neg")).cast(MONEY_SUM).alias("base_total"),
@@ -52,12 +61,14 @@ def official_totals(ledger: DataFrame) -> DataFrame:
     )
 
 
-def pending_movements(ledger: DataFrame, requests: DataFrame) -> DataFrame:
+def pending_movements(ledger: DataFrame | None, requests: DataFrame, booked: DataFrame | None = None) -> DataFrame:
     """Approved requests / withdrawals whose id is not an order in the ledger.
 
     Requests count for their own account (in); withdrawals count for the
     withdrawing account A (out, the stored charge).  Both probes go through
-    one anti join on (account, trimmed id) instead of two.
+    one anti join on (account, trimmed id) instead of two.  ``booked`` (acct,
+    key) stands for the ledger's orders where they are kept apart; bucketed by
+    these keys it is joined without a shuffle.
     """
     approved = requests.filter(folded("estado") == "aprobada")
     incoming = approved.select(
@@ -69,13 +80,18 @@ def pending_movements(ledger: DataFrame, requests: DataFrame) -> DataFrame:
                 .select(w.alias("acct"), utrim("id_retiro").alias("key"),
                         F.lit("out").alias("side"), safe_money("egreso_retiro").alias("amount")))
     probes = incoming.unionByName(outgoing)
-    booked = ledger.select(F.col("casillero").alias("acct"), utrim("orden").alias("key"))
+    if booked is None:
+        booked = ledger.select(F.col("casillero").alias("acct"), utrim("orden").alias("key"))
     return probes.join(booked, ["acct", "key"], "left_anti")
 
 
-def live_balance(ledger: DataFrame, requests: DataFrame) -> DataFrame:
-    tot = official_totals(ledger)
-    pend = (pending_movements(ledger, requests)
+def live_balance(ledger: DataFrame, requests: DataFrame, booked: DataFrame | None = None) -> DataFrame:
+    return combined_balance(official_totals(ledger), pending_movements(ledger, requests, booked))
+
+
+def combined_balance(tot: DataFrame, pending: DataFrame) -> DataFrame:
+    """Live balance from official totals and pending movements."""
+    pend = (pending
             .groupBy(F.col("acct").alias("casillero"))
             .agg(F.sum(F.when(F.col("side") == "in", F.col("amount"))).alias("pending_in"),
                  F.sum(F.when(F.col("side") == "out", F.col("amount"))).alias("pending_out"),

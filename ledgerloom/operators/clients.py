@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numbers import safe_money
+from ledgerloom.operators.sequence import materialise
 from ledgerloom.functions.text import (INVALID_CITY_CODES, INVALID_DEPARTMENT_CODES, SYSDATE_NULL_WORDS,
                                        blank_if_in, clean_id, digits_only, norm_id, utrim, zfill)
 from ledgerloom.sources.headers import CLIENT_HEADERS, apply_headers
@@ -202,9 +203,12 @@ def assignment_apply(movements: DataFrame, edits: DataFrame, clients: DataFrame)
     As in the reference a file's edits are saved only when none of its new
     ids is missing from the client table; ``applied`` marks updated rows.
     """
-    ch = changed_assignments(movements, edits)
-    bad_files = assignment_check(movements, edits, clients).select("casillero", "source_file").distinct()
-    ok = ch.join(bad_files, ["casillero", "source_file"], "left_anti").select(
+    # the changes are computed once, for the flags of their files and for themselves
+    ch = materialise(changed_assignments(movements, edits), "checkpoint")
+    valid = clients.select(utrim("identificacion").alias("_new")).distinct().withColumn("_valid", F.lit(True))
+    missing = F.col("_valid").isNull() & (F.col("_new") != "")
+    files = (ch.join(valid, "_new", "left").groupBy("casillero", "source_file").agg(F.bool_or(missing).alias("_bad")))
+    ok = ch.join(files, ["casillero", "source_file"], "left").filter(~F.coalesce("_bad", F.lit(False))).select(
         F.col("casillero").alias("_m_casillero"), F.col("source_file").alias("_m_source_file"),
         F.col("id_ingreso").alias("_m_id_ingreso"), F.col("_new").alias("_apply"))
     keys = ["casillero", "source_file", "id_ingreso"]

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from ledgerloom.operators import balance, reports
+from ledgerloom.operators.balance_state import BalanceState
 from ledgerloom.plans.oracle import with_views
 from ledgerloom.plans.registry import query
 from ledgerloom.sources import adapters as A
-from ledgerloom.sources import readers
+from ledgerloom.sources import colocated, readers, sinks
 
 
 def _ledger(spark, sf):
@@ -60,6 +65,26 @@ def q_live_balance(spark, sf):
     return balance.live_balance(_ledger(spark, sf), A.load(spark, sf, "requests"))
 
 
+@query("live_balance_colocated", LIVE_BALANCE_SQL)
+def q_live_balance_colocated(spark, sf):
+    """The same from a ledger whose orders are kept bucketed and sorted."""
+    path = f"{sinks.scratch_path(spark, 'colocated', sinks.tag(sf))}-{uuid.uuid4().hex}"
+    ledger = _ledger(spark, sf)
+    booked = colocated.write_booked_orders(ledger, f"booked_orders_{uuid.uuid4().hex[:12]}", path, buckets=16)
+    return balance.live_balance(ledger, A.load(spark, sf, "requests"), booked)
+
+
+@query("live_balance_incremental", LIVE_BALANCE_SQL)
+def q_live_balance_incremental(spark, sf):
+    """The same from state that three loads were folded into, one of them twice."""
+    state = BalanceState(spark, f"{sinks.scratch_path(spark, 'balance-state', sinks.tag(sf))}-{uuid.uuid4().hex}")
+    ledger, year = _ledger(spark, sf), F.year("fecha_carga")
+    loads = [F.coalesce(year < 1995, F.lit(True)), (year >= 1995) & (year < 1997), year >= 1997]
+    for number, rows in [(0, loads[0]), (1, loads[1]), (1, loads[1]), (2, loads[2])]:
+        state.add_load(ledger.filter(rows), number)
+    return state.balance(A.load(spark, sf, "requests"))
+
+
 @query("last_update", with_views(["ledger"], """
 SELECT casillero, max(fecha_carga) AS last_load, min(fecha_carga) AS first_load
 FROM ledger GROUP BY casillero"""))

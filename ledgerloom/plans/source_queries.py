@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom import schemas
 from ledgerloom.operators import reports
@@ -111,3 +112,29 @@ WHERE fecha_carga IS NOT NULL AND trim(tipo) = 'Egreso'""".replace(
 def q_report_export(spark, sf):
     path = sinks.scratch_path(spark, "exports", sinks.tag(sf), "consolidated")
     return sinks.export_report(reports.consolidated(A.load(spark, sf, "ledger")), path)
+
+
+EDITED_ACCOUNTS = ("1", "2")
+MOVEMENT_FIELDS = "casillero string, id_ingreso string, id_cliente string, factura string, monto decimal(18,2)"
+
+
+def two_file_sets(spark, sf):
+    """The movements as one folder a source file, and a second set with the edited files of some accounts."""
+    root = f"{sinks.scratch_path(spark, 'file-sets', sinks.tag(sf))}-{uuid.uuid4().hex}"
+    mv = A.load(spark, sf, "movements").select(
+        "casillero", "id_ingreso", "id_cliente", "factura", "monto",
+        F.concat(F.lit("ingresos_"), F.col("casillero"), F.lit("_"), F.substring("source_file", 10, 1), F.lit(".parquet")).alias("source_file"))
+    edited = mv.filter(F.col("casillero").isin(*EDITED_ACCOUNTS) & F.col("source_file").endswith("_a.parquet") & F.col("id_cliente").isNotNull())
+    mv.repartitionByRange("source_file", "id_ingreso").write.partitionBy("source_file").parquet(f"{root}/loaded")
+    (edited.withColumn("id_cliente", F.concat("id_cliente", F.lit("-e"))).repartitionByRange("source_file", "id_ingreso")
+     .write.partitionBy("source_file").parquet(f"{root}/edited"))
+    return f"{root}/loaded", f"{root}/edited"
+
+
+@query("file_set_merge", with_views(["movements"], f"""
+, m AS (SELECT *, 'ingresos_' || casillero || '_' || substr(source_file, 10, 1) || '.parquet' AS f FROM movements),
+  e AS (SELECT * FROM m WHERE casillero IN {EDITED_ACCOUNTS} AND f LIKE '%_a.parquet' AND id_cliente IS NOT NULL)
+SELECT casillero, id_ingreso, id_cliente, factura, monto, f AS source_file FROM m WHERE f NOT IN (SELECT f FROM e)
+UNION ALL SELECT casillero, id_ingreso, id_cliente || '-e', factura, monto, f FROM e"""))
+def q_file_set_merge(spark, sf):
+    return readers.read_file_sets(spark, T.StructType.fromDDL(MOVEMENT_FIELDS), *two_file_sets(spark, sf))
