@@ -14,21 +14,24 @@ from ledgerloom.plans.ledger_queries import INCOME_BODY, INCOME_SELECT
 from ledgerloom.plans.oracle import with_views
 from ledgerloom.plans.registry import query
 from ledgerloom.sources import adapters as A
-from ledgerloom.sources import readers, sinks
+from ledgerloom.sources import readers, sheets, sinks
 
 
 def _money(x: str) -> str:
     return f"(CASE WHEN isfinite(try_cast({x} AS DOUBLE)) THEN CAST(try_cast({x} AS DOUBLE) AS DECIMAL(18,2)) END)"
 
 
-@query("ledger_load", with_views(["ledger_raw", "accounts"], f"""
+LEDGER_LOAD_SQL = with_views(["ledger_raw", "accounts"], f"""
 SELECT l.casillero, l.tipo, try_cast(l.fecha AS TIMESTAMP) AS fecha,
        CASE WHEN l.libro = 'cop' THEN coalesce(try_cast(l.fecha_carga AS TIMESTAMP), try_cast(l.fecha AS TIMESTAMP))
             ELSE try_cast(l.fecha_carga AS TIMESTAMP) END AS fecha_carga,
        {_money('l.monto')} AS monto, l.motivo, l.orden, l.producto,
        CASE WHEN a.usd_rate AND isfinite(try_cast(l.trm AS DOUBLE)) THEN try_cast(l.trm AS DOUBLE) + 100 END AS trm,
        l.libro
-FROM ledger_raw l LEFT JOIN accounts a ON l.casillero = a.code"""))
+FROM ledger_raw l LEFT JOIN accounts a ON l.casillero = a.code""")
+
+
+@query("ledger_load", LEDGER_LOAD_SQL)
 def q_ledger_load(spark, sf):
     return readers.load_ledger(A.load(spark, sf, "ledger_raw"), A.load(spark, sf, "accounts"))
 
@@ -138,3 +141,15 @@ SELECT casillero, id_ingreso, id_cliente, factura, monto, f AS source_file FROM
 UNION ALL SELECT casillero, id_ingreso, id_cliente || '-e', factura, monto, f FROM e"""))
 def q_file_set_merge(spark, sf):
     return readers.read_file_sets(spark, T.StructType.fromDDL(MOVEMENT_FIELDS), *two_file_sets(spark, sf))
+
+
+@query("ledger_from_sheets", LEDGER_LOAD_SQL)
+def q_ledger_from_sheets(spark, sf):
+    """The ledger written as workbooks, one and more a book, and loaded from them; a broken file beside them is skipped."""
+    path = f"{sinks.scratch_path(spark, 'sheets', sinks.tag(sf))}-{uuid.uuid4().hex}"
+    raw = A.load(spark, sf, "ledger_raw")
+    order = raw.withColumn("_file", F.concat(F.lit("libro_"), F.col("libro")))
+    sheets.write_sheets(order.repartitionByRange("_file", "casillero", "orden").sortWithinPartitions("_file"), path, "_file")
+    sinks.write_bytes(spark, f"{path}/broken.xlsx", b"not a workbook")
+    rows, _ = sheets.read_sheets(spark, path, {c: c for c in raw.columns})
+    return readers.load_ledger(rows.select(*raw.columns), A.load(spark, sf, "accounts"))

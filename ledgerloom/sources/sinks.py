@@ -111,6 +111,14 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file of its own, on any file system Spark knows."""
+    fs, p, _ = _fs(spark, path)
+    out = fs.create(p, True)
+    out.write(content)
+    out.close()
+
+
 def versions(spark: SparkSession, root: str) -> list[int]:
     """Complete versions (folders ``_v<N>`` holding ``_SUCCESS``) under root."""
     fs, p, jvm = _fs(spark, root)
