@@ -6,8 +6,9 @@ place in the input and the piece's in the document, so long documents and
 repeated rows spread over all groups), and every group is packed on its own by
 first-fit decreasing: a tournament tree over the free space of the bins finds
 the first bin that has room. Groups are as many as the texts' bytes ask for,
-``group_bytes`` each, and a text has at most as many ids as bytes, so a task's
-memory grows neither with the data nor with the length of documents. Open space remains in the last bins of a group only;
+``group_bytes`` each, and a text has at most as many ids as bytes, so a group
+grows neither with the data nor with the length of documents; a task holds one
+group at a time and reads about ``TASK_GROUPS``. Open space remains in the last bins of a group only;
 it is padding.
 
 Output: one row per sequence: sequence_id (group and bin), ids (binary,
@@ -36,6 +37,8 @@ ship(__name__)
 LENGTH = 2048
 GROUP_BYTES = 3 << 20
 SEED = 20_240
+#: Groups that one task packs, one after the other, once there are enough of them for all tasks.
+TASK_GROUPS = 32
 #: Bins of one group at most; sequence ids are group * GROUP_BINS + bin.
 GROUP_BINS = 1 << 28
 
@@ -116,7 +119,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, gro
             "padded_length": pa.array(np.where(used & (used - 1) == 0, used, length).astype(np.int32)),
             "ids": pa.array(raw, pa.binary()), "pieces": pa.ListArray.from_arrays(pa.array(np.array(cuts, np.int32)), own)})
 
-    return docs.mapInArrow(cut, PIECES).groupBy("grp").applyInArrow(fill, SEQUENCES)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups // TASK_GROUPS)
+    return docs.mapInArrow(cut, PIECES).repartition(tasks, "grp").groupBy("grp").applyInArrow(fill, SEQUENCES)
 
 
 def piece_digests(sequences: DataFrame) -> DataFrame:
