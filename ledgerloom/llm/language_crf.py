@@ -9,8 +9,8 @@ maximising the conditional likelihood (Adam, gradients by forward-backward).
 As the labels are of whole documents, a share of the training chains is put
 together from two languages, which teaches the cost of a switch.
 
-Sample: at most ``TEXTS`` different texts of each label, the first by hash,
-and of each at most ``CHAINS`` chains of ``CHAIN_WORDS`` words spread over the
+Sample: at most ``TEXTS`` different texts of each label, the first by hash in
+each of ``PARTS`` parts, and of each at most ``CHAINS`` chains of ``CHAIN_WORDS`` words spread over the
 whole text; at most ``LABELS`` labels, the most frequent. It is fitted on the
 driver and the weights, DIMS + LEXICON rows at most, are broadcast.
 
@@ -47,7 +47,8 @@ GRAMS, DIMS, LEXICON = 4, 1 << 16, 20_000
 ROUNDS, RATE, PENALTY, MIXED = 40, 0.15, 1e-4, 0.3
 STEPS = 1 << 15
 UNKNOWN = "und"
-SALTS = 64
+#: Parts of the hashes that the sample is drawn from alike.
+PARTS = 16
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -261,10 +262,10 @@ def sample(docs: DataFrame, texts: int = TEXTS) -> list[tuple[str, list[str]]]:
     keyed = pick(docs, "text", "lang").where("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
     kinds = keyed.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).select("lang")
     different = keyed.select("lang", "h").distinct().join(F.broadcast(kinds), "lang")
-    # in two steps, so the texts of a frequent label don't meet in one task
-    some = different.withColumn("salt", F.pmod("h", F.lit(SALTS)))
-    some = some.withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h"))).where(F.col("place") <= texts)
-    first = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= texts)
+    # the first of each part of the hashes, so the texts of a frequent label don't meet in one task
+    parts = different.withColumn("part", F.pmod("h", F.lit(PARTS)))
+    first = (parts.withColumn("place", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h")))
+             .where(F.col("place") <= max(1, texts // PARTS)))
 
     def run(batches):
         for b in slices(batches, 256):

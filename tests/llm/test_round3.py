@@ -108,8 +108,8 @@ def test_language_of_odd_rows(odd, nothing, spark):
 
 def test_the_sample_is_bounded_and_without_copies(spark):
     rows = [("same text again", "en")] * 500 + [(f"text number {'x' * (k + 1)}", "en") for k in range(50)] + [("un mot", "fr")]
-    got = language_crf.sample(spark.createDataFrame(rows, "text string, lang string").repartition(5), texts=20)
-    assert len(got) == 21 and len({tuple(w) for _, w in got}) == 21
+    got = language_crf.sample(spark.createDataFrame(rows, "text string, lang string").repartition(5), texts=32)
+    assert 20 < len(got) <= 33 and len({tuple(w) for _, w in got}) == len(got)
 
 
 # operator 12
