@@ -53,7 +53,10 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     kept = (simhash.near_duplicates(keyed, carry="key").groupBy("root").agg(least.alias("least"))
             .select(F.col("least.doc_id").alias("i"), F.col("least.key").alias("k")))
     same = keyed.doc_id.eqNullSafe(F.col("i")) & (keyed.key == F.col("k"))
-    return _rows(keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "key"]), docs.columns)
+    # of rows that share id and text the first by its other columns
+    order = F.to_json(F.struct(*[F.col(f"row._{i}") for i, c in enumerate(docs.columns) if c != "text"], F.lit(0).alias("_")))
+    one = keyed.join(kept, same, "left_semi").withColumn("order", order).groupBy("doc_id", "key").agg(F.min_by("row", "order").alias("row"))
+    return _rows(one, docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
