@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.numbers import (INVOICE_AMOUNT_COLUMNS, MONEY_SUM, cents_to_money,
                                           invoice_split_cents, safe_double)
 from ledgerloom.functions.text import clean_code, clean_id, clean_phone, clean_text, utrim, zfill
-from ledgerloom.operators.sequence import BROADCAST_NUMBERS, materialise, rank_ascending_range, ranked_within
+from ledgerloom.operators.sequence import materialise, rank_ascending_range, ranked_within
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for the same results.
@@ -505,20 +505,22 @@ def retry_rounds(valid: DataFrame, register: DataFrame, reserved: DataFrame | No
     last = register_max(register).first()["last_number"]
     start = limit + 1 if last is None else last + 1
     free = keep(rank_ascending_range(spark, F.lit(start), limit, reserved))
-    numbers = F.broadcast(free) if limit <= BROADCAST_NUMBERS else free
-    open_rows = keep(ranked(valid.select(*key, "value"), order_cols, "k").select(
-        *key, "k", "value", F.lit(0).alias("attempts"), F.lit(False).alias("corrected")))
+    n_free = free.count()
+    columns = [*key, "k", "number", "value", "attempts", "corrected"]
+    # rows take their number with them; only those that get another one meet the list of numbers again
+    open_rows = keep(ranked(valid.select(*key, "value"), order_cols, "k").join(free, "k", "left")
+                     .withColumns({"attempts": F.lit(0), "corrected": F.lit(False)}).select(*columns))
     top = open_rows.count()
     settled, spare, left = [], None, top
     n_spare = 0
+    none = "register_empty" if last is None else "limit_reached"
     for _ in range(rounds):
         if not left:
             break
-        placed = open_rows.join(numbers, "k", "left")
-        none = F.when(F.lit(last is None), "register_empty").otherwise("limit_reached")
-        settled.append(placed.filter(F.col("number").isNull()).select(
-            *key, "number", "value", "attempts", F.lit("rejected").alias("outcome"), none.alias("reason")))
-        asked = ask(placed.filter(F.col("number").isNotNull()).select(
+        if top > n_free:
+            settled.append(open_rows.filter(F.col("number").isNull()).select(
+                *key, "number", "value", "attempts", F.lit("rejected").alias("outcome"), F.lit(none).alias("reason")))
+        asked = ask(open_rows.filter(F.col("number").isNotNull()).select(
             *key, "number", "value", (F.col("attempts") + 1).alias("attempt"), "k", "corrected"))
         state = keep(reply_triage(asked).withColumn("step", _next_step()).select(
             *key, "k", "number", F.when(F.col("step") == "correct", F.col("expected_total").cast(MONEY_SUM))
@@ -526,14 +528,15 @@ def retry_rounds(valid: DataFrame, register: DataFrame, reserved: DataFrame | No
             F.when(F.col("step") == "no_reply", F.col("attempt") - 1).otherwise(F.col("attempt")).alias("attempts"),
             (F.col("step") == "correct").alias("corrected"), "step", "category"))
         n = {r["step"]: r["count"] for r in state.groupBy("step").count().collect()}
-        settled.append(state.filter(F.col("step").isin("issued", "error")).select(
-            *key, F.when(F.col("step") == "issued", F.col("number")).alias("number"), "value", "attempts",
-            F.when(F.col("step") == "issued", "issued").otherwise("rejected").alias("outcome"), F.col("category").alias("reason")))
+        if n.get("issued") or n.get("error"):
+            settled.append(state.filter(F.col("step").isin("issued", "error")).select(
+                *key, F.when(F.col("step") == "issued", F.col("number")).alias("number"), "value", "attempts",
+                F.when(F.col("step") == "issued", "issued").otherwise("rejected").alias("outcome"), F.col("category").alias("reason")))
         if n.get("error"):
             given_up = state.filter(F.col("step") == "error").select("k")
             spare = given_up if spare is None else spare.select("k").unionByName(given_up)
             n_spare += n["error"]
-        open_rows = state.filter(F.col("step").isin("again", "correct", "no_reply")).select(*key, "k", "value", "attempts", "corrected")
+        open_rows = state.filter(F.col("step").isin("again", "correct", "no_reply")).select(*columns)
         if n.get("renumber"):
             m = n["renumber"]
             refused = ranked(state.filter(F.col("step") == "renumber").select(*key, "k", "value", "attempts", "corrected"), ["k"], "j").drop("k")
@@ -543,7 +546,7 @@ def retry_rounds(valid: DataFrame, register: DataFrame, reserved: DataFrame | No
                 spare = in_order.filter(F.col("j") > m).select("k")
             else:
                 refused = refused.withColumn("k", F.lit(None).cast("bigint"))
-            refused = refused.withColumn("k", F.coalesce("k", F.col("j") - n_spare + top)).select(*open_rows.columns)
+            refused = refused.withColumn("k", F.coalesce("k", F.col("j") - n_spare + top)).join(free, "k", "left").select(*columns)
             top += max(0, m - n_spare)
             n_spare = max(0, n_spare - m)
             open_rows = open_rows.unionByName(refused)
