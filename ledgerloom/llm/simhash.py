@@ -225,7 +225,7 @@ def links(fps: DataFrame, most: int = BITS, block: int = BLOCK) -> DataFrame:
     # a key may be hot: keys are counted with partial sums, and the join on them is one that AQE may split
     # a fingerprint is few bytes but becomes some 70 rows, so the tasks are not put together by its size
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = fps.select("fp").repartition(tasks, "fp").mapInArrow(spread, "key bigint, asks boolean, fp bigint")
+    rows = fps.select("fp").repartition(tasks).mapInArrow(spread, "key bigint, asks boolean, fp bigint")
     sizes = (rows.groupBy("key").agg(F.count(F.when(F.col("asks"), 1)).alias("n_ask"), F.count(F.when(~F.col("asks"), 1)).alias("n_ans"),
                                      F.min("fp").alias("lo"), F.max("fp").alias("hi"))
              .where("n_ask > 0 and n_ans > 0 and lo < hi").drop("lo", "hi"))
