@@ -30,13 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.llm.common import pick, ship, slices
-from ledgerloom.llm.tokens import pieces
+from ledgerloom.llm.tokens import Pieces, pieces
 
 ship(__name__)
 
 LENGTH = 2048
 GROUP_BYTES = 3 << 20
 SEED = 20_240
+#: Pre-tokens a worker remembers; fewer than for files, as the executor holds the groups too.
+REMEMBERED = 200_000
 #: Groups that one task packs, one after the other, once there are enough of them for all tasks.
 TASK_GROUPS = 32
 #: Bins of one group at most; sequence ids are group * GROUP_BINS + bin.
@@ -76,13 +78,14 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
 def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Sequences of at most ``length`` ids over ``docs`` (doc_id, text)."""
     docs = pick(docs, "doc_id", "text")
+    width = Pieces(tokenizer).width
     # an end id counts like a byte, so empty documents fill groups too
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
     groups = max(1, -(-size // group_bytes))
     docs = docs.withColumn("place", F.monotonically_increasing_id())
 
     def cut(batches):
-        p = pieces(tokenizer)
+        p = pieces(tokenizer, REMEMBERED)
         end = end_id.to_bytes(p.width, "little")
         step = length * p.width
         for b in slices(batches, 256):
@@ -98,7 +101,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, gro
                 ["grp", "doc_id", "start", "length", "doc_tokens", "ids"])
 
     def fill(batch: pa.Table) -> pa.Table:
-        width = pieces(tokenizer).width
         t = batch.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids", "ascending")]).combine_chunks()
         sizes = t["length"].to_numpy()
         bins = np.array(first_fit_decreasing(sizes.tolist(), length))

@@ -26,8 +26,8 @@ PRE_TOKEN = (rf"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LET
              rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 NOT_PLAIN = r"[^\t\n\r\x20-\x7e\xa1-ſ]"
 
-#: Pre-tokens a worker remembers for good and for a while, and the longest one remembered.
-KNOWN_TOKENS, YOUNG_TOKENS, CACHE_CHARS = 400_000, 400_000, 64
+#: Pre-tokens a worker remembers for good, and as many for a while, unless told otherwise; the longest one remembered.
+KNOWN_TOKENS, CACHE_CHARS = 400_000, 64
 #: After so many pre-tokens, the cache is renewed if more than this share was unknown.
 STALE_AFTER, STALE_SHARE = 5_000_000, 0.3
 
@@ -52,7 +52,8 @@ def as_letters(token: str) -> str:
 class Pieces:
     """A tokenizer file: its pre-tokens, piece counts and ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = KNOWN_TOKENS):
+        self.remembered = remembered
         self.path, self.known, self.young, self.merge = path, {}, {}, None
         self.seen = self.unknown = 0
         self.plain = None
@@ -137,12 +138,12 @@ class Pieces:
                     if self.unknown > STALE_SHARE * self.seen:
                         known.clear()
                     self.seen = self.unknown = 0
-                if len(known) < KNOWN_TOKENS:
+                if len(known) < self.remembered:
                     known.update(found)
                 new = list(missing.difference(found))
                 if new:
                     got = dict(zip(new, [array(code, ids).tobytes() for ids in self.ids(new)]))
-                    if len(young) > YOUNG_TOKENS:
+                    if len(young) > self.remembered:
                         young.clear()
                     young.update(got if max(map(len, new)) <= CACHE_CHARS else
                                  {t: part for t, part in got.items() if len(t) <= CACHE_CHARS})
@@ -154,9 +155,10 @@ class Pieces:
         return out
 
 
-def pieces(path: str) -> Pieces:
+def pieces(path: str, remembered: int = KNOWN_TOKENS) -> Pieces:
     """The worker's own Pieces for a file."""
     held = worker_state("pieces")
     if path not in held:
         held[path] = Pieces(path)
+    held[path].remembered = remembered
     return held[path]
