@@ -29,9 +29,8 @@ import sys
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -46,17 +45,18 @@ from ledgerloom.streaming.settlement import EVENT_SCHEMA, arrival_chunks
 KEY = ["casillero", "k_cta", "k_ref", "k_fch", "k_cents"]
 GATED = T.StructType([
     T.StructField("casillero", T.StringType()), T.StructField("id", T.StringType()),
-    T.StructField("event_id", T.LongType()), T.StructField("arrival", T.TimestampType()),
+    T.StructField("event_id", T.LongType()), T.StructField("arrival", T.LongType()),
     T.StructField("kind", T.StringType()), T.StructField("gate", T.StringType()),
     T.StructField("cents", T.LongType()), T.StructField("requested", T.LongType()),
 ])
 SETTLED = T.StructType([
     T.StructField("casillero", T.StringType()), T.StructField("id", T.StringType()),
-    T.StructField("event_id", T.LongType()), T.StructField("arrival", T.TimestampType()),
+    T.StructField("event_id", T.LongType()), T.StructField("arrival", T.LongType()),
     T.StructField("verdict", T.StringType()), T.StructField("status", T.StringType()),
-    T.StructField("paid_cents", T.LongType()), T.StructField("first_date", T.TimestampType()),
+    T.StructField("paid_cents", T.LongType()), T.StructField("first_date", T.LongType()),
 ])
-OUTPUT = T.StructType([*SETTLED.fields[:6], T.StructField("paid", T.DecimalType(38, 2)), SETTLED.fields[7]])
+OUTPUT = T.StructType([*SETTLED.fields[:3], T.StructField("arrival", T.TimestampType()), *SETTLED.fields[4:6],
+                       T.StructField("paid", T.DecimalType(38, 2)), T.StructField("first_date", T.TimestampType())])
 
 
 def cents(money) -> F.Column:
@@ -79,6 +79,12 @@ def gated(events: DataFrame, requests: DataFrame | None = None) -> DataFrame:
                     (~decision & gate.isNull() & (F.col("k_ref") != "") & F.col("k_mto").isNotNull()).alias("_keyed"))
 
 
+def by_arrival(rows) -> list:
+    """The events of a key in order of arrival (those without one last). Rows come one by one: most keys have a few, and a
+    frame for each costs more than its events."""
+    return sorted(rows, key=lambda r: (r.arrival is None, r.arrival or 0, r.event_id is None, r.event_id or 0))
+
+
 class FirstPresentation(StatefulProcessor):
     """The first event of a key passes, later ones are duplicates."""
 
@@ -88,13 +94,14 @@ class FirstPresentation(StatefulProcessor):
     def handleInitialState(self, key, initialState, timerValues) -> None:
         self.seen.update((True,))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat([r[[f.name for f in GATED.fields]] for r in rows], ignore_index=True)
-        batch = batch.sort_values(["arrival", "event_id"], kind="stable", ignore_index=True)
-        again = batch.index > (-1 if self.seen.exists() else 0)
-        batch["gate"] = batch["gate"].astype(object).where(~again, "duplicate")
-        self.seen.update((True,))
-        yield batch
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        again = known = self.seen.exists()
+        row = Row(*GATED.fieldNames())
+        for r in by_arrival(rows):
+            yield row(r.casillero, r.id, r.event_id, r.arrival, r.kind, "duplicate" if again else r.gate, r.cents, r.requested)
+            again = True
+        if not known:
+            self.seen.update((True,))
 
     def close(self) -> None:
         pass
@@ -123,25 +130,22 @@ class RequestLedger(StatefulProcessor):
     """Paid sum and status of one request."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("request", "status string, paid bigint, first timestamp, requested bigint")
+        self.state = handle.getValueState("request", "status string, paid bigint, first bigint, requested bigint")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        r = initialState.iloc[0]
-        self.state.update((r["status"], int(r["paid"]), None, int(r["requested"])))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["arrival", "event_id"], kind="stable")
-        state = tuple(self.state.get()) if self.state.exists() else (STATUS_PENDING, 0, None, None)
-        out = []
-        for r in batch.itertuples(index=False):
-            gate = r.gate if isinstance(r.gate, str) else None
-            if gate == "unknown_request":
-                out.append((*key, r.event_id, r.arrival, gate, None, None, None))
+        self.state.update((initialState.status, initialState.paid, None, initialState.requested))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = state = tuple(self.state.get()) if self.state.exists() else (STATUS_PENDING, 0, None, None)
+        row = Row(*SETTLED.fieldNames())
+        for r in by_arrival(rows):
+            if r.gate == "unknown_request":
+                yield row(*key, r.event_id, r.arrival, r.gate, None, None, None)
                 continue
-            verdict, state = settle(state, r.kind, gate, int(r.cents), int(r.requested), r.arrival)
-            out.append((*key, r.event_id, r.arrival, verdict, state[0], state[1], state[2]))
-        self.state.update(state)
-        yield pd.DataFrame(out, columns=SETTLED.fieldNames())
+            verdict, state = settle(state, r.kind, r.gate, r.cents, r.requested, r.arrival)
+            yield row(*key, r.event_id, r.arrival, verdict, *state[:3])
+        if state != before:
+            self.state.update(state)
 
     def close(self) -> None:
         pass
@@ -158,7 +162,8 @@ def request_stream(spark: SparkSession, source: str, requests: DataFrame | None
     reader = spark.readStream.schema(EVENT_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    events = gated(reader.parquet(source), requests)
+    # the operators see instants as microseconds
+    events = gated(reader.parquet(source), requests).withColumn("arrival", F.unix_micros("arrival"))
     taken = ledger = None
     if requests is not None:
         taken = stored_keys(requests).withColumn("k_cents", cents(F.col("k_mto"))).select(*KEY).groupBy(*KEY)
@@ -166,11 +171,12 @@ def request_stream(spark: SparkSession, source: str, requests: DataFrame | None
             *REQUEST, folded_status("_status0").alias("status"), F.coalesce(cents(F.col("_paid0")), F.lit(0)).alias("paid"),
             F.coalesce(cents(safe_money("monto_solicitado")), F.lit(0)).alias("requested")).groupBy(*REQUEST)
     keyed = (events.filter("_keyed").groupBy(*KEY)
-             .transformWithStateInPandas(FirstPresentation(), GATED, "Append", "None", initialState=taken))
+             .transformWithState(FirstPresentation(), GATED, "Append", "None", initialState=taken))
     plain = events.filter("NOT _keyed").select(*GATED.fieldNames())
     settled = (keyed.unionByName(plain).groupBy(*REQUEST)
-               .transformWithStateInPandas(RequestLedger(), SETTLED, "Append", "None", initialState=ledger))
-    return settled.withColumn("paid", cents_to_money(F.col("paid_cents")).cast(MONEY_SUM)).select(*OUTPUT.fieldNames())
+               .transformWithState(RequestLedger(), SETTLED, "Append", "None", initialState=ledger))
+    return settled.withColumns({"paid": cents_to_money(F.col("paid_cents")).cast(MONEY_SUM), "arrival": F.timestamp_micros("arrival"),
+                                "first_date": F.timestamp_micros("first_date")}).select(*OUTPUT.fieldNames())
 
 
 def run_request_stream(spark: SparkSession, events: DataFrame, requests: DataFrame | None = None, chunks: int = 2) -> DataFrame:
