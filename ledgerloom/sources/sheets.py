@@ -29,9 +29,9 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from xml.etree import ElementTree as ET
-from xml.sax.saxutils import escape
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,7 +59,7 @@ WORKBOOK = ('<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="http://schem
             'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>{sheets}</sheets></workbook>')
 SHEET_HEAD = '<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
 SHEET_TAIL = "</sheetData></worksheet>"
-NO_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
+NO_XML = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{FFFE}\x{FFFF}]"
 
 
 def file_system(path: str):
@@ -205,6 +205,21 @@ class Written(WriterCommitMessage):
     files: list
 
 
+def row_xml(columns: list[pa.Array], numeric: list[bool]) -> pa.Array:
+    """The XML of each row of text columns, made column by column in Arrow."""
+    cells = []
+    for c, n in zip(columns, numeric):
+        if n:
+            c = pc.binary_join_element_wise("<c><v>", c, "</v></c>", "")
+        else:
+            c = pc.replace_substring_regex(c, NO_XML, "")
+            for plain, escaped in (("&", "&amp;"), (">", "&gt;"), ("<", "&lt;")):
+                c = pc.replace_substring(c, plain, escaped)
+            c = pc.binary_join_element_wise('<c t="inlineStr"><is><t xml:space="preserve">', c, "</t></is></c>", "")
+        cells.append(pc.fill_null(c, "<c/>"))
+    return pc.binary_join_element_wise("<row>", *cells, "</row>", "")
+
+
 class WorkbookWriter:
     """One workbook, streamed to a file."""
 
@@ -212,27 +227,18 @@ class WorkbookWriter:
         self.zip, self.headers, self.sheet_rows = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED, compresslevel=1), headers, sheet_rows
         self.sheets, self.left, self.out = 0, 0, None
 
-    def add(self, values: list[str | None], numeric: list[bool]) -> None:
-        if not self.left:
-            self._end_sheet()
-            self.sheets += 1
-            self.out = self.zip.open(f"xl/worksheets/sheet{self.sheets}.xml", "w", force_zip64=True)
-            self.out.write((SHEET_HEAD + self._row(self.headers, [False] * len(self.headers))).encode())
-            self.left = self.sheet_rows
-        self.out.write(self._row(values, numeric).encode())
-        self.left -= 1
-
-    @staticmethod
-    def _row(values, numeric) -> str:
-        cells = []
-        for v, n in zip(values, numeric):
-            if v is None:
-                cells.append("<c/>")
-            elif n:
-                cells.append(f"<c><v>{v}</v></c>")
-            else:
-                cells.append(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(NO_XML.sub("", v))}</t></is></c>')
-        return f"<row>{''.join(cells)}</row>"
+    def add(self, rows: pa.Array) -> None:
+        """Rows as ``row_xml`` gives them."""
+        while len(rows):
+            if not self.left:
+                self._end_sheet()
+                self.sheets += 1
+                self.out = self.zip.open(f"xl/worksheets/sheet{self.sheets}.xml", "w", force_zip64=True)
+                self.out.write((SHEET_HEAD + row_xml([pa.array([h], pa.string()) for h in self.headers], [False] * len(self.headers))[0].as_py()).encode())
+                self.left = self.sheet_rows
+            now, rows = rows[:self.left], rows[self.left:]
+            self.out.write("".join(now.to_pylist()).encode())
+            self.left -= len(now)
 
     def _end_sheet(self) -> None:
         if self.out is not None:
@@ -265,11 +271,15 @@ class SheetWriter(DataSourceArrowWriter):
         system.create_dir(place, recursive=True)
         files, book, stream, current = [], None, None, None
         for b in iterator:
+            if not b.num_rows:
+                continue
             named = b.column(b.schema.get_field_index(self.column)).to_pylist() if self.column else ["part"] * b.num_rows
             fields = [b.schema.field(h) for h in self.headers]
             numeric = [pa.types.is_integer(f.type) or pa.types.is_decimal(f.type) for f in fields]
-            columns = [b.column(b.schema.get_field_index(h)).cast(pa.string()).to_pylist() for h in self.headers]
-            for name, values in zip(named, zip(*columns)):
+            xml = row_xml([b.column(b.schema.get_field_index(h)).cast(pa.string()) for h in self.headers], numeric)
+            starts = [k for k in range(len(named)) if not k or named[k] != named[k - 1]]
+            for at, end in zip(starts, [*starts[1:], len(named)]):
+                name = named[at]
                 if book is None or name != current:
                     if book is not None:
                         book.close()
@@ -278,7 +288,7 @@ class SheetWriter(DataSourceArrowWriter):
                     files.append(f"{name}-{task.partitionId()}-{len(files)}.xlsx")
                     stream = system.open_output_stream(f"{place}/{files[-1]}")
                     book = WorkbookWriter(stream, self.headers, self.sheet_rows)
-                book.add(values, numeric)
+                book.add(xml[at:end])
         if book is not None:
             book.close()
             stream.close()
@@ -333,11 +343,14 @@ def read_sheets(spark: SparkSession, path: str, columns: dict[str, str], sheet:
     headers. Rejects: source_file and error of files that cannot be read; such
     a file's rows before the error are left out with it.
     """
+    from ledgerloom.operators.sequence import materialise  # not at the top: workers may not have the package
     register(spark)
     r = spark.read.format("sheets").option("path", path).option("fold", "true")
     raw = (r.option("sheet", sheet) if sheet is not None else r).load()
+    # a workbook is parsed once, for its rows and for its error
+    raw = materialise(raw.select("source_file", "sheet", "row", "error", *[F.col("cells")[h].alias(f"_{k}") for k, h in enumerate(columns)]))
     rejects = raw.where("error IS NOT NULL").select("source_file", "error")
-    rows = raw.where("error IS NULL").select("source_file", "sheet", "row", *[F.col("cells")[h].alias(c) for h, c in columns.items()])
+    rows = raw.where("error IS NULL").select("source_file", "sheet", "row", *[F.col(f"_{k}").alias(c) for k, c in enumerate(columns.values())])
     return rows.join(rejects.select("source_file"), "source_file", "left_anti"), rejects
 
 
