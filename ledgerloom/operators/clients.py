@@ -205,10 +205,10 @@ def assignment_apply(movements: DataFrame, edits: DataFrame, clients: DataFrame)
     """
     # the changes are computed once, for the flags of their files and for themselves
     ch = materialise(changed_assignments(movements, edits), "checkpoint")
-    valid = clients.select(utrim("identificacion").alias("_new")).distinct().withColumn("_valid", F.lit(True))
-    missing = F.col("_valid").isNull() & (F.col("_new") != "")
-    files = (ch.join(valid, "_new", "left").groupBy("casillero", "source_file").agg(F.bool_or(missing).alias("_bad")))
-    ok = ch.join(files, ["casillero", "source_file"], "left").filter(~F.coalesce("_bad", F.lit(False))).select(
+    valid = clients.select(utrim("identificacion").alias("_new")).distinct()
+    # emptied ids need no client; they are many and would meet in one task
+    bad = ch.filter(F.col("_new") != "").join(valid, "_new", "left_anti").select("casillero", "source_file").distinct()
+    ok = ch.join(bad, ["casillero", "source_file"], "left_anti").select(
         F.col("casillero").alias("_m_casillero"), F.col("source_file").alias("_m_source_file"),
         F.col("id_ingreso").alias("_m_id_ingreso"), F.col("_new").alias("_apply"))
     keys = ["casillero", "source_file", "id_ingreso"]
