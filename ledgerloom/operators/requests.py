@@ -148,19 +148,20 @@ def withdrawals(requests: DataFrame, accounts: DataFrame | None = None) -> DataF
 
 def next_ids(requests: DataFrame) -> DataFrame:
     """Next request id per account and next withdrawal id per withdrawing account."""
-    req = (requests.groupBy("casillero")
-           .agg(F.max(trailing_number("id")).alias("_mx")))
-    req = req.select("casillero", F.concat(F.lit(REQUEST_ID_PREFIX),
-                                           (F.coalesce("_mx", F.lit(0)) + 1).cast("string")).alias("next_request_id"))
-    wd = (requests.filter(is_withdrawal())
-          .groupBy(utrim("mayorista_retira").alias("casillero"))
-          .agg(F.max(trailing_number("id_retiro")).alias("_mx")))
-    wd = wd.select("casillero", F.concat(F.lit(WITHDRAWAL_ID_PREFIX),
-                                         (F.coalesce("_mx", F.lit(0)) + 1).cast("string")).alias("next_withdrawal_id"))
-    j = req.join(wd, "casillero", "full_outer")
-    return j.select("casillero",
-                    F.coalesce("next_request_id", F.lit(REQUEST_ID_PREFIX + "1")).alias("next_request_id"),
-                    F.coalesce("next_withdrawal_id", F.lit(WITHDRAWAL_ID_PREFIX + "1")).alias("next_withdrawal_id"))
+    # a withdrawal counts for two accounts; one pass over the requests
+    own = F.struct(F.col("casillero").cast("string").alias("casillero"), trailing_number("id").alias("rq"),
+                   F.lit(None).cast("bigint").alias("wd"))
+    other = F.struct(utrim("mayorista_retira").alias("casillero"), F.lit(None).cast("bigint").alias("rq"),
+                     trailing_number("id_retiro").alias("wd"))
+    last = (requests.select(F.explode(F.when(is_withdrawal(), F.array(own, other)).otherwise(F.array(own))).alias("n"))
+            .groupBy(F.col("n.casillero").alias("casillero"))
+            .agg(F.max("n.rq").alias("_rq"), F.max("n.wd").alias("_wd")))
+
+    def following(prefix, c):
+        return F.concat(F.lit(prefix), (F.coalesce(c, F.lit(0)) + 1).cast("string"))
+
+    return last.select("casillero", following(REQUEST_ID_PREFIX, "_rq").alias("next_request_id"),
+                       following(WITHDRAWAL_ID_PREFIX, "_wd").alias("next_withdrawal_id"))
 
 
 # -- new requests / withdrawals from forms -----------------------------------
@@ -201,21 +202,20 @@ def new_request_rows(requests: DataFrame, forms: DataFrame, today, accounts: Dat
         "casillero",
         (F.regexp_extract("next_request_id", r"(\d+)$", 1).cast("bigint")).alias("_req0"),
         (F.regexp_extract("next_withdrawal_id", r"(\d+)$", 1).cast("bigint")).alias("_wd0")))
-    ok = ranked_within(ok, ["casillero"], FORM_ORDER, rank_col="_rq")
+    ok = ranked_within(ok, ["casillero"], FORM_ORDER, rank_col="_rq", beside=[nxt.select("casillero", "_req0")])
+    # only withdrawals are ranked again and meet the withdrawing account; the
+    # other rows, mostly without one, would meet in the task of the null key
     wd = is_withdrawal()
-    okw = ranked_within(ok.filter(wd).withColumn("_a", utrim("mayorista_retira")), ["_a"], FORM_ORDER,
-                        rank_col="_rw").select("casillero", "_rq", "_rw")
-    ok = ok.join(okw, ["casillero", "_rq"], "left")
-    base_b = nxt.select(F.col("casillero"), "_req0")
-    base_a = nxt.select(F.col("casillero").alias("_acct_a"), "_wd0")
-    ok = (ok.join(base_b, "casillero", "left")
-          .join(base_a, utrim(ok["mayorista_retira"]) == F.col("_acct_a"), "left"))
-    day = F.lit(today).cast("date").cast("string")
+    own, payers = ok.filter(~wd), [nxt.select(F.col("casillero").alias("_a"), "_wd0")]
     if accounts is not None:
-        names = accounts.select(F.col("code").alias("_code"), F.coalesce("override", "name").alias("_name"))
-        ok = ok.join(names, utrim(ok["mayorista_retira"]) == names["_code"], "left")
-    else:
-        ok = ok.withColumn("_name", F.lit(None).cast("string"))
+        payers.append(accounts.select(F.col("code").alias("_a"), F.coalesce("override", "name").alias("_name")))
+        own = _as_often_as_named(own, accounts)
+    withdrawn = ranked_within(ok.filter(wd).withColumn("_a", utrim("mayorista_retira")), ["_a"], FORM_ORDER,
+                              rank_col="_rw", beside=payers)
+    if accounts is None:
+        withdrawn = withdrawn.withColumn("_name", F.lit(None).cast("string"))
+    ok = withdrawn.unionByName(own, allowMissingColumns=True)
+    day = F.lit(today).cast("date").cast("string")
     own_day = F.coalesce(F.col("fecha").try_cast("date").cast("string"), day) if "fecha" in ok.columns else day
     text = utrim(F.coalesce("descripcion", F.lit("")))
     withdrawal_text = F.concat(F.lit(WITHDRAWAL_TEXT), F.coalesce("_name", utrim("mayorista_retira")),
@@ -245,6 +245,17 @@ def new_request_rows(requests: DataFrame, forms: DataFrame, today, accounts: Dat
 FORM_ORDER = ["form_id", "descripcion", "monto", "numero_cuenta", "mayorista_retira"]
 
 
+def _as_often_as_named(forms: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Each form that is no withdrawal as often as accounts bear its blank code (at least once).
+
+    The codes are trimmed forms of ``NULL_WORDS``, so a few dozen counts are broadcast.
+    """
+    blank = (accounts.filter(~is_withdrawal("code")).groupBy(F.col("code").alias("_code")).agg(F.count(F.lit(1)).alias("_times"))
+             .filter((F.col("_times") > 1) & (F.col("_code") == utrim("_code"))))
+    out = forms.join(F.broadcast(blank), utrim(forms["mayorista_retira"]) == F.col("_code"), "left")
+    return out.withColumn("_times", F.explode(F.sequence(F.lit(1), F.coalesce("_times", F.lit(1))))).drop("_code", "_times")
+
+
 def append_forms(requests: DataFrame, forms: DataFrame, today, accounts: DataFrame | None = None) -> DataFrame:
     """Requests plus the new rows of the valid forms (append)."""
     from ledgerloom.sources.readers import conform
