@@ -13,7 +13,8 @@ at least ``MANY`` different seeds of the item (all, if it has fewer), so a
 passage that leaked everywhere, whose seeds are no longer rare, stays a
 candidate. Smith-Waterman then aligns item and passage by words (match +2,
 mismatch -1, gap -1); a passage whose score reaches ``SHARE`` of the item's own
-(2 per word) is a copy, whether exact, edited or paraphrased in part.
+(2 per word) is a copy, whether exact, edited or paraphrased in part. Passages
+with too few words in common for any alignment to reach it are not aligned.
 
 Output: one row per document and item: doc_id, item_id, score (0 to 1), and
 the words [first_word, last_word) of the best passage. Several rows that
@@ -53,6 +54,8 @@ WORDS = re.compile(r"[^\W_]+")
 PASSAGES = "doc_id bigint, row bigint, item bigint, seeds array<bigint>, enough boolean, first int, words array<string>"
 PASSAGE_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.int32(), pa.list_(pa.string()))
 PASSAGE_NAMES = ["doc_id", "row", "item", "seeds", "enough", "first", "words"]
+#: Items that a task of the alignment remembers in numbers.
+ITEMS_MET = 2_000
 #: Passages handed on at once.
 PASSAGE_ROWS = 2_000
 
@@ -104,6 +107,12 @@ def alignment(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def reachable(item: np.ndarray, n_kinds: int, passage: np.ndarray) -> int:
+    """No alignment's score is above this: MATCH for each word that both have, as often as both have it."""
+    own = np.bincount(item, minlength=n_kinds)
+    return MATCH * int(np.minimum(own, np.bincount(passage[passage >= 0], minlength=n_kinds)).sum())
+
+
 def seed_counts(items: DataFrame, n: int) -> DataFrame:
     """(item, seeds) of every item row with a word."""
     def run(batches):
@@ -225,12 +234,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, sha
     pairs = candidates.join(texts, F.col("item") == F.col("i")).select("doc_id", "item", "item_id", "first", "words", "item_text", *key)
 
     def align(batches):
+        # items met of late: (number of each word, the item in numbers)
+        met: dict = {}
         for b in batches:
             rows = []
             for i, item_row, item_id, first, words, text, *own in zip(*(c.to_pylist() for c in b.columns)):
-                item = words_of(text)
-                number = {w: k for k, w in enumerate(item)}
-                score, lo, hi = alignment(np.array([number[w] for w in item]), np.array([number.get(w, -1) for w in words]))
+                if item_row not in met:
+                    if len(met) >= ITEMS_MET:
+                        met.clear()
+                    item = words_of(text)
+                    number = {w: k for k, w in enumerate(item)}
+                    met[item_row] = number, np.array([number[w] for w in item])
+                number, item = met[item_row]
+                passage = np.array([number.get(w, -1) for w in words], np.int64)
+                # most passages share too few words to reach the share, however they are aligned
+                if reachable(item, len(item), passage) < share * MATCH * len(item):
+                    continue
+                score, lo, hi = alignment(item, passage)
                 if score >= share * MATCH * len(item):
                     rows.append((i, item_row, item_id, score / (MATCH * len(item)), first + lo, first + hi, *own))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), *[pa.string()] * len(key))
