@@ -20,7 +20,7 @@ is the one with the largest share (ties: the first by name) and the score is
 that share. ``runs`` tells where the language changes: each maximal run of
 words of one most likely language, as first word, number of words, language.
 Texts of any length are covered in blocks of ``STEPS`` words, with memory for
-one block and one message a block.
+one block and one message a block; short ones together, of about ``CHARS`` bytes.
 
 Null text, or one without a letter: ``und``, score 0, no runs. Null lang: not
 learned from. Repeated rows get a row each; repeated texts count once in the
@@ -36,6 +36,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ledgerloom.llm.common import pick, ship, slices
@@ -46,6 +47,8 @@ TEXTS, CHAINS, CHAIN_WORDS, LABELS = 400, 3, 40, 256
 GRAMS, DIMS, LEXICON = 4, 1 << 16, 20_000
 ROUNDS, RATE, PENALTY, MIXED = 40, 0.15, 1e-4, 0.3
 STEPS = 1 << 15
+#: Words times labels of chains that are taken through together; characters of texts read at once.
+CELLS, CHARS = 1 << 19, 1 << 21
 UNKNOWN = "und"
 #: Parts of the hashes that the sample is drawn from alike.
 PARTS = 16
@@ -100,18 +103,21 @@ def messages(e: np.ndarray, active: np.ndarray, steps: np.ndarray, prior: np.nda
     behind each chain's last place.
     """
     alpha, beta = np.zeros_like(e), np.zeros_like(e)
+    ones, back, reached = np.ones((e.shape[2], 1)), np.ascontiguousarray(steps.T), active.tolist()
     a = prior * e[0]
-    alpha[0] = a / a.sum(axis=1, keepdims=True)
+    alpha[0] = a / (a @ ones)
     for t in range(1, len(e)):
-        k = active[t]
-        a = (alpha[t - 1, :k] @ steps) * e[t, :k]
-        alpha[t, :k] = a / a.sum(axis=1, keepdims=True)
-    for t in range(len(e) - 1, -1, -1):
-        k = active[t + 1] if t + 1 < len(e) else 0
-        if k:
-            b = (beta[t + 1, :k] * e[t + 1, :k]) @ steps.T
-            beta[t, :k] = b / b.sum(axis=1, keepdims=True)
-        beta[t, k:active[t]] = after[k:active[t]]
+        k = reached[t]
+        a = np.matmul(alpha[t - 1, :k], steps, out=alpha[t, :k])
+        a *= e[t, :k]
+        a /= a @ ones
+    beta[-1, :reached[-1]] = after[:reached[-1]]
+    for t in range(len(e) - 2, -1, -1):
+        k = reached[t + 1]
+        b = np.matmul(beta[t + 1, :k] * e[t + 1, :k], back, out=beta[t, :k])
+        b /= b @ ones
+        if k < reached[t]:
+            beta[t, k:reached[t]] = after[k:reached[t]]
     return alpha, beta
 
 
@@ -224,6 +230,8 @@ def shares(texts: list[str | None], model: dict, steps_at_once: int = STEPS) ->
     index: dict[str, int] = {}
     chains = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], np.int64) for t in texts]
     n_labels = len(model["labels"])
+    # as few labels leave room for, so that a step serves many chains
+    at_once = max(steps_at_once, CELLS // n_labels)
     out: list = [(np.zeros(n_labels), [])] * len(texts)
     if not index:
         return out
@@ -241,7 +249,7 @@ def shares(texts: list[str | None], model: dict, steps_at_once: int = STEPS) ->
             out[i] = (total, run_lengths(best))
             at += 1
             continue
-        some = order[at:at + max(1, steps_at_once // size)]
+        some = order[at:at + max(1, at_once // size)]
         at += len(some)
         own = [chains[i] for i in some]
         p = posterior(*messages(e[pad(own)], active_at([len(c) for c in own]), model["steps"],
@@ -287,6 +295,17 @@ def sample(docs: DataFrame, texts: int = TEXTS) -> list[tuple[str, list[str]]]:
     return [(r.lang, r.chain.split()) for r in rows.orderBy("lang", "h", "place").collect()]
 
 
+def alike(batches):
+    """Slices of about ``CHARS`` bytes of text (second column), one row at least."""
+    for b in slices(batches, 1 << 12):
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHARS, side="right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def identify(docs: DataFrame, learn: DataFrame, texts: int = TEXTS, steps: int = STEPS) -> DataFrame:
     """doc_id, lang_pred, score, shares and runs of every row of ``docs`` (doc_id, text).
 
@@ -299,7 +318,7 @@ def identify(docs: DataFrame, learn: DataFrame, texts: int = TEXTS, steps: int =
 
     def run(batches):
         m = model.value
-        for b in slices(batches, 256):
+        for b in alike(batches):
             rows = []
             for total, runs in shares(b.column(1).to_pylist(), m, steps) if m else [(None, [])] * b.num_rows:
                 if not runs:
