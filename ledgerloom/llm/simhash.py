@@ -222,7 +222,8 @@ def links(fps: DataFrame, most: int = BITS, block: int = BLOCK) -> DataFrame:
         if held is not None and (out := close(held)):
             yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.uint64).view(np.int64)) for c in zip(*out)], ["a", "b"])
 
-    # a key may be hot: keys are counted with partial sums, and the join on them is one that AQE may split
+    # a key may be hot: keys are counted with partial sums, and the join on them is one that AQE may split; Spark takes the
+    # keys for as small as the fingerprints they are made of, so it is told not to broadcast them
     # a fingerprint is few bytes but becomes some 70 rows, so the tasks are not put together by its size
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = fps.select("fp").repartition(tasks).mapInArrow(spread, "key bigint, asks boolean, fp bigint")
@@ -232,7 +233,7 @@ def links(fps: DataFrame, most: int = BITS, block: int = BLOCK) -> DataFrame:
     cut = lambda n: F.ceil(F.col(n) / block)
     own = F.pmod(F.xxhash64("fp"), F.when(F.col("asks"), cut("n_ask")).otherwise(cut("n_ans")))
     others = F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("asks"), cut("n_ans")).otherwise(cut("n_ask")) - 1))
-    cells = (rows.join(sizes, "key").select("key", "asks", "fp", own.alias("own"), others.alias("other"))
+    cells = (rows.hint("merge").join(sizes, "key").select("key", "asks", "fp", own.alias("own"), others.alias("other"))
              .select("key", F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")).alias("bi"),
                      F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")).alias("bj"), "asks", "fp"))
     return (cells.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "asks")
