@@ -279,7 +279,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = BITS, s
     prints = written(fingerprints(docs, shingle, seed, carry), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = written(components(links(nodes, most)), "components")
-    labelled = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    labelled = nodes.hint("merge").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = labelled.join(least, "root").select("fp", "component_id", "root")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id", *([carry, "root"] if carry else []))
+    classes = labelled.hint("merge").join(least, "root").select("fp", "component_id", "root")
+    # a row for every document: as a file they may be far smaller than in the driver's memory
+    return prints.hint("merge").join(classes, "fp").select("doc_id", "fp", "component_id", *([carry, "root"] if carry else []))
